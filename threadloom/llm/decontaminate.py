@@ -1,8 +1,8 @@
 """Benchmark decontamination by winnowing, in DataFrame functions only.
 
-A window is 13 consecutive words of a benchmark item (or a whole shorter item). Of every 9 consecutive 5-word hashes of
+A window is 13 consecutive words of a benchmark item (or a whole shorter item). Of every 5 consecutive 9-word hashes of
 a text the minimum is kept; so a document that shares a window with an item shares at least one kept hash, on the same
-words. Kept hashes of documents meet those of items, each meeting is extended word by word over at most 8 words to each
+words. Kept hashes of documents meet those of items, each meeting is extended word by word over at most 4 words to each
 side, and meetings that span a window mark their words. Items under 13 words need a denser sampling: their first words'
 hash is looked up at all positions of the documents.
 
@@ -22,41 +22,38 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SPAN, GRAM = 13, 5
+SPAN, GRAM = 13, 9
 WINNOW = SPAN - GRAM + 1
 REACH = SPAN - GRAM
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before A-Z are lowered, for counting.
-COUNTED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: ASCII without letters and digits.
+BREAKS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(common.ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """Runs of ASCII letters (lowered), digits and non-ASCII characters: all else becomes a blank, and blanks split."""
+    plain = F.translate(F.coalesce(text, F.lit("")), common.UPPER + BREAKS, common.UPPER.lower() + " " * len(BREAKS))
+    return F.array_remove(F.split(plain, " ", -1), "")
 
 
 def grams(w: Column, n: int) -> Column:
-    """Hashes of all runs of n words."""
-    return F.when(F.size(w) < n, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n))))
+    """Hash of the n words from each on; of fewer at the end, which meets nothing once words are compared. Elements are
+    read one by one: a slice inside a lambda would copy the whole array."""
+    return F.transform(w, lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, n))))
 
 
 def minima(h: Column) -> Column:
-    """The minimum of each 9 consecutive hashes (of all, if fewer)."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - WINNOW + 1, F.lit(1))), lambda i: F.array_min(F.slice(h, i, WINNOW)))
+    """The minimum of the 5 hashes from each on, or of as many as there are."""
+    return F.transform(h, lambda x, i: F.least(x, *(F.get(h, i + k) for k in range(1, WINNOW))))
 
 
 def kept(h: Column, m: Column) -> Column:
-    """(hash, position) of the hashes that are the minimum of a window about them: the largest of those minima is at
-    most the hash itself, and equal to it just then."""
-
-    def is_kept(x: Column, i: Column) -> Column:
-        low = F.greatest(i - WINNOW + 2, F.lit(1))
-        return F.array_max(F.slice(m, low, F.greatest(F.least(i + 1, F.size(m)) - low + 1, F.lit(1)))) == x
-
-    return F.filter(everywhere(h), lambda s: is_kept(s["h"], s["p"]))
+    """Positions of the hashes that are the minimum of a window about them: the largest of those minima is at most the
+    hash itself, and equal to it just then."""
+    return F.filter(everywhere(h), lambda p: F.greatest(F.get(m, p), *(F.get(m, p - k) for k in range(1, WINNOW))) == F.get(h, p))
 
 
 def everywhere(h: Column) -> Column:
-    return F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p")))
+    return F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
 
 
 def bound(value: Column, body) -> Column:
@@ -65,71 +62,75 @@ def bound(value: Column, body) -> Column:
 
 
 def prints(w: Column, n: int, dense: bool) -> Column:
-    """(hash, position) of a text's kept hashes, or of all."""
-    return bound(grams(w, n), everywhere if dense else lambda g: bound(minima(g), lambda m: kept(g, m)))
+    """g (hashes at all positions) and at (the kept positions, or all)."""
+    return bound(grams(w, n), lambda g: F.struct(g.alias("g"), (everywhere(g) if dense else bound(minima(g), lambda m: kept(g, m))).alias("at")))
 
 
 def item_prints(items: DataFrame) -> DataFrame:
     """One row for each kept hash of an item: n (words of the hash), h, q (position), item_id, iw (the item's words)."""
     w = items.select("item_id", words(F.col("text")).alias("iw")).where(F.size("iw") > 0).distinct().withColumn("n", F.least(F.size("iw"), F.lit(GRAM)))
-    long = w.where(F.size("iw") >= SPAN).select("item_id", "iw", "n", F.explode(prints(F.col("iw"), GRAM, False)).alias("s"))
-    short = w.where(F.size("iw") < SPAN).select("item_id", "iw", "n", F.struct(F.xxhash64(F.slice("iw", 1, F.col("n"))).alias("h"), F.lit(0).alias("p")).alias("s"))
-    return long.unionByName(short).select("n", (F.size("iw") < SPAN).alias("short"), F.col("s.h").alias("h"), F.col("s.p").alias("q"), "item_id", "iw")
-
-
-def equal_run(a: Column, b: Column, step: int, i: Column, j: Column, most: Column) -> Column:
-    """How many words agree one after another from a[i], b[j] on (positions from 1), in steps of +1 or -1."""
-    same = F.transform(F.sequence(F.lit(0), most - 1), lambda d: F.get(a, i + step * d - 1) == F.get(b, j + step * d - 1))
-    first = F.array_position(same, F.lit(False))
-    return F.when(most <= 0, F.lit(0)).otherwise(F.when(first == 0, most).otherwise(F.least(most, first.cast("int") - 1)))
-
-
-def extended(met: DataFrame) -> DataFrame:
-    """Word ranges [a, b) of documents that meet whole windows. Positions p and q count from 0."""
-    w, iw, p, q, n = (F.col(x) for x in ("w", "iw", "p", "q", "n"))
-    left = equal_run(w, iw, -1, p, q, F.least(p, q, F.lit(REACH)))
-    right = equal_run(w, iw, 1, p + 1, q + 1, F.least(F.size(w) - p, F.size(iw) - q, n + REACH))
+    long = w.where(F.size("iw") >= SPAN).withColumn("x", prints(F.col("iw"), GRAM, False)).select("item_id", "iw", "n", "x.g", F.explode("x.at").alias("q"))
+    long = long.where(F.col("q") <= F.size("iw") - GRAM).select("item_id", "iw", "n", F.get("g", F.col("q")).alias("h"), "q")
+    firsts = [w.where((F.size("iw") < SPAN) & (F.col("n") == n)).select("item_id", "iw", "n", F.xxhash64(*(F.get("iw", F.lit(k)) for k in range(n))).alias("h"), F.lit(0).alias("q")) for n in range(1, GRAM + 1)]
+    return reduce(DataFrame.unionByName, [long, *firsts]).select("n", (F.size("iw") < SPAN).alias("short"), "h", "q", "item_id", "iw")
+
+
+def equal_run(a: Column, b: Column, step: int, i: Column, j: Column, most: int) -> Column:
+    """How many words agree one after another from a[i], b[j] on, in steps of +1 or -1, at most ``most``. Plain cases,
+    no lambda: so join, filter and extension are one generated loop, and rows that meet nothing are never copied."""
+    run = F.lit(most)
+    for d in range(most - 1, -1, -1):
+        run = F.when(F.coalesce(F.get(a, i + step * d) == F.get(b, j + step * d), F.lit(False)), run).otherwise(F.lit(d))
+    return run
+
+
+def extended(met: DataFrame, n: int) -> DataFrame:
+    """Word ranges [a, b) of documents that meet whole windows. Positions p and q count from 0; rows with p = -1 pass."""
+    w, iw, p, q = (F.col(x) for x in ("w", "iw", "p", "q"))
+    left = equal_run(w, iw, -1, p - 1, q - 1, REACH)
+    right = equal_run(w, iw, 1, p, q, n + REACH)
     need = F.least(F.size(iw), F.lit(SPAN))
-    return (
-        met.withColumn("left", left)
-        .withColumn("right", right)
-        .where((F.col("right") >= n) & (F.col("left") + F.col("right") >= need))
-        .select("doc_id", "tk", "item_id", (p - F.col("left")).alias("a"), (p + F.col("right")).alias("b"))
-    )
+    row = p < 0
+    ranged = met.withColumn("left", F.when(~row, left)).withColumn("right", F.when(~row, right)).where(row | ((F.col("right") >= n) & (F.col("left") + F.col("right") >= need)))
+    return ranged.select("doc_id", "tk", "item_id", F.when(~row, p - F.col("left")).alias("a"), F.when(row, F.size(w)).otherwise(p + F.col("right")).alias("b"))
 
 
 def hits(docs: DataFrame, items: DataFrame, block: int = 200_000) -> DataFrame:
-    """doc_id, tk (hash of the text), item_id, a, b: ranges of words inside occurrences of an item's window."""
+    """doc_id, tk (hash of the text), item_id, a, b: ranges of words inside occurrences of an item's window; and for
+    every row of ``docs`` one with a null ``a`` and its number of words in ``b``."""
     sides = common.durable(item_prints(items))
-    kinds = sorted((r.n, r.short) for r in sides.select("n", "short").distinct().collect())  # at most 6 rows
+    kinds = sorted((r.n, r.short) for r in sides.select("n", "short").distinct().collect())  # at most 10 rows
     w = docs.select("doc_id", common.text_key(F.col("text")).alias("tk"), words(F.col("text")).alias("w"))
     found = []
     for n, short in kinds:
         side = sides.where((F.col("n") == n) & (F.col("short") == short))
         blocks = max(1, -(-side.count() // block))
-        # Outer, so that no filter on the hashes is inferred and computed beside them; its null rows meet nothing.
-        exploded = w.select("doc_id", "tk", "w", F.inline_outer(prints(F.col("w"), n, short)))
+        x = w.select("doc_id", "tk", "w", prints(F.col("w"), n, short).alias("x"))
         for b in range(blocks):
-            part = side.where(F.pmod(F.xxhash64("item_id", "q"), F.lit(blocks)) == b)
-            # Slices are taken after the join, from the row's own words.
-            found.append(extended(exploded.join(F.broadcast(part), "h")))
-    if not found:
-        return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tk long, item_id {items.schema['item_id'].dataType.simpleString()}, a int, b int")
-    return reduce(DataFrame.unionByName, found)
+            part = F.broadcast(side.where(F.pmod(F.xxhash64("item_id", "q"), F.lit(blocks)) == b).drop("n", "short"))
+            # Outer, so that no filter on the hashes is inferred and computed beside them. Position -1 stands for the row.
+            at = F.col("x.at") if found else F.concat(F.array(F.lit(-1)), F.col("x.at"))
+            exploded = x.select("doc_id", "tk", "w", "x.g", F.explode_outer(at).alias("p")).withColumn("h", F.when(F.col("p") >= 0, F.get("g", F.col("p"))))
+            met = exploded.join(part, "h", "inner" if found else "left").where("p = -1 or q is not null")
+            found.append(extended(met, n))
+    if found:
+        return reduce(DataFrame.unionByName, found)
+    return w.select("doc_id", "tk", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(None).cast("int").alias("a"), F.size("w").alias("b"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, block: int = 200_000, cut: int = 20) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted strings), contaminated (a ``cut``-th of the words or more is hit) for every row."""
+    """doc_id, tk, n_words, n_hit, items (sorted strings), contaminated (a ``cut``-th of the words or more is hit) for every row."""
     found = common.durable(hits(docs.select("doc_id", "text"), items.select("item_id", "text"), block))
     key = ["doc_id", "tk"]
-    places = found.select(*key, F.explode(F.sequence("a", F.col("b") - 1)).alias("i")).distinct().groupBy(*key).agg(F.count("*").alias("n_hit"))
-    listed = found.where("item_id is not null").select(*key, F.col("item_id").cast("string").alias("item")).distinct().groupBy(*key).agg(F.array_sort(F.collect_list("item")).alias("items"))
-    d = docs.select("doc_id", common.text_key(F.col("text")).alias("tk"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(COUNTED)).cast("long").alias("n_words"))
-    p, q = places.alias("p"), listed.alias("q")
+    rows = found.where("a is null").groupBy(*key).agg(F.count("*").cast("int").alias("copies"), F.max("b").cast("long").alias("n_words")).alias("d")
+    met = found.where("a is not null")
+    places = met.select(*key, F.explode(F.sequence("a", F.col("b") - 1)).alias("i")).distinct().groupBy(*key).agg(F.count("*").alias("n_hit")).alias("p")
+    listed = met.where("item_id is not null").select(*key, F.col("item_id").cast("string").alias("item")).distinct().groupBy(*key).agg(F.array_sort(F.collect_list("item")).alias("items")).alias("q")
+    same = lambda other: F.col("d.doc_id").eqNullSafe(F.col(f"{other}.doc_id")) & (F.col("d.tk") == F.col(f"{other}.tk"))
     joined = (
-        d.alias("d")
-        .join(p, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.tk") == F.col("p.tk")), "left")
-        .join(q, F.col("d.doc_id").eqNullSafe(F.col("q.doc_id")) & (F.col("d.tk") == F.col("q.tk")), "left")
-        .select("d.doc_id", "d.tk", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+        rows.join(places, same("p"), "left")
+        .join(listed, same("q"), "left")
+        .select("d.doc_id", "d.tk", "copies", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     )
-    return joined.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * cut >= F.col("n_words")))
+    each = joined.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * cut >= F.col("n_words")))
+    return each.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).drop("copies")

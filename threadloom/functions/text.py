@@ -38,6 +38,11 @@ def or_default(c: Column, default: str) -> Column:
     return F.when(is_blank(c), F.lit(default)).otherwise(trimmed(c))
 
 
+def folded(c: Column) -> Column:
+    """Upper case by single characters, for order and equality without case; the sharp s has no single capital and stays."""
+    return F.translate(F.upper(F.translate(c, "\u00df", "\ue0df")), "\ue0df", "\u00df")
+
+
 def split_lines(c: Column) -> Column:
     return F.split(F.replace(c, F.lit("\r\n"), F.lit("\n")), "\n", -1)
 

@@ -50,7 +50,7 @@ def keywords(terms: DataFrame, take: int = 18) -> DataFrame:
     without its phrase boost, so a phrase may lead with 1.0 and single words exceed it."""
     words = X.word_count(F.col("term"))
     boost = F.when(words > 1, F.col("units") * 175).otherwise(F.col("units") * 100)
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("boosted")).alias("b"), (-F.col("words")).alias("n"), F.upper("term").alias("u"), F.col("term"), F.col("units"))))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("boosted")).alias("b"), (-F.col("words")).alias("n"), X.folded(F.col("term")).alias("u"), F.col("term"), F.col("units"))))
     ranked = terms.withColumn("words", words).withColumn("boosted", boost).groupBy("conversation_id").agg(ordered.alias("c"))
     picked = ranked.select("conversation_id", F.get("c", F.lit(0))["units"].alias("top"), F.posexplode(X.diverse(F.col("c"), max(6, take))).alias("rank", "k"))
     return picked.select("conversation_id", "rank", F.col("k.term").alias("keyword"), F.bround(F.col("k.units") / F.col("top"), 4).alias("score"))
@@ -64,9 +64,9 @@ def topics(titles: DataFrame, found: DataFrame, take: int = 8) -> DataFrame:
     score = lambda term: F.coalesce(F.try_element_at("s", term), F.lit(0.0))
     total = lambda p: F.aggregate(X.term_tokens(p), F.lit(0.0), lambda a, x: a + score(x))
     best = F.slice(F.array_sort(F.transform(X.phrases(F.col("t")), lambda p, i: F.struct((-total(p)).alias("a"), i.alias("b"), p.alias("term")))), 1, 1)
-    own = F.array_sort(F.transform(F.array_distinct("t"), lambda x: F.struct((-score(x)).alias("a"), F.upper(x).alias("b"), x.alias("term"))))
+    own = F.array_sort(F.transform(F.array_distinct("t"), lambda x: F.struct((-score(x)).alias("a"), X.folded(x).alias("b"), x.alias("term"))))
     many = lambda x: X.word_count(x["keyword"])
-    rest = F.array_sort(F.transform(F.coalesce("k", F.array().cast("array<struct<keyword:string,score:double>>")), lambda x: F.struct((-x["score"] * F.when(many(x) > 1, 2.1).otherwise(1.0)).alias("a"), (-many(x)).alias("n"), F.upper(x["keyword"]).alias("b"), x["keyword"].alias("term"))))
+    rest = F.array_sort(F.transform(F.coalesce("k", F.array().cast("array<struct<keyword:string,score:double>>")), lambda x: F.struct((-x["score"] * F.when(many(x) > 1, 2.1).otherwise(1.0)).alias("a"), (-many(x)).alias("n"), X.folded(x["keyword"]).alias("b"), x["keyword"].alias("term"))))
     term = lambda a: F.transform(a, lambda x: F.struct(x["term"].alias("term")))
     return j.select("conversation_id", F.posexplode(X.diverse(F.concat(term(best), term(own), term(rest)), max(4, take))).alias("rank", "x")).select("conversation_id", "rank", F.col("x.term").alias("topic"))
 
@@ -83,7 +83,7 @@ def cooccurrence(found: DataFrame, keep: int = 6, least: int = 2) -> DataFrame:
     """left_keyword, right_keyword, n, weight: pairs among each conversation's first keywords; weights are relative to
     the largest count of any pair."""
     k = found.where(F.col("rank") < max(2, keep)).select("conversation_id", "keyword").distinct()
-    pairs = k.select("conversation_id", F.col("keyword").alias("left_keyword")).join(k.select("conversation_id", F.col("keyword").alias("right_keyword")), "conversation_id").where("upper(left_keyword) < upper(right_keyword)")
+    pairs = k.select("conversation_id", F.col("keyword").alias("left_keyword")).join(k.select("conversation_id", F.col("keyword").alias("right_keyword")), "conversation_id").where(X.folded(F.col("left_keyword")) < X.folded(F.col("right_keyword")))
     counts = pairs.groupBy("left_keyword", "right_keyword").agg(F.count("*").alias("n"))
     most = counts.agg(F.max("n").alias("most"))
     return counts.crossJoin(F.broadcast(most)).where(F.col("n") >= least).select("left_keyword", "right_keyword", "n", F.bround(F.col("n") / F.col("most"), 4).alias("weight"))

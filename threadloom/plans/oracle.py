@@ -77,7 +77,7 @@ def diverse(candidates: str, take: int) -> str:
 
 KEYWORDS = f"""{TERMS},
 ranked AS (
-    SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY units * (CASE WHEN words > 1 THEN 175 ELSE 100 END) DESC, words DESC, upper(term)) AS rk
+    SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY units * (CASE WHEN words > 1 THEN 175 ELSE 100 END) DESC, words DESC, replace(upper(replace(term, chr(223), chr(57567))), chr(57567), chr(223))) AS rk
     FROM (SELECT *, len(string_split(term, ' ')) AS words FROM terms)),
 picked AS (SELECT conversation_id, {diverse("list(term ORDER BY rk)", 18)} AS p FROM ranked GROUP BY 1),
 kws AS (
@@ -85,7 +85,7 @@ kws AS (
     FROM (SELECT conversation_id, unnest(p) AS keyword, generate_subscripts(p, 1) AS i FROM picked) k
     JOIN ranked r ON r.conversation_id = k.conversation_id AND r.term = k.keyword JOIN ranked top ON top.conversation_id = k.conversation_id AND top.rk = 1)"""
 COOC = """pairs AS (SELECT a.keyword AS left_keyword, b.keyword AS right_keyword, count(*) AS n FROM (SELECT * FROM kws WHERE rank < 6) a JOIN (SELECT * FROM kws WHERE rank < 6) b
-        ON a.conversation_id = b.conversation_id AND upper(a.keyword) < upper(b.keyword) GROUP BY 1, 2),
+        ON a.conversation_id = b.conversation_id AND replace(upper(replace(a.keyword, chr(223), chr(57567))), chr(57567), chr(223)) < replace(upper(replace(b.keyword, chr(223), chr(57567))), chr(57567), chr(223)) GROUP BY 1, 2),
 cooc AS (SELECT left_keyword, right_keyword, n, round_even(n / (SELECT max(n) FROM pairs), 4) AS weight FROM pairs WHERE n >= 2)"""
 CORPUS = f"corpora AS (SELECT conversation_id, string_agg(CASE WHEN regexp_matches(coalesce(text, ''), '^{SPACE}*$') THEN '' ELSE text || chr(10) END, '' ORDER BY create_time NULLS LAST, node_id) AS corpus FROM m WHERE {VISIBLE} GROUP BY 1)"
 _score = lambda terms: " + ".join(f"(contains(lower(corpus), '{t}'))::INT" for t in terms)

@@ -44,7 +44,7 @@ def shuffled(docs: DataFrame, shards: int = 24, bucket_bytes: int = 32 << 20, se
     schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
     def permuted(group: pa.Table) -> pa.Table:
-        keys = [("_own", "ascending"), ("doc_id", "ascending")]
+        keys = [("_own", "ascending"), ("doc_id", "ascending"), ("text", "ascending")]
         group = group.sort_by(keys)
         number = group.column("_bucket")[0].as_py()
         order = fisher_yates(group.num_rows, seed * 1_000_003 + number)

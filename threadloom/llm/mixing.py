@@ -47,7 +47,7 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int
     return t.select("source", "source_size", "weight", F.least("cap", F.coalesce(F.col("water") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3, seed: str = "mix", bucket_rows: int = 50_000, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3, seed: str = "mix", bucket_rows: int = 5_000, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (doc_id by default), source, size, source_size, target, repeats, part, taken for every row: ``repeats``
     whole copies of the document, and ``part`` of its words once more."""
     keep = keep or ["doc_id"]

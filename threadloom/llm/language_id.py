@@ -112,10 +112,14 @@ class ContextTrees:
 
 def learn(docs: DataFrame, per_language: int, max_order: int, seed: int = 29) -> ContextTrees | None:
     """At most ``per_language`` documents of each language, first by a seeded hash, over all that may be learned from."""
-    rank = W.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
+    # First within 64 parts of each language, so that no task ranks a whole language; then among their firsts.
+    order = (F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
+    part, rank = W.partitionBy("lang", F.pmod(F.hash("doc_id"), F.lit(64))).orderBy(*order), W.partitionBy("lang").orderBy(*order)
     keys = (
         docs.select("doc_id", "lang")
         .where(F.col("lang").isNotNull() & (common.fold_of(F.col("doc_id"), 4) != 2))
+        .withColumn("r", F.row_number().over(part))
+        .where(F.col("r") <= per_language)
         .withColumn("r", F.row_number().over(rank))
         .where(F.col("r") <= per_language)
         .select("doc_id", "lang")

@@ -12,7 +12,7 @@ components that share two or more sketches (or all their sketches, for short tex
 for the sake of the short cut. Links, components and sketches stay in the cluster.
 
 Edge cases: null, empty and wordless texts are one class. Texts under five words have one run, the whole text. Rows that
-repeat a doc_id are one document with the larger class id among its texts'... see ``classes``. Extra columns are ignored.
+repeat a doc_id are one document, in the smallest class of its texts. Null ids are in no class. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -168,9 +168,10 @@ def banded(pairs, width: list[int]) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts (id, w) align. Pairs of one a meet in pieces of bounded size."""
-    left = pairs.join(texts.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
-    both = left.join(texts.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").select("a", "b", "wa", "wb")
+    """Those of the pairs (a, b) whose texts (id, w) align. One a may have very many pairs, so a's text is joined first and
+    b's last: pairs are then spread by b when they are aligned."""
+    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a")
+    both = left.join(texts.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b").select("a", "b", "wa", "wb")
 
     def work(batches):
         for batch in batches:

@@ -137,6 +137,28 @@ def test_near_dedup(spark):
     assert near_dedup.classes(docs(spark, []).limit(0)).count() == 0
 
 
+def test_near_dedup_keeps_every_link(spark):
+    """Classes are the components of all pairs that share a sketch and align, though texts share a long passage whose
+    shortest holder is like none of the others; blocks of two make the groups meet in pieces."""
+    passage, texts = prose(60, 99), [prose(60, 99) + " brief"]
+    for i in range(12):
+        own = prose(40 + i, 200 + i)
+        texts += [f"{own} {passage}", f"{own} extra {passage}", f"{own} {passage} {prose(28, 300 + i)}", f"{own} {passage} {prose(25, 300 + i)}"]
+    rows = near_dedup.sketched(docs(spark, texts).where("doc_id is not null"), 24).collect()
+    sketch = {r.doc_id: r.sketch for r in rows}
+    w = [t.lower().split() for t in texts]
+    comp = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if any(x == y for x, y in zip(sketch[i], sketch[j])) and distance(w[i], w[j]) <= int(0.2 * max(len(w[i]), len(w[j])) + 1e-9):
+                lo, hi = sorted((comp[i], comp[j]))
+                comp = [lo if c == hi else c for c in comp]
+    assert 5 < len(set(comp)) < len(texts) - 5
+    for block in (512, 2):
+        got = {r.doc_id: r.class_id for r in near_dedup.classes(docs(spark, texts), block=block).collect()}
+        assert got == dict(enumerate(comp))
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -6,10 +6,12 @@ equal sketches tell of similar order, not only of similar content. Texts of equa
 classes that share a sketch are candidates, and a pair counts when banded alignment of the whole texts finds at most
 (1 - ``similarity``) times the longer one's words to change.
 
-Within a group of equal sketches each class is first aligned with the group's smallest one, not with all others. Links
-found so join classes into components. Only groups whose classes are then still in several components go on: pairs across
-components that share two or more sketches (or all their sketches, for short texts) are aligned too, so no link is lost
-for the sake of the short cut. Links, components and sketches stay in the cluster.
+Within a group of equal sketches each class is first aligned with the group's shortest one, not with all others. Links
+found so join classes into components. Only groups whose classes are then still in several components go on: every pair
+across components that shares a sketch is compared, block by block, by two bounds that no link can break (difference of
+lengths; words in common, counted in buckets), and what passes is aligned too. So no link is lost for the sake of the
+short cut, and pairs become rows only where the bounds leave them possible. A pair is taken in the first group that it
+shares. Links, components and sketches stay in the cluster.
 
 Edge cases: null, empty and wordless texts are one class. Texts under five words have one run, the whole text. Rows that
 repeat a doc_id are one document, in the smallest class of its texts. Null ids are in no class. Extra columns are ignored.
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 
 GRAM, PICKED = 5, 3
+#: Buckets of words and the largest count of one in a bag's 32 bits; a count that reaches it stands for any larger one.
+BUCKETS, TOP = 1 << 11, (1 << 20) - 1
 WORD = r"[^\x20\x09-\x0D]+"
 MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -77,9 +81,9 @@ def order_sketch(w: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, sketches: int) -> DataFrame:
-    """doc_id, k1, k2 (128 bits of the words), sketch (array) for every row."""
+    """doc_id, k1, k2 (128 bits of the words), n (words), sketch (array) for every row."""
     seeds = mixed(np.arange(1, sketches + 1, dtype=np.uint64))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, sketch array<long>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, n int, sketch array<long>"
 
     def work(batches):
         with np.errstate(over="ignore"):
@@ -88,7 +92,7 @@ def sketched(docs: DataFrame, sketches: int) -> DataFrame:
                 flat, at = w.values.to_numpy(), w.offsets.to_numpy()
                 rows = np.stack([order_sketch(flat[a:b], seeds) for a, b in zip(at[:-1], at[1:])]) if len(at) > 1 else np.zeros((0, sketches), np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * sketches, pa.int32()), pa.array(rows.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], names=["doc_id", "k1", "k2", "sketch"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(at), pa.int32()), lists], names=["doc_id", "k1", "k2", "n", "sketch"])
 
     w = docs.select("doc_id", words(F.col("text")).alias("w"))
     return w.select("doc_id", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(5), "w").alias("k2"), "w").mapInArrow(work, schema)
@@ -167,6 +171,66 @@ def banded(pairs, width: list[int]) -> np.ndarray:
     return out
 
 
+def most_changes(longest: np.ndarray, similarity: float) -> np.ndarray:
+    return np.floor((1 - similarity) * longest + 1e-9).astype(np.int64)
+
+
+def bags(texts: DataFrame) -> DataFrame:
+    """id, bag: of each bucket that the words of a text (id, w) fall in, the bucket and its words."""
+
+    def work(batches):
+        for batch in batches:
+            flat, at = batch.column(1).values.to_numpy() & (BUCKETS - 1), batch.column(1).offsets.to_numpy()
+            counted = [np.unique(flat[a:b], return_counts=True) for a, b in zip(at[:-1], at[1:])]
+            rows = [(u << 20 | np.minimum(c, TOP)).astype(np.int32) for u, c in counted]
+            ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "bag"])
+
+    return texts.select("id", "w").mapInArrow(work, "id long, bag array<int>")
+
+
+def possible(members: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Pairs (a, b) of members (k, s, size, id, comp, n, head, bag) that share their first sketch in the group (k, s) of
+    ``size`` members, are in two components, and may be similar by their lengths and bags. A group is cut in blocks of
+    about ``block`` members, and each two blocks meet in one task."""
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    met = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = met.select("k", "s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "n", "head", "bag")
+
+    def work(table: pa.Table) -> pa.Table:
+        col = lambda name: table.column(name).to_numpy()
+        k, first, second, own, ids, comp, n = col("k")[0], col("i")[0], col("j")[0], col("own"), col("id"), col("comp"), col("n").astype(np.int64)
+        head = table.column("head").combine_chunks().flatten().to_numpy().reshape(len(ids), k)
+        bag = table.column("bag").combine_chunks()
+        packed, words_in = bag.flatten().to_numpy(), np.diff(bag.offsets.to_numpy())
+        counts = np.zeros((len(ids), BUCKETS), np.int32)
+        amount = packed & TOP
+        counts[np.repeat(np.arange(len(ids)), words_in), packed >> 20] = np.where(amount == TOP, np.iinfo(np.int32).max, amount)
+        left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
+        out = [np.zeros((0, 2), np.int64)]
+        for c in range(0, len(left), 64):
+            x = left[c : c + 64]
+            longest = np.maximum(n[x][:, None], n[right][None, :])
+            most = most_changes(longest, similarity)
+            ok = (comp[x][:, None] != comp[right][None, :]) & (np.abs(n[x][:, None] - n[right][None, :]) <= most)
+            if first == second:
+                ok &= ids[x][:, None] < ids[right][None, :]
+            for q in range(k):
+                ok &= head[x, q][:, None] != head[right, q][None, :]
+            p, q = np.nonzero(ok)
+            for e in range(0, len(p), 1024):
+                pp, qq = p[e : e + 1024], q[e : e + 1024]
+                shared = np.minimum(counts[x[pp]], counts[right[qq]]).sum(axis=1, dtype=np.int64)
+                may = longest[pp, qq] - shared <= most[pp, qq]
+                out.append(np.stack([ids[x[pp[may]]], ids[right[qq[may]]]], axis=1))
+        pairs = np.sort(np.concatenate(out), axis=1)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return met.groupBy("k", "s", "i", "j").applyInArrow(work, "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose texts (id, w) align. One a may have very many pairs, so a's text is joined first and
     b's last: pairs are then spread by b when they are aligned."""
@@ -180,7 +244,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
             lengths = np.diff(la) + np.diff(lb)
             for s, e in common.spans(lengths, 1 << 20):
                 a, b = [fa[la[i] : la[i + 1]] for i in range(s, e)], [fb[lb[i] : lb[i + 1]] for i in range(s, e)]
-                most = np.array([int(np.floor((1 - similarity) * max(len(x), len(y)) + 1e-9)) for x, y in zip(a, b)])
+                most = most_changes(np.array([max(len(x), len(y)) for x, y in zip(a, b)]), similarity)
                 keep[s:e] = aligned(a, b, most)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
@@ -204,28 +268,30 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(label, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
-def classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 24) -> DataFrame:
+def classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 24, block: int = 512) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class) for every distinct non-null doc_id."""
     docs = docs.where("doc_id is not null")
     rows = common.durable(sketched(docs, sketches))
     # One row a text; its number is the smallest doc_id that has it.
     key = ["k1", "k2"]
-    text = common.durable(rows.groupBy(*key).agg(F.min(F.col("doc_id").cast("long")).alias("id"), F.min("sketch").alias("sketch")))
-    grouped = text.select("id", F.posexplode("sketch").alias("k", "s"))
-    least = grouped.groupBy("k", "s").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("k", "s", "a")
-    member = common.durable(grouped.join(least, ["k", "s"]).select("k", "s", "a", F.col("id").alias("b")))
+    text = common.durable(rows.groupBy(*key).agg(F.min(F.col("doc_id").cast("long")).alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")))
+    grouped = text.select("id", "n", F.posexplode("sketch").alias("k", "s"))
+    hubs = grouped.groupBy("k", "s").agg(F.min(F.struct("n", "id"))["id"].alias("a"), F.count("*").alias("size")).where("size > 1")
+    member = common.durable(grouped.select("k", "s", F.col("id").alias("b")).join(hubs, ["k", "s"]))
     star = common.durable(member.where("a <> b").select("a", "b").distinct())
     involved = common.durable(star.select(F.col("a").alias("id")).union(star.select("b")).distinct())
     texts = common.durable(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(involved, "id", "left_semi").select("id", words(F.col("text")).alias("w")).dropDuplicates(["id"]))
     links = common.durable(verified(star, texts, similarity))
     comp = common.durable(components(involved, links))
-    # Groups still split: their pairs across components, by how many sketches they share.
+    # Groups still split: their possible pairs across components, but for those that the star has tried.
     at = member.join(comp.select(F.col("id").alias("b"), "comp"), "b")
-    split = at.groupBy("k", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("k", "s")
-    x = at.join(split, ["k", "s"], "left_semi").select("k", "s", F.col("b").alias("id"), "comp")
-    y = x.select("k", "s", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
-    across = x.join(y, ["k", "s"]).where("id < id2 and comp <> comp2").groupBy(F.col("id").alias("a"), F.col("id2").alias("b")).agg(F.count("*").alias("n")).where("n >= 2").select("a", "b")
-    more = common.durable(across.join(star, ["a", "b"], "left_anti"))
+    split = at.groupBy("k", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2").select("k", "s")
+    open_ = common.durable(at.join(split, ["k", "s"], "left_semi").select("k", "s", "size", F.col("b").alias("id"), "comp"))
+    bag = bags(texts.join(open_.select("id").distinct(), "id", "left_semi"))
+    own = text.select("id", "n", "sketch").dropDuplicates(["id"]).join(bag, "id")
+    members = open_.join(own, "id").withColumn("head", F.slice("sketch", F.lit(1), F.col("k"))).drop("sketch")
+    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = common.durable(possible(members, similarity, block).join(tried, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         found = verified(more, texts, similarity)
         comp = common.durable(components(involved, common.durable(links.union(found))))

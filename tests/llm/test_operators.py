@@ -154,7 +154,7 @@ def test_near_dedup_keeps_every_link(spark):
                 lo, hi = sorted((comp[i], comp[j]))
                 comp = [lo if c == hi else c for c in comp]
     assert 5 < len(set(comp)) < len(texts) - 5
-    for block in (512, 2):
+    for block in (256, 2):
         got = {r.doc_id: r.class_id for r in near_dedup.classes(docs(spark, texts), block=block).collect()}
         assert got == dict(enumerate(comp))
 

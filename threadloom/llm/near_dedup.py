@@ -268,7 +268,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(label, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
-def classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 24, block: int = 512) -> DataFrame:
+def classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 24, block: int = 256) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class) for every distinct non-null doc_id."""
     docs = docs.where("doc_id is not null")
     rows = common.durable(sketched(docs, sketches))

@@ -137,6 +137,15 @@ def test_near_dedup(spark):
     assert near_dedup.classes(docs(spark, []).limit(0)).count() == 0
 
 
+def test_runs_label_repeats_only():
+    """A repeat in one text leaves the runs that it shares with another as they are."""
+    once = np.arange(100, dtype=np.int32)
+    twice = np.concatenate([once, once[:7]])
+    with np.errstate(over="ignore"):
+        a, b = near_dedup.runs(once), near_dedup.runs(twice)
+    assert len(set(a)) == 96 and len(set(b)) == 103 and set(a) <= set(b)
+
+
 def test_near_dedup_keeps_every_link(spark):
     """Classes are the components of all pairs that share a sketch and align, though texts share a long passage whose
     shortest holder is like none of the others; blocks of two make the groups meet in pieces."""

@@ -60,7 +60,7 @@ def runs(w: np.ndarray) -> np.ndarray:
         first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         number = np.empty(n, np.uint64)
         number[by] = (np.arange(n) - first).astype(np.uint64)
-        h = mixed(h + number * MIX)
+        h = np.where(number > 0, mixed(h + number * MIX), h)
     return h
 
 

@@ -168,6 +168,29 @@ def test_near_dedup_keeps_every_link(spark):
         assert got == dict(enumerate(comp))
 
 
+def test_near_dedup_recall(spark):
+    """Of pairs planted at edit similarities from the threshold up, changed at random places or at equal distances, as
+    good as all are found, short ones too, and no two texts share a class that the true edit distance parts."""
+    rng, texts, band = np.random.default_rng(31), [], []
+    for n in (5, 10, 15, 30, 60, 120):
+        for changes in sorted({max(1, int(n * c + 1e-9)) for c in (0.10, 0.15, 0.20)}):
+            for k in range(10):
+                a = [f"w{n}x{changes}x{k}x{i}" if n < 60 else WORDS[j] for i, j in enumerate(rng.integers(0, 300, n))]
+                b = list(a)
+                at = np.arange(changes) * n // changes + 1 if k % 2 else rng.choice(n, changes, replace=False)
+                for i in at:
+                    b[i % n] = f"new{n}x{k}x{i}"
+                texts += [a, b]
+                band.append((n, changes))
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs(spark, [" ".join(t) for t in texts])).collect()}
+    lost = Counter(b for i, b in enumerate(band) if got[2 * i] != got[2 * i + 1])
+    assert sum(lost.values()) <= 1, lost
+    for i in range(len(texts)):
+        for j in range(i):
+            if got[i] == got[j]:
+                assert distance(texts[i], texts[j]) <= 0.2 * max(len(texts[i]), len(texts[j])) + 1e-9
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

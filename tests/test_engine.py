@@ -153,6 +153,18 @@ def test_against_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+def test_label_examples_whole_text(spark):
+    """Pages that differ only after their first characters stay apart: by brute force over whole texts."""
+    pages = tables.table(spark, SMALL, "pages").select(F.regexp_extract("url", r"//([^/]+)", 1).alias("label"), "html").collect()
+    n = {}
+    for r in pages:
+        n[r.label.strip().upper()] = n.get(r.label.strip().upper(), 0) + 1
+    label = lambda x: "UNCATEGORIZED" if not x.strip() or n[x.strip().upper()] < 4 else x.strip().upper()
+    want = {(label(r.label), r.html.upper()) for r in pages if r.html and r.html.strip(" ")}
+    got = [(r.label.upper(), r.text.upper()) for r in queries.label_examples(spark, SMALL).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and max(len(t) for _, t in got) > 60
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -192,7 +192,7 @@ def signature_groups(s, d):
 
 
 def label_examples(s, d):
-    return C.collapsed_labels(table(s, d, "pages").select(F.regexp_extract("url", r"//([^/]+)", 1).alias("label"), F.left("html", F.lit(60)).alias("text")))
+    return C.collapsed_labels(table(s, d, "pages").select(F.regexp_extract("url", r"//([^/]+)", 1).alias("label"), F.col("html").alias("text")))
 
 
 def category_agreement(s, d):

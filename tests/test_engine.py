@@ -1,6 +1,7 @@
 """Golden cases of the engine's operators, worked out by hand."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +166,29 @@ def test_label_examples_whole_text(spark):
     assert len(got) == len(set(got)) and set(got) == want and max(len(t) for _, t in got) > 60
 
 
+def test_clusters_by_union_find(spark):
+    """Clusters are the components of all similar edges, by brute force over all pairs of vectors."""
+    rows = tables.table(spark, SMALL, "embeddings").select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    score, root = x @ x.T, list(range(len(ids)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(ids)):
+        near = sorted((-score[i, j], ids[j], j) for j in range(len(ids)) if j != i and score[i, j] >= queries.THRESHOLD)
+        for _, _, j in near[:4]:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    heads = sorted({find(i) for i in range(len(ids))})
+    want = {ids[i]: f"cluster:{heads.index(find(i)) + 1:04d}" for i in range(len(ids))}
+    got = {r.id: r.cluster for r in queries.clusters(spark, SMALL).collect()}
+    assert got == want and 1 < len(heads) < len(ids)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

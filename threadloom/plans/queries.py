@@ -158,7 +158,7 @@ def neighbor_lists(s, d):
 
 
 def clusters(s, d):
-    return similarity.numbered(similarity.components(_vectors(s, d).select("id"), similarity.top_edges(_pairs(s, d), 1)))
+    return similarity.numbered(similarity.components(_vectors(s, d).select("id"), _edges(s, d)))
 
 
 def cluster_sizes(s, d):

@@ -163,9 +163,35 @@ def test_near_dedup_keeps_every_link(spark):
                 lo, hi = sorted((comp[i], comp[j]))
                 comp = [lo if c == hi else c for c in comp]
     assert 5 < len(set(comp)) < len(texts) - 5
-    for block in (256, 2):
-        got = {r.doc_id: r.class_id for r in near_dedup.classes(docs(spark, texts), block=block).collect()}
-        assert got == dict(enumerate(comp))
+    for block, refine in ((1024, 1 << 16), (2, 1 << 16), (2, 3)):
+        got = {r.doc_id: r.class_id for r in near_dedup.classes(docs(spark, texts), sketches=24, block=block, refine=refine).collect()}
+        assert got == dict(enumerate(comp)), (block, refine)
+
+
+def test_near_dedup_rows(spark):
+    """Ids of text, repeated ids and rows, null ids, clashing columns: one row of each class stays."""
+    a, b = prose(80, 1), prose(80, 2)
+    rows = [("p", a, 1), ("p", a, 1), ("p", b, 2), ("q", a + " more", 3), (None, b, 4), (None, b, 4), (None, prose(50, 3), 5), ("r", None, 6), ("s", "", 7)]
+    d = spark.createDataFrame(rows, "doc_id string, text string, comp int").withColumn("id", F.lit(1)).withColumn("k1", F.lit(None).cast("string"))
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(d).collect()} == {"p": "p", "q": "p", "r": "r", "s": "r"}
+    got = near_dedup.kept(d)
+    assert got.columns == d.columns and sorted(got.select("comp").toPandas().comp) == [1, 2, 5, 6]
+    assert near_dedup.kept(d.limit(0)).count() == 0
+
+
+def test_near_dedup_against_all_pairs(spark):
+    """Recall over all pairs of sf0.001 by true edit distance, with no use of sketches."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("char_length(text) < 6000").select("doc_id", "text", F.lower("text").alias("l"))
+    w = {r.doc_id: re.findall(near_dedup.WORD, r.l) for r in rows.collect()}
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(rows).collect()}
+    ids, links, found = sorted(w), 0, 0
+    for i in ids:
+        for j in ids:
+            most = int(0.2 * max(len(w[i]), len(w[j])) + 1e-9)
+            if i < j and w[i] != w[j] and abs(len(w[i]) - len(w[j])) <= most and (Counter(w[i]) & Counter(w[j])).total() >= max(len(w[i]), len(w[j])) - most and distance(w[i], w[j]) <= most:
+                links += 1
+                found += got[i] == got[j]
+    assert links >= 5 and found >= 0.95 * links
 
 
 def test_near_dedup_recall(spark):

@@ -14,20 +14,26 @@ sketched by their single words too, of which 0.8 L of 1.2 L at least are shared,
 Within a group of equal sketches each class whose length allows it is first aligned with the group's shortest one. Links
 found so (by the first sketches, then by the others where these leave two components) join classes into components. Only
 groups whose classes are then still in several components go on: every pair across components that shares a sketch is
-compared, block by block, by two bounds that no link can break (difference of lengths; words in common, counted in
-buckets), and what passes is aligned too. So no link is lost for the sake of the short cut, and pairs become rows only
-where the bounds leave them possible. A pair is taken in the first group that it shares. Links, components and sketches
-stay in the cluster.
-
-Edge cases: null, empty and wordless texts are one class. Texts under three words have one run, the whole text. Rows that
-repeat a doc_id are one document, in the smallest class of its texts. Null ids are in no class. Extra columns are ignored.
+compared by two bounds that no link can break (difference of lengths; words in common, counted in buckets), and what
+passes is aligned too. Groups of up to ``block`` members are compared in one task; larger ones are cut in bands of length
+and parts, and those of more than ``refine`` members first in subgroups that share a rare word (see ``rarest``), which
+every link does. So no link is lost for the sake of the short cut, and pairs become rows only where the bounds leave them
+possible. A pair is taken in the first group that it shares. Links, components and sketches stay in the cluster.
+
+Edge cases: null, empty and wordless texts are one class. Texts under three words have one run, the whole text. Very long
+texts are sketched and aligned in pieces of bounded size. Rows that repeat a doc_id are one document, in the smallest class
+of its texts. Null ids are in no class of ``classes``; ``kept`` treats them like others. Extra columns are ignored by
+``classes`` and returned by ``kept``, whatever their names but ``_ka`` and ``_kb``. An empty table has no classes.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -220,59 +226,96 @@ def bags(texts: DataFrame) -> DataFrame:
     return texts.select("id", "w").mapInArrow(work, "id long, bag array<int>")
 
 
+def rarest(texts: DataFrame, similarity: float) -> DataFrame:
+    """id, x: the words of each text (id, w) that one of its links must share. A link has at most d words of its own, for d
+    changes allowed at the longest possible partner; so of any d + 1 of them one is shared, and if both sides take their first
+    in one order of all words, the least shared word is among both. The order is by rarity."""
+    each = texts.select("id", F.size("w").alias("n"), F.explode("w").alias("x"))
+    amount = each.groupBy("id", "n", "x").agg(F.count("*").alias("c"))
+    known = amount.join(each.groupBy("x").agg(F.count("*").alias("f")), "x")
+    before = F.coalesce(F.sum("c").over(W.partitionBy("id").orderBy("f", "x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    most = F.floor((1 - similarity) * F.floor(F.col("n") / similarity + 1e-6) + 1e-6)
+    return known.withColumn("before", before).where(F.col("before") <= most).select("id", "x")
+
+
+def units(members: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Members (k, s, x and more) dealt to units of work: the group itself, if it has at most ``block`` members. A larger one
+    is cut in bands of length, so that links are within a band or between neighbouring ones, and a band with more than
+    ``block`` members in parts by hash; each two parts that may hold a link are a unit. ``side`` is 0 or 1, or 2 for both."""
+    group = ["k", "s", "x"]
+    step = -math.log(similarity) + 1e-6
+    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / step).cast("int")
+    sizes = common.durable(members.groupBy(*group, band.alias("band")).agg(F.count("*").alias("m")))
+    total = sizes.groupBy(*group).agg(F.sum("m").alias("total"))
+    parts = F.ceil(F.col("m") / block).cast("int")
+    cut = sizes.join(total.where(F.col("total") > block), group).select(*group, "band", parts.alias("parts"))
+    neighbour = lambda by, name: cut.select(*group, (F.col("band") + by).alias("band"), F.col("parts").alias(name))
+    cut = cut.join(neighbour(-1, "above"), [*group, "band"], "left").join(neighbour(1, "below"), [*group, "band"], "left")
+    at = members.withColumn("band", band).join(cut, [*group, "band"], "left").withColumn("own", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int"))
+    unit = lambda low, i, high, j, side: F.struct(low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"), F.lit(side).alias("side"))
+    numbers = lambda c: F.filter(F.sequence(F.lit(0), F.greatest(F.coalesce(c, F.lit(0)), F.lit(1)) - 1), lambda q: q < F.coalesce(c, F.lit(0)))
+    b, own, zero = F.col("band"), F.col("own"), F.lit(0)
+    within = F.transform(numbers(F.col("parts")), lambda q: F.when(q == own, unit(b, own, b, own, 2)).when(own < q, unit(b, own, b, q, 0)).otherwise(unit(b, q, b, own, 1)))
+    up = F.transform(numbers(F.col("above")), lambda q: unit(b, own, b + 1, q, 0))
+    down = F.transform(numbers(F.col("below")), lambda q: unit(b - 1, q, b, own, 1))
+    whole = F.array(unit(zero.cast("int"), zero, zero.cast("int"), zero, 2))
+    return at.withColumn("unit", F.explode(F.when(F.col("parts").isNull(), whole).otherwise(F.concat(within, up, down)))).select(*group, "unit.*", "id", "comp", "n", "head", "bag")
+
+
 def possible(members: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Pairs (a, b) of members (k, s, size, id, comp, n, head, bag) that share their first sketch in the group (k, s) of
-    ``size`` members, are in two components, and may be similar by their lengths and bags. A group is cut in blocks of
-    about ``block`` members, and each two blocks meet in one task."""
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    met = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = met.select("k", "s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "comp", "n", "head", "bag")
+    """Pairs (a, b) of members (k, s, x, id, comp, n, head, bag) that share their first sketch in the group (k, s), are in
+    two components, and may be similar by their lengths and bags."""
 
     def work(table: pa.Table) -> pa.Table:
         col = lambda name: table.column(name).to_numpy()
-        k, first, second, own, ids, comp, n = col("k")[0], col("i")[0], col("j")[0], col("own"), col("id"), col("comp"), col("n").astype(np.int64)
+        k, side, ids, comp, n = col("k")[0], col("side"), col("id"), col("comp"), col("n").astype(np.int64)
         head = table.column("head").combine_chunks().flatten().to_numpy().reshape(len(ids), k)
         bag = table.column("bag").combine_chunks()
         packed, words_in = bag.flatten().to_numpy(), np.diff(bag.offsets.to_numpy())
-        counts = np.zeros((len(ids), BUCKETS), np.int32)
+        counts = np.zeros((len(ids), BUCKETS), np.float32)
         amount = packed & TOP
-        counts[np.repeat(np.arange(len(ids)), words_in), packed >> 20] = np.where(amount == TOP, np.iinfo(np.int32).max, amount)
-        left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
-        out = [np.zeros((0, 2), np.int64)]
-        for c in range(0, len(left), 64):
-            x = left[c : c + 64]
+        counts[np.repeat(np.arange(len(ids)), words_in), packed >> 20] = np.where(amount == TOP, 1e18, amount)
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        out, theirs = [np.zeros((0, 2), np.int64)], np.minimum(counts[right], 1e9)
+        for c in range(0, len(left), 128):
+            x = left[c : c + 128]
             longest = np.maximum(n[x][:, None], n[right][None, :])
             most = most_changes(longest, similarity)
             ok = (comp[x][:, None] != comp[right][None, :]) & (np.abs(n[x][:, None] - n[right][None, :]) <= most)
-            if first == second:
-                ok &= ids[x][:, None] < ids[right][None, :]
+            ok &= (side[x][:, None] != 2) | (ids[x][:, None] < ids[right][None, :])
+            if not ok.any():
+                continue
+            # The product of two counts is no less than the smaller one; a hair is left for rounding.
+            ok &= (np.minimum(counts[x], 1e9) @ theirs.T) * 1.001 + 0.5 >= longest - most
             for q in range(k):
                 ok &= head[x, q][:, None] != head[right, q][None, :]
             p, q = np.nonzero(ok)
-            for e in range(0, len(p), 1024):
-                pp, qq = p[e : e + 1024], q[e : e + 1024]
-                shared = np.minimum(counts[x[pp]], counts[right[qq]]).sum(axis=1, dtype=np.int64)
-                may = longest[pp, qq] - shared <= most[pp, qq]
+            for e in range(0, len(p), 512):
+                pp, qq = p[e : e + 512], q[e : e + 512]
+                common_words = np.minimum(counts[x[pp]], counts[right[qq]]).sum(axis=1, dtype=np.float64)
+                may = longest[pp, qq] - common_words <= most[pp, qq] + 0.5
                 out.append(np.stack([ids[x[pp[may]]], ids[right[qq[may]]]], axis=1))
         pairs = np.sort(np.concatenate(out), axis=1)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return met.groupBy("k", "s", "i", "j").applyInArrow(work, "a long, b long")
+    return units(members, similarity, block).groupBy("k", "s", "x", "low", "i", "high", "j").applyInArrow(work, "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts (id, w) align. One a may have very many pairs, so a's text is joined first and
-    b's last: pairs are then spread by b when they are aligned."""
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b").select("a", "b", "wa", "wb")
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float, salt: int = 256) -> DataFrame:
+    """Those of the pairs (a, b) whose texts (id, w) align. One a may have very many pairs: its text is repeated for every
+    ``salt`` of them, and its pairs are spread over the repeats."""
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / salt).cast("int").alias("salts"))
+    left = texts.select(F.col("id").alias("a"), F.col("w").alias("wa")).join(salts, "a").select("a", "wa", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    salted = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    right = salted.join(texts.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
+    both = right.join(left, ["a", "salt"]).select("a", "b", "wa", "wb")
 
     def work(batches):
         for batch in batches:
             (la, fa), (lb, fb) = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column(2), batch.column(3))]
             keep = np.zeros(batch.num_rows, bool)
             lengths = np.diff(la) + np.diff(lb)
-            for s, e in common.spans(lengths, 1 << 20):
+            for s, e in common.spans(lengths, 1 << 19):
                 a, b = [fa[la[i] : la[i + 1]] for i in range(s, e)], [fb[lb[i] : lb[i + 1]] for i in range(s, e)]
                 most = most_changes(np.array([max(len(x), len(y)) for x, y in zip(a, b)]), similarity)
                 keep[s:e] = aligned(a, b, most)
@@ -298,13 +341,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(label, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 
 
-def classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 96, block: int = 256) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class) for every distinct non-null doc_id."""
-    docs = docs.where("doc_id is not null")
+def text_classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 96, block: int = 1024, refine: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+    """(rows, texts): k1, k2 (128 bits of the words) of every row with its doc_id, and of every text with its class, a number."""
     rows = common.durable(sketched(docs, sketches))
-    # One row a text; its number is the smallest doc_id that has it.
     key = ["k1", "k2"]
-    text = common.durable(rows.groupBy(*key).agg(F.min(F.col("doc_id").cast("long")).alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")))
+    # One row a text, numbered; what is written keeps its number.
+    numbered = rows.groupBy(*key).agg(F.min("doc_id").alias("holder"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    text = common.durable(numbered.withColumn("id", F.monotonically_increasing_id()))
     grouped = text.select("id", "n", F.posexplode("sketch").alias("k", "s"))
     first = grouped.groupBy("k", "s").agg(F.min(F.struct("n", "id")).alias("first"), F.count("*").alias("size")).where("size > 1")
     hubs = first.select("k", "s", F.col("first.id").alias("a"), F.col("first.n").alias("least"), "size")
@@ -312,26 +355,58 @@ def classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 96, block:
     near = F.col("n") - F.col("least") <= F.floor((1 - similarity) * F.col("n") + 1e-9)
     star = common.durable(member.where((F.col("a") != F.col("b")) & near).groupBy("a", "b").agg(F.min("k").alias("k")))
     involved = common.durable(member.select(F.col("b").alias("id")).distinct())
-    texts = common.durable(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(involved, "id", "left_semi").select("id", words(F.col("text")).alias("w")).dropDuplicates(["id"]))
+    # A holder may have other texts besides: only rows with the text's own key count.
+    wanted = text.join(involved, "id", "left_semi").select("id", "k1", "k2", F.col("holder").alias("h"))
+    held = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("h"))).select("id", "k1", "k2", words(F.col("text")).alias("w"))
+    texts = common.durable(held.where((F.xxhash64("w") == F.col("k1")) & (F.xxhash64(F.lit(5), "w") == F.col("k2"))).select("id", "w").dropDuplicates(["id"]))
     # The first sketches link nearly all; of the others' pairs, those that are then in two components are left.
     sooner = star.where(F.col("k") < FIRST).select("a", "b")
     links = common.durable(verified(sooner, texts, similarity))
     comp = common.durable(components(involved, links))
     ends = star.where(F.col("k") >= FIRST).select("a", "b").join(comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a")
-    later = ends.join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b").where("ca <> cb").select("a", "b")
+    later = common.durable(ends.join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b").where("ca <> cb").select("a", "b"))
     links = common.durable(links.union(verified(later, texts, similarity)))
     comp = common.durable(components(involved, links))
     # Groups still split: their possible pairs across components, but for those that the star has tried.
     at = member.join(comp.select(F.col("id").alias("b"), "comp"), "b")
-    split = at.groupBy("k", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2").select("k", "s")
-    open_ = common.durable(at.join(split, ["k", "s"], "left_semi").select("k", "s", "size", F.col("b").alias("id"), "comp"))
-    bag = bags(texts.join(open_.select("id").distinct(), "id", "left_semi"))
-    own = text.select("id", "n", "sketch").dropDuplicates(["id"]).join(bag, "id")
-    members = open_.join(own, "id").withColumn("head", F.slice("sketch", F.lit(1), F.col("k"))).drop("sketch")
+    split = at.groupBy("k", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2").select("k", "s", "m")
+    open_ = common.durable(at.join(split, ["k", "s"]).select("k", "s", "m", F.col("b").alias("id"), "comp"))
+    some = texts.join(open_.select("id").distinct(), "id", "left_semi")
+    own = text.select("id", "n", "sketch").join(bags(some), "id")
+    dealt = open_.where(F.col("m") <= refine).withColumn("x", F.lit(None).cast("int"))
+    if open_.where(F.col("m") > refine).limit(1).count():
+        large = open_.where(F.col("m") > refine)
+        shared_words = rarest(texts.join(large.select("id").distinct(), "id", "left_semi"), similarity)
+        dealt = dealt.unionByName(large.join(shared_words, "id").select("k", "s", "m", "id", "comp", "x"))
+    members = dealt.join(own, "id").withColumn("head", F.slice("sketch", F.lit(1), F.col("k"))).drop("sketch", "m")
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = common.durable(possible(members, similarity, block).join(tried, ["a", "b"], "left_anti"))
+    more = common.durable(possible(members, similarity, block).distinct().join(tried, ["a", "b"], "left_anti"))
     if more.limit(1).count():
-        found = verified(more, texts, similarity)
-        comp = common.durable(components(involved, common.durable(links.union(found))))
-    named = text.join(comp, "id", "left").select(*key, F.coalesce("comp", "id").alias("class_id"))
-    return rows.select(F.col("doc_id"), *key).join(named, key).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+        comp = common.durable(components(involved, common.durable(links.union(verified(more, texts, similarity)))))
+    return rows.select("doc_id", *key), text.join(comp, "id", "left").select(*key, F.coalesce("comp", "id").alias("comp"))
+
+
+def classes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the class) for every distinct non-null doc_id, of any type that has an order."""
+    rows, texts = text_classes(docs.where("doc_id is not null"), **options)
+    named = rows.join(texts, ["k1", "k2"])
+    least = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
+    return named.groupBy("doc_id", "comp").agg(F.lit(1).alias("one")).join(least, "comp").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+
+
+def kept(docs: DataFrame, **options) -> DataFrame:
+    """One row of each class, with all its columns: the one with the smallest doc_id, a null one last; of one id's, the one with the
+    smallest hash of the text. Rows that repeat id and text are one row, and whichever comes first stays."""
+    rows, texts = text_classes(docs, **options)
+    order = lambda *extra: F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("i"), *extra)
+    best = rows.join(texts, ["k1", "k2"]).groupBy("comp").agg(F.min(order(F.col("k1").alias("k1"), F.col("k2").alias("k2"))).alias("b"))
+    stay = best.select(*row_key(F.col("b.i"), F.col("b.k1"), F.col("b.k2")))
+    w = words(F.col("text"))
+    keyed = docs.withColumns(dict(zip(("_ka", "_kb"), row_key(F.col("doc_id"), F.xxhash64(w), F.xxhash64(F.lit(5), w)))))
+    return keyed.join(stay, ["_ka", "_kb"], "left_semi").dropDuplicates(["_ka", "_kb"]).select(*docs.columns)
+
+
+def row_key(doc_id: Column, k1: Column, k2: Column) -> list[Column]:
+    """128 bits of an id, null or not, and a text's key."""
+    parts = (doc_id.isNull(), doc_id, k1, k2)
+    return [F.xxhash64(*parts).alias("_ka"), F.xxhash64(F.lit(9), *parts).alias("_kb")]

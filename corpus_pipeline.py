@@ -24,15 +24,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class stays; a null id is in no class, and stays."""
-    gone = near_dedup.classes(docs).where("doc_id <> class_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each class stays: the one with the smallest id."""
+    return near_dedup.kept(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Documents with any passage of a benchmark item (a window of 13 words, or a whole shorter item) go."""
     found = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated").select("doc_id", "tk").distinct().alias("g")
+    gone = found.where("n_hit > 0").select("doc_id", "tk").distinct().alias("g")
     d = docs.alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (common.text_key(F.col("d.text")) == F.col("g.tk"))
     return d.join(gone, same, "left_anti").select(*docs.columns)

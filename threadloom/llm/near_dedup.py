@@ -83,13 +83,21 @@ def runs(w: np.ndarray, gram: int = 5) -> np.ndarray:
 def order_sketch(w: np.ndarray, seeds: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """For each seed one hash: of the picked runs in order of the text."""
     h, out = runs(w, gram), seeds.copy()
-    step = max(1, (1 << 17) // len(h))
+    short, low = (h >> np.uint64(32)).astype(np.uint32), (seeds >> np.uint64(32)).astype(np.uint32)
+    step = max(1, (1 << 16) // len(h))
     for k in range(0, len(seeds), step):
-        some = seeds[k : k + step]
+        some = low[k : k + step]
         if len(h) > PICKED:
-            x = (h[None, :] ^ some[:, None]) * MIX
-            x ^= x >> np.uint64(31)
-            picked = h[np.sort(np.argpartition(x, PICKED - 1, axis=1)[:, :PICKED], axis=1)]
+            x = short[None, :] ^ some[:, None]
+            x *= np.uint32(0x9E3779B1)
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0x85EBCA6B)
+            rows, at = np.arange(len(some)), np.empty((len(some), PICKED), np.int64)
+            for j in range(PICKED):
+                least = x.argmin(axis=1)
+                at[:, j] = least
+                x[rows, least] = np.uint32(0xFFFFFFFF)
+            picked = h[np.sort(at, axis=1)]
         else:
             picked = np.broadcast_to(h, (len(some), len(h)))
         acc = out[k : k + step]
@@ -101,24 +109,24 @@ def order_sketch(w: np.ndarray, seeds: np.ndarray, gram: int = GRAM) -> np.ndarr
 
 
 def sketched(docs: DataFrame, sketches: int) -> DataFrame:
-    """doc_id, k1, k2 (128 bits of the words), n (words), sketch (array; short texts have WORDS more) for every row."""
+    """doc_id, tk (hash of the text), k1, k2 (128 bits of the words), n (words), sketch (array; short texts have WORDS more) for every row."""
     seeds, word_seeds = np.split(mixed(np.arange(1, sketches + WORDS + 1, dtype=np.uint64)), [sketches])
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, n int, sketch array<long>"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tk long, k1 long, k2 long, n int, sketch array<long>"
 
     def work(batches):
         with np.errstate(over="ignore"):
             for batch in batches:
-                w = batch.column(3)
+                w = batch.column(4)
                 flat, at = w.values.to_numpy(), w.offsets.to_numpy()
                 rows = [np.zeros(0, np.int64)]
                 for a, b in zip(at[:-1], at[1:]):
                     own = order_sketch(flat[a:b], seeds)
                     rows.append(np.concatenate([own, order_sketch(flat[a:b], word_seeds, 1)]) if b - a < SHORT else own)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([len(r) for r in rows]), pa.int32()), pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(at), pa.int32()), lists], names=["doc_id", "k1", "k2", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.diff(at), pa.int32()), lists], names=["doc_id", "tk", "k1", "k2", "n", "sketch"])
 
-    w = docs.select("doc_id", words(F.col("text")).alias("w"))
-    return w.select("doc_id", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(5), "w").alias("k2"), "w").mapInArrow(work, schema)
+    w = docs.select("doc_id", common.text_key(F.col("text")).alias("tk"), words(F.col("text")).alias("w"))
+    return w.select("doc_id", "tk", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(5), "w").alias("k2"), "w").mapInArrow(work, schema)
 
 
 def shared(x: np.ndarray, y: np.ndarray, buckets: int) -> int:
@@ -239,7 +247,7 @@ def rarest(texts: DataFrame, similarity: float) -> DataFrame:
 
 
 def units(members: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Members (k, s, x and more) dealt to units of work: the group itself, if it has at most ``block`` members. A larger one
+    """Members (k, s, x, id, n, comp) dealt to units of work: the group itself, if it has at most ``block`` members. A larger one
     is cut in bands of length, so that links are within a band or between neighbouring ones, and a band with more than
     ``block`` members in parts by hash; each two parts that may hold a link are a unit. ``side`` is 0 or 1, or 2 for both."""
     group = ["k", "s", "x"]
@@ -259,12 +267,12 @@ def units(members: DataFrame, similarity: float, block: int) -> DataFrame:
     up = F.transform(numbers(F.col("above")), lambda q: unit(b, own, b + 1, q, 0))
     down = F.transform(numbers(F.col("below")), lambda q: unit(b - 1, q, b, own, 1))
     whole = F.array(unit(zero.cast("int"), zero, zero.cast("int"), zero, 2))
-    return at.withColumn("unit", F.explode(F.when(F.col("parts").isNull(), whole).otherwise(F.concat(within, up, down)))).select(*group, "unit.*", "id", "comp", "n", "head", "bag")
+    return at.withColumn("unit", F.explode(F.when(F.col("parts").isNull(), whole).otherwise(F.concat(within, up, down)))).select(*group, "unit.*", "id", "comp", "n")
 
 
-def possible(members: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Pairs (a, b) of members (k, s, x, id, comp, n, head, bag) that share their first sketch in the group (k, s), are in
-    two components, and may be similar by their lengths and bags."""
+def possible(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of the units' members, with head (the sketches before the group's) and bag, that share their first sketch
+    in the group, are in two components, and may be similar by their lengths and bags."""
 
     def work(table: pa.Table) -> pa.Table:
         col = lambda name: table.column(name).to_numpy()
@@ -298,7 +306,7 @@ def possible(members: DataFrame, similarity: float, block: int) -> DataFrame:
         pairs = np.sort(np.concatenate(out), axis=1)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return units(members, similarity, block).groupBy("k", "s", "x", "low", "i", "high", "j").applyInArrow(work, "a long, b long")
+    return members.groupBy("k", "s", "x", "low", "i", "high", "j").applyInArrow(work, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, salt: int = 256) -> DataFrame:
@@ -346,19 +354,20 @@ def text_classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 96, b
     rows = common.durable(sketched(docs, sketches))
     key = ["k1", "k2"]
     # One row a text, numbered; what is written keeps its number.
-    numbered = rows.groupBy(*key).agg(F.min("doc_id").alias("holder"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    holder = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")).alias("holder")
+    numbered = rows.groupBy(*key).agg(holder, F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     text = common.durable(numbered.withColumn("id", F.monotonically_increasing_id()))
-    grouped = text.select("id", "n", F.posexplode("sketch").alias("k", "s"))
-    first = grouped.groupBy("k", "s").agg(F.min(F.struct("n", "id")).alias("first"), F.count("*").alias("size")).where("size > 1")
-    hubs = first.select("k", "s", F.col("first.id").alias("a"), F.col("first.n").alias("least"), "size")
-    member = common.durable(grouped.select("k", "s", "n", F.col("id").alias("b")).join(hubs, ["k", "s"]))
+    # Seeds make the values of different sketches different, so s alone is the group.
+    grouped = text.select("id", "n", F.posexplode("sketch").alias("k", "s")).select("id", "n", F.col("k").cast("short").alias("k"), "s")
+    first = grouped.groupBy("s").agg(F.min_by("id", "n").alias("a"), F.min("n").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size")
+    member = common.durable(grouped.withColumnRenamed("id", "b").join(first.hint("shuffle_hash"), "s"))
     near = F.col("n") - F.col("least") <= F.floor((1 - similarity) * F.col("n") + 1e-9)
     star = common.durable(member.where((F.col("a") != F.col("b")) & near).groupBy("a", "b").agg(F.min("k").alias("k")))
     involved = common.durable(member.select(F.col("b").alias("id")).distinct())
-    # A holder may have other texts besides: only rows with the text's own key count.
-    wanted = text.join(involved, "id", "left_semi").select("id", "k1", "k2", F.col("holder").alias("h"))
-    held = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("h"))).select("id", "k1", "k2", words(F.col("text")).alias("w"))
-    texts = common.durable(held.where((F.xxhash64("w") == F.col("k1")) & (F.xxhash64(F.lit(5), "w") == F.col("k2"))).select("id", "w").dropDuplicates(["id"]))
+    wanted = text.join(involved, "id", "left_semi").select("id", F.col("holder.doc_id").alias("h"), F.col("holder.tk").alias("t"))
+    own = common.text_key(F.col("text"))
+    held = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("h")) & (own == F.col("t")))
+    texts = common.durable(held.dropDuplicates(["id"]).select("id", words(F.col("text")).alias("w")))
     # The first sketches link nearly all; of the others' pairs, those that are then in two components are left.
     sooner = star.where(F.col("k") < FIRST).select("a", "b")
     links = common.durable(verified(sooner, texts, similarity))
@@ -369,18 +378,18 @@ def text_classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 96, b
     comp = common.durable(components(involved, links))
     # Groups still split: their possible pairs across components, but for those that the star has tried.
     at = member.join(comp.select(F.col("id").alias("b"), "comp"), "b")
-    split = at.groupBy("k", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2").select("k", "s", "m")
-    open_ = common.durable(at.join(split, ["k", "s"]).select("k", "s", "m", F.col("b").alias("id"), "comp"))
+    split = at.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2").select("s", "m")
+    open_ = common.durable(at.join(split, "s").select("k", "s", "m", F.col("b").alias("id"), "n", "comp"))
     some = texts.join(open_.select("id").distinct(), "id", "left_semi")
-    own = text.select("id", "n", "sketch").join(bags(some), "id")
+    carried = text.select("id", "sketch").join(bags(some), "id")
     dealt = open_.where(F.col("m") <= refine).withColumn("x", F.lit(None).cast("int"))
     if open_.where(F.col("m") > refine).limit(1).count():
         large = open_.where(F.col("m") > refine)
         shared_words = rarest(texts.join(large.select("id").distinct(), "id", "left_semi"), similarity)
-        dealt = dealt.unionByName(large.join(shared_words, "id").select("k", "s", "m", "id", "comp", "x"))
-    members = dealt.join(own, "id").withColumn("head", F.slice("sketch", F.lit(1), F.col("k"))).drop("sketch", "m")
+        dealt = common.durable(dealt.unionByName(large.join(shared_words, "id").select("k", "s", "m", "id", "n", "comp", "x")))
+    members = units(dealt.drop("m"), similarity, block).join(carried, "id").withColumn("head", F.slice("sketch", F.lit(1), F.col("k").cast("int"))).drop("sketch")
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = common.durable(possible(members, similarity, block).distinct().join(tried, ["a", "b"], "left_anti"))
+    more = common.durable(possible(members, similarity).distinct().join(tried, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         comp = common.durable(components(involved, common.durable(links.union(verified(more, texts, similarity)))))
     return rows.select("doc_id", *key), text.join(comp, "id", "left").select(*key, F.coalesce("comp", "id").alias("comp"))

@@ -46,8 +46,8 @@ def test_decontaminate(spark):
                     hit |= set(range(j, j + n))
                     its.add(str(k))
         want[i] = (len(w), len(hit), sorted(its))
-    for block in (200_000, 2):
-        got = decontaminate.decontaminate(docs(spark, texts), items, block=block).collect()
+    for block, passes in ((200_000, 2), (20, 50), (2, 2)):
+        got = decontaminate.decontaminate(docs(spark, texts), items, block=block, passes=passes).collect()
         assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got if r.doc_id is not None} == want and len(got) == len(texts) + 2
     assert decontaminate.decontaminate(docs(spark, texts), items.limit(0)).count() == len(texts) + 2
     assert decontaminate.decontaminate(docs(spark, []).limit(0), items).count() == 0
@@ -240,6 +240,8 @@ def test_line_dedup(spark):
     common, hot = "A line that several documents share", "another line that all of the documents have"
     texts = [f"{common}\nown {i} line of text here\n  {hot.upper()}\nshort\n{hot}" for i in range(6)] + ["", "\n\n", common, hot]
     got = {r.doc_id: r for r in line_dedup.dedup(docs(spark, texts), heavy=4).collect() if r.doc_id is not None}
+    for options in ({}, {"heavy": 4, "small": 0}):
+        assert {r.doc_id: r for r in line_dedup.dedup(docs(spark, texts), **options).collect() if r.doc_id is not None} == got
     holders = defaultdict(set)
     key = lambda x: x.strip(" \t\n\x0b\f\r").lower()
     for i, t in enumerate(texts):

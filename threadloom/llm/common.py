@@ -45,6 +45,24 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def kept_names(keep: list[str], results: tuple[str, ...]) -> list[tuple[str, str]]:
+    """(column, name to return it by): kept columns named like a result get ``_in`` added until the name is free."""
+    out, taken = [], {r.lower() for r in results} | {k.lower() for k in keep if k not in results}
+    for k in keep:
+        name = k
+        if k.lower() in {r.lower() for r in results}:
+            while name.lower() in taken:
+                name += "_in"
+            taken.add(name.lower())
+        out.append((k, name))
+    return out
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, lang and source as they are and the whole row in the struct ``row``, so that no other name can clash."""
+    return docs.select(*(c for c in ("doc_id", "text", "lang", "source") if c in docs.columns), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
 def text_key(text: Column) -> Column:
     """With the id, the key of a row in joins back: rows that repeat both share their results. Null text counts as empty."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -70,6 +88,18 @@ def texts_of(batch, name: str = "text", limit: int = 2 << 20):
         yield batch.slice(a, b - a), values[a:b]
 
 
+def sampled_texts(texts: DataFrame, n: int, seed: int) -> DataFrame:
+    """(key, _text): at most ``n`` different texts of the column ``_text``, first by a seeded hash. Only keys are ordered, those
+    under a cut that leaves a few times ``n`` of them however many there are, and repeats are summed before; so no task and
+    no driver sees more than that."""
+    key = F.xxhash64(F.lit(seed), "_text")
+    different = max(1, texts.agg(F.approx_count_distinct(key, 0.05)).first()[0])
+    share = min(1.0, 4 * n / different)
+    keys = texts.select(key.alias("key")).where(F.shiftrightunsigned("key", 11) <= int(share * (1 << 53)))
+    first = keys.groupBy("key").agg(F.lit(1).alias("one")).orderBy("key").limit(n).select("key")
+    return texts.withColumn("key", key).join(F.broadcast(first), "key").groupBy("key").agg(F.min("_text").alias("_text"))
+
+
 def sampled_rows(docs: DataFrame, keys: DataFrame, n: int, seed: int = 17) -> DataFrame:
     """Texts of the ``n`` rows of ``keys`` (doc_id, label) that come first by a seeded hash. ``n`` bounds what is
     broadcast and what the driver may collect afterwards."""

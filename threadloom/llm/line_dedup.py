@@ -1,14 +1,17 @@
 """Line dedup, in DataFrame functions only.
 
-Every line's key hash (128 bits) is written once with its document and position. Hashes that hold more than a
-``heavy``-th of all rows are found by pre-aggregated counts; there are at most ``heavy`` of them, so their verdicts are
-broadcast. All other hashes are range-partitioned with a secondary sort by document and position, and one pass over the
-sorted rows tells first occurrences (in the largest doc_id) from repeats. What comes back is a compressed bitmap for each
-document: runs (start, length) of dropped lines. Texts are only touched when a bitmap is applied.
-
-Edge cases: null or empty text is one empty line. Keys under ``least`` code points never count. Rows
-that repeat doc_id and text are one document; those that repeat the doc_id alone count each, and all lines of the largest
-doc_id stay in each of its rows. A null doc_id is smaller than any other.
+Every line's key hash (128 bits) is written once with its document and position. Hashes are range-partitioned with a
+secondary sort by document and position; running sums over the sorted rows, from either end, tell first occurrences (in
+the largest doc_id) from repeats and how many documents there are, with no frame that waits for the end of a key.
+Hashes with more than ``heavy`` rows, a fixed number, never meet in one task: their verdicts come from counts that are
+summed before each shuffle, and their rows get them by a join, broadcast only where at most ``small`` such hashes were
+counted. What comes back is a compressed bitmap for each document: runs (start, length) of dropped lines. Texts are only
+touched when a bitmap is applied.
+
+Edge cases: null or empty text is one empty line. Keys under ``least`` code points never count. Very long texts are split
+in one pass, and very long lines are hashed. Rows that repeat doc_id and text are one document; those that repeat the
+doc_id alone count each, and all lines of the largest doc_id stay in each of its rows. A null doc_id is smaller than any
+other. An empty table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,24 +34,34 @@ def occurrences(docs: DataFrame, least: int = 20) -> DataFrame:
     return keyed.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "doc_id", "tk", "p")
 
 
-def dropped_lines(docs: DataFrame, least: int = 20, documents: int = 3, heavy: int = 1000) -> DataFrame:
+def dropped_lines(docs: DataFrame, least: int = 20, documents: int = 3, heavy: int = 10_000, small: int = 100_000) -> DataFrame:
     """doc_id, tk, p for each line to drop: of keys in ``documents`` or more documents, all lines outside the largest doc_id."""
     rows = common.durable(occurrences(docs, least))
-    total = max(1, rows.count())
     key, doc = ["h1", "h2"], ["doc_id", "tk"]
-    # A key's first line in a document stands for the document.
-    counts = rows.groupBy(*key).agg(F.count("*").alias("n"))
-    hot_keys = counts.where(F.col("n") > total / heavy).select(*key)  # at most ``heavy`` rows
-    hot = rows.join(F.broadcast(hot_keys), key, "left_semi")
+    hot_keys = common.durable(rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > heavy).select(*key))
+    few = hot_keys.count() <= small
+    at_hand = F.broadcast if few else lambda df: df
+    hot = rows.join(at_hand(hot_keys), key, "left_semi")
     first = hot.groupBy(*key, *doc).agg(F.count("*").alias("k"))
     verdict = first.groupBy(*key).agg(F.count("*").alias("docs"), F.max("doc_id").alias("last")).where(F.col("docs") >= documents).select(*key, "last")
-    hot_dropped = hot.join(F.broadcast(verdict), key).where(~F.col("doc_id").eqNullSafe(F.col("last"))).select(*doc, "p")
-    rest = rows.join(F.broadcast(hot_keys), key, "left_anti").repartitionByRange(*key).sortWithinPartitions(*key, F.col("doc_id").desc_nulls_last(), "tk", "p")
-    run = W.partitionBy(*key).orderBy(F.col("doc_id").desc_nulls_last(), "tk", "p")
-    whole = W.partitionBy(*key).orderBy(F.col("doc_id").desc_nulls_last(), "tk", "p").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    opens = F.when(F.lag(F.lit(1)).over(run).isNull() | ~(F.lag("doc_id").over(run).eqNullSafe(F.col("doc_id")) & (F.lag("tk").over(run) == F.col("tk"))), 1).otherwise(0)
-    seen = rest.withColumn("opens", opens).withColumn("docs", F.sum("opens").over(whole)).withColumn("last", F.first("doc_id").over(whole))
-    return hot_dropped.unionByName(seen.where((F.col("docs") >= documents) & ~F.col("doc_id").eqNullSafe(F.col("last"))).select(*doc, "p"))
+    hot_dropped = hot.join(at_hand(verdict), key).where(~F.col("doc_id").eqNullSafe(F.col("last"))).select(*doc, "p")
+    down, up = [F.col("doc_id").desc_nulls_last(), F.col("tk").desc(), "p"], [F.col("doc_id").asc_nulls_first(), "tk", "p"]
+    rest = rows.join(at_hand(hot_keys), key, "left_anti").repartitionByRange(*key).sortWithinPartitions(*key, *down)
+
+    def seen_so_far(order) -> Column:
+        """How many documents the rows up to this one are of."""
+        run = W.partitionBy(*key).orderBy(*order)
+        same = F.lag("doc_id").over(run).eqNullSafe(F.col("doc_id")) & F.lag("tk").over(run).eqNullSafe(F.col("tk"))
+        return F.when(same, 0).otherwise(1)
+
+    def running(name: str, order) -> Column:
+        return F.sum(name).over(W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+
+    largest = F.first(F.struct("doc_id")).over(W.partitionBy(*key).orderBy(*down).rowsBetween(W.unboundedPreceding, W.currentRow))
+    seen = rest.withColumn("opens", seen_so_far(down)).withColumn("from_top", running("opens", down)).withColumn("last", largest)
+    seen = seen.withColumn("opens", seen_so_far(up)).withColumn("from_bottom", running("opens", up))
+    # A document is counted from both ends.
+    return hot_dropped.unionByName(seen.where((F.col("from_top") + F.col("from_bottom") - 1 >= documents) & ~F.col("doc_id").eqNullSafe(F.col("last.doc_id"))).select(*doc, "p"))
 
 
 def bitmaps(docs: DataFrame, **options) -> DataFrame:

@@ -1,13 +1,14 @@
 """Personal data: exact base patterns, and a character BiLSTM with CRF transitions that adds spans to them.
 
-The tagger is trained in numpy on spans that the base patterns label in a bounded sample of rows, and on loosened
-writings of those spans (no plus sign, other separators, blanks around the at sign). Texts are decoded in overlapping
-windows; a span that touches an inner edge of its window is left to the neighbour that holds it whole, and overlapping
-spans are then settled over the whole text, surest first. Every span of these kinds has a digit or an at sign, so a
-window with neither can only be tagged "outside" and is not decoded. Added spans never overlap base ones.
+The tagger is trained in numpy on spans that the base patterns label in a bounded sample of texts, and on loosened
+writings of those spans (no plus sign, other separators, blanks around the at sign). Whole texts are decoded in windows
+that overlap; where windows meet, each character takes the tag of the window that it lies deeper in, so the tags of a text
+are one sequence and a span may be longer than the overlap. Spans of that sequence that keep clear of base spans and look
+like their kind (see ``plausible``) are added.
 
 Edge cases: null and empty texts have no spans. Without any labelled span nothing is added. Repeated rows and null
-doc_ids are handled row by row. Texts of any length are decoded in bounded batches of windows.
+doc_ids are handled row by row; extra columns are ignored. Texts of any length are scanned in linear time and decoded in
+bounded batches of windows. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,13 +25,16 @@ from . import common
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
-CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+#: From the first digit of a run only: where that one starts no chain, no later one does.
+DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 TRIGGER = re.compile(r"[0-9@]")
-WIDTH, STRIDE = 96, 48
+#: Windows of training, and of decoding with their step.
+WIDTH = 96
+READ, STEP = 192, 128
 TAGS = 1 + 2 * len(KINDS)
 
 
@@ -140,23 +144,51 @@ class Tagger:
             kept.update(e=e, f=fk, b=bk, states=states)
         return states @ self.p["u"] + self.p["c"]
 
-    def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Viterbi tags (rows, length), and each tag's lead over "outside"."""
-        em = self.emissions(x)
-        t = self.p["t"] + self.barred
+    def read(self, x: np.ndarray) -> np.ndarray:
+        """``emissions`` without what training keeps: input weights are tabulated by code, and all gates are one tanh."""
+        h, (rows, length) = self.h, x.shape
+        by_step, states = np.ascontiguousarray(x.T), np.empty((length, rows, 2 * h), np.float32)
+        for d, at, steps in (("f", 0, range(length)), ("b", h, range(length - 1, -1, -1))):
+            half = np.repeat(np.array([0.5, 1], np.float32), [3 * h, h])
+            w, b = self.p[f"w{d}"] * half, self.p[f"b{d}"] * half
+            table, inner = self.p["e"] @ w[:-h] + b, np.ascontiguousarray(w[-h:])
+            state, cell = np.zeros((rows, h), np.float32), np.zeros((rows, h), np.float32)
+            for i in steps:
+                z = state @ inner
+                z += table[by_step[i]]
+                np.tanh(z, out=z)
+                gates = z[:, : 3 * h]
+                gates *= 0.5
+                gates += 0.5
+                cell *= z[:, :h]
+                cell += z[:, h : 2 * h] * z[:, 3 * h :]
+                state = np.tanh(cell)
+                state *= z[:, 2 * h : 3 * h]
+                states[i, :, at : at + h] = state
+        return states @ self.p["u"] + self.p["c"]
+
+    def decode(self, x: np.ndarray) -> np.ndarray:
+        """Viterbi tags (rows, length). A row where no position's lead over "outside", with the best of transitions added,
+        is positive has all of it outside; only the others are searched."""
+        em, t = self.read(x), self.p["t"] + self.barred
+        step = max(0.0, float(max(t[1:].max(), t[:, 1:].max()) - t[0, 0]))
+        some = np.flatnonzero((em[:, :, 1:].max(axis=2) - em[:, :, 0] + 2 * step).max(axis=0) >= 0)
+        out = np.zeros(x.shape, np.int64)
+        if not len(some):
+            return out
+        em = em[:, some]
         score, back = em[0].copy(), np.zeros(em.shape, np.int8)
         score[:, 2::2] -= 1e4
         for i in range(1, len(em)):
             both = score[:, :, None] + t
             back[i] = both.argmax(axis=1)
             score = both.max(axis=1) + em[i]
-        tags = np.empty((len(x), len(em)), np.int64)
+        tags, rows = np.empty((len(some), len(em)), np.int64), np.arange(len(some))
         tags[:, -1] = score.argmax(axis=1)
-        rows = np.arange(len(x))
         for i in range(len(em) - 1, 0, -1):
             tags[:, i - 1] = back[i, rows, tags[:, i]]
-        lead = np.take_along_axis(em.transpose(1, 0, 2), tags[:, :, None], 2)[:, :, 0] - em[:, :, 0].T
-        return tags, lead
+        out[some] = tags
+        return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log-likelihood of the tags ``y`` (rows, length)."""
@@ -239,8 +271,35 @@ def loosened(kind: int, value: str, rng) -> str:
     return value.lstrip("+").replace("(", "").replace(")", "") if rng.integers(2) else re.sub(r"^\+[0-9]+ ?", "", value)
 
 
-def training_windows(texts: list[str], most: int, seed: int = 13) -> tuple[np.ndarray, np.ndarray]:
-    """Windows about the texts' triggers with their tags; every third labelled span is also shown in a loosened writing."""
+def snippets(text: str, most: int) -> list[tuple[int, str, list[tuple[int, int, int]]]]:
+    """At most ``most`` pieces (position of what it is about, piece, spans in the piece) of a text: about its digits and at
+    signs, and, one in eight, about none."""
+    found, out, done, k = base_spans(text), [], -1, 0
+    for m in TRIGGER.finditer(text):
+        if m.start() < done:
+            continue
+        if len(out) >= most:
+            break
+        done = m.start() + WIDTH // 2
+        start = max(0, m.start() - WIDTH)
+        piece = text[start : m.start() + 2 * WIDTH]
+        while k < len(found) and found[k][2] <= start:
+            k += 1
+        inside = []
+        for a, kind, b in found[k:]:
+            if a >= start + len(piece):
+                break
+            if a >= start and b <= start + len(piece):
+                inside.append((a - start, kind, b - start))
+        out.append((m.start() - start, piece, inside))
+    plain = re.search(r"[^0-9@]{%d}" % (2 * WIDTH), text)
+    if plain and len(text) % 8 == 0:
+        out.append((WIDTH, plain.group(), []))
+    return out
+
+
+def training_windows(pieces: list, most: int, seed: int = 13) -> tuple[np.ndarray, np.ndarray]:
+    """Windows about the pieces' middles with their tags; every third labelled span is also shown in a loosened writing."""
     rng, xs, ys = np.random.default_rng(seed), [], []
 
     def add(text: str, found, at: int) -> None:
@@ -256,62 +315,88 @@ def training_windows(texts: list[str], most: int, seed: int = 13) -> tuple[np.nd
         xs.append(x)
         ys.append(y)
 
-    for text in texts:
-        found, done = base_spans(text), -1
-        for m in TRIGGER.finditer(text):
-            if m.start() < done or len(xs) >= most:
-                continue
-            done = m.start() + WIDTH // 2
-            add(text, found, m.start())
+    for at, text, found in pieces:
+        if len(xs) >= most:
+            break
+        add(text, found, at)
         for a, kind, b in found:
-            if rng.integers(3) == 0 and len(xs) < most:
+            if rng.integers(3) == 0:
                 value = loosened(kind, text[a:b], rng)
                 if plausible(kind, value):
-                    changed = text[max(0, a - WIDTH) : a] + value + text[b : b + WIDTH]
-                    at = min(a, WIDTH)
-                    add(changed, [(at, kind, at + len(value))], at)
-    return np.array(xs).reshape(-1, WIDTH), np.array(ys).reshape(-1, WIDTH)
+                    add(text[:a] + value + text[b:], [(a, kind, a + len(value))], a)
+    return np.array(xs[:most]).reshape(-1, WIDTH), np.array(ys[:most]).reshape(-1, WIDTH)
+
 
+def learn(docs: DataFrame, sample: int = 1000, per_text: int = 20, windows: int = 2000, epochs: int = 8) -> Tagger | None:
+    """``sample`` bounds the texts, different ones with a digit or an at sign, first by a seeded hash; ``per_text`` the pieces
+    of each (of less than 300 characters) that come to the driver; ``windows`` the training."""
+    with_trigger = docs.select(F.col("text").alias("_text")).where(F.col("_text").rlike("[0-9@]"))
+    chosen = common.sampled_texts(with_trigger, sample, 23)
 
-def learn(docs: DataFrame, sample: int = 1000, windows: int = 1500, epochs: int = 8) -> Tagger | None:
-    """``sample`` bounds the rows, first by a seeded hash among those with a digit or an at sign; ``windows`` the training."""
-    rows = docs.select("text").where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64(F.lit(23), "text"), "text").limit(sample).collect()
-    x, y = training_windows([r.text for r in rows], windows)
+    def cut(batches):
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = snippets(text, per_text)
+                if rows:
+                    spans = pa.array([[{"start": a, "kind": k, "end": b} for a, k, b in s] for *_, s in rows], SNIPPET_SPANS)
+                    columns = [pa.array([key] * len(rows), pa.int64()), pa.array([p for p, *_ in rows], pa.int64()), pa.array([x for _, x, _ in rows]), spans]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "at", "piece", "spans"])
+
+    got = chosen.mapInArrow(cut, "key long, at long, piece string, spans array<struct<start:long,kind:long,end:long>>").collect()
+    pieces = [(r["at"], r.piece, [(s["start"], s["kind"], s["end"]) for s in r.spans]) for r in sorted(got, key=lambda r: (r.key, r["at"], r.piece))]
+    x, y = training_windows(pieces, windows)
     return Tagger().train(x, y, epochs) if y.any() else None
 
 
-def tagged_spans(tagger: Tagger, text: str, batch: int = 512) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the tagger's spans, settled over the whole text."""
-    starts = sorted({s for m in TRIGGER.finditer(text) for s in (m.start() // STRIDE * STRIDE, m.start() // STRIDE * STRIDE - STRIDE) if s >= 0})
-    if not starts:
-        return []
-    c, found = codes(text), []
-    for i in range(0, len(starts), batch):
-        some = starts[i : i + batch]
-        x = np.zeros((len(some), WIDTH), np.int64)
-        for j, s in enumerate(some):
-            piece = c[s : s + WIDTH]
+SNIPPET_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int64()), ("end", pa.int64())]))
+
+
+def tag_sequences(tagger: Tagger, texts: list[str], batch: int = 512) -> list[np.ndarray]:
+    """The tags of each text, from overlapping windows: a place between two windows' starts belongs to the one that it is
+    further from the edge of."""
+    out = [np.zeros(len(t), np.int64) for t in texts]
+    edge = (READ - STEP) // 2
+    coded = [codes(t) for t in texts]
+    at = [(i, s) for i, t in enumerate(texts) for s in range(0, max(len(t) - READ + STEP, 1) if t else 0, STEP)]
+    for k in range(0, len(at), batch):
+        some = at[k : k + batch]
+        x = np.zeros((len(some), READ), np.int64)
+        for j, (i, s) in enumerate(some):
+            piece = coded[i][s : s + READ]
             x[j, : len(piece)] = piece
-        tags, lead = tagger.decode(x)
+        tags = tagger.decode(x)
         for j in np.flatnonzero(tags.any(axis=1)):
-            s, row = some[j], tags[j]
-            for a in np.flatnonzero(row % 2 == 1):
-                b = a + 1
-                while b < WIDTH and row[b] == row[a] + 1:
-                    b += 1
-                whole = (a > 0 or s == 0) and (b < WIDTH or s + WIDTH >= len(text))
-                if whole and s + b <= len(text):
-                    found.append((-float(lead[j, a:b].mean()), int(s + a), int(row[a]) // 2, int(s + b)))
-    taken: list[tuple[int, int, int]] = []
-    for _, a, kind, b in sorted(set(found)):
-        if all(b <= x or y <= a for x, _, y in taken):
-            taken.append((a, kind, b))
-    return sorted(taken)
-
-
-def find(docs: DataFrame, sample: int = 1000, windows: int = 1500, epochs: int = 8) -> DataFrame:
-    """doc_id, base and added (arrays of kind, start, end in code points) for every row."""
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, sample, windows, epochs))
+            i, s = some[j]
+            lo, hi = edge if s else 0, READ if s + READ >= len(texts[i]) else READ - edge
+            hi = min(hi, len(texts[i]) - s)
+            out[i][s + lo : s + hi] = tags[j, lo:hi]
+    return out
+
+
+def tagged_spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the runs of one kind's tags; a first tag opens a run, and so does a change of kind."""
+    kind = np.where(tags > 0, (tags - 1) // 2, -1)
+    inside = np.flatnonzero(tags > 0)
+    if not len(inside):
+        return []
+    new = np.ones(len(inside), bool)
+    new[1:] = (np.diff(inside) > 1) | (kind[inside[1:]] != kind[inside[:-1]]) | (tags[inside[1:]] % 2 == 1)
+    starts = inside[new]
+    ends = np.append(inside[np.flatnonzero(new)[1:] - 1], inside[-1]) + 1
+    return [(int(a), int(kind[a]), int(b)) for a, b in zip(starts, ends)]
+
+
+def added_spans(text: str, tags: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The tagger's spans that neither touch base ones nor cut a number, and look like their kind."""
+    free = np.ones(len(text) + 1, bool)
+    for a, _, b in base:
+        free[a:b] = False
+    return [x for x in tagged_spans(tags) if free[x[0] : x[2]].all() and not cuts_number(text, x[0], x[2]) and plausible(x[1], text[x[0] : x[2]])]
+
+
+def find(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, base and added (arrays of kind, start, end in code points) for every row. ``options`` are those of ``learn``."""
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, **options))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([docs.schema["doc_id"], T.StructField("base", span), T.StructField("added", span)])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
@@ -319,18 +404,11 @@ def find(docs: DataFrame, sample: int = 1000, windows: int = 1500, epochs: int =
     def searched(batches):
         tagger = model.value
         for batch in batches:
-            for rows, texts in common.texts_of(batch):
-                base, added = [], []
-                for text in texts:
-                    own = base_spans(text)
-                    more = []
-                    if tagger is not None and TRIGGER.search(text):
-                        free = np.ones(len(text) + 1, bool)
-                        for a, _, b in own:
-                            free[a:b] = False
-                        more = [x for x in tagged_spans(tagger, text) if free[x[0] : x[2]].all() and not cuts_number(text, x[0], x[2]) and plausible(x[1], text[x[0] : x[2]])]
-                    for out, spans in ((base, own), (added, more)):
-                        out.append([{"start": a, "kind": KINDS[k], "end": b} for a, k, b in spans])
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(base, kind), pa.array(added, kind)], names=schema.names)
+            for rows, texts in common.texts_of(batch, limit=1 << 18):
+                base = [base_spans(t) for t in texts]
+                tags = tag_sequences(tagger, texts) if tagger is not None else [np.zeros(len(t), np.int64) for t in texts]
+                added = [added_spans(*x) for x in zip(texts, tags, base)]
+                lists = [pa.array([[{"start": a, "kind": KINDS[k], "end": b} for a, k, b in spans] for spans in column], kind) for column in (base, added)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), *lists], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(searched, schema)

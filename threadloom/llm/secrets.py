@@ -1,18 +1,23 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions only.
 
-Base patterns give spans by position: the text is split by the pattern, and the lengths of gaps and matches add up to
-starts. Beside them, wider candidates (long tokens mixing letters and digits, and values of base matches) are hashed and
-counted over the whole corpus by distinct repositories and owners, pre-aggregated, one row a candidate. A candidate with
-few owners is live-looking and its bare occurrences are added as spans of kind ``owned``; one that many repositories or
-owners share is a copied example and is not.
-
-Edge cases: null text is empty. A null repository or owner counts as one of its own. Rows that repeat doc_id and text get
-the same spans each, and are one owner. Empty tables give no rows.
+Base patterns give spans by position: the text is split by the pattern, matches become rows with the lengths of gap and
+match, and running sums of those are the positions, so a text's work grows with its matches only in proportion. Beside
+them, wider candidates (long tokens mixing letters and digits that overlap no base match) and the values of base matches
+are hashed and counted over the whole corpus by distinct repositories and owners, summed before each shuffle, one row a
+candidate. A candidate of few owners and repositories is live-looking and its bare occurrences are added as spans of kind
+``owned``; one that more owners or very many repositories share is a copied example and is not.
+
+The documents have no owner column, so by default a document stands for a repository and its source for the owner.
+
+Edge cases: null and empty texts have no spans. A null repository or owner counts as one of its own. Very long texts and
+texts of very many matches are linear work. Rows that repeat doc_id and text get the same spans each, and are one
+repository. Empty tables give no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -26,25 +31,16 @@ PATTERNS = {
 #: Runs of the class that are long enough are the same matches, and need no filter afterwards.
 QUICK = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 WIDE = r"[A-Za-z0-9+/_-]{20,}"
-KINDS = (*PATTERNS, "owned")
+SPANS = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
 
-def placed(text: Column, pattern: str) -> Column:
-    """(start, end, value) of all matches, left to right, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+def matches(text: Column, pattern: str, rank: int) -> Column:
+    """(rank, j, value, gap, n) of all matches, left to right: the lengths in code points of what lies before each since the
+    last one, and of itself."""
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("value"), F.char_length(g).alias("gap"), F.char_length(m).alias("n")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-    walked = F.aggregate(
-        pairs,
-        zero,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["n"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["n"]).alias("end"), x["value"].alias("value")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    numbered = F.transform(pairs, lambda x, j: F.struct(F.lit(rank).alias("rank"), j.alias("j"), x["value"].alias("value"), x["gap"].alias("gap"), x["n"].alias("n")))
+    return F.when(text.rlike(pattern), numbered).otherwise(F.array().cast("array<struct<rank:int,j:int,value:string,gap:int,n:int>>"))
 
 
 def value_of(match: Column) -> Column:
@@ -52,64 +48,55 @@ def value_of(match: Column) -> Column:
     return F.regexp_extract(match, PATTERNS["assign"], 2)
 
 
-def tagged(spans: Column, kind: str, rank: int) -> Column:
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
-
-
-def base_spans(text: Column) -> Column:
-    """All base spans (start, rank, kind, end, value) by start, then kind."""
-    assign = F.filter(placed(text, PATTERNS["assign"]), lambda s: F.char_length(value_of(s["value"])) >= 6)
-    each = [tagged(assign, "assign", 0), *(tagged(placed(text, QUICK[k]), k, i + 1) for i, k in enumerate(("access", "hex")))]
-    return F.array_sort(F.concat(*each))
-
-
-def wide_spans(text: Column) -> Column:
-    """Long tokens with a letter and a digit."""
-    return F.filter(placed(text, WIDE), lambda s: s["value"].rlike("[A-Za-z]") & s["value"].rlike("[0-9]"))
-
-
-def candidates(docs: DataFrame, repository: str, owner: str) -> DataFrame:
-    """doc_id, tk, base, wide (not overlapping base), repo, own for documents with any."""
+def found_matches(docs: DataFrame, repository: str, owner: str) -> DataFrame:
+    """doc_id, tk, repo, own, rank (of the pattern), j, value, gap, n: one row a match."""
+    patterns = (PATTERNS["assign"], QUICK["access"], QUICK["hex"], WIDE)
     text = F.coalesce(F.col("text"), F.lit(""))
-    any_of = "|".join((PATTERNS["assign"], QUICK["access"], QUICK["hex"], WIDE))
-    found = (
-        docs.select("doc_id", F.col(repository).cast("string").alias("repo"), F.col(owner).cast("string").alias("own"), text.alias("text"))
-        .where(F.col("text").rlike(any_of))
-        .withColumn("tk", common.text_key(F.col("text")))
-        .withColumn("base", base_spans(F.col("text")))
-        .withColumn("wide", wide_spans(F.col("text")))
-    )
-    free = F.filter("wide", lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-    return found.select("doc_id", "tk", "repo", "own", "base", free.alias("wide"))
+    named = docs.select("doc_id", F.col(repository).cast("string").alias("repo"), F.col(owner).cast("string").alias("own"), text.alias("text")).where(F.col("text").rlike("|".join(patterns)))
+    each = F.concat(*(matches(F.col("text"), p, r) for r, p in enumerate(patterns)))
+    return named.select("doc_id", common.text_key(F.col("text")).alias("tk"), "repo", "own", F.explode(each).alias("m")).select("doc_id", "tk", "repo", "own", "m.*")
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """doc_id, tk, start, rank, end, value: the matches that pass, by position, once for rows that repeat; of wide ones
+    those that overlap no base match."""
+    key = ["doc_id", "tk"]
+    once = found.groupBy(*key, "rank", "j").agg(F.first("value").alias("value"), F.first("gap").alias("gap"), F.first("n").alias("n"))
+    run = W.partitionBy(*key, "rank").orderBy("j").rowsBetween(W.unboundedPreceding, W.currentRow)
+    spans = once.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(run).cast("int")).withColumn("start", F.col("end") - F.col("n"))
+    v = F.col("value")
+    passes = F.when(F.col("rank") == 0, F.char_length(value_of(v)) >= 6).when(F.col("rank") == 3, v.rlike("[A-Za-z]") & v.rlike("[0-9]")).otherwise(True)
+    spans = spans.where(passes).select(*key, "start", "rank", "end", "value")
+    wide = F.col("rank") == 3
+    # The furthest end of base spans that begin no later, and the first start of those that begin no earlier.
+    upto = W.partitionBy(*key).orderBy("start", "rank").rowsBetween(W.unboundedPreceding, W.currentRow)
+    back = W.partitionBy(*key).orderBy(F.col("start").desc(), F.col("rank")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    reach, ahead = F.max(F.when(~wide, F.col("end"))).over(upto), F.min(F.when(~wide, F.col("start"))).over(back)
+    clear = (F.coalesce(F.col("reach"), F.lit(-1)) <= F.col("start")) & (F.coalesce(F.col("ahead"), F.col("end")) >= F.col("end"))
+    return spans.withColumn("reach", reach).withColumn("ahead", ahead).where(~wide | clear).drop("reach", "ahead")
 
 
 def ownership(found: DataFrame) -> DataFrame:
     """secret (hash of the value), repos, owners: distinct counts over the corpus, partly summed before each shuffle."""
-    bare = F.transform("base", lambda s: F.when(s["kind"] == "assign", value_of(s["value"])).otherwise(s["value"]))
-    each = found.select(F.explode(F.array_distinct(F.concat(bare, F.transform("wide", lambda s: s["value"])))).alias("value"), F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("own", F.lit("")).alias("own"))
-    hashed = each.select(F.sha2("value", 256).alias("secret"), "repo", "own")
-    pairs = hashed.groupBy("secret", "repo", "own").agg(F.lit(1).alias("one"))
-    repos = pairs.groupBy("secret", "repo").agg(F.count("*").alias("owners"))
-    return repos.groupBy("secret").agg(F.count("*").alias("repos"), F.sum("owners").alias("owners"))
+    bare = F.when(F.col("rank") == 0, value_of(F.col("value"))).otherwise(F.col("value"))
+    each = found.select(F.sha2(bare, 256).alias("secret"), F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("own", F.lit("")).alias("own"))
+    return each.groupBy("secret").agg(F.countDistinct("repo").alias("repos"), F.countDistinct("own").alias("owners"))
 
 
-def scan(docs: DataFrame, repository: str = "source", owner: str = "doc_id", most_repos: int = 2, most_owners: int = 3) -> DataFrame:
-    """doc_id, base, owned (arrays of start, kind, end, value), copied (spans of shared candidates) for every row."""
-    found = common.durable(candidates(docs, repository, owner))
+def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", most_repos: int = 20, most_owners: int = 1) -> DataFrame:
+    """doc_id, base, owned (arrays of start, rank, kind, end, value), copied (spans of shared candidates) for every row."""
+    found = common.durable(found_matches(docs, repository, owner))
     live = ownership(found).where((F.col("repos") <= most_repos) & (F.col("owners") <= most_owners)).select("secret", F.lit(True).alias("live"))
-    wide = found.select("doc_id", "tk", F.explode("wide").alias("s")).distinct().withColumn("secret", F.sha2("s.value", 256))
-    span = F.struct(F.col("s.start").alias("start"), F.lit(3).alias("rank"), F.lit("owned").alias("kind"), F.col("s.end").alias("end"), F.col("s.value").alias("value"))
-    judged = (
-        wide.join(live, "secret", "left")
-        .groupBy("doc_id", "tk")
-        .agg(F.array_sort(F.collect_list(F.when(F.col("live"), span))).alias("owned"), F.array_sort(F.collect_list(F.when(F.col("live").isNull(), span))).alias("copied"))
-        .alias("j")
-    )
-    base = found.select("doc_id", "tk", "base").dropDuplicates(["doc_id", "tk"]).alias("f")
+    spans = placed(found)
+    base = spans.where("rank < 3").withColumn("live", F.lit(None).cast("boolean"))
+    wide = spans.where("rank = 3").withColumn("secret", F.sha2("value", 256)).join(live, "secret", "left").select(*base.columns[:-1], F.coalesce("live", F.lit(False)).alias("live"))
+    kind = F.element_at(F.array(*map(F.lit, (*PATTERNS, "owned"))), F.col("rank") + 1)
+    span = F.struct("start", "rank", kind.alias("kind"), "end", "value")
+    gathered = lambda keep, name: F.array_sort(F.collect_list(F.when(keep, span))).alias(name)
+    judged = base.unionByName(wide).groupBy("doc_id", "tk").agg(gathered(F.col("live").isNull(), "base"), gathered(F.col("live"), "owned"), gathered(~F.col("live"), "copied")).alias("j")
     d = docs.select("doc_id", common.text_key(F.col("text")).alias("tk")).alias("d")
-    same = lambda other: F.col("d.doc_id").eqNullSafe(F.col(f"{other}.doc_id")) & (F.col("d.tk") == F.col(f"{other}.tk"))
-    empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>")
-    return d.join(base, same("f"), "left").join(judged, same("j"), "left").select("d.doc_id", *(F.coalesce(x, empty).alias(x) for x in ("base", "owned", "copied")))
+    same = F.col("d.doc_id").eqNullSafe(F.col("j.doc_id")) & (F.col("d.tk") == F.col("j.tk"))
+    return d.join(judged, same, "left").select("d.doc_id", *(F.coalesce(x, F.array().cast(SPANS)).alias(x) for x in ("base", "owned", "copied")))
 
 
 def written(spans: Column) -> Column:

@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from threadloom.llm import decontaminate, language_id, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets, sharding
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, shard int, size long, score double, w array<string>"
@@ -265,11 +264,11 @@ def test_secrets(spark):
     assert secrets.scan(docs(spark, []).limit(0)).count() == 0
 
 
-def test_sharding(spark):
-    d = docs(spark, [prose(30, i) for i in range(100)]).select("doc_id", "text")
+def test_sharding(spark, tmp_path):
+    d = docs(spark, [prose(30, i) for i in range(100)])
     got = sharding.shuffled(d, shards=7, bucket_bytes=2000).collect()
     n = Counter(r.shard for r in got)
-    assert len(got) == 102 and max(n.values()) - min(n.values()) <= 1
+    assert len(got) == 102 and max(n.values()) - min(n.values()) <= 1 and {r.shard_in for r in got} == {9, None}
     for s in n:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(n[s]))
     again = sharding.shuffled(d.repartition(3), shards=7, bucket_bytes=2000).collect()
@@ -277,6 +276,30 @@ def test_sharding(spark):
     assert place(got) == place(again)
     assert sorted(sharding.fisher_yates(50, 3)) == list(range(50))
     assert sharding.shuffled(d.limit(0)).count() == 0
+    sharding.write(d.drop("w"), f"file://{tmp_path}/out", rows_per_part=5, shards=7, bucket_bytes=2000)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert place(back.collect()) == place(got) and back.where("part <> floor(slot / 5)").count() == 0
+
+
+def test_sharding_replayed(spark):
+    """The shuffle done again in one list: scatter, sort, permute, deal."""
+    d = docs(spark, [prose(12, i) for i in range(60)]).where("doc_id is not null").select("doc_id", "text")
+    keyed = sharding.spread(d, 41, 10_000).select("own", "id", "row.text", "bytes").collect()
+    buckets, at, want = max(1, sum(r.bytes + 64 for r in keyed) // 900), 0, {}
+    for b in range(buckets):
+        own = sorted((r.own, r.id, r.text) for r in keyed if (r.own % (1 << 64) >> 20) % buckets == b)
+        for i in sharding.fisher_yates(len(own), 41 * 1_000_003 + b):
+            want[own[i][1]] = (at % 5, at // 5)
+            at += 1
+    assert buckets > 5 and {r.doc_id: (r.shard, r.slot) for r in sharding.shuffled(d, shards=5, bucket_bytes=900).collect()} == want
+
+
+def test_sharding_repeats(spark):
+    """Rows alike beyond ``hot`` are scattered by number, and none is lost."""
+    d = spark.createDataFrame([(1, "same"), (None, "none")] * 50 + [(i, f"text {i}") for i in range(2, 30)], "doc_id long, text string")
+    got = sharding.shuffled(d, shards=4, bucket_bytes=500, hot=20).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, r.text) for r in d.collect())
+    assert sorted((r.shard, r.slot) for r in got) == sorted((i % 4, i // 4) for i in range(128))
 
 
 def test_quality_rules(spark):
@@ -306,16 +329,46 @@ def test_language_id(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.doc_id: r.lang_pred for r in language_id.identify(d).collect()}
     assert all(got[i] == ("en", "de")[i % 2] for i in range(40)) and got[40] == got[41] == "und" and got[None] == "en"
-    trees = language_id.ContextTrees({"en": [texts[0]], "de": [texts[1]]})
-    p = np.exp2(-trees.lengths.astype(np.float64)).sum(axis=1)
-    assert np.allclose(p, 1, atol=1e-3)
-
-
-def test_pipeline(spark):
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "mixture", "shards"]
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert {"doc_id", "text", "shard", "slot"} <= set(out.columns) and out.count() > 0
-    assert out.where(F.col("doc_id").isNull()).count() == 0
+    assert language_id.identify(d.limit(0)).count() == 0 and language_id.identify(d.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
+
+
+def test_code_lengths():
+    """Frozen trees against plain recursion over counted contexts: all symbols after many contexts, and whole texts."""
+    samples = {"a": ["the cat sat on the mat", "that hat", "é the"], "b": ["der hut tat gut", "", "die mitte"], "c": ["x"]}
+    trees = language_id.ContextTrees(samples, 3)
+    counts = {}
+    for lang, texts in samples.items():
+        c = counts[lang] = defaultdict(Counter)
+        s = (b"\n" * 3).join([b"", *(t.encode() for t in texts)])
+        for i in range(3, len(s)):
+            for order in range(4):
+                c[s[i - order : i]][s[i]] += 1
+
+    def p(lang, context, symbol):
+        here, total = counts[lang].get(context), None
+        lower = (lambda x: p(lang, context[1:], x)) if context else (lambda x: 1 / 256)
+        if not here:
+            return lower(symbol)
+        total, kinds = sum(here.values()), len(here)
+        if symbol in here:
+            return here[symbol] / (total + kinds)
+        rest = 1 - sum(lower(x) for x in here)
+        return kinds / (total + kinds) * lower(symbol) / rest
+
+    some = [b"\n\n\n", b"the", b" ca", b"zzz", b"tat", b"x\n\n"]
+    for context in some:
+        keys = np.array([int.from_bytes(context + bytes([x]), "big") for x in range(256)], np.uint64)
+        got = np.exp2(-trees._bits_of(keys, 3).astype(np.float64))
+        assert np.allclose(got.sum(axis=0), 1, atol=1e-4)
+        for j, lang in enumerate(trees.langs):
+            assert np.allclose(got[:, j], [p(lang, context, x) for x in range(256)], rtol=1e-4), (context, lang)
+    texts = ["the hat", "", "mitte tat", "ü" * 40]
+    for piece in (1 << 16, 5):
+        got = trees.bits(texts, piece)
+        for i, t in enumerate(texts):
+            s = b"\n\n\n" + t.encode()
+            want = [-sum(np.log2(p(lang, s[k - 3 : k], s[k])) for k in range(3, len(s))) for lang in trees.langs]
+            assert np.allclose(got[i], want, rtol=1e-4), t
 
 
 @pytest.mark.parametrize("name", ["op1_decontaminate", "op3_mixing", "op5_line_dedup"])

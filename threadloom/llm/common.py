@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -32,7 +33,20 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/threadloom/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``durable`` wrote for the tables. Nothing that is still to be computed may read them."""
+    for df in tables:
+        delete(df.sparkSession, df.stored_at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -100,8 +114,16 @@ def sampled_texts(texts: DataFrame, n: int, seed: int) -> DataFrame:
     return texts.withColumn("key", key).join(F.broadcast(first), "key").groupBy("key").agg(F.min("_text").alias("_text"))
 
 
-def sampled_rows(docs: DataFrame, keys: DataFrame, n: int, seed: int = 17) -> DataFrame:
-    """Texts of the ``n`` rows of ``keys`` (doc_id, label) that come first by a seeded hash. ``n`` bounds what is
-    broadcast and what the driver may collect afterwards."""
-    first = keys.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n)
-    return docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").orderBy("doc_id", "text").limit(2 * n)
+def sampled_rows(docs: DataFrame, keys: DataFrame, n: int, most_bytes: int = 64 << 20, on: tuple[str, ...] = ("doc_id",), seed: int = 17) -> DataFrame:
+    """doc_id, part, y, text for at most ``n`` of the different ``keys`` (doc_id, part, y) of each part, first by a seeded hash,
+    and of whole texts that are at most ``most_bytes`` in all for a part. Only keys under a cut that leaves about twice
+    ``n`` are looked up and ranked, and of rows that repeat a key the smallest text counts; so neither tasks nor the driver
+    see more than that, however many rows there are."""
+    h = F.xxhash64(F.lit(seed), "doc_id")
+    totals = keys.groupBy("part").agg(F.count("*").alias("total"))
+    few = durable(keys.join(totals, "part").where(F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53)) <= F.lit(2.0 * n + 50) / F.col("total")).select(*keys.columns))
+    held = docs.select(*on, F.col("text").alias("_text")).join(F.broadcast(few) if few.count() <= 200_000 else few, list(on))
+    held = held.groupBy(*keys.columns).agg(F.min("_text").alias("text")).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)))
+    first = W.partitionBy("part").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
+    held = held.where(F.col("bytes") <= most_bytes // 8).withColumn("r", F.row_number().over(first)).withColumn("sum", F.sum("bytes").over(first.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return held.where((F.col("r") <= n) & (F.col("sum") <= most_bytes)).select("doc_id", "part", "y", "text")

@@ -4,7 +4,9 @@ Indicators of hashed byte n-grams are scaled by the classes' log-count ratios; a
 on them by dual coordinate descent, and its margins are turned into probabilities on labelled rows left out of the fit.
 
 Edge cases: null text is empty and gets the score of the intercept. Null or conflicting labels are not learned from;
-with labels of fewer than two classes every score is that class's (or 0.5 with none). Repeated rows are scored each.
+with labels of fewer than two classes every score is that class's (or 0.5 with none). Very long texts are scored whole, in
+pieces of bounded size. Repeated rows and null ids are scored each. An empty table gives no rows. Extra columns may have
+any names; a kept one that is named like a result is returned with ``_in`` added.
 """
 
 from __future__ import annotations
@@ -116,18 +118,19 @@ class NBSVM:
 
 
 def labelled(labels: DataFrame) -> DataFrame:
-    """(doc_id, y) of the labels that may be learned from: known, not contradictory, not in the held-out fold."""
+    """(doc_id, part, y) of the labels that may be learned from: known, not contradictory, not in the held-out fold. All are of
+    one part."""
     return (
         labels.where(F.col("quality").isNotNull() & (common.fold_of(F.col("doc_id"), 5) != 0))
         .groupBy("doc_id")
-        .agg(F.min("quality").alias("y"), F.max("quality").alias("y1"))
+        .agg(F.min("quality").cast("int").alias("y"), F.max("quality").alias("y1"))
         .where("y = y1")
-        .select("doc_id", "y")
+        .select("doc_id", F.lit(0).alias("part"), "y")
     )
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> NBSVM:
-    rows = common.sampled_rows(docs, labelled(labels), sample).collect()
+    rows = sorted(common.sampled_rows(docs, labelled(labels), sample).collect(), key=lambda r: str(r.doc_id))
     return NBSVM([r.text or "" for r in rows], np.array([int(r.y) for r in rows], np.int64))
 
 
@@ -135,12 +138,15 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 3000, keep: list[
     """``keep`` (doc_id by default), held_out, score for every row. ``sample`` bounds the labelled rows of the fit."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
     keep = keep or ["doc_id"]
-    source = docs.select(*keep, F.coalesce(common.fold_of(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), F.col("text").alias("_text"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("score", T.DoubleType())])
+    held = F.coalesce(common.fold_of(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")
+    source = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("k"), held, "text")
+    names = [name for _, name in common.kept_names(keep, ("held_out", "score"))]
+    fields = [T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keep)]
+    schema = T.StructType([*fields, T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
 
     def scored(batches):
         for batch in batches:
-            for rows, texts in common.texts_of(batch, "_text"):
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(model.value.score(texts))], names=schema.names)
+            for rows, texts in common.texts_of(batch):
+                yield pa.RecordBatch.from_arrays([*rows.column(0).flatten(), rows.column(1), pa.array(model.value.score(texts))], names=schema.names)
 
     return source.mapInArrow(scored, schema)

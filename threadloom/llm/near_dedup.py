@@ -333,66 +333,77 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, salt: int =
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, comp (smallest id in reach). Labels spread over the edges and then to the labels' own labels, each round
+    """id, comp (smallest id in reach), written. Labels spread over the edges and then to the labels' own labels, each round
     written to the shared folder, until none changes."""
     e = common.durable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = common.durable(e.select(F.col("a").alias("id")).distinct().withColumn("comp", F.col("id")))
+    label = common.durable(e.select(F.col("a").alias("id")).distinct().withColumn("comp", F.col("id")).withColumn("old", F.col("id")))
     while True:
         near = e.join(label, e.b == label.id).groupBy("a").agg(F.min("comp").alias("m"))
         low = label.join(near, label.id == near.a, "left").select("id", F.least("comp", F.coalesce("m", "comp")).alias("comp"), F.col("comp").alias("old"))
         jump = label.select(F.col("id").alias("j"), F.col("comp").alias("further"))
         stepped = common.durable(low.join(jump, F.col("comp") == F.col("j"), "left").select("id", F.least("comp", F.coalesce("further", "comp")).alias("comp"), "old"))
-        changed = stepped.where("comp <> old").limit(1).count()
-        label = stepped.select("id", "comp")
-        if not changed:
+        common.discard(label)
+        label = stepped
+        if not label.where("comp <> old").limit(1).count():
             break
-    return nodes.join(label, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+    out = common.durable(nodes.join(label, "id", "left").select("id", F.coalesce("comp", "id").alias("comp")))
+    common.discard(e, label)
+    return out
 
 
 def text_classes(docs: DataFrame, similarity: float = 0.8, sketches: int = 96, block: int = 1024, refine: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
     """(rows, texts): k1, k2 (128 bits of the words) of every row with its doc_id, and of every text with its class, a number."""
-    rows = common.durable(sketched(docs, sketches))
-    key = ["k1", "k2"]
+    durable, key = common.durable, ["k1", "k2"]
+    drawn = durable(sketched(docs, sketches))
+    rows = durable(drawn.select("doc_id", *key))
     # One row a text, numbered; what is written keeps its number.
     holder = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")).alias("holder")
-    numbered = rows.groupBy(*key).agg(holder, F.min("n").alias("n"), F.min("sketch").alias("sketch"))
-    text = common.durable(numbered.withColumn("id", F.monotonically_increasing_id()))
-    # Seeds make the values of different sketches different, so s alone is the group.
+    numbered = drawn.groupBy(*key).agg(holder, F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    text = durable(numbered.withColumn("id", F.monotonically_increasing_id()))
+    common.discard(drawn)
+    # Seeds make the values of different sketches different, so s alone is the group. Most have one member and go first.
     grouped = text.select("id", "n", F.posexplode("sketch").alias("k", "s")).select("id", "n", F.col("k").cast("short").alias("k"), "s")
-    first = grouped.groupBy("s").agg(F.min_by("id", "n").alias("a"), F.min("n").alias("least"), F.count("*").alias("size")).where("size > 1").drop("size")
-    member = common.durable(grouped.withColumnRenamed("id", "b").join(first.hint("shuffle_hash"), "s"))
+    several = grouped.groupBy("s").agg(F.count("*").alias("size")).where("size > 1").select("s")
+    in_group = durable(grouped.join(several.hint("shuffle_hash"), "s", "left_semi"))
+    first = in_group.groupBy("s").agg(F.min_by("id", "n").alias("a"), F.min("n").alias("least"))
+    member = durable(in_group.withColumnRenamed("id", "b").join(first, "s"))
+    common.discard(in_group)
     near = F.col("n") - F.col("least") <= F.floor((1 - similarity) * F.col("n") + 1e-9)
-    star = common.durable(member.where((F.col("a") != F.col("b")) & near).groupBy("a", "b").agg(F.min("k").alias("k")))
-    involved = common.durable(member.select(F.col("b").alias("id")).distinct())
+    star = durable(member.where((F.col("a") != F.col("b")) & near).groupBy("a", "b").agg(F.min("k").alias("k")))
+    involved = durable(member.select(F.col("b").alias("id")).distinct())
     wanted = text.join(involved, "id", "left_semi").select("id", F.col("holder.doc_id").alias("h"), F.col("holder.tk").alias("t"))
     own = common.text_key(F.col("text"))
     held = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("h")) & (own == F.col("t")))
-    texts = common.durable(held.dropDuplicates(["id"]).select("id", words(F.col("text")).alias("w")))
+    texts = durable(held.dropDuplicates(["id"]).select("id", words(F.col("text")).alias("w")))
     # The first sketches link nearly all; of the others' pairs, those that are then in two components are left.
     sooner = star.where(F.col("k") < FIRST).select("a", "b")
-    links = common.durable(verified(sooner, texts, similarity))
-    comp = common.durable(components(involved, links))
+    links = durable(verified(sooner, texts, similarity))
+    comp = components(involved, links)
     ends = star.where(F.col("k") >= FIRST).select("a", "b").join(comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a")
-    later = common.durable(ends.join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b").where("ca <> cb").select("a", "b"))
-    links = common.durable(links.union(verified(later, texts, similarity)))
-    comp = common.durable(components(involved, links))
+    later = durable(ends.join(comp.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b").where("ca <> cb").select("a", "b"))
+    links = durable(links.union(verified(later, texts, similarity)))
+    common.discard(comp, later)
+    comp = components(involved, links)
     # Groups still split: their possible pairs across components, but for those that the star has tried.
     at = member.join(comp.select(F.col("id").alias("b"), "comp"), "b")
     split = at.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2").select("s", "m")
-    open_ = common.durable(at.join(split, "s").select("k", "s", "m", F.col("b").alias("id"), "n", "comp"))
+    open_ = durable(at.join(split, "s").select("k", "s", "m", F.col("b").alias("id"), "n", "comp"))
+    common.discard(member)
     some = texts.join(open_.select("id").distinct(), "id", "left_semi")
     carried = text.select("id", "sketch").join(bags(some), "id")
     dealt = open_.where(F.col("m") <= refine).withColumn("x", F.lit(None).cast("int"))
     if open_.where(F.col("m") > refine).limit(1).count():
         large = open_.where(F.col("m") > refine)
         shared_words = rarest(texts.join(large.select("id").distinct(), "id", "left_semi"), similarity)
-        dealt = common.durable(dealt.unionByName(large.join(shared_words, "id").select("k", "s", "m", "id", "n", "comp", "x")))
+        dealt = durable(dealt.unionByName(large.join(shared_words, "id").select("k", "s", "m", "id", "n", "comp", "x")))
     members = units(dealt.drop("m"), similarity, block).join(carried, "id").withColumn("head", F.slice("sketch", F.lit(1), F.col("k").cast("int"))).drop("sketch")
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = common.durable(possible(members, similarity).distinct().join(tried, ["a", "b"], "left_anti"))
+    more = durable(possible(members, similarity).distinct().join(tried, ["a", "b"], "left_anti"))
     if more.limit(1).count():
-        comp = common.durable(components(involved, common.durable(links.union(verified(more, texts, similarity)))))
-    return rows.select("doc_id", *key), text.join(comp, "id", "left").select(*key, F.coalesce("comp", "id").alias("comp"))
+        comp = components(involved, durable(links.union(verified(more, texts, similarity))))
+    named = durable(text.join(comp, "id", "left").select(*key, F.coalesce("comp", "id").alias("comp")))
+    common.discard(text, texts, star, involved, open_, more)
+    return rows, named
 
 
 def classes(docs: DataFrame, **options) -> DataFrame:

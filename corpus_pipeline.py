@@ -12,15 +12,14 @@ from pyspark.sql import functions as F
 
 from threadloom.llm import common, decontaminate, mixing, near_dedup, quality_classifier, sharding
 
-#: Models, verification and sampling can't be said in SQL. Tests run the stages and look at names, columns and that rows remain;
-#: no stage is held against a brute-force version yet.
+#: Models, verification and sampling can't be said in SQL. tests/llm/test_pipeline.py holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.3 or more stay."""
-    scored = quality_classifier.classify(docs, common.table(spark, sf_dir, "labels"), keep=docs.columns)
-    return scored.where(F.col("score") >= 0.3).select(*docs.columns)
+    scored = quality_classifier.classify(common.packed(docs), common.table(spark, sf_dir, "labels"), keep=["row"])
+    return scored.where(F.col("score") >= 0.3).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +38,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix repeats it; one taken in part for half its words or more comes once more."""
-    mixed = mixing.mix(docs, keep=docs.columns)
+    mixed = mixing.mix(common.packed(docs), keep=["row"])
     times = (F.col("repeats") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)).cast("int")
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(1), times)).alias("copy")).select("row.*")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' columns with shard and slot."""
+    """The documents' columns with shard and slot; columns of these names come back with ``_in`` added."""
     return sharding.shuffled(docs)
 
 
@@ -54,7 +53,11 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontam
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, folder = common.table(spark, sf_dir, "documents"), f"{common.shared_dir(spark)}/pipeline/{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            common.delete(spark, before)
+        before = f"{folder}/{name}"
     return docs

@@ -34,7 +34,7 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 TRIGGER = re.compile(r"[0-9@]")
 #: Windows of training, and of decoding with their step.
 WIDTH = 96
-READ, STEP = 192, 128
+READ, STEP = 512, 464
 TAGS = 1 + 2 * len(KINDS)
 
 
@@ -94,16 +94,35 @@ def cuts_number(text: str, a: int, b: int) -> bool:
     return (a > 0 and text[a - 1] in digits and text[a] in digits) or (b < len(text) and text[b] in digits and text[b - 1] in digits)
 
 
+#: Printable ASCII has its own numbers; line feeds, other ASCII and all else share three more.
+CODES = np.array([c - 31 if 32 <= c < 127 else 96 if c == 10 else 97 for c in range(128)] + [98], np.uint8)
+
+
 def codes(text: str) -> np.ndarray:
-    """Printable ASCII has its own numbers; line feeds, other ASCII and all else share three more."""
-    c = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    return np.where((c >= 32) & (c < 127), c - 31, np.where(c == 10, 96, np.where(c < 128, 97, 98)))
+    return CODES[np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), 128)]
+
+
+def snapped(kind: int, text: str, a: int, b: int) -> tuple[int, int]:
+    """An e-mail span's edges moved to those of the tokens on both sides of its at sign, over blanks beside it."""
+    at = text.find("@", a, b)
+    if kind or at < 0:
+        return a, b
+    left = at
+    while left and text[left - 1] == " ":
+        left -= 1
+    while left and text[left - 1] in LOCAL:
+        left -= 1
+    right = at + 1
+    while right < len(text) and text[right] == " ":
+        right += 1
+    domain = DOMAIN.match(text, right)
+    return (left, domain.end()) if domain else (a, b)
 
 
 class Tagger:
     VOCABULARY = 99
 
-    def __init__(self, width: int = 12, hidden: int = 16, seed: int = 3):
+    def __init__(self, width: int = 12, hidden: int = 12, seed: int = 3):
         g = np.random.default_rng(seed)
         self.h = hidden
         self.p = {"e": g.normal(0, 0.3, (self.VOCABULARY, width)), "u": g.normal(0, 0.3, (2 * hidden, TAGS)), "c": np.zeros(TAGS), "t": g.normal(0, 0.1, (TAGS, TAGS))}
@@ -145,51 +164,81 @@ class Tagger:
         return states @ self.p["u"] + self.p["c"]
 
     def read(self, x: np.ndarray) -> np.ndarray:
-        """``emissions`` without what training keeps: input weights are tabulated by code, and all gates are one tanh."""
+        """``emissions`` without what training keeps: input weights are tabulated by code, all gates are one tanh, and each
+        step works in the same few buffers."""
         h, (rows, length) = self.h, x.shape
         by_step, states = np.ascontiguousarray(x.T), np.empty((length, rows, 2 * h), np.float32)
+        ahead, z, put = np.empty((rows, 4 * h), np.float32), np.empty((rows, 4 * h), np.float32), np.empty((rows, h), np.float32)
+        gates = z[:, : 3 * h]
         for d, at, steps in (("f", 0, range(length)), ("b", h, range(length - 1, -1, -1))):
             half = np.repeat(np.array([0.5, 1], np.float32), [3 * h, h])
             w, b = self.p[f"w{d}"] * half, self.p[f"b{d}"] * half
-            table, inner = self.p["e"] @ w[:-h] + b, np.ascontiguousarray(w[-h:])
+            table, inner = np.ascontiguousarray(self.p["e"] @ w[:-h] + b), np.ascontiguousarray(w[-h:])
             state, cell = np.zeros((rows, h), np.float32), np.zeros((rows, h), np.float32)
             for i in steps:
-                z = state @ inner
-                z += table[by_step[i]]
+                np.take(table, by_step[i], axis=0, out=ahead, mode="clip")
+                np.matmul(state, inner, out=z)
+                z += ahead
                 np.tanh(z, out=z)
-                gates = z[:, : 3 * h]
                 gates *= 0.5
                 gates += 0.5
                 cell *= z[:, :h]
-                cell += z[:, h : 2 * h] * z[:, 3 * h :]
-                state = np.tanh(cell)
+                np.multiply(z[:, h : 2 * h], z[:, 3 * h :], out=put)
+                cell += put
+                np.tanh(cell, out=state)
                 state *= z[:, 2 * h : 3 * h]
                 states[i, :, at : at + h] = state
         return states @ self.p["u"] + self.p["c"]
 
     def decode(self, x: np.ndarray) -> np.ndarray:
-        """Viterbi tags (rows, length). A row where no position's lead over "outside", with the best of transitions added,
-        is positive has all of it outside; only the others are searched."""
+        """Viterbi tags (rows, length). A stretch of tags other than "outside" can only be in the best path if its leads over
+        "outside", with the best of transitions added, sum to no less than zero; so only places in such stretches are
+        searched, and what lies between them is outside."""
         em, t = self.read(x), self.p["t"] + self.barred
+        length, rows = em.shape[:2]
         step = max(0.0, float(max(t[1:].max(), t[:, 1:].max()) - t[0, 0]))
-        some = np.flatnonzero((em[:, :, 1:].max(axis=2) - em[:, :, 0] + 2 * step).max(axis=0) >= 0)
+        lead = em[:, :, 1]
+        for tag in range(2, TAGS):
+            lead = np.maximum(lead, em[:, :, tag])
+        lead = lead - em[:, :, 0] + 2 * step
+        ending, starting = lead.copy(), lead.copy()
+        for i in range(1, length):
+            ending[i] += np.maximum(ending[i - 1], 0)
+            starting[-1 - i] += np.maximum(starting[-i], 0)
+        inside = np.zeros((rows, length + 2), np.int8)
+        inside[:, 1:-1] = (ending + starting - lead >= 0).T
         out = np.zeros(x.shape, np.int64)
-        if not len(some):
-            return out
-        em = em[:, some]
-        score, back = em[0].copy(), np.zeros(em.shape, np.int8)
-        score[:, 2::2] -= 1e4
-        for i in range(1, len(em)):
-            both = score[:, :, None] + t
-            back[i] = both.argmax(axis=1)
-            score = both.max(axis=1) + em[i]
-        tags, rows = np.empty((len(some), len(em)), np.int64), np.arange(len(some))
-        tags[:, -1] = score.argmax(axis=1)
-        for i in range(len(em) - 1, 0, -1):
-            tags[:, i - 1] = back[i, rows, tags[:, i]]
-        out[some] = tags
+        edges = np.diff(inside, axis=1)
+        (row, start), stop = np.nonzero(edges == 1), np.nonzero(edges == -1)[1]
+        by = np.argsort(stop - start, kind="stable")
+        for k in range(0, len(by), 512):
+            some = by[k : k + 512]
+            self._search(em, t, row[some], start[some], stop[some], out)
         return out
 
+    @staticmethod
+    def _search(em: np.ndarray, t: np.ndarray, row: np.ndarray, start: np.ndarray, stop: np.ndarray, out: np.ndarray) -> None:
+        """Viterbi over stretches with "outside" on both sides, or nothing at a window's ends."""
+        most, n = int((stop - start).max()), len(row)
+        score = em[start, row] + np.where(start > 0, 1, 0)[:, None] * t[0]
+        score[:, 2::2] -= np.where(start > 0, 0, 1e4)[:, None]
+        back = np.zeros((most, n, TAGS), np.int8)
+        final = np.zeros(n, np.int64)
+        closing = lambda s, at_end: (s + np.where(at_end, 0, 1)[:, None] * t[:, 0]).argmax(axis=1)
+        ends = stop - start
+        for i in range(most):
+            if i:
+                both = score[:, :, None] + t
+                back[i] = both.argmax(axis=1)
+                score = both.max(axis=1) + em[np.minimum(start + i, len(em) - 1), row]
+            done = np.flatnonzero(ends == i + 1)
+            final[done] = closing(score[done], stop[done] == len(em))
+        tag, each = final, np.arange(n)
+        for i in range(most - 1, -1, -1):
+            live = i < ends
+            out[row[live], start[live] + i] = tag[live]
+            tag = np.where(live & (i > 0), back[i, each, tag], tag)
+
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log-likelihood of the tags ``y`` (rows, length)."""
         kept: dict = {}
@@ -327,7 +376,7 @@ def training_windows(pieces: list, most: int, seed: int = 13) -> tuple[np.ndarra
     return np.array(xs[:most]).reshape(-1, WIDTH), np.array(ys[:most]).reshape(-1, WIDTH)
 
 
-def learn(docs: DataFrame, sample: int = 1000, per_text: int = 20, windows: int = 2000, epochs: int = 8) -> Tagger | None:
+def learn(docs: DataFrame, sample: int = 1000, per_text: int = 20, windows: int = 2000, epochs: int = 12) -> Tagger | None:
     """``sample`` bounds the texts, different ones with a digit or an at sign, first by a seeded hash; ``per_text`` the pieces
     of each (of less than 300 characters) that come to the driver; ``windows`` the training."""
     with_trigger = docs.select(F.col("text").alias("_text")).where(F.col("_text").rlike("[0-9@]"))
@@ -351,16 +400,19 @@ def learn(docs: DataFrame, sample: int = 1000, per_text: int = 20, windows: int
 SNIPPET_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int64()), ("end", pa.int64())]))
 
 
-def tag_sequences(tagger: Tagger, texts: list[str], batch: int = 512) -> list[np.ndarray]:
+def tag_sequences(tagger: Tagger, texts: list[str], batch: int = 256) -> list[np.ndarray]:
     """The tags of each text, from overlapping windows: a place between two windows' starts belongs to the one that it is
     further from the edge of."""
     out = [np.zeros(len(t), np.int64) for t in texts]
     edge = (READ - STEP) // 2
     coded = [codes(t) for t in texts]
     at = [(i, s) for i, t in enumerate(texts) for s in range(0, max(len(t) - READ + STEP, 1) if t else 0, STEP)]
+    # Windows of like length together, so that little is padding.
+    at.sort(key=lambda w: min(READ, len(texts[w[0]]) - w[1]))
     for k in range(0, len(at), batch):
         some = at[k : k + batch]
-        x = np.zeros((len(some), READ), np.int64)
+        i, s = some[-1]
+        x = np.zeros((len(some), min(READ, len(texts[i]) - s)), np.int64)
         for j, (i, s) in enumerate(some):
             piece = coded[i][s : s + READ]
             x[j, : len(piece)] = piece
@@ -387,11 +439,17 @@ def tagged_spans(tags: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def added_spans(text: str, tags: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The tagger's spans that neither touch base ones nor cut a number, and look like their kind."""
-    free = np.ones(len(text) + 1, bool)
+    """The tagger's spans, settled over the whole text: e-mail spans have their tokens' edges, and those stay that neither
+    touch base spans or earlier ones nor cut a number, and look like their kind."""
+    free, out = np.ones(len(text) + 1, bool), []
     for a, _, b in base:
         free[a:b] = False
-    return [x for x in tagged_spans(tags) if free[x[0] : x[2]].all() and not cuts_number(text, x[0], x[2]) and plausible(x[1], text[x[0] : x[2]])]
+    for a, kind, b in tagged_spans(tags):
+        a, b = snapped(kind, text, a, b)
+        if free[a:b].all() and not cuts_number(text, a, b) and plausible(kind, text[a:b]):
+            out.append((a, kind, b))
+            free[a:b] = False
+    return out
 
 
 def find(docs: DataFrame, **options) -> DataFrame:
@@ -404,7 +462,7 @@ def find(docs: DataFrame, **options) -> DataFrame:
     def searched(batches):
         tagger = model.value
         for batch in batches:
-            for rows, texts in common.texts_of(batch, limit=1 << 18):
+            for rows, texts in common.texts_of(batch, limit=1 << 20):
                 base = [base_spans(t) for t in texts]
                 tags = tag_sequences(tagger, texts) if tagger is not None else [np.zeros(len(t), np.int64) for t in texts]
                 added = [added_spans(*x) for x in zip(texts, tags, base)]

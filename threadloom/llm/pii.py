@@ -320,6 +320,17 @@ def loosened(kind: int, value: str, rng) -> str:
     return value.lstrip("+").replace("(", "").replace(")", "") if rng.integers(2) else re.sub(r"^\+[0-9]+ ?", "", value)
 
 
+def varied(kind: int, value: str, rng) -> str:
+    """The value with other digits and letters in the same places, still valid for its kind."""
+    if kind == 1:
+        return ".".join(str(rng.integers(256)) for _ in range(4))
+    new = [str(rng.integers(10)) if c.isdigit() else chr(97 + rng.integers(26)) if kind == 0 and c.islower() else c for c in value]
+    if kind == 2:
+        last = max(i for i, c in enumerate(new) if c.isdigit())
+        new[last] = next(d for d in "0123456789" if luhn(NOT_DIGIT.sub("", "".join([*new[:last], d]))))
+    return "".join(new)
+
+
 def snippets(text: str, most: int) -> list[tuple[int, str, list[tuple[int, int, int]]]]:
     """At most ``most`` pieces (position of what it is about, piece, spans in the piece) of a text: about its digits and at
     signs, and, one in eight, about none."""
@@ -348,7 +359,8 @@ def snippets(text: str, most: int) -> list[tuple[int, str, list[tuple[int, int,
 
 
 def training_windows(pieces: list, most: int, seed: int = 13) -> tuple[np.ndarray, np.ndarray]:
-    """Windows about the pieces' middles with their tags; every third labelled span is also shown in a loosened writing."""
+    """Windows about the pieces' middles with their tags. Each labelled span is also shown in loosened writings, of itself and of
+    values made from it; these are at most half of the windows."""
     rng, xs, ys = np.random.default_rng(seed), [], []
 
     def add(text: str, found, at: int) -> None:
@@ -365,18 +377,21 @@ def training_windows(pieces: list, most: int, seed: int = 13) -> tuple[np.ndarra
         ys.append(y)
 
     for at, text, found in pieces:
-        if len(xs) >= most:
+        if len(xs) >= most // 2:
             break
         add(text, found, at)
-        for a, kind, b in found:
-            if rng.integers(3) == 0:
-                value = loosened(kind, text[a:b], rng)
-                if plausible(kind, value):
-                    add(text[:a] + value + text[b:], [(a, kind, a + len(value))], a)
+    spans = [(text, a, kind, b) for _, text, found in pieces for a, kind, b in found]
+    shown = len(xs)
+    for i in range(min(4 * len(spans), most - shown)):
+        text, a, kind, b = spans[i % len(spans)]
+        value = text[a:b] if i < len(spans) else varied(kind, text[a:b], rng)
+        value = loosened(kind, value, rng)
+        if plausible(kind, value):
+            add(text[:a] + value + text[b:], [(a, kind, a + len(value))], a)
     return np.array(xs[:most]).reshape(-1, WIDTH), np.array(ys[:most]).reshape(-1, WIDTH)
 
 
-def learn(docs: DataFrame, sample: int = 1000, per_text: int = 20, windows: int = 2000, epochs: int = 12) -> Tagger | None:
+def learn(docs: DataFrame, sample: int = 1000, per_text: int = 20, windows: int = 4000, epochs: int = 8) -> Tagger | None:
     """``sample`` bounds the texts, different ones with a digit or an at sign, first by a seeded hash; ``per_text`` the pieces
     of each (of less than 300 characters) that come to the driver; ``windows`` the training."""
     with_trigger = docs.select(F.col("text").alias("_text")).where(F.col("_text").rlike("[0-9@]"))

@@ -43,6 +43,18 @@ def folded(c: Column) -> Column:
     return F.translate(F.upper(F.translate(c, "\u00df", "\ue0df")), "\ue0df", "\u00df")
 
 
+def units(c: Column) -> Column:
+    """Length in UTF-16 code units: characters beyond the basic plane count twice."""
+    return F.char_length(c) + F.regexp_count(c, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+
+
+def first_units(c: Column, n: int) -> Column:
+    """The first ``n`` code units; a pair that the cut would halve is left out."""
+    short = F.octet_length(c) <= n
+    ends = F.filter(F.sequence(F.lit(n // 2), F.lit(n)), lambda i: units(F.left(c, i)) <= n)
+    return F.when(short | (F.char_length(c) == units(c)), F.left(c, F.lit(n))).otherwise(F.left(c, F.array_max(ends)))
+
+
 def split_lines(c: Column) -> Column:
     return F.split(F.replace(c, F.lit("\r\n"), F.lit("\n")), "\n", -1)
 
@@ -57,7 +69,7 @@ def plain_line(raw: Column) -> Column:
 
 def is_structured(raw: Column, line: Column) -> Column:
     """Headings, bullets and numbers, or short lines."""
-    return trimmed(raw).rlike(r"^(#|[-*+] |[0-9]+[.)])") | (F.char_length(line) <= 96)
+    return trimmed(raw).rlike(r"^(#|[-*+] |[0-9]+[.)])") | (units(line) <= 96)
 
 
 def raw_tokens(line: Column) -> Column:
@@ -127,14 +139,27 @@ def diverse(candidates: Column, take: int) -> Column:
 
 def fnv1a(s: Column) -> Column:
     """32-bit FNV-1a over the characters' code units."""
-    units = F.transform(F.split(s, ""), lambda c: F.ascii(c).cast("long"))
-    return F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
+    points = F.transform(F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c).cast("long"))
+    high, low = (lambda c: F.lit(0xD800) + F.shiftright(c - 0x10000, 10)), (lambda c: F.lit(0xDC00) + (c - 0x10000).bitwiseAND(F.lit(0x3FF)))
+    code_units = F.flatten(F.transform(points, lambda c: F.when(c >= 0x10000, F.array(high(c), low(c))).otherwise(F.array(c))))
+    return F.aggregate(code_units, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)))
 
 
 def chunks(c: Column, width: int = 1200) -> Column:
-    """Pieces of fixed width; none for blank text."""
+    """Pieces of fixed width in code units; none for blank text. A character that the width would halve goes to the next piece."""
     n = F.ceil(F.char_length(c) / width).cast("int")
-    return F.when(is_blank(c), F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(c, i * width + 1, F.lit(width))))
+    plain = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(c, i * width + 1, F.lit(width)))
+    # A piece of ``width`` units: pairs of code units are matched as one character that counts two.
+    pairs = F.transform(F.sequence(F.lit(0), F.ceil(units(c) / (width - 1)).cast("int")), lambda i: i)
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc, _):
+        left = F.substring(c, acc["at"], F.lit(width))
+        piece = first_units(left, width)
+        return F.when(F.char_length(left) == 0, acc).otherwise(F.struct((acc["at"] + F.char_length(piece)).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out")))
+
+    walked = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return F.when(is_blank(c), F.array().cast("array<string>")).when(F.char_length(c) == units(c), plain).otherwise(walked)
 
 
 def chunk_hash(kind: Column, text: Column) -> Column:
@@ -142,15 +167,48 @@ def chunk_hash(kind: Column, text: Column) -> Column:
 
 
 def unix_text(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_millis((seconds * 1000).cast("long")), "yyyy-MM-dd HH:mm:ss'Z'")
+    """``yyyy-MM-dd HH:mm:ssZ`` of the milliseconds, cut off; ``(null)`` for none, and the number itself out of the years 1 to 9999."""
+    inside = (seconds >= F.lit(-62135596800.0)) & (seconds < F.lit(253402300800.0))
+    shown = F.date_format(F.timestamp_millis((seconds * 1000).cast("long")), "yyyy-MM-dd HH:mm:ss'Z'")
+    return F.when(seconds.isNull(), F.lit("(null)")).when(inside, shown).otherwise(seconds.cast("string"))
 
 
 def preview(c: Column) -> Column:
-    return F.when(F.char_length(c) > 80, F.concat(F.left(c, F.lit(80)), F.lit("..."))).otherwise(c)
+    return F.when(units(c) > 80, F.concat(first_units(c, 80), F.lit("..."))).otherwise(c)
 
 
 def file_name(c: Column) -> Column:
-    return F.left(F.regexp_replace(c, r'[\x00-\x1F"<>|:*?\\/]', "_"), F.lit(140))
+    return first_units(F.regexp_replace(c, r'[\x00-\x1F"<>|:*?\\/]', "_"), 140)
+
+
+def safe_name(title: Column, conversation_id: Column) -> Column:
+    """The name of a conversation's files: its title, if any, and its id."""
+    return file_name(F.when(is_blank(title), conversation_id).otherwise(F.concat(title, F.lit("__"), conversation_id)))
+
+
+def href(segment: Column) -> Column:
+    """A path segment escaped for a link; a blank is %20."""
+    return F.replace(F.url_encode(segment), F.lit("+"), F.lit("%20"))
+
+
+def humanized(term: Column) -> Column:
+    """Title case with ``_`` and ``-`` as blanks: each run of letters, digits and apostrophes that begins with a letter gets a
+    capital and small letters, unless it has no small letter at all."""
+    plain = trimmed(F.translate(term, "_-", "  "))
+    pieces = F.regexp_extract_all(plain, F.lit(r"\p{L}[\p{L}\p{M}\p{N}']*|[^\p{L}]+"), F.lit(0))
+    titled = F.transform(pieces, lambda x: F.when(x.rlike(r"^\p{L}") & x.rlike(r"\p{Ll}"), F.concat(F.upper(F.left(x, F.lit(1))), F.lower(F.substring(x, 2, F.char_length(x))))).otherwise(x))
+    return F.array_join(titled, "")
+
+
+def humanized_terms(terms: Column) -> Column:
+    return F.array_join(F.filter(F.transform(terms, humanized), lambda x: ~is_blank(x)), " / ")
+
+
+def short_number(c: Column) -> Column:
+    """At most three decimals, without trailing zeros: ``0.###``. Halves are rounded away from zero."""
+    text = F.round(c.cast("decimal(38,12)"), 3).cast("string")
+    whole = F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.regexp_replace(whole, r"^-0$", "0")
 
 
 def leaf(category: Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, or_default
+from .store import ranked
 
 
 def usable(messages: DataFrame) -> DataFrame:
@@ -40,9 +40,30 @@ def leaves(messages: DataFrame) -> DataFrame:
 
 
 def conversations(messages: DataFrame) -> DataFrame:
-    """conversation_id, started, n_messages, conv_idx (by first time, then id)."""
-    c = messages.groupBy("conversation_id").agg(F.min("create_time").alias("started"), F.count("*").alias("n_messages"))
-    return c.withColumn("conv_idx", F.row_number().over(W.orderBy(F.col("started").asc_nulls_last(), "conversation_id")))
+    """conversation_id, started, n_messages, conv_idx (by first time, then id). The time of a message is the conversation's, if
+    there is such a column and it is set, else its own."""
+    own = F.coalesce("conversation_time", "create_time") if "conversation_time" in messages.columns else F.col("create_time")
+    c = messages.groupBy("conversation_id").agg(F.min(own).alias("started"), F.count("*").alias("n_messages"))
+    return ranked(c, [F.col("started").asc_nulls_last(), F.col("conversation_id")], "conv_idx")
+
+
+def checked(messages: DataFrame) -> DataFrame:
+    """The usable messages; raises if a conversation has a node id twice."""
+    out = usable(messages)
+    twice = duplicate_nodes(out).limit(5).collect()
+    if twice:
+        raise ValueError("duplicate node ids: " + ", ".join(f"{r.conversation_id}/{r.node_id}" for r in twice))
+    return out
+
+
+def attributes(messages: DataFrame) -> DataFrame:
+    """conversation_id, title, current_node, conversation_time, source_file of each conversation's first row (by ``row_idx``,
+    or time and id without it); columns that the messages lack are null."""
+    names = ("title", "current_node", "conversation_time", "source_file")
+    have = [F.col(c) if c in messages.columns else F.lit(None).cast("double" if c == "conversation_time" else "string").alias(c) for c in names]
+    order = ["row_idx"] if "row_idx" in messages.columns else [F.col("create_time").isNull().alias("late"), "create_time", "node_id"]
+    first = messages.groupBy("conversation_id").agg(F.min_by(F.struct(*have), F.struct(*order)).alias("f")).select("conversation_id", "f.*")
+    return titled(first)
 
 
 def titled(conversations: DataFrame) -> DataFrame:
@@ -53,40 +74,77 @@ def message_order(messages: DataFrame) -> DataFrame:
     return visible(messages).withColumn("pos", F.row_number().over(W.partitionBy("conversation_id").orderBy(F.col("create_time").asc_nulls_last(), "node_id")))
 
 
-def _paths(group: pd.DataFrame) -> pd.DataFrame:
-    """Root-to-leaf paths of one conversation; a cycle ends where it meets itself."""
-    parent = dict(zip(group.node_id, group.parent_node_id))
-    time = dict(zip(group.node_id, group.create_time.fillna(float("inf"))))
-    ends = sorted(set(parent) - set(group.parent_node_id.dropna()), key=lambda n: (time[n], n))
+PATHS = "conversation_id string, branch int, leaf string, depth int, pos int, node_id string"
+
+
+def _paths_of(conversation: str, nodes: list[tuple]) -> list[tuple]:
+    """Root-to-leaf paths of one conversation's nodes (id, parent, time or None, shown); a cycle ends where it meets itself.
+    Hidden nodes hold a path together but have no pos."""
+    parent = {n: p for n, p, _, _ in nodes}
+    shown = {n: s for n, _, _, s in nodes}
+    time = {n: float("inf") if t is None else t for n, _, t, _ in nodes}
     rows = []
-    for k, end in enumerate(ends, 1):
+    for k, end in enumerate(sorted(set(parent) - {p for p in parent.values() if p is not None}, key=lambda n: (time[n], n)), 1):
         path, seen, at = [], set(), end
         while at in parent and at not in seen:
             seen.add(at)
             path.append(at)
             at = parent[at]
-        rows += [(group.conversation_id.iloc[0], k, end, pos, n) for pos, n in enumerate(reversed(path))]
-    return pd.DataFrame(rows, columns=["conversation_id", "branch", "leaf", "pos", "node_id"])
+        pos = 0
+        for depth, n in enumerate(reversed(path)):
+            rows.append((conversation, k, end, depth, pos if shown[n] else None, n))
+            pos += shown[n]
+    return rows
+
+
+def _paths(batches):
+    """Batches sorted by conversation; the last conversation of each waits for the next batch."""
+    import pyarrow as pa
+
+    schema = pa.schema([("conversation_id", pa.string()), ("branch", pa.int32()), ("leaf", pa.string()), ("depth", pa.int32()), ("pos", pa.int32()), ("node_id", pa.string())])
+    at, waiting = None, []
+
+    def written(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
+
+    for batch in batches:
+        rows = []
+        for conversation, *node in zip(*(c.to_pylist() for c in batch.columns)):
+            if conversation != at:
+                rows += _paths_of(at, waiting)
+                at, waiting = conversation, []
+            waiting.append(tuple(node))
+        yield written(rows)
+    yield written(_paths_of(at, waiting))
+
+
+def all_paths(messages: DataFrame) -> DataFrame:
+    """conversation_id, branch (1 up, by the leaf's time and id), leaf, depth (from the root), pos (0 up among nodes that a path
+    shows, else null), node_id. Conversations come to a task in order, many to a batch."""
+    shown = F.col("role").isNotNull() | ~is_blank(F.col("text")) | ~is_blank(F.col("aggregate_code")) | ~is_blank(F.col("execution_output"))
+    columns = messages.select("conversation_id", "node_id", "parent_node_id", F.nanvl("create_time", F.lit(None)).alias("create_time"), shown.alias("shown"))
+    return columns.repartition("conversation_id").sortWithinPartitions("conversation_id").mapInArrow(_paths, PATHS)
 
 
 def leaf_paths(messages: DataFrame) -> DataFrame:
-    """conversation_id, branch (1 up, by the leaf's time and id), leaf, pos (0 up, from the root), node_id."""
-    columns = messages.select("conversation_id", "node_id", "parent_node_id", "create_time")
-    return columns.groupBy("conversation_id").applyInPandas(_paths, "conversation_id string, branch int, leaf string, pos int, node_id string")
+    """conversation_id, branch, leaf, pos (0 up, from the root), node_id of the nodes that a path shows."""
+    return all_paths(messages).where("pos is not null").select("conversation_id", "branch", "leaf", "pos", "node_id")
 
 
 def current_path(messages: DataFrame, current: DataFrame | None = None) -> DataFrame:
-    """The path to the conversation's current node (conversation_id, current_node), else to its latest leaf."""
-    paths = leaf_paths(messages)
-    last = W.partitionBy("conversation_id").orderBy(F.col("create_time").desc_nulls_last(), "node_id")
+    """The path to the conversation's current node (conversation_id, current_node), else to its latest leaf, the first of the
+    input (``row_idx``, or by id without it) on ties; of its nodes those that a path shows."""
+    paths = all_paths(messages)
+    last = W.partitionBy("conversation_id").orderBy(F.col("create_time").desc_nulls_last(), "row_idx" if "row_idx" in messages.columns else "node_id")
     end = leaves(messages).withColumn("r", F.row_number().over(last)).where("r = 1").select("conversation_id", F.col("node_id").alias("leaf"))
+    out = ["conversation_id", "pos", "node_id"]
     if current is None:
-        return paths.join(end, ["conversation_id", "leaf"]).select("conversation_id", "pos", "node_id")
+        return paths.join(end, ["conversation_id", "leaf"]).where("pos is not null").select(*out)
     known = current.join(messages.select("conversation_id", F.col("node_id").alias("current_node")), ["conversation_id", "current_node"])
-    on = paths.join(known.withColumnRenamed("current_node", "node_id"), ["conversation_id", "node_id"]).select("conversation_id", "branch", F.col("pos").alias("last"))
+    on = paths.join(known.withColumnRenamed("current_node", "node_id"), ["conversation_id", "node_id"]).select("conversation_id", "branch", F.col("depth").alias("last"))
     one = on.groupBy("conversation_id").agg(F.min("branch").alias("branch"), F.max("last").alias("last"))
-    named = paths.join(one, ["conversation_id", "branch"]).where("pos <= last").select("conversation_id", "pos", "node_id")
-    rest = paths.join(end.join(known, "conversation_id", "left_anti"), ["conversation_id", "leaf"]).select("conversation_id", "pos", "node_id")
+    named = paths.join(one, ["conversation_id", "branch"]).where("depth <= last and pos is not null").select(*out)
+    rest = paths.join(end.join(known, "conversation_id", "left_anti"), ["conversation_id", "leaf"]).where("pos is not null").select(*out)
     return named.unionByName(rest)
 
 

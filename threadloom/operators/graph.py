@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import folded, is_blank
+
 
 def edges(rows: DataFrame, source: Column, target: Column, kind: str, weight: Column | float = 1.0) -> DataFrame:
     w = weight if isinstance(weight, Column) else F.lit(weight)
@@ -23,11 +25,49 @@ def keyword_edges(keywords: DataFrame, most: int = 10) -> DataFrame:
 
 
 def category_edges(categories: DataFrame) -> DataFrame:
-    return edges(categories, F.col("conversation_id"), F.concat(F.lit("cat:"), "category"), "has_category", F.greatest(F.lit(1.0), F.col("score").cast("double")))
+    """The baseline's edges: its score is below 1 always, so the weight is 1."""
+    return edges(categories, F.col("conversation_id"), F.concat(F.lit("cat:"), "category"), "has_category")
+
+
+#: Edge types of a first analysis that the index replaces by its own.
+REPLACED = ("has_category", "has_secondary_category", "has_tertiary_category", "has_topic", "has_model_category", "has_model_topic", "candidate_category", "has_topic_label")
+
+
+def without_replaced(found: DataFrame) -> DataFrame:
+    return found.where(~F.col("edge_type").isin(*REPLACED))
+
+
+def similar_only(found: DataFrame) -> DataFrame:
+    return found.where("edge_type = 'similar_to'")
+
+
+def facet_edges(chosen: DataFrame, facets: DataFrame) -> DataFrame:
+    """has_category with 1 at least, has_secondary_category and has_tertiary_category with their scores, candidate_category for
+    every other prediction (conversation_id, category, score, is_selected)."""
+    f = facets.select(F.col("conversation_id").alias("c"), F.col("category").alias("c1"), F.col("secondary").alias("c2"), F.col("tertiary").alias("c3"))
+    same = lambda name: F.coalesce(folded(F.col("category")) == folded(F.col(name)), F.lit(False))
+    kind = F.when(same("c1"), "has_category").when(same("c2"), "has_secondary_category").when(same("c3"), "has_tertiary_category").when(~F.col("is_selected"), "candidate_category")
+    p = chosen.join(f, chosen.conversation_id == f.c).withColumn("kind", kind).where("kind is not null")
+    weight = F.when(F.col("kind") == "has_category", F.greatest(F.lit(1.0), "score")).otherwise(F.col("score"))
+    return p.select(F.col("conversation_id").alias("from_id"), F.concat(F.lit("cat:"), "category").alias("to_id"), F.col("kind").alias("edge_type"), weight.cast("double").alias("weight"))
 
 
-def cluster_edges(members: DataFrame) -> DataFrame:
-    return edges(members, F.col("id").cast("string"), F.col("cluster"), "belongs_to_cluster")
+def topic_edges(topics: DataFrame) -> DataFrame:
+    """has_topic and has_topic_label from (conversation_id, topics, topic_label)."""
+    each = topics.select("conversation_id", F.explode("topics").alias("topic"))
+    labels = topics.where(~is_blank(F.col("topic_label")))
+    return edges(each, F.col("conversation_id"), F.concat(F.lit("topic:"), "topic"), "has_topic").unionByName(edges(labels, F.col("conversation_id"), F.concat(F.lit("topiclabel:"), "topic_label"), "has_topic_label"))
+
+
+def similar_edges(pairs: DataFrame) -> DataFrame:
+    return edges(pairs, F.col("a").cast("string"), F.col("b").cast("string"), "similar_to", F.col("weight"))
+
+
+def group_edges(records: DataFrame, members: DataFrame, group: str, belongs: str, category: str, keyword: str, most: int = 5) -> DataFrame:
+    """Of clusters or communities: membership (``members`` has conversation_id and the group), and the first categories and
+    keywords of each record (the group, categories, keywords)."""
+    first = lambda column, prefix, kind: edges(records.select(group, F.explode(F.slice(column, 1, most)).alias("x")).where(~is_blank(F.col("x"))), F.col(group), F.concat(F.lit(prefix), "x"), kind)
+    return edges(members, F.col("conversation_id"), F.col(group), belongs).unionByName(first("categories", "cat:", category)).unionByName(first("keywords", "kw:", keyword))
 
 
 def cooccurrence_edges(pairs: DataFrame) -> DataFrame:
@@ -43,6 +83,17 @@ def deduplicated(*producers: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, producers).groupBy("from_id", "to_id", "edge_type").agg(F.max("weight").alias("weight"))
 
 
+def scoped(found: DataFrame, scope: Column | str) -> DataFrame:
+    """Edges with the scope that the database keeps: the conversation's id, or global. Metadata is never set by a producer."""
+    return found.withColumn("scope_id", scope if isinstance(scope, Column) else F.lit(scope)).withColumn("metadata_json", F.lit(None).cast("string"))
+
+
+def deduplicated_in_scope(found: DataFrame) -> DataFrame:
+    """The heaviest of each (scope, from, to, type), the first metadata on ties."""
+    best = W.partitionBy("scope_id", "from_id", "to_id", "edge_type").orderBy(F.col("weight").desc(), "metadata_json")
+    return found.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
+
+
 def kind_of(node: Column) -> Column:
     kinds = (("kw:", "keyword"), ("topic:", "topic"), ("topiclabel:", "topic_label"), ("cat:", "category"), ("cluster:", "cluster"), ("catcomm:", "category_community"))
     out = F.lit("conversation")

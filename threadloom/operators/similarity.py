@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,13 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import folded
+from .store import kept, ranked
+
 
 def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = 2048) -> DataFrame:
     """a, b (a < b), score for all pairs of (id, v) with cosine ``threshold`` or more, exactly.
 
     Rows are dealt into blocks; each pair of blocks is one group of bounded size and one matrix product, so no pair of
-    rows is ever a Spark row unless it passes. Vectors without length or dimension are left out."""
-    v = vectors.where(F.col("id").isNotNull() & (F.size("v") > 0)).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    rows is ever a Spark row unless it passes. Vectors without length or dimension are left out. Ids are numbers or texts."""
+    kind = "string" if vectors.schema["id"].dataType.simpleString() == "string" else "long"
+    v = vectors.where(F.col("id").isNotNull() & (F.size("v") > 0)).select(F.col("id").cast(kind).alias("id"), F.col("v").cast("array<double>").alias("v"))
     blocks = max(1, -(-v.count() // block_rows))
     mine = v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
@@ -35,10 +38,11 @@ def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = 2048)
         a, b = np.nonzero(score >= threshold)
         left_, right = ids[p[a]], ids[q[b]]
         keep = left_ < right if i == j else left_ != right
-        lo, hi = np.minimum(left_, right)[keep], np.maximum(left_, right)[keep]
-        return pd.DataFrame({"a": lo, "b": hi, "score": score[a, b][keep]})
+        first = (left_ < right)[keep]
+        left_, right = left_[keep], right[keep]
+        return pd.DataFrame({"a": np.where(first, left_, right), "b": np.where(first, right, left_), "score": score[a, b][keep]})
 
-    return dealt.groupBy("i", "j").applyInPandas(product, "a long, b long, score double")
+    return dealt.groupBy("i", "j").applyInPandas(product, f"a {kind}, b {kind}, score double")
 
 
 def top_edges(pairs: DataFrame, k: int = 4) -> DataFrame:
@@ -48,21 +52,15 @@ def top_edges(pairs: DataFrame, k: int = 4) -> DataFrame:
     return best.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.bround(F.max("score"), 4).alias("weight"))
 
 
-def neighbors(edges: DataFrame) -> DataFrame:
-    """id, neighbor, weight, rank: both directions, best first."""
+def neighbors(edges: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """id, neighbor, weight, rank: both directions, best first; on ties by the neighbour's title (id, title), in any case, where
+    titles are given, then by its id."""
     both = edges.select(F.col("a").alias("id"), F.col("b").alias("neighbor"), "weight").union(edges.select("b", "a", "weight"))
-    return both.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.col("weight").desc(), "neighbor")))
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """Written to the folder in spark.checkpoint.dir and read back; a set folder is shared by all executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        return df.persist()
-    path = f"{folder}/threadloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if titles is None:
+        return both.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.col("weight").desc(), "neighbor")))
+    named = both.join(titles.select(F.col("id").alias("neighbor"), "title"), "neighbor", "left").withColumn("title", F.coalesce("title", "neighbor"))
+    order = W.partitionBy("id").orderBy(F.col("weight").desc(), folded(F.col("title")), "neighbor")
+    return named.select("id", "neighbor", "title", "weight", F.row_number().over(order).alias("rank"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -81,9 +79,20 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def numbered(found: DataFrame, prefix: str = "cluster") -> DataFrame:
     """id, cluster: components numbered by their smallest id, from 0001."""
-    heads = found.select("component").distinct()
-    named = heads.withColumn("cluster", F.concat(F.lit(f"{prefix}:"), F.lpad(F.row_number().over(W.orderBy("component")).cast("string"), 4, "0")))
-    return found.join(named, "component").select("id", "cluster")
+    named = ranked(found.select("component").distinct(), [F.col("component")], "number")
+    return found.join(named, "component").select("id", F.format_string(f"{prefix}:%04d", "number").alias("cluster"))
+
+
+def snapshot(vectors: DataFrame, titles: DataFrame, threshold: float, k: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The edges and titled neighbour lists of one provider's vectors."""
+    edges = kept(top_edges(similar_pairs(vectors, threshold), k))
+    return edges, neighbors(edges, titles)
+
+
+def compared(left: DataFrame, right: DataFrame, titles: DataFrame, top: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Two providers' edges: their overlap, and the ids whose neighbours differ most, by title on ties."""
+    differences = neighbor_changes(left, right, None).join(titles, "id", "left")
+    return edge_overlap(left, right), differences.orderBy(F.col("difference").desc(), folded(F.coalesce("title", F.col("id").cast("string"))), "id").limit(top)
 
 
 def edge_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -93,12 +102,13 @@ def edge_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     return n.withColumn("jaccard", F.when(F.col("union_n") == 0, 1.0).otherwise(F.bround(F.col("overlap") / F.col("union_n"), 4)))
 
 
-def neighbor_changes(left: DataFrame, right: DataFrame, top: int = 50) -> DataFrame:
-    """id, shared, left_only, right_only, difference: the ``top`` ids whose neighbours differ most."""
+def neighbor_changes(left: DataFrame, right: DataFrame, top: int | None = 50) -> DataFrame:
+    """id, shared, left_only, right_only, difference: the ``top`` ids whose neighbours differ most, or all."""
     l = neighbors(left).select("id", "neighbor", F.lit(1).alias("l"))
     r = neighbors(right).select("id", "neighbor", F.lit(1).alias("r"))
     j = l.join(r, ["id", "neighbor"], "full").groupBy("id").agg(F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("shared"), F.count_if(F.col("r").isNull()).alias("left_only"), F.count_if(F.col("l").isNull()).alias("right_only"))
-    return j.withColumn("difference", F.col("left_only") + F.col("right_only")).orderBy(F.col("difference").desc(), "id").limit(top)
+    j = j.withColumn("difference", F.col("left_only") + F.col("right_only"))
+    return j if top is None else j.orderBy(F.col("difference").desc(), "id").limit(top)
 
 
 def embed_onnx(texts: DataFrame, model_path: str, encode, outputs: tuple[str, ...] = ("sentence_embedding", "embeddings", "last_hidden_state")) -> DataFrame:

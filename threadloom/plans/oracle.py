@@ -23,9 +23,11 @@ PATHS = """up AS (
     WHERE NOT EXISTS (SELECT 1 FROM m c WHERE c.conversation_id = m.conversation_id AND c.parent_node_id = m.node_id)
     UNION ALL
     SELECT up.conversation_id, leaf, m.node_id, m.parent_node_id, back + 1, lt FROM up JOIN m ON m.conversation_id = up.conversation_id AND m.node_id = up.parent_node_id),
+placed AS (
+    SELECT conversation_id, dense_rank() OVER (PARTITION BY conversation_id ORDER BY lt, leaf)::INT AS branch, leaf, back, node_id FROM up),
 paths AS (
-    SELECT conversation_id, dense_rank() OVER (PARTITION BY conversation_id ORDER BY lt, leaf)::INT AS branch, leaf,
-        (max(back) OVER (PARTITION BY conversation_id, leaf) - back)::INT AS pos, node_id FROM up)"""
+    SELECT conversation_id, branch, leaf, (row_number() OVER (PARTITION BY conversation_id, leaf ORDER BY back DESC) - 1)::INT AS pos, node_id
+    FROM placed JOIN m USING (conversation_id, node_id) WHERE role IS NOT NULL OR NOT regexp_matches(coalesce(text, ''), '^[\\s\\x{85}\\p{Z}]*$'))"""
 
 TRIM = lambda c: f"regexp_replace({c}, '^{SPACE}+|{SPACE}+$', '', 'g')"
 BODY = TRIM(rf"regexp_replace(regexp_replace(regexp_replace(line0, '^([#>]{SPACE}*)+', ''), '^[-*+] {SPACE}*', ''), '\*\*|__|`', ' ', 'g')")
@@ -58,7 +60,7 @@ src AS (
 src1 AS (SELECT * FROM src WHERE units > 0 AND NOT regexp_matches(coalesce(text, ''), '^{SPACE}*$')),
 {LINES('src1')},
 weighed AS (SELECT conversation_id, t, s, units::BIGINT * (CASE WHEN s THEN 115 ELSE 100 END) AS w
-    FROM (SELECT *, forced OR length(line) <= 96 OR regexp_matches(line0, '^(#|[-*+] |[0-9]+[.)])') AS s FROM toks)),
+    FROM (SELECT *, forced OR length(line) + len(regexp_extract_all(line, '[\\x{{10000}}-\\x{{10FFFF}}]')) <= 96 OR regexp_matches(line0, '^(#|[-*+] |[0-9]+[.)])') AS s FROM toks)),
 scored AS (
     SELECT conversation_id, unnest(t) AS term, w * 100 AS u FROM weighed
     UNION ALL SELECT conversation_id, t[i] || ' ' || t[i + 1], w * 175 FROM weighed, unnest(range(1, least(len(t) - 1, 7) + 1)) AS q(i) WHERE s),
@@ -113,7 +115,7 @@ def neighbors(name: str, e: str) -> str:
 E4 = f"{PAIRS}, {edges('e', 4)}"
 N4 = f"{E4}, {neighbors('n', 'e')}"
 BOTH = f"{N4}, {edges('e2', 2)}, {neighbors('n2', 'e2')}"
-CLUSTERS = f"""{PAIRS}, {edges('e1', 1)}, sym AS (SELECT a, b FROM e1 UNION ALL SELECT b, a FROM e1),
+CLUSTERS = f"""{PAIRS}, {edges('e1', 4)}, sym AS (SELECT a, b FROM e1 UNION ALL SELECT b, a FROM e1),
 reach AS (SELECT vec_id AS id, vec_id AS r FROM embeddings UNION SELECT sym.b, reach.r FROM reach JOIN sym ON sym.a = reach.id),
 comp AS (SELECT id, min(r) AS c FROM reach GROUP BY 1),
 cl AS (SELECT id, 'cluster:' || lpad((dense_rank() OVER (ORDER BY c))::VARCHAR, 4, '0') AS cluster FROM comp)"""
@@ -175,14 +177,14 @@ SQL: dict[str, str] = {
     "predictions_selected": f"WITH {PRED} SELECT * FROM sel",
     "category_facets": f"WITH {PRED} SELECT * FROM fac",
     "signature_groups": f"WITH {PRED} SELECT concat_ws(' | ', category, secondary, tertiary) AS signature, count(*) AS n FROM fac GROUP BY 1",
-    "label_examples": """WITH r AS (SELECT coalesce(nullif(trim(regexp_extract(url, '//([^/]+)', 1)), ''), 'Uncategorized') AS label, left(html, 60) AS text FROM pages),
+    "label_examples": """WITH r AS (SELECT coalesce(nullif(trim(regexp_extract(url, '//([^/]+)', 1)), ''), 'Uncategorized') AS label, html AS text FROM pages),
         n AS (SELECT CASE WHEN count(*) OVER (PARTITION BY upper(label)) < 4 THEN 'Uncategorized' ELSE label END AS label, text FROM r)
         SELECT min(label) AS label, min(text) AS text FROM n WHERE trim(text) <> '' GROUP BY upper(label), upper(text)""",
     "category_agreement": "SELECT count(*) AS rows_n, count(*) FILTER (quality = toxic) AS agreements, count(*) FILTER (toxic IS NOT NULL AND quality <> toxic) AS disagreements, round_even(count(*) FILTER (quality = toxic) / count(*), 4) AS agreement_rate FROM labels",
     "graph_edges": f"""WITH {MSGS}, {KEYWORDS}, {COOC}, {CATEGORIES}, {HIERARCHY}, every AS (
         SELECT p.node_id AS from_id, m.node_id AS to_id, 'reply' AS edge_type, 1.0::DOUBLE AS weight FROM m JOIN m p ON p.conversation_id = m.conversation_id AND p.node_id = m.parent_node_id
         UNION ALL SELECT conversation_id, 'kw:' || keyword, 'has_keyword', score FROM kws WHERE rank < 10
-        UNION ALL SELECT conversation_id, 'cat:' || category, 'has_category', greatest(1.0, score) FROM cats
+        UNION ALL SELECT conversation_id, 'cat:' || category, 'has_category', 1.0 FROM cats
         UNION ALL SELECT 'kw:' || left_keyword, 'kw:' || right_keyword, 'co_occurs_with', weight FROM cooc
         UNION ALL SELECT 'cat:' || parent, 'cat:' || child, 'category_parent', n FROM steps)
         SELECT from_id, to_id, edge_type, max(weight)::DOUBLE AS weight FROM every GROUP BY 1, 2, 3""",

@@ -138,7 +138,7 @@ def test_raw_export(spark, tmp_path):
 
 
 def test_profiles():
-    assert config.profile("onnx", neighbors=2).embedding_provider == "onnx"
+    assert config.profile("onnx", max_similar_neighbors=2).embedding_provider == "onnx"
     assert config.Config().threshold("onnx:m -> hash:384") == 0.60 and config.Config().threshold("hash:384") == 0.72
     with pytest.raises(ValueError):
         config.profile("none")

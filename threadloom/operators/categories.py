@@ -114,17 +114,28 @@ def comparison(rows: DataFrame) -> DataFrame:
     return c.withColumn("agreement_rate", F.when(F.col("rows_n") == 0, 1.0).otherwise(F.bround(F.col("agreements") / F.col("rows_n"), 4)))
 
 
-def train_classifier(examples: DataFrame, features: int = 1 << 16):
-    """A fitted text classifier (label, text) and its held-out accuracy: 80/20 by a seed, then refitted on everything."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StringIndexer
-
-    if examples.limit(20).count() < 20 or examples.select("label").distinct().limit(2).count() < 2:
-        raise ValueError("training needs 20 rows and 2 labels")
-    stages = [StringIndexer(inputCol="label", outputCol="y", handleInvalid="skip"), RegexTokenizer(inputCol="text", outputCol="w", pattern=r"\W+"), HashingTF(inputCol="w", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="x"), LogisticRegression(featuresCol="x", labelCol="y", maxIter=20, family="multinomial")]
-    train, test = examples.randomSplit([0.8, 0.2], seed=17)
-    scored = Pipeline(stages=stages).fit(train).transform(test)
-    accuracy = MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy").evaluate(scored)
-    return Pipeline(stages=stages).fit(examples), accuracy
+def predictions(baseline: DataFrame, model: DataFrame | None = None, mode: str = "hybrid", baseline_score: float = 0.75) -> DataFrame:
+    """conversation_id, pos, category, score, source: the baseline first, unless only the model counts and predicts anything; then
+    the model's (conversation_id, pos, category, score)."""
+    named = F.coalesce(F.when(F.trim("category") != "", F.trim("category")), F.lit(UNCATEGORIZED)).alias("category")
+    own = baseline.select("conversation_id", F.lit(0).alias("pos"), named, F.lit(baseline_score).alias("score"), F.lit("baseline").alias("source"))
+    if model is None:
+        return own
+    theirs = model.where(F.trim("category") != "").select("conversation_id", F.col("pos").cast("int").alias("pos"), named, F.col("score").cast("double").alias("score"), F.lit("model").alias("source"))
+    if mode == "mlnet":
+        own = own.join(theirs.select("conversation_id"), "conversation_id", "left_anti")
+    return own.unionByName(theirs)
+
+
+def compared_predictions(baseline: DataFrame, model: DataFrame, facets: DataFrame, chosen: DataFrame) -> DataFrame:
+    """conversation_id, baseline, model (its first prediction), model_score, agrees, selected_source, selected."""
+    first = model.where("pos = 1").select("conversation_id", F.col("category").alias("model"), F.col("score").alias("model_score"))
+    source = chosen.where("is_selected").select("conversation_id", F.col("source").alias("selected_source"))
+    j = baseline.select("conversation_id", F.col("category").alias("baseline")).join(first, "conversation_id", "left").join(source, "conversation_id", "left").join(facets.select("conversation_id", F.col("category").alias("selected")), "conversation_id", "left")
+    return j.withColumn("agrees", F.coalesce(F.upper("baseline") == F.upper("model"), F.lit(False)))
+
+
+def disagreements(compared: DataFrame, titles: DataFrame, top: int = 100) -> DataFrame:
+    """Rows with a model category that differs, by title."""
+    wrong = compared.where(F.col("model").isNotNull() & ~F.col("agrees"))
+    return wrong.join(titles.select("conversation_id", "title"), "conversation_id").orderBy(F.upper("title"), "conversation_id").limit(top)

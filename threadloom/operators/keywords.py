@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,6 +46,29 @@ def term_units(messages: DataFrame, titles: DataFrame | None = None) -> DataFram
     return weighed.select("conversation_id", F.inline(both)).groupBy("conversation_id", "term").agg(F.sum("w").alias("units"))
 
 
+def _greedy(take: int):
+    """Rows (conversation_id, ranked terms, their units) to the chosen terms. A conversation's list is left once enough are chosen."""
+    short = frozenset(X.SHORT_TOKENS)
+
+    def work(batches):
+        for batch in batches:
+            rows = []
+            for conversation, terms, units in zip(*(c.to_pylist() for c in batch.columns)):
+                chosen: list[tuple[str, frozenset]] = []
+                for term, n in zip(terms, units):
+                    own = frozenset(w for w in term.split(" ") if len(w) >= 3 or w in short)
+                    if any(term == t or (own and s and (own <= s or s <= own)) for t, s in chosen):
+                        continue
+                    rows.append((conversation, len(chosen), term, n, units[0]))
+                    chosen.append((term, own))
+                    if len(chosen) >= take:
+                        break
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=["conversation_id", "rank", "keyword", "units", "top"])
+
+    return work
+
+
 def keywords(terms: DataFrame, take: int = 18) -> DataFrame:
     """conversation_id, rank (0 up), keyword, score: the diverse top terms; scores are relative to the first ranked term
     without its phrase boost, so a phrase may lead with 1.0 and single words exceed it."""
@@ -52,8 +76,9 @@ def keywords(terms: DataFrame, take: int = 18) -> DataFrame:
     boost = F.when(words > 1, F.col("units") * 175).otherwise(F.col("units") * 100)
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("boosted")).alias("b"), (-F.col("words")).alias("n"), X.folded(F.col("term")).alias("u"), F.col("term"), F.col("units"))))
     ranked = terms.withColumn("words", words).withColumn("boosted", boost).groupBy("conversation_id").agg(ordered.alias("c"))
-    picked = ranked.select("conversation_id", F.get("c", F.lit(0))["units"].alias("top"), F.posexplode(X.diverse(F.col("c"), max(6, take))).alias("rank", "k"))
-    return picked.select("conversation_id", "rank", F.col("k.term").alias("keyword"), F.bround(F.col("k.units") / F.col("top"), 4).alias("score"))
+    lists = ranked.select("conversation_id", F.transform("c", lambda x: x["term"]).alias("t"), F.transform("c", lambda x: x["units"]).alias("u"))
+    picked = lists.mapInArrow(_greedy(max(6, take)), "conversation_id string, rank int, keyword string, units long, top long")
+    return picked.select("conversation_id", "rank", "keyword", F.bround(F.col("units") / F.col("top"), 4).alias("score"))
 
 
 def topics(titles: DataFrame, found: DataFrame, take: int = 8) -> DataFrame:
@@ -82,9 +107,9 @@ def categories(corpora: DataFrame, rules=CATEGORY_RULES) -> DataFrame:
 def cooccurrence(found: DataFrame, keep: int = 6, least: int = 2) -> DataFrame:
     """left_keyword, right_keyword, n, weight: pairs among each conversation's first keywords; weights are relative to
     the largest count of any pair."""
-    k = found.where(F.col("rank") < max(2, keep)).select("conversation_id", "keyword").distinct()
-    pairs = k.select("conversation_id", F.col("keyword").alias("left_keyword")).join(k.select("conversation_id", F.col("keyword").alias("right_keyword")), "conversation_id").where(X.folded(F.col("left_keyword")) < X.folded(F.col("right_keyword")))
-    counts = pairs.groupBy("left_keyword", "right_keyword").agg(F.count("*").alias("n"))
+    own = found.where(F.col("rank") < max(2, keep)).groupBy("conversation_id").agg(F.collect_set(F.struct(X.folded(F.col("keyword")).alias("u"), "keyword")).alias("k"))
+    each = own.select(F.explode("k").alias("l"), "k").select("l", F.explode("k").alias("r")).where(F.col("l.u") < F.col("r.u"))
+    counts = each.groupBy(F.col("l.keyword").alias("left_keyword"), F.col("r.keyword").alias("right_keyword")).agg(F.count("*").alias("n"))
     most = counts.agg(F.max("n").alias("most"))
     return counts.crossJoin(F.broadcast(most)).where(F.col("n") >= least).select("left_keyword", "right_keyword", "n", F.bround(F.col("n") / F.col("most"), 4).alias("weight"))
 

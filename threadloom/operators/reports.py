@@ -93,8 +93,9 @@ def search_text(columns: list[str]) -> Column:
     return F.lower(F.concat_ws(" ", *(F.when(F.trim(c) != "", F.col(c)) for c in columns)))
 
 
-def select_catalog(catalog: DataFrame, text: str | None = None, primary: str | None = None, any_of: list[str] | None = None, cluster: str | None = None, community: str | None = None) -> DataFrame:
-    """The navigator's selection; every condition is pushed down as a plain predicate."""
+def select_catalog(catalog: DataFrame, text: str | None = None, primary: str | None = None, any_of: list[str] | None = None, cluster: str | None = None, community: str | None = None, only: tuple[str, ...] = ()) -> DataFrame:
+    """The navigator's selection; every condition is pushed down as a plain predicate. ``only`` names conditions that must hold:
+    disagreements, bridges, strong."""
     conditions = [F.lit(True)]
     if text:
         conditions.append(F.contains(F.col("search_text"), F.lit(text.lower())))
@@ -105,16 +106,30 @@ def select_catalog(catalog: DataFrame, text: str | None = None, primary: str | N
     for name, value in (("cluster", cluster), ("community", community)):
         if value:
             conditions.append(F.col(name) == value)
+    holds = {"disagreements": "category_disagrees", "bridges": "bridge_score > 0", "strong": "strong_signal"}
+    conditions += [F.expr(holds[name]) for name in only]
     return catalog.where(reduce(Column.__and__, conditions))
 
 
-SORTS = {"title": [F.upper, "title"], "bridge": "bridge_score", "perspective": "score", "created": "started"}
+#: Columns by which the catalog is shown, the largest first.
+SORTS = {"bridge": ["bridge_score", "perspective_score"], "perspective": ["perspective_score", "bridge_score"], "created": ["created"], "title": []}
 
 
 def sort_catalog(catalog: DataFrame, mode: str) -> DataFrame:
-    if mode == "title":
-        return catalog.orderBy(F.upper("title"), "id")
-    return catalog.orderBy(F.col(str(SORTS[mode])).desc_nulls_last(), "id")
+    return catalog.orderBy(*(F.col(c).desc_nulls_last() for c in SORTS[mode]), F.upper("title"), "conversation_id")
+
+
+def perspective_counts(rows: DataFrame) -> DataFrame:
+    """disagreements, divergences, strong signals of perspective rows."""
+    return rows.agg(F.count_if("disagrees").alias("category_disagreements"), F.count_if(F.col("difference") > 0).alias("embedding_divergences"), F.count_if("strong").alias("strong_signals"))
+
+
+def perspective_lists(rows: DataFrame, left: DataFrame, right: DataFrame, most: int = 5) -> DataFrame:
+    """The rows with left_examples and right_examples: the first neighbours that only one side has."""
+    for a, b, name in ((left, right, "left_examples"), (right, left, "right_examples")):
+        only = a.join(b.select("id", "neighbor"), ["id", "neighbor"], "left_anti").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("rank"))).where(F.col("r") <= most)
+        rows = rows.join(only.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("r", "neighbor", "weight"))).alias(name)), "id", "left")
+    return rows
 
 
 def profile_matrix(runs: DataFrame) -> DataFrame:
@@ -129,6 +144,22 @@ def profile_matrix(runs: DataFrame) -> DataFrame:
     )
 
 
+def full_profile_matrix(runs: DataFrame) -> DataFrame:
+    """id, title, profiles, distinct categories, topics and clusters, bridge and perspective scores, and the values by profile as
+    text, from (profile, id, title, category, topic_label, cluster_label, bridge_score, perspective_score)."""
+    mapped = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.concat_ws("=", "profile", c)))), "; ")
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), " | ")
+    named = {"category": ("categories", "category_list", "category_map"), "topic_label": ("topic_labels", "topic_list", "topic_map"), "cluster_label": ("cluster_labels", "cluster_list", "cluster_map")}
+    texts = [x for c, (n, l, m) in named.items() for x in (F.countDistinct(c).alias(n), listed(c).alias(l), mapped(c).alias(m))]
+    scores = [F.max("bridge_score").alias("max_bridge"), F.bround(F.avg("bridge_score"), 3).alias("avg_bridge"), F.max("perspective_score").alias("max_perspective"), F.bround(F.avg("perspective_score"), 3).alias("avg_perspective")]
+    return runs.groupBy("id").agg(F.min_by("title", F.struct(F.col("title").isNull(), F.col("profile"))).alias("title"), F.count("*").alias("profiles"), *texts, *scores)
+
+
+def profile_summaries(runs: DataFrame) -> DataFrame:
+    """profile, conversations, categories, clusters, bridges, mean_bridge."""
+    return runs.groupBy("profile").agg(F.count("*").alias("conversations"), F.countDistinct("category").alias("categories"), F.countDistinct("cluster_label").alias("clusters"), F.count_if(F.col("bridge_score") > 0).alias("bridges"), F.bround(F.avg("bridge_score"), 3).alias("mean_bridge"))
+
+
 def profile_agreement(runs: DataFrame) -> DataFrame:
     """left_profile, right_profile, compared, match_rate for each pair of profiles."""
     l = runs.select(F.col("profile").alias("left_profile"), "id", F.col("category").alias("c1"))

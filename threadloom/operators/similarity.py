@@ -111,23 +111,47 @@ def neighbor_changes(left: DataFrame, right: DataFrame, top: int | None = 50) ->
     return j if top is None else j.orderBy(F.col("difference").desc(), "id").limit(top)
 
 
-def embed_onnx(texts: DataFrame, model_path: str, encode, outputs: tuple[str, ...] = ("sentence_embedding", "embeddings", "last_hidden_state")) -> DataFrame:
-    """id, v from (id, text) by an ONNX model; ``encode`` turns a list of texts into the model's inputs. One session a
-    worker; token outputs are pooled over the attention mask, and vectors scaled to length 1."""
+def devices(mode: str) -> list[str]:
+    """Execution providers to try in order."""
+    chains = {"cpu": [], "cuda": ["CUDAExecutionProvider"], "directml": ["DmlExecutionProvider"], "auto": ["CUDAExecutionProvider", "DmlExecutionProvider"]}
+    return [*chains[mode], "CPUExecutionProvider"]
+
+
+def inputs_of(pieces, most: int):
+    """Texts to a model's input arrays."""
+
+    def encode(texts: list[str]) -> dict[str, np.ndarray]:
+        rows = [pieces.encode(t or "", most) for t in texts]
+        return {name: np.array([r[i] for r in rows], np.int64) for i, name in enumerate(("input_ids", "attention_mask", "token_type_ids"))}
+
+    return encode
+
+
+def pooled(x: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
+    """One vector a row of length 1: token outputs are averaged over the mask."""
+    if x.ndim == 3:
+        m = mask[:, :, None]
+        x = (x * m).sum(axis=1) / np.maximum(m.sum(axis=1), 1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def embed_onnx(texts: DataFrame, model_path: str, encode, outputs: tuple[str, ...] = ("sentence_embedding", "embeddings", "last_hidden_state"), devices: list[str] | None = None, batch: int = 64) -> DataFrame:
+    """id, v from (id, text) by an ONNX model that executors can read at ``model_path``; ``encode`` turns a list of texts into the
+    model's inputs, of which it gets those that it has, in its integer type. One session a worker, on the first device there is."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import onnxruntime
 
-        session = onnxruntime.InferenceSession(model_path)
+        have = onnxruntime.get_available_providers()
+        session = onnxruntime.InferenceSession(model_path, providers=[d for d in devices or ["CPUExecutionProvider"] if d in have])
         names = [o.name for o in session.get_outputs()]
         name = next((o for o in outputs if o in names), names[0])
+        kinds = {i.name: np.int32 if "int32" in i.type else np.int64 for i in session.get_inputs()}
         for frame in frames:
-            inputs = encode(frame.text.tolist())
-            x = session.run([name], inputs)[0]
-            if x.ndim == 3:
-                m = inputs["attention_mask"][:, :, None]
-                x = (x * m).sum(axis=1) / np.maximum(m.sum(axis=1), 1)
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            yield pd.DataFrame({"id": frame.id, "v": list(x.astype(np.float64))})
+            for at in range(0, len(frame), batch):
+                some = frame.iloc[at : at + batch]
+                inputs = encode(some.text.tolist())
+                x = session.run([name], {k: inputs[k].astype(t) for k, t in kinds.items()})[0]
+                yield pd.DataFrame({"id": some.id, "v": list(pooled(x, inputs.get("attention_mask")).astype(np.float64))})
 
     return texts.mapInPandas(run, f"id {texts.schema['id'].dataType.simpleString()}, v array<double>")

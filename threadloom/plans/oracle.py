@@ -214,4 +214,26 @@ SQL: dict[str, str] = {
         SELECT id, search_text FROM s WHERE contains(search_text, 'c1') AND (category IN ('c1', 'c2') OR secondary IN ('c1', 'c2') OR tertiary IN ('c1', 'c2'))""",
     "text_filter": f"WITH {MSGS} SELECT conversation_id, node_id, role FROM m WHERE regexp_matches(text, '(?i)the|plot|chart')",
     "scalar_formats": f"""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%SZ') AS at, event_type || '_' || user_id AS file_name, ({FNV % 'event_type'})::BIGINT AS fnv, user_id::VARCHAR AS leaf FROM events""",
+    "prediction_edges": f"""WITH {PRED} SELECT s.conversation_id AS from_id, 'cat:' || s.category AS to_id,
+        CASE WHEN s.category = f.category THEN 'has_category' WHEN s.category = f.secondary THEN 'has_secondary_category' WHEN s.category = f.tertiary THEN 'has_tertiary_category' ELSE 'candidate_category' END AS edge_type,
+        CASE WHEN s.category = f.category THEN greatest(1.0, s.score) ELSE s.score END::DOUBLE AS weight FROM sel s JOIN fac f USING (conversation_id)""",
+    "prediction_comparison": f"""WITH {PRED} SELECT b.conversation_id, b.category AS baseline, m.category AS model, m.score AS model_score, s.source AS selected_source, s.category AS selected, b.category = m.category AS agrees
+        FROM pred b JOIN pred m ON m.conversation_id = b.conversation_id AND m.pos = 1 JOIN sel s ON s.conversation_id = b.conversation_id AND s.rank = 1 WHERE b.pos = 0""",
+    "label_distribution": "SELECT regexp_extract(url, '//([^/]+)', 1) AS label, count(*) AS n FROM pages GROUP BY 1",
+    "perspective_summary": f"""WITH {BOTH}, j AS (SELECT coalesce(n.id, n2.id) AS id, n.id AS l, n2.id AS r FROM n FULL JOIN n2 ON n.id = n2.id AND n.neighbor = n2.neighbor),
+        c AS (SELECT id, count(*) FILTER (r IS NULL OR l IS NULL) AS d FROM j GROUP BY 1),
+        x AS (SELECT vec_id % 9 = 0 AS wrong, coalesce(d, 0) AS d FROM embeddings LEFT JOIN c ON c.id = vec_id)
+        SELECT count(*) FILTER (wrong) AS category_disagreements, count(*) FILTER (d > 0) AS embedding_divergences, count(*) FILTER (wrong OR d >= 4) AS strong_signals FROM x""",
+    "profile_summaries": f"WITH {RUNS} SELECT profile, count(*) AS conversations, count(DISTINCT category) AS categories, 1::BIGINT AS clusters, count(*) FILTER (bridge_score > 0) AS bridges, round_even(avg(bridge_score), 3) AS mean_bridge FROM runs GROUP BY 1",
+    "profile_full_matrix": f"""WITH {RUNS}, r AS (SELECT *, lower(category) AS topic_label, CASE WHEN id % 2 = 0 THEN category END AS cluster_label FROM runs)
+        SELECT id, 't' || id AS title, count(*) AS profiles, count(DISTINCT category) AS categories, array_to_string(list_sort(list(DISTINCT category)), ' | ') AS category_list, string_agg(profile || '=' || category, '; ' ORDER BY profile) AS category_map,
+        count(DISTINCT topic_label) AS topic_labels, array_to_string(list_sort(list(DISTINCT topic_label)), ' | ') AS topic_list, string_agg(profile || '=' || topic_label, '; ' ORDER BY profile) AS topic_map,
+        count(DISTINCT cluster_label) AS cluster_labels, coalesce(array_to_string(list_sort(list(DISTINCT cluster_label) FILTER (cluster_label IS NOT NULL)), ' | '), '') AS cluster_list, coalesce(string_agg(profile || '=' || cluster_label, '; ' ORDER BY profile), '') AS cluster_map,
+        max(bridge_score) AS max_bridge, round_even(avg(bridge_score), 3) AS avg_bridge, max(bridge_score * 2) AS max_perspective, round_even(avg(bridge_score * 2), 3) AS avg_perspective
+        FROM r GROUP BY id HAVING max(bridge_score) > 0 OR count(DISTINCT category) > 1 ORDER BY max_bridge DESC, max_perspective DESC, upper(title), id LIMIT 75""",
+    "score_softmax": """WITH v AS (SELECT vec_id AS id, list_transform(embedding[1:5], lambda x: x::DOUBLE) AS v FROM embeddings), e AS (SELECT id, list_transform(v, lambda x: exp(x - list_max(v))) AS e FROM v)
+        SELECT id, (i - 1)::INT AS pos, round(e[i] / list_sum(e), 9) AS score FROM e, unnest(range(1, len(e) + 1)) AS q(i)""",
+    "scalar_labels": r"""SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(trim(translate(p_type || '_' || p_name, '_-', '  ')), '\p{L}[\p{L}\p{M}\p{N}'']*|[^\p{L}]+'),
+        lambda w: CASE WHEN regexp_matches(w, '^\p{L}') AND regexp_matches(w, '\p{Ll}') THEN upper(left(w, 1)) || lower(substr(w, 2)) ELSE w END), '') AS label,
+        url_encode(p_name) AS href, regexp_replace(regexp_replace(round(CAST(p_retailprice / 7 AS DECIMAL(38, 12)), 3)::VARCHAR, '(\.[0-9]*?)0+$', '\1'), '\.$', '') AS price FROM part""",
 }

@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import categories as C
-from ..operators import forest, graph, keywords, reports, similarity
+from ..operators import classifier, forest, graph, keywords, reports, similarity
+from ..operators.store import kept
+from ..sources import sinks
 from ..sources.tables import messages, table
+from . import config, index
+from . import main as runs_of
 
 THRESHOLD = 0.30
 
@@ -31,6 +35,11 @@ def _keywords(s: SparkSession, d: str) -> DataFrame:
     return keywords.keywords(_terms(s, d))
 
 
+def _index(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    m = messages(s, d)
+    return index.build(m.join(_titles(forest.usable(m)), "conversation_id", "left"), config.profile("heuristic"))
+
+
 def _doc_category(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select(F.col("doc_id").alias("id"), F.concat_ws("/", "lang", "source").alias("category"))
 
@@ -166,12 +175,12 @@ def cluster_sizes(s, d):
 
 
 def embedding_overlap(s, d):
-    p = similarity.kept(_pairs(s, d))
+    p = kept(_pairs(s, d))
     return similarity.edge_overlap(similarity.top_edges(p, 4), similarity.top_edges(p, 2))
 
 
 def neighbor_changes(s, d):
-    p = similarity.kept(_pairs(s, d))
+    p = kept(_pairs(s, d))
     return similarity.neighbor_changes(similarity.top_edges(p, 4), similarity.top_edges(p, 2))
 
 
@@ -201,7 +210,7 @@ def category_agreement(s, d):
 
 def graph_edges(s, d):
     m = messages(s, d)
-    k = _keywords(s, d)
+    k = kept(_keywords(s, d))
     return graph.deduplicated(graph.reply_edges(forest.linked(m)), graph.keyword_edges(k), graph.category_edges(keywords.categories(forest.corpus(m))), graph.cooccurrence_edges(keywords.cooccurrence(k)), graph.hierarchy_edges(keywords.hierarchy(_doc_category(s, d))))
 
 
@@ -229,7 +238,7 @@ def cross_category(s, d):
 
 
 def perspective(s, d):
-    p = similarity.kept(_pairs(s, d))
+    p = kept(_pairs(s, d))
     wrong = _catalog(s, d).select("id", (F.col("id") % 9 == 0).alias("disagrees"))
     return reports.perspective(wrong, similarity.neighbors(similarity.top_edges(p, 4)), similarity.neighbors(similarity.top_edges(p, 2)))
 
@@ -269,6 +278,82 @@ def scalar_formats(s, d):
     return e.select("event_id", X.unix_text(unix).alias("at"), X.file_name(F.concat_ws(":", "event_type", F.col("user_id").cast("string"))).alias("file_name"), X.fnv1a(F.col("event_type")).alias("fnv"), X.leaf(F.concat_ws(" / ", "event_type", F.col("user_id").cast("string"))).alias("leaf"))
 
 
+def index_catalog(s, d):
+    listed = ("keywords", "predictions", "neighbors", "topics", "neighbor_categories")
+    return _index(s, d)["catalog"].withColumns({c: F.to_json(c) for c in listed})
+
+
+def index_summary(s, d):
+    return _index(s, d)["summary"]
+
+
+def index_edges(s, d):
+    return _index(s, d)["edges"].drop("metadata_json")
+
+
+def index_nodes(s, d):
+    return _index(s, d)["nodes"]
+
+
+def index_clusters(s, d):
+    return _index(s, d)["clusters"].withColumns({c: F.array_join(c, " | ") for c in ("ids", "keywords", "categories")})
+
+
+def index_communities(s, d):
+    return _index(s, d)["communities"].withColumns({c: F.array_join(c, " | ") for c in ("ids", "keywords", "categories")})
+
+
+def index_transcripts(s, d):
+    return sinks.transcripts(_index(s, d)).select("conversation_id", "branch", "name", F.sha2("document", 256).alias("document_sha256"))
+
+
+def index_examples(s, d):
+    return index.examples(_index(s, d))
+
+
+def prediction_edges(s, d):
+    chosen = C.selected(_predictions(s, d))
+    return graph.facet_edges(chosen, C.facets(chosen))
+
+
+def prediction_comparison(s, d):
+    p = _predictions(s, d)
+    chosen = C.selected(p)
+    of = lambda source: p.where(F.col("source") == source)
+    return C.compared_predictions(of("baseline"), of("model"), C.facets(chosen), chosen)
+
+
+def label_distribution(s, d):
+    return classifier.label_distribution(table(s, d, "pages").select(F.regexp_extract("url", r"//([^/]+)", 1).alias("label")))
+
+
+def perspective_summary(s, d):
+    p = kept(_pairs(s, d))
+    wrong = _catalog(s, d).select("id", (F.col("id") % 9 == 0).alias("disagrees"))
+    left, right = (similarity.neighbors(similarity.top_edges(p, k)) for k in (4, 2))
+    return reports.perspective_counts(reports.perspective(wrong, left, right, 1 << 30))
+
+
+def profile_summaries(s, d):
+    return reports.profile_summaries(_runs(s, d).withColumn("cluster_label", F.lit("c")))
+
+
+def profile_full_matrix(s, d):
+    r = _runs(s, d)
+    named = r.withColumn("title", F.concat(F.lit("t"), "id")).withColumn("topic_label", F.lower("category")).withColumn("cluster_label", F.when(F.col("id") % 2 == 0, F.col("category"))).withColumn("perspective_score", F.col("bridge_score") * 2)
+    return runs_of.profile_report(named)["hot_paths"]
+
+
+def score_softmax(s, d):
+    v = _vectors(s, d).select("id", F.posexplode(classifier.softmax(F.slice(F.col("v").cast("array<double>"), 1, 5))).alias("pos", "score"))
+    return v.select("id", "pos", F.round("score", 9).alias("score"))
+
+
+def scalar_labels(s, d):
+    p = table(s, d, "part")
+    return p.select("p_partkey", X.humanized(F.concat_ws("_", "p_type", "p_name")).alias("label"), X.href(F.col("p_name")).alias("href"), X.short_number(F.col("p_retailprice") / 7).alias("price"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -277,5 +362,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         cluster_sizes, embedding_overlap, neighbor_changes, predictions_selected, category_facets, category_communities, signature_groups, label_examples,
         category_agreement, graph_edges, graph_nodes, bridge_scores, category_blends, category_insights, cross_category, perspective, primary_categories,
         profile_matrix, profile_agreement, profile_hot_paths, profile_top_bridges, catalog_selection, text_filter, scalar_formats,
+        index_catalog, index_summary, index_edges, index_nodes, index_clusters, index_communities, index_transcripts, index_examples,
+        prediction_edges, prediction_comparison, label_distribution, perspective_summary, profile_summaries, profile_full_matrix, score_softmax, scalar_labels,
     )
 }

@@ -1,10 +1,14 @@
-"""Sinks: relational tables, quoted CSV, JSON, DOT lines, transcripts."""
+"""Sinks: relational tables, quoted CSV, JSON, DOT, transcripts, reports."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
+RULE, LINE = "=" * 80, "-" * 80
+
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     """One Parquet table each, replaced."""
@@ -13,23 +17,158 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """All fields quoted, quotes doubled, lists joined by " | "."""
-    flat = df.select(*(F.array_join(F.col(c).cast("array<string>"), " | ").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes))
-    flat.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    """All fields quoted, quotes doubled, lists joined by " | "; lists of structs as JSON."""
+    def flat(name: str, kind: str) -> Column:
+        c = F.col(name)
+        if kind.startswith(("array<struct", "struct", "map")):
+            return F.to_json(c).alias(name)
+        return F.array_join(c.cast("array<string>"), " | ").alias(name) if kind.startswith("array") else c
+
+    df.select(*(flat(*x) for x in df.dtypes)).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_normalized(messages: DataFrame, path: str) -> None:
+    """Messages as JSON, by time."""
+    messages.orderBy(F.col("create_time").asc_nulls_first(), "conversation_id", "node_id").write.mode("overwrite").json(path)
+
+
+SHAPES = (("conversation", "box"), ("message", "ellipse"), ("keyword", "oval"), ("topic", "diamond"), ("topic_label", "diamond"), ("category", "hexagon"), ("cluster", "folder"), ("category_community", "component"))
+
+
 def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The graph's DOT lines, between which a writer puts the braces."""
+    """The graph's DOT lines, between which a writer puts the braces; a node's shape tells its kind."""
     esc = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    n = nodes.select(F.format_string('  "%s" [label="%s"];', esc(F.col("id")), esc(F.col("label"))).alias("line"))
+    shape = F.lit("ellipse")
+    for kind, name in SHAPES:
+        shape = F.when(F.col("kind") == kind, name).otherwise(shape)
+    n = nodes.select(F.format_string('  "%s" [label="%s",shape=%s];', esc(F.col("id")), esc(F.coalesce("label", F.lit(""))), shape).alias("line"))
     e = edges.select(F.format_string('  "%s" -> "%s" [label="%s"];', esc(F.col("from_id")), esc(F.col("to_id")), F.col("edge_type")).alias("line"))
     return n.unionByName(e)
 
 
-def write_transcripts(transcripts: DataFrame, path: str) -> None:
-    """Text files in a folder for each conversation and branch."""
-    transcripts.select("conversation_id", "branch", F.col("document").alias("value")).write.mode("overwrite").partitionBy("conversation_id", "branch").text(path)
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Nodes and edges as JSON lines, and the DOT lines."""
+    write_json(nodes, f"{path}/nodes")
+    write_json(edges, f"{path}/edges")
+    dot_lines(nodes, edges).select(F.col("line").alias("value")).write.mode("overwrite").text(f"{path}/dot")
+
+
+def database(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The relational tables of an index, one row a key; edges carry their scope."""
+    members = lambda name, group: t[name].select(F.col(group).alias(f"{group}_id"), "conversation_id")
+    c = t["catalog"].select("conversation_id", "title", "created", "source_file", "category", "secondary", "tertiary", "category_source", "community", "community_label", "cluster", "cluster_label", "topic_label", "model_summary", "branches")
+    shown = t["messages"].where(F.col("role").isNotNull() | ~X.is_blank(F.col("text")) | ~X.is_blank(F.col("aggregate_code")))
+    return {
+        "conversations": c.withColumn("embedding_provider", F.lit(None).cast("string")) if "summary" not in t else c.crossJoin(F.broadcast(t["summary"].select("embedding_provider"))),
+        "messages": shown.dropDuplicates(["node_id"]),
+        "conversation_keywords": t["keywords"].groupBy("conversation_id", "keyword").agg(F.max("score").alias("score")),
+        "conversation_topics": t["topics"].join(t["facets"].select("conversation_id", "category"), "conversation_id", "left").select("conversation_id", F.explode(F.array_distinct("topics")).alias("topic"), "category", "topic_label"),
+        "conversation_chunks": t["chunks"].dropDuplicates(["conversation_id", "chunk_hash"]).select("conversation_id", "node_id", "kind", "chunk_hash", "chunk", "tokens"),
+        "conversation_category_predictions": t["predictions"],
+        "conversation_embeddings": t["vectors"].select(F.col("id").alias("conversation_id"), F.to_json("v").alias("vector_json"), F.size("v").alias("dimensions")),
+        "topic_clusters": t["clusters"].select(F.col("cluster").alias("cluster_id"), "label", "summary", "category", F.to_json("keywords").alias("keywords_json")),
+        "topic_cluster_members": members("cluster_members", "cluster"),
+        "category_communities": t["communities"].select(F.col("community").alias("community_id"), "label", "summary", "category", F.to_json("categories").alias("categories_json"), F.to_json("keywords").alias("keywords_json")),
+        "category_community_members": members("community_members", "community"),
+        "keyword_cooccurrence": t["cooccurrence"],
+        "category_hierarchy": t["hierarchy"],
+        "graph_edges": t["edges"],
+    }
+
+
+def _line(name: str, value: Column, always: bool = False) -> Column:
+    out = F.concat(F.lit(f"{name}: "), F.coalesce(value.cast("string"), F.lit("")), F.lit("\n"))
+    return out if always else F.when(~X.is_blank(value.cast("string")), out).otherwise(F.lit(""))
+
+
+def node_text() -> Column:
+    """A message with its heading, and code, output and attachments in blocks of their own."""
+    tail = lambda c: F.regexp_replace(F.col(c), r"\s+$", "")
+    have = lambda c, body: F.when(~X.is_blank(F.col(c)), body).otherwise(F.lit(""))
+    block = lambda c, name: have(c, F.concat(F.lit(f"\n```{name}\n"), tail(c), F.lit("\n```\n")))
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    head = F.concat(F.lit("["), F.coalesce("role", F.lit("unknown")), F.lit("] Node="), "node_id", F.lit(" Parent="), empty(F.col("parent_node_id")), F.lit(" Time="), X.unix_text(F.col("create_time")), F.lit(" ContentType="), empty(F.col("content_type")), F.lit("\n"))
+    return F.concat(head, have("text", F.concat(tail("text"), F.lit("\n"))), block("aggregate_code", "code"), block("execution_output", "execution_output"), have("attachments_json", F.concat(F.lit("\nAttachments:\n"), tail("attachments_json"), F.lit("\n"))), F.lit(f"\n{LINE}\n\n"))
+
+
+def _nodes(messages: DataFrame) -> DataFrame:
+    missing = [c for c in ("content_type", "attachments_json", "parent_node_id") if c not in messages.columns]
+    m = messages.withColumns({c: F.lit(None).cast("string") for c in missing})
+    return m.select("conversation_id", "node_id", node_text().alias("part"))
+
+
+def _joined(paths: DataFrame, nodes: DataFrame, *key: str) -> DataFrame:
+    j = paths.join(nodes, ["conversation_id", "node_id"]).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("p"))
+    return j.select(*key, F.array_join(F.transform("p", lambda s: s["part"]), "").alias("body"))
+
+
+def transcripts(t: dict[str, DataFrame]) -> DataFrame:
+    """conversation_id, branch (0: the current path), name, document of every conversation and branch of an index."""
+    counts = t["chunks"].groupBy("conversation_id").agg(F.count("*").alias("chunk_n"), F.sum("tokens").alias("chunk_tokens"))
+    current = t["conversations"].select("conversation_id", "current_node")
+    a = t["catalog"].join(counts, "conversation_id", "left").join(current, "conversation_id", "left")
+    comma = lambda c: F.array_join(c, ", ")
+    words = comma(F.transform("keywords", lambda k: F.concat(k["keyword"], F.lit(":"), X.short_number(k["score"]))))
+    mark = lambda p: F.concat(p["category"], F.lit(":"), X.short_number(p["score"]), F.lit(" ["), p["source"], F.when(p["is_selected"], ",selected").otherwise(""), F.lit("]"))
+    col = F.col
+    head = [_line("Title", col("title"), True), _line("ConversationId", col("conversation_id"), True)]
+    facets = [_line("Category", col("category"), True), _line("SecondaryCategory", col("secondary")), _line("TertiaryCategory", col("tertiary"))]
+    community = [_line("CategoryCommunity", col("community")), _line("CategoryCommunityLabel", col("community_label"))]
+    sizes = [_line("ChunkCount", col("chunk_n")), _line("ChunkTokens", col("chunk_tokens")), _line("Topics", comma("topics"), True)]
+    group = [_line("TopicLabel", col("topic_label")), _line("TopicCluster", col("cluster")), _line("TopicClusterLabel", col("cluster_label"))]
+    main = F.concat(*head, _line("SourceFile", col("source_file"), True), _line("Created", col("created"), True), _line("CurrentNode", col("current_node"), True), *facets, _line("CategorySource", col("category_source")), *community, *sizes, *group, _line("TopicClusterSummary", col("cluster_summary")), _line("Keywords", words, True), _line("CategoryCandidates", comma(F.transform("predictions", mark))), _line("ModelSummary", col("model_summary")), F.lit(f"{RULE}\n\n"))
+    branch = F.concat(*head, _line("Branch", col("branch"), True), *facets, *community, *sizes, *group, F.lit(f"{LINE}\n\n"))
+    nodes, name = _nodes(t["messages"]), X.safe_name(col("title"), col("conversation_id"))
+    body = F.coalesce("body", F.lit(""))
+    one = a.join(_joined(t["current"], nodes, "conversation_id"), "conversation_id", "left").select("conversation_id", F.lit(0).alias("branch"), name.alias("name"), F.concat(main, body).alias("document"))
+    each = a.join(_joined(t["paths"], nodes, "conversation_id", "branch"), "conversation_id").select("conversation_id", "branch", F.concat(name, F.format_string("__branch-%03d", "branch")).alias("name"), F.concat(branch, body).alias("document"))
+    return one.unionByName(each)
+
+
+def write_transcripts(documents: DataFrame, path: str) -> None:
+    """A folder for each conversation and branch, with the document as text (UTF-8, no mark in front)."""
+    documents.select("conversation_id", "branch", F.col("document").alias("value")).write.mode("overwrite").partitionBy("conversation_id", "branch").text(path)
+
+
+def markdown(title: str, sections: dict[str, DataFrame], top: int = 25) -> str:
+    """A report for reading: the first rows of each list."""
+    out = [f"# {title}", ""]
+    for name, df in sections.items():
+        rows = df.limit(top).collect()
+        out += [f"## {name.replace('_', ' ').capitalize()}", ""]
+        if not rows:
+            out += ["None.", ""]
+            continue
+        cell = lambda v: "" if v is None else ", ".join(map(str, v)) if isinstance(v, list) else f"{v:,}" if isinstance(v, int) and not isinstance(v, bool) else str(v).replace("|", "\\|").replace("\n", " ")
+        out += ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(cell(v) for v in r) + " |" for r in rows), ""]
+    return "\n".join(out)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One text file in a folder of Spark's."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_reports(t: dict[str, DataFrame], lists: dict[str, DataFrame], path: str) -> None:
+    """Insights as JSON and Markdown, the four overviews as CSV, and the navigator's data."""
+    spark = t["catalog"].sparkSession
+    for name, df in lists.items():
+        write_json(df, f"{path}/insights/{name}")
+    write_text(spark, markdown("Corpus insights", {"summary": t["summary"], **lists}), f"{path}/insights_md")
+    short = ["conversation_id", "title", "created", "source_file", "branches", "category", "secondary", "tertiary", "category_source", "community", "community_label", "cluster", "cluster_label", "topic_label", "topics", "keywords", "bridge_score", "perspective_score", "category_disagrees", "transcript_path"]
+    write_csv(t["catalog"].select(*short), f"{path}/catalog")
+    write_csv(t["communities"], f"{path}/communities")
+    write_csv(lists["bridges"], f"{path}/bridges")
+    write_csv(t["clusters"], f"{path}/clusters")
+    write_json(t["catalog"], f"{path}/navigator/conversations")
+    write_json(t["summary"], f"{path}/navigator/summary")
+
+
+def write_selection(rows: DataFrame, path: str) -> None:
+    """A selection of the catalog as JSON and CSV."""
+    write_json(rows, f"{path}/json")
+    write_csv(rows, f"{path}/csv")

@@ -448,7 +448,7 @@ def test_code_lengths():
             assert np.allclose(got[i], want, rtol=1e-4), t
 
 
-@pytest.mark.parametrize("name", ["op1_decontaminate", "op3_mixing", "op5_line_dedup"])
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op3_mixing", "op5_line_dedup", "op6_secrets"])
 def test_against_sql(spark, name):
     import duckdb
 

@@ -83,7 +83,37 @@ QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_mixing, op4_n
 
 LOWERED = f"translate(coalesce(text, ''), '{common.UPPER}', '{common.UPPER.lower()}')"
 
+
+
+def _secret_matches() -> str:
+    """One row a match: where its pattern's matches so far, and what lies between them, add up to."""
+    quoted = [p.replace("'", "''") for p in (secrets.PATTERNS["assign"], secrets.QUICK["access"], secrets.QUICK["hex"], secrets.WIDE)]
+    return " UNION ALL ".join(f"SELECT doc_id, source, {r} AS rank, regexp_extract_all(x, '{p}') AS m, string_split_regex(x, '{p}') AS g FROM t WHERE regexp_matches(x, '{p}')" for r, p in enumerate(quoted))
+
+
+_VALUE = "regexp_extract(v, '{}', 2)".format(secrets.PATTERNS["assign"].replace("'", "''"))
+_WRITTEN = "coalesce(string_agg(kind || ':' || (till - n) || ':' || till, ',' ORDER BY till - n, rank){}, '')"
+
 SQL = {
+    "op6_secrets": f"""
+        WITH t AS (SELECT doc_id, source, coalesce(text, '') AS x FROM documents),
+        f AS ({_secret_matches()}),
+        each AS (SELECT doc_id, source, rank, i, m[i] AS v, length(m[i]) AS n, length(g[i]) AS gap FROM f, unnest(range(1, len(m) + 1)) AS u(i)),
+        owners AS (
+            SELECT CASE WHEN rank = 0 THEN {_VALUE} ELSE v END AS secret, count(DISTINCT coalesce(doc_id::VARCHAR, '')) AS repos, count(DISTINCT coalesce(source, '')) AS owners FROM each GROUP BY 1),
+        placed AS (SELECT *, (sum(gap + n) OVER (PARTITION BY doc_id, rank ORDER BY i))::BIGINT AS till FROM each),
+        good AS (
+            SELECT *, ['assign', 'access', 'hex', 'owned'][rank + 1] AS kind FROM placed
+            WHERE CASE rank WHEN 0 THEN length({_VALUE}) >= 6 WHEN 3 THEN regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]') ELSE true END),
+        kept AS (
+            SELECT * FROM good g WHERE rank < 3 OR (
+                NOT EXISTS (SELECT 1 FROM good b WHERE b.doc_id = g.doc_id AND b.rank < 3 AND b.till - b.n < g.till AND g.till - g.n < b.till)
+                AND v IN (SELECT secret FROM owners WHERE repos <= 20 AND owners <= 1))),
+        found AS (
+            SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+                {_WRITTEN.format(" FILTER (rank < 3)")} AS base, {_WRITTEN.format("")} AS spans FROM kept GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+            sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN found USING (doc_id)""",
     "op1_decontaminate": rf"""
         WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         b AS (SELECT DISTINCT item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -231,6 +231,47 @@ def test_language_model_hooks(messages):
     assert {r.label for r in t["clusters"].collect()} == {"named"} and t["clusters"].first().summary == "a summary"
 
 
+def test_language_model_service(spark, messages):
+    """A small service: one good answer, one that is no JSON, one slow failure; the baseline stays where nothing comes."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from threadloom.plans import language_model
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            prompt = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["prompt"]
+            answer = {"category": " Security ", "topics": ["x", "X", 3, ""], "summary": "told", "label": "own name"} if "today" in prompt or prompt.startswith("Name") else "not an object"
+            if "Grafana" in prompt and prompt.startswith("Classify"):
+                return self.send_error(500)
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"response": json.dumps(answer)}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    c = config.profile("heuristic", use_ollama=True, ollama_url=f"http://127.0.0.1:{server.server_port}")
+    t = index.build(messages, c, index.Providers(analyzer=language_model.analyzer(c), labeler=language_model.labeler(c)))
+    a = {r.conversation_id: r for r in t["analysis"].collect()}
+    assert a["b"].category == "Security" and a["b"].model_summary == "told" and a["b"].topics[0] == "x"
+    assert a["a"].category == "Infrastructure/Cloud" and a["c"].category == "Observability/Telemetry" and a["a"].model_summary is None
+    assert {r.label for r in t["clusters"].collect()} == {"own name"}
+    server.shutdown()
+    assert language_model.asked("http://127.0.0.1:9", "m", "p", 1) is None
+
+
+def test_perspective_report(built, messages):
+    corpora, info = built["corpora"], built["conversations"].select(F.col("conversation_id").alias("id"), "title")
+    hashed = lambda c: index.hash_vectors(c, 384)
+    found = index.embedding_comparison(corpora, info, hashed, hashed, 0.72, 1.1)
+    rows, counts = main.perspective(built, found["left"], found["right"])
+    assert [(r.id, r.score) for r in rows.collect()][:2] == [("a", 101), ("b", 101)] and counts.first().category_disagreements == 4 and counts.first().embedding_divergences == 2
+    assert [e.neighbor for e in rows.first().left_examples] == ["b"]
+
+
 TOKENS = {t: i for i, t in enumerate("[PAD] [UNK] [CLS] [SEP] un ##aff ##able the cat ##s . é 1 ##2".split())}
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import categories as C
 from ..operators import classifier, reports, similarity, wordpiece
 from ..sources import sinks, tables
-from . import index
+from . import index, language_model
 from .config import PROFILES, USAGE, Config, parse, profile
 
 
@@ -19,6 +19,10 @@ def providers(spark: SparkSession, c: Config) -> index.Providers:
     out = index.Providers()
     if c.embedding_vocab:
         out.vocabulary = wordpiece.vocabulary(spark, c.embedding_vocab)
+    if c.use_ollama:
+        out.analyzer = language_model.analyzer(c)
+    if c.labels_clusters():
+        out.labeler = language_model.labeler(c)
     if c.category_provider != "heuristic" and c.mlnet_model:
         model = classifier.load(c.mlnet_model)
         out.predictor = lambda corpora: classifier.predict_top(model, corpora)
@@ -55,11 +59,26 @@ def run(spark: SparkSession, c: Config, messages: DataFrame | None = None, found
     if c.compare_embeddings and p.embedder:
         titles = t["conversations"].select(F.col("conversation_id").alias("id"), "title")
         hashed = lambda corpora: index.hash_vectors(corpora, c.hash_embedding_dim)
-        for name, df in index.embedding_comparison(t["corpora"], titles, hashed, p.embedder, c.threshold("hash:"), c.threshold(p.description), c.max_similar_neighbors).items():
+        found = index.embedding_comparison(t["corpora"], titles, hashed, p.embedder, c.threshold("hash:"), c.threshold(p.description), c.max_similar_neighbors)
+        for name, df in found.items():
             sinks.write_json(df, f"{c.output}/comparison/embeddings/{name}")
+        if "category_comparison" in t:
+            rows, counts = perspective(t, found["left"], found["right"])
+            sinks.write_json(rows, f"{c.output}/comparison/perspective")
+            sinks.write_text(spark, sinks.markdown("Perspectives", {"counts": counts, "strongest": rows.select("id", "title", "disagrees", "difference", "score", "strong")}), f"{c.output}/comparison/perspective_md")
     return t
 
 
+def perspective(t: dict[str, DataFrame], left: DataFrame, right: DataFrame, top: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The conversations on which providers differ most, by category and by neighbours, with titles and examples; and the counts over
+    all. Ids come from all three sides."""
+    wrong = t["category_comparison"].select(F.col("conversation_id").alias("id"), (F.col("model").isNotNull() & ~F.col("agrees")).alias("disagrees"))
+    every = reports.perspective(wrong, left, right, 1 << 30)
+    titles = t["conversations"].select(F.col("conversation_id").alias("id"), "title")
+    best = every.join(titles, "id", "left").withColumn("title", F.coalesce("title", "id")).orderBy(F.col("score").desc(), F.upper("title"), "id").limit(top)
+    return reports.perspective_lists(best, left, right).orderBy(F.col("score").desc(), F.upper("title"), "id"), reports.perspective_counts(every)
+
+
 def compare_profiles(spark: SparkSession, root: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
     """The report tables of profiles whose outputs lie in ``root``/profile, written to ``root``/comparison as JSON, Markdown and CSV."""
     runs = tables.profile_run(spark, names[0], f"{root}/{names[0]}/reports")

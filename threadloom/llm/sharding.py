@@ -77,8 +77,10 @@ def shuffled(docs: DataFrame, shards: int = 24, bucket_bytes: int = 32 << 20, se
         at = offset + np.arange(len(row))
         return pa.table([*(c.take(order) for c in columns), pa.array((at % shards).astype(np.int32)), pa.array(at // shards)], names=schema.names)
 
-    dealt = scattered.repartition(min(buckets, most_tasks), "bucket")
-    return dealt.select("bucket", "offset", "own", "id", "row").groupBy("bucket").applyInArrow(permuted, schema)
+    # A task for each bucket, by its number: hashed numbers would leave some tasks several buckets and others none.
+    tasks = min(buckets, most_tasks)
+    dealt = scattered.withColumn("task", F.pmod("bucket", F.lit(tasks))).repartitionById(tasks, F.col("task"))
+    return dealt.select("task", "bucket", "offset", "own", "id", "row").groupBy("task", "bucket").applyInArrow(permuted, schema)
 
 
 def write(docs: DataFrame, path: str, rows_per_part: int = 1 << 17, **options) -> None:

@@ -164,31 +164,35 @@ class Tagger:
         return states @ self.p["u"] + self.p["c"]
 
     def read(self, x: np.ndarray) -> np.ndarray:
-        """``emissions`` without what training keeps: input weights are tabulated by code, all gates are one tanh, and each
-        step works in the same few buffers."""
+        """``emissions`` without what training keeps. Input weights are tabulated by code; both directions and all gates lie one
+        after another in the same few buffers, so that each step is a dozen calls on whole arrays."""
         h, (rows, length) = self.h, x.shape
-        by_step, states = np.ascontiguousarray(x.T), np.empty((length, rows, 2 * h), np.float32)
-        ahead, z, put = np.empty((rows, 4 * h), np.float32), np.empty((rows, 4 * h), np.float32), np.empty((rows, h), np.float32)
-        gates = z[:, : 3 * h]
-        for d, at, steps in (("f", 0, range(length)), ("b", h, range(length - 1, -1, -1))):
-            half = np.repeat(np.array([0.5, 1], np.float32), [3 * h, h])
-            w, b = self.p[f"w{d}"] * half, self.p[f"b{d}"] * half
-            table, inner = np.ascontiguousarray(self.p["e"] @ w[:-h] + b), np.ascontiguousarray(w[-h:])
-            state, cell = np.zeros((rows, h), np.float32), np.zeros((rows, h), np.float32)
-            for i in steps:
-                np.take(table, by_step[i], axis=0, out=ahead, mode="clip")
-                np.matmul(state, inner, out=z)
-                z += ahead
-                np.tanh(z, out=z)
-                gates *= 0.5
-                gates += 0.5
-                cell *= z[:, :h]
-                np.multiply(z[:, h : 2 * h], z[:, 3 * h :], out=put)
-                cell += put
-                np.tanh(cell, out=state)
-                state *= z[:, 2 * h : 3 * h]
-                states[i, :, at : at + h] = state
-        return states @ self.p["u"] + self.p["c"]
+        half, table, inner = np.array([0.5, 0.5, 0.5, 1], np.float32)[:, None, None], [], []
+        for d in "fb":
+            w = self.p[f"w{d}"]
+            table.append((self.p["e"] @ w[:-h] + self.p[f"b{d}"]).reshape(-1, 4, h).transpose(1, 0, 2) * half)
+            inner.append(w[-h:].reshape(h, 4, h).transpose(1, 0, 2) * half)
+        table, inner = np.concatenate(table).reshape(-1, h).astype(np.float32), np.stack(inner).astype(np.float32)
+        place, first = np.empty((2, 4, rows), np.int64), (np.arange(8) * self.VOCABULARY).reshape(2, 4, 1)
+        z, ahead, put = (np.empty((2, *shape, rows, h), np.float32) for shape in ((4,), (4,), ()))
+        state, cell, out = np.zeros((2, 1, rows, h), np.float32), np.zeros((2, rows, h), np.float32), np.empty((2, length, rows, h), np.float32)
+        by_step, gates = np.ascontiguousarray(x.T), z[:, :3]
+        for i in range(length):
+            place[0], place[1] = by_step[i], by_step[-1 - i]
+            place += first
+            np.take(table, place, axis=0, out=ahead, mode="clip")
+            np.matmul(state, inner, out=z)
+            z += ahead
+            np.tanh(z, out=z)
+            gates *= 0.5
+            gates += 0.5
+            cell *= z[:, 0]
+            np.multiply(z[:, 1], z[:, 3], out=put)
+            cell += put
+            np.tanh(cell, out=state[:, 0])
+            state[:, 0] *= z[:, 2]
+            out[0, i], out[1, -1 - i] = state[0, 0], state[1, 0]
+        return out[0] @ self.p["u"][:h] + out[1] @ self.p["u"][h:] + self.p["c"]
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """Viterbi tags (rows, length). A stretch of tags other than "outside" can only be in the best path if its leads over

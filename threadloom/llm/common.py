@@ -18,12 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests), a local one."""
+    """The folder all executors share. Only where the session names none (tests), one of this process, which the session is not
+    told of."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
-        path = "file://" + tempfile.mkdtemp(prefix="threadloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _LOCAL.setdefault("path", "file://" + tempfile.mkdtemp(prefix="threadloom-"))
     return path
 
 

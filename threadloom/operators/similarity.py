@@ -14,11 +14,13 @@ from ..functions.text import folded
 from .store import kept, ranked
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = 2048) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = 2048, k: int | None = None) -> DataFrame:
     """a, b (a < b), score for all pairs of (id, v) with cosine ``threshold`` or more, exactly.
 
     Rows are dealt into blocks; each pair of blocks is one group of bounded size and one matrix product, so no pair of
-    rows is ever a Spark row unless it passes. Vectors without length or dimension are left out. Ids are numbers or texts."""
+    rows is ever a Spark row unless it passes. With ``k``, what ``top_edges`` with this k or a smaller one needs of them: pairs
+    that are, within their two blocks, among the k best of either end, ties included. Vectors without length or dimension
+    are left out. Ids are numbers or texts."""
     kind = "string" if vectors.schema["id"].dataType.simpleString() == "string" else "long"
     v = vectors.where(F.col("id").isNotNull() & (F.size("v") > 0)).select(F.col("id").cast(kind).alias("id"), F.col("v").cast("array<double>").alias("v"))
     blocks = max(1, -(-v.count() // block_rows))
@@ -35,7 +37,15 @@ def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = 2048)
         i, j = group.i.iloc[0], group.j.iloc[0]
         p, q = np.flatnonzero(block == i), np.flatnonzero(block == j)
         score = x[p] @ x[q].T
-        a, b = np.nonzero(score >= threshold)
+        passed = score >= threshold
+        if i == j:
+            np.fill_diagonal(passed, False)
+        if k is not None and passed.any():
+            held = np.where(passed, score, -np.inf)
+            # A hair below the k-th best, for sums that round differently in another block.
+            best = [np.partition(held, -k, axis=s).take([-k], axis=s) - 1e-12 if held.shape[s] > k else -np.inf for s in (0, 1)]
+            passed &= (held >= best[0]) | (held >= best[1])
+        a, b = np.nonzero(passed)
         left_, right = ids[p[a]], ids[q[b]]
         keep = left_ < right if i == j else left_ != right
         first = (left_ < right)[keep]
@@ -85,7 +95,7 @@ def numbered(found: DataFrame, prefix: str = "cluster") -> DataFrame:
 
 def snapshot(vectors: DataFrame, titles: DataFrame, threshold: float, k: int = 4) -> tuple[DataFrame, DataFrame]:
     """The edges and titled neighbour lists of one provider's vectors."""
-    edges = kept(top_edges(similar_pairs(vectors, threshold), k))
+    edges = kept(top_edges(similar_pairs(vectors, threshold, k=max(1, k)), k))
     return edges, neighbors(edges, titles)
 
 

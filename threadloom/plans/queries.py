@@ -52,8 +52,12 @@ def _pairs(s: SparkSession, d: str) -> DataFrame:
     return similarity.similar_pairs(_vectors(s, d), THRESHOLD)
 
 
+def _best_pairs(s: SparkSession, d: str, k: int = 4) -> DataFrame:
+    return similarity.similar_pairs(_vectors(s, d), THRESHOLD, k=k)
+
+
 def _edges(s: SparkSession, d: str, k: int = 4) -> DataFrame:
-    return similarity.top_edges(_pairs(s, d), k)
+    return similarity.top_edges(_best_pairs(s, d, k), k)
 
 
 def _catalog(s: SparkSession, d: str) -> DataFrame:
@@ -175,12 +179,12 @@ def cluster_sizes(s, d):
 
 
 def embedding_overlap(s, d):
-    p = kept(_pairs(s, d))
+    p = kept(_best_pairs(s, d))
     return similarity.edge_overlap(similarity.top_edges(p, 4), similarity.top_edges(p, 2))
 
 
 def neighbor_changes(s, d):
-    p = kept(_pairs(s, d))
+    p = kept(_best_pairs(s, d))
     return similarity.neighbor_changes(similarity.top_edges(p, 4), similarity.top_edges(p, 2))
 
 
@@ -238,7 +242,7 @@ def cross_category(s, d):
 
 
 def perspective(s, d):
-    p = kept(_pairs(s, d))
+    p = kept(_best_pairs(s, d))
     wrong = _catalog(s, d).select("id", (F.col("id") % 9 == 0).alias("disagrees"))
     return reports.perspective(wrong, similarity.neighbors(similarity.top_edges(p, 4)), similarity.neighbors(similarity.top_edges(p, 2)))
 
@@ -328,7 +332,7 @@ def label_distribution(s, d):
 
 
 def perspective_summary(s, d):
-    p = kept(_pairs(s, d))
+    p = kept(_best_pairs(s, d))
     wrong = _catalog(s, d).select("id", (F.col("id") % 9 == 0).alias("disagrees"))
     left, right = (similarity.neighbors(similarity.top_edges(p, k)) for k in (4, 2))
     return reports.perspective_counts(reports.perspective(wrong, left, right, 1 << 30))

@@ -34,7 +34,7 @@ def occurrences(docs: DataFrame, least: int = 20) -> DataFrame:
     return keyed.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "doc_id", "tk", "p")
 
 
-def dropped_lines(docs: DataFrame, least: int = 20, documents: int = 3, heavy: int = 10_000, small: int = 100_000) -> DataFrame:
+def dropped_lines(docs: DataFrame, least: int = 20, documents: int = 3, heavy: int = 1_000, small: int = 100_000) -> DataFrame:
     """doc_id, tk, p for each line to drop: of keys in ``documents`` or more documents, all lines outside the largest doc_id."""
     rows = common.durable(occurrences(docs, least))
     key, doc = ["h1", "h2"], ["doc_id", "tk"]

@@ -34,7 +34,7 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 TRIGGER = re.compile(r"[0-9@]")
 #: Windows of training, and of decoding with their step.
 WIDTH = 96
-READ, STEP = 512, 464
+READ, STEP = 768, 720
 TAGS = 1 + 2 * len(KINDS)
 
 
@@ -122,7 +122,7 @@ def snapped(kind: int, text: str, a: int, b: int) -> tuple[int, int]:
 class Tagger:
     VOCABULARY = 99
 
-    def __init__(self, width: int = 12, hidden: int = 12, seed: int = 3):
+    def __init__(self, width: int = 12, hidden: int = 8, seed: int = 3):
         g = np.random.default_rng(seed)
         self.h = hidden
         self.p = {"e": g.normal(0, 0.3, (self.VOCABULARY, width)), "u": g.normal(0, 0.3, (2 * hidden, TAGS)), "c": np.zeros(TAGS), "t": g.normal(0, 0.1, (TAGS, TAGS))}
@@ -419,7 +419,7 @@ def learn(docs: DataFrame, sample: int = 1000, per_text: int = 20, windows: int
 SNIPPET_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int64()), ("end", pa.int64())]))
 
 
-def tag_sequences(tagger: Tagger, texts: list[str], batch: int = 256) -> list[np.ndarray]:
+def tag_sequences(tagger: Tagger, texts: list[str], batch: int = 512) -> list[np.ndarray]:
     """The tags of each text, from overlapping windows: a place between two windows' starts belongs to the one that it is
     further from the edge of."""
     out = [np.zeros(len(t), np.int64) for t in texts]

@@ -116,6 +116,36 @@ def test_pii_search_is_exact():
         assert np.allclose(own, score.max(axis=1), atol=1e-3) and (seed > 2 or tags.any())
 
 
+def test_pii_windows_share_rows(monkeypatch):
+    """Next to nothing but the windows' own places is read, and each text has the tags that it has alone."""
+    rng, read, places = np.random.default_rng(4), pii.Tagger.read, []
+    monkeypatch.setattr(pii.Tagger, "read", lambda self, x: places.append(x.size) or read(self, x))
+    texts = ["".join(rng.choice(list("ab 1.@+-"), n)) for n in (*rng.integers(1, 2500, 60), 1, pii.READ, pii.READ + 1, 0)]
+    tagger = pii.Tagger(seed=2)
+    tagger.p["c"][0] += 0.2
+    got = pii.tag_sequences(tagger, texts, batch=16)
+    own = sum(min(pii.READ, len(t) - s) for t in texts if t for s in range(0, max(len(t) - pii.READ + pii.STEP, 1), pii.STEP))
+    assert sum(places) <= 1.04 * own, (sum(places), own)
+    assert any(x.any() for x in got) and all((x == pii.tag_sequences(tagger, [t])[0]).all() for x, t in zip(got, texts))
+
+
+def test_pii_gaps_part_pieces():
+    """Pieces in one row have the emissions and best paths that they have in rows of their own."""
+    rng = np.random.default_rng(9)
+    for seed in range(4):
+        t = pii.Tagger(width=4, hidden=4, seed=seed)
+        t.p["c"][0] += 0.3 * seed
+        t.p = {k: v * 2 for k, v in t.p.items()}
+        pieces = [rng.integers(0, 99, (1, n)) for n in (1, 12, 2, 40, 7)]
+        gap = np.full((1, 1), pii.GAP)
+        row = np.concatenate([y for p in pieces for y in (p, gap)] + [gap], axis=1)
+        em, tags, at = t.read(row), t.decode(row), 0
+        for p in pieces:
+            till = at + p.shape[1]
+            assert np.allclose(em[at:till], t.read(p), atol=1e-5) and (tags[0, at:till] == t.decode(p)[0]).all() and not tags[0, till]
+            at = till + 1
+
+
 def test_pii_finds_loosened_spans():
     """Trained on texts of sf0.1, the tagger finds most spans of other texts that are written so that the base patterns miss
     them, and adds next to nothing to texts as they are."""

@@ -13,6 +13,7 @@ bounded batches of windows. An empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -96,6 +97,8 @@ def cuts_number(text: str, a: int, b: int) -> bool:
 
 #: Printable ASCII has its own numbers; line feeds, other ASCII and all else share three more.
 CODES = np.array([c - 31 if 32 <= c < 127 else 96 if c == 10 else 97 for c in range(128)] + [98], np.uint8)
+#: Stands between pieces of text that are read in one row.
+GAP = 99
 
 
 def codes(text: str) -> np.ndarray:
@@ -165,67 +168,87 @@ class Tagger:
 
     def read(self, x: np.ndarray) -> np.ndarray:
         """``emissions`` without what training keeps. Input weights are tabulated by code; both directions and all gates lie one
-        after another in the same few buffers, so that each step is a dozen calls on whole arrays."""
+        after another in the same few buffers, so that each step is a dozen calls on whole arrays. The buffers hold exponents:
+        1 / (1 + exp(z)) is a gate where z has its sign turned, and tanh where it is doubled too; the cell is kept as -2 times
+        itself. At ``GAP`` the gates for what was before and for what is new are shut, so that both directions start anew."""
         h, (rows, length) = self.h, x.shape
-        half, table, inner = np.array([0.5, 0.5, 0.5, 1], np.float32)[:, None, None], [], []
+        turned, table, inner = np.array([-1, -1, -1, -2], np.float32)[:, None, None], [], []
         for d in "fb":
             w = self.p[f"w{d}"]
-            table.append((self.p["e"] @ w[:-h] + self.p[f"b{d}"]).reshape(-1, 4, h).transpose(1, 0, 2) * half)
-            inner.append(w[-h:].reshape(h, 4, h).transpose(1, 0, 2) * half)
+            known = (self.p["e"] @ w[:-h] + self.p[f"b{d}"]).reshape(-1, 4, h).transpose(1, 0, 2) * turned
+            gap = np.zeros((4, 1, h))
+            gap[:2] = 1e4
+            table.append(np.concatenate([known, gap], axis=1))
+            inner.append(w[-h:].reshape(h, 4, h).transpose(1, 0, 2) * turned)
         table, inner = np.concatenate(table).reshape(-1, h).astype(np.float32), np.stack(inner).astype(np.float32)
-        place, first = np.empty((2, 4, rows), np.int64), (np.arange(8) * self.VOCABULARY).reshape(2, 4, 1)
+        place, first = np.empty((2, 4, rows), np.int64), (np.arange(8) * (self.VOCABULARY + 1)).reshape(2, 4, 1)
         z, ahead, put = (np.empty((2, *shape, rows, h), np.float32) for shape in ((4,), (4,), ()))
-        state, cell, out = np.zeros((2, 1, rows, h), np.float32), np.zeros((2, rows, h), np.float32), np.empty((2, length, rows, h), np.float32)
-        by_step, gates = np.ascontiguousarray(x.T), z[:, :3]
-        for i in range(length):
-            place[0], place[1] = by_step[i], by_step[-1 - i]
-            place += first
-            np.take(table, place, axis=0, out=ahead, mode="clip")
-            np.matmul(state, inner, out=z)
-            z += ahead
-            np.tanh(z, out=z)
-            gates *= 0.5
-            gates += 0.5
-            cell *= z[:, 0]
-            np.multiply(z[:, 1], z[:, 3], out=put)
-            cell += put
-            np.tanh(cell, out=state[:, 0])
-            state[:, 0] *= z[:, 2]
-            out[0, i], out[1, -1 - i] = state[0, 0], state[1, 0]
-        return out[0] @ self.p["u"][:h] + out[1] @ self.p["u"][h:] + self.p["c"]
+        #: States in the order of reading, so that the backward direction's are turned at the end.
+        state, cell, out = np.zeros((2, rows, h), np.float32), np.zeros((2, rows, h), np.float32), np.empty((2, length, rows, h), np.float32)
+        by_step, (keep, let, show, new) = np.ascontiguousarray(x.T, np.int64), z.swapaxes(0, 1)
+        with np.errstate(over="ignore"):
+            for i in range(length):
+                np.add(by_step[i], first[0], out=place[0])
+                np.add(by_step[-1 - i], first[1], out=place[1])
+                table.take(place, axis=0, out=ahead, mode="clip")
+                np.matmul(state[:, None], inner, out=z)
+                z += ahead
+                np.exp(z, out=z)
+                z += 1
+                np.divide(-4, new, out=put)
+                put += 2
+                put /= let
+                cell /= keep
+                cell += put
+                np.exp(cell, out=put)
+                put += 1
+                np.divide(2, put, out=put)
+                put -= 1
+                state = out[:, i]
+                np.divide(put, show, out=state)
+        by_tag, back = ((u.T @ o.reshape(-1, h).T).reshape(TAGS, length, rows) for u, o in zip((self.p["u"][:h], self.p["u"][h:]), out))
+        by_tag += back[:, ::-1]
+        by_tag += self.p["c"][:, None, None]
+        return by_tag.transpose(1, 2, 0)
 
     def decode(self, x: np.ndarray) -> np.ndarray:
-        """Viterbi tags (rows, length). A stretch of tags other than "outside" can only be in the best path if its leads over
-        "outside", with the best of transitions added, sum to no less than zero; so only places in such stretches are
-        searched, and what lies between them is outside."""
+        """Viterbi tags (rows, length) of each piece between gaps, which are outside. A stretch of tags other than "outside" can
+        only be in the best path if its leads over "outside", with the best of transitions added, sum to no less than zero; so
+        only places in such stretches are searched, and what lies between them is outside."""
         em, t = self.read(x), self.p["t"] + self.barred
         length, rows = em.shape[:2]
-        step = max(0.0, float(max(t[1:].max(), t[:, 1:].max()) - t[0, 0]))
-        lead = em[:, :, 1]
+        #: At a piece's ends neither path has a transition, so that the one into or out of a stretch counts as zero there.
+        within, ends = float(t[1:, 1:].max() - t[0, 0]), sum(max(0.0, float(x.max() - t[0, 0])) for x in (t[0, 1:], t[1:, 0]))
+        by_tag = em.transpose(2, 0, 1)
+        lead = by_tag[1].copy()
         for tag in range(2, TAGS):
-            lead = np.maximum(lead, em[:, :, tag])
-        lead = lead - em[:, :, 0] + 2 * step
-        ending, starting = lead.copy(), lead.copy()
+            np.maximum(lead, by_tag[tag], out=lead)
+        lead += within - by_tag[0]
+        lead[x.T == GAP] = -1e9
+        both = np.stack([lead, lead[::-1]], axis=1)
+        more = np.empty(both.shape[1:], both.dtype)
         for i in range(1, length):
-            ending[i] += np.maximum(ending[i - 1], 0)
-            starting[-1 - i] += np.maximum(starting[-i], 0)
+            np.maximum(both[i - 1], 0, out=more)
+            both[i] += more
         inside = np.zeros((rows, length + 2), np.int8)
-        inside[:, 1:-1] = (ending + starting - lead >= 0).T
+        inside[:, 1:-1] = (both[:, 0] + both[::-1, 1] - lead >= within - ends - 1e-3).T
         out = np.zeros(x.shape, np.int64)
         edges = np.diff(inside, axis=1)
         (row, start), stop = np.nonzero(edges == 1), np.nonzero(edges == -1)[1]
+        opens = (start == 0) | (x[row, start - 1] == GAP)
+        closes = (stop == length) | (x[row, np.minimum(stop, length - 1)] == GAP)
         by = np.argsort(stop - start, kind="stable")
         for k in range(0, len(by), 512):
             some = by[k : k + 512]
-            self._search(em, t, row[some], start[some], stop[some], out)
+            self._search(em, t, row[some], start[some], stop[some], opens[some], closes[some], out)
         return out
 
     @staticmethod
-    def _search(em: np.ndarray, t: np.ndarray, row: np.ndarray, start: np.ndarray, stop: np.ndarray, out: np.ndarray) -> None:
-        """Viterbi over stretches with "outside" on both sides, or nothing at a window's ends."""
+    def _search(em: np.ndarray, t: np.ndarray, row: np.ndarray, start: np.ndarray, stop: np.ndarray, opens: np.ndarray, closes: np.ndarray, out: np.ndarray) -> None:
+        """Viterbi over stretches with "outside" on both sides, or nothing where they open or close a piece."""
         most, n = int((stop - start).max()), len(row)
-        score = em[start, row] + np.where(start > 0, 1, 0)[:, None] * t[0]
-        score[:, 2::2] -= np.where(start > 0, 0, 1e4)[:, None]
+        score = em[start, row] + np.where(opens, 0, 1)[:, None] * t[0]
+        score[:, 2::2] -= np.where(opens, 1e4, 0)[:, None]
         back = np.zeros((most, n, TAGS), np.int8)
         final = np.zeros(n, np.int64)
         closing = lambda s, at_end: (s + np.where(at_end, 0, 1)[:, None] * t[:, 0]).argmax(axis=1)
@@ -236,7 +259,7 @@ class Tagger:
                 back[i] = both.argmax(axis=1)
                 score = both.max(axis=1) + em[np.minimum(start + i, len(em) - 1), row]
             done = np.flatnonzero(ends == i + 1)
-            final[done] = closing(score[done], stop[done] == len(em))
+            final[done] = closing(score[done], closes[done])
         tag, each = final, np.arange(n)
         for i in range(most - 1, -1, -1):
             live = i < ends
@@ -419,28 +442,48 @@ def learn(docs: DataFrame, sample: int = 1000, per_text: int = 20, windows: int
 SNIPPET_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int64()), ("end", pa.int64())]))
 
 
+def packed_rows(lengths: list[int], most: int) -> list[list[int]]:
+    """The pieces dealt to about ``most`` rows or fewer, a gap after each: the longest first, to the fullest row that has room."""
+    sizes = sorted(((n + 1, i) for i, n in enumerate(lengths)), key=lambda x: -x[0])
+    room = sizes[0][0] * max(1, round(sum(n for n, _ in sizes) / (sizes[0][0] * most)))
+    rows, left = [], []
+    for n, i in sizes:
+        k = bisect.bisect_left(left, (n,))
+        free, r = left.pop(k) if k < len(left) else (room, len(rows))
+        if r == len(rows):
+            rows.append([])
+        rows[r].append(i)
+        bisect.insort(left, (free - n, r))
+    return rows
+
+
 def tag_sequences(tagger: Tagger, texts: list[str], batch: int = 512) -> list[np.ndarray]:
     """The tags of each text, from overlapping windows: a place between two windows' starts belongs to the one that it is
-    further from the edge of."""
+    further from the edge of. Windows lie one after another in ``batch`` rows, with gaps between, so that next to nothing is
+    padding and no window's tags hang on the others."""
     out = [np.zeros(len(t), np.int64) for t in texts]
     edge = (READ - STEP) // 2
     coded = [codes(t) for t in texts]
     at = [(i, s) for i, t in enumerate(texts) for s in range(0, max(len(t) - READ + STEP, 1) if t else 0, STEP)]
-    # Windows of like length together, so that little is padding.
-    at.sort(key=lambda w: min(READ, len(texts[w[0]]) - w[1]))
-    for k in range(0, len(at), batch):
-        some = at[k : k + batch]
-        i, s = some[-1]
-        x = np.zeros((len(some), min(READ, len(texts[i]) - s)), np.int64)
-        for j, (i, s) in enumerate(some):
-            piece = coded[i][s : s + READ]
-            x[j, : len(piece)] = piece
+    for k in range(0, len(at), 4 * batch):
+        some = at[k : k + 4 * batch]
+        lengths = [min(READ, len(texts[i]) - s) for i, s in some]
+        rows = packed_rows(lengths, batch)
+        x = np.full((len(rows), max(sum(lengths[j] + 1 for j in row) for row in rows) - 1), GAP, np.uint8)
+        placed = []
+        for r, row in enumerate(rows):
+            a = 0
+            for j in row:
+                i, s = some[j]
+                x[r, a : a + lengths[j]] = coded[i][s : s + READ]
+                placed.append((i, s, r, a, lengths[j]))
+                a += lengths[j] + 1
         tags = tagger.decode(x)
-        for j in np.flatnonzero(tags.any(axis=1)):
-            i, s = some[j]
-            lo, hi = edge if s else 0, READ if s + READ >= len(texts[i]) else READ - edge
-            hi = min(hi, len(texts[i]) - s)
-            out[i][s + lo : s + hi] = tags[j, lo:hi]
+        tagged = tags.any(axis=1)
+        for i, s, r, a, n in placed:
+            if tagged[r]:
+                lo, hi = edge if s else 0, n if s + READ >= len(texts[i]) else READ - edge
+                out[i][s + lo : s + hi] = tags[r, a + lo : a + hi]
     return out
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, language_id, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets, sharding
+from . import common, decontaminate, language_id, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets, sharding, token_files
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,13 +75,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(common.table(spark, sf_dir, "documents"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = f"{common.shared_dir(spark)}/tokens/{uuid.uuid4().hex}"
+    token_files.write(common.table(spark, sf_dir, "documents").select("doc_id", "text"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    read = common.durable(token_files.documents(spark, folder))
+    common.delete(spark, folder)
+    return read
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_mixing, op4_near_dedup, op5_line_dedup, op6_secrets, op7_sharding, op8_quality_rules, op9_quality_classifier, op10_language_id, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_mixing, op4_near_dedup, op5_line_dedup, op6_secrets, op7_sharding, op8_quality_rules, op9_quality_classifier, op10_language_id, op13_token_files, pipeline)}
 
 LOWERED = f"translate(coalesce(text, ''), '{common.UPPER}', '{common.UPPER.lower()}')"
 

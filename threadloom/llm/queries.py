@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, language_id, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets, sharding, token_files
+from . import common, decontaminate, language_id, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets, sharding, source_divergence, token_files
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(common.table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(common.table(spark, sf_dir, "documents"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -91,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_mixing, op4_near_dedup, op5_line_dedup, op6_secrets, op7_sharding, op8_quality_rules, op9_quality_classifier, op10_language_id, op13_token_files, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_mixing, op4_near_dedup, op5_line_dedup, op6_secrets, op7_sharding, op8_quality_rules, op9_quality_classifier, op10_language_id, op12_source_divergence, op13_token_files, pipeline)}
 
 LOWERED = f"translate(coalesce(text, ''), '{common.UPPER}', '{common.UPPER.lower()}')"
 
@@ -107,6 +111,22 @@ _VALUE = "regexp_extract(v, '{}', 2)".format(secrets.PATTERNS["assign"].replace(
 _WRITTEN = "coalesce(string_agg(kind || ':' || (till - n) || ':' || till, ',' ORDER BY till - n, rank){}, '')"
 
 SQL = {
+    "op12_source_divergence": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+        k AS (SELECT lang, term, sum(n) AS tot FROM c GROUP BY ALL HAVING sum(docs) >= 30),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        l AS (SELECT lang, count(*) AS v, sum(tot) AS lang_n FROM k GROUP BY ALL),
+        f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.tot::HUGEINT AS tot FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        s AS (SELECT lang, source, sum(n) AS all_n FROM f GROUP BY ALL),
+        p AS (SELECT f.lang, f.source, f.term, f.n, 1 + (1000000000 * (f.n + 5)) // (all_n + 5 * v)::HUGEINT AS p, 1 + (1000000000 * (f.tot + 5)) // (lang_n + 5 * v)::HUGEINT AS q
+            FROM f JOIN s USING (lang, source) JOIN l USING (lang)),
+        sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL),
+        every AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+            UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+        SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM every QUALIFY part = 'pair' OR rank <= 50""",
     "op6_secrets": f"""
         WITH t AS (SELECT doc_id, source, coalesce(text, '') AS x FROM documents),
         f AS ({_secret_matches()}),

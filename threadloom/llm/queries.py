@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, language_id, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets, sharding, source_divergence, token_files
+from . import common, decontaminate, language_id, lexical_search, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets, sharding, source_divergence, token_files
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(common.table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = common.durable(lexical_search.search(index, common.table(spark, sf_dir, "benchmark"), "item_id"))
+    index.delete()
+    return found
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(common.table(spark, sf_dir, "documents"))
 
@@ -95,7 +102,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_mixing, op4_near_dedup, op5_line_dedup, op6_secrets, op7_sharding, op8_quality_rules, op9_quality_classifier, op10_language_id, op12_source_divergence, op13_token_files, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_pii, op3_mixing, op4_near_dedup, op5_line_dedup, op6_secrets, op7_sharding, op8_quality_rules, op9_quality_classifier, op10_language_id, op11_lexical_search, op12_source_divergence, op13_token_files, pipeline)}
 
 LOWERED = f"translate(coalesce(text, ''), '{common.UPPER}', '{common.UPPER.lower()}')"
 
@@ -111,6 +118,17 @@ _VALUE = "regexp_extract(v, '{}', 2)".format(secrets.PATTERNS["assign"].replace(
 _WRITTEN = "coalesce(string_agg(kind || ':' || (till - n) || ':' || till, ',' ORDER BY till - n, rank){}, '')"
 
 SQL = {
+    "op11_lexical_search": rf"""
+        WITH t AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS x FROM documents),
+        g AS (SELECT count(*)::BIGINT AS n_docs, sum(len(x))::BIGINT AS total FROM t WHERE len(x) > 0),
+        p AS (SELECT d, term, count(*)::BIGINT AS tf FROM (SELECT d, unnest(x) AS term FROM t) GROUP BY ALL),
+        f AS (SELECT term, count(*) AS df FROM p GROUP BY ALL),
+        m AS (SELECT d, doc_id, 25 + (75 * len(x)::BIGINT * n_docs) // total AS m FROM t, g WHERE len(x) > 0),
+        b AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS x FROM benchmark),
+        w AS (SELECT q, item_id, term, count(*) * floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+            FROM (SELECT q, item_id, unnest(x) AS term FROM b) JOIN f USING (term), g GROUP BY q, item_id, term, df, n_docs),
+        s AS (SELECT q, item_id, d, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM w JOIN p USING (term) JOIN m USING (d) GROUP BY ALL)
+        SELECT item_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s JOIN m USING (d) WHERE score > 0 QUALIFY rank <= 10""",
     "op12_source_divergence": rf"""
         WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
         c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),

@@ -41,9 +41,9 @@ MANIFEST = "part int, file string, docs_file string, docs long, tokens long, seq
 #: to U+00FF is to lower them. The pattern and steps of the tokenizer's file.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
-#: The same pattern over lowered characters up to U+00FF.
+#: The same pattern over lowered characters up to U+00FF; its branches begin with different characters, so letters may go first.
 _LETTERS, _DIGITS, _SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾", "\\t-\\r \x85\xa0"
-WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_SPACES}{_LETTERS}{_DIGITS}]+")
+WORD = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|'(?:[stmd]|re|ve|ll)|[^{_SPACES}{_LETTERS}{_DIGITS}]+")
 OTHER = re.compile("[^\x00-\xff]")
 BLANKS = re.compile(r"[\t-\r ]+")
 
@@ -51,7 +51,7 @@ BLANKS = re.compile(r"[\t-\r ]+")
 class Coder:
     """Texts to ids, as bytes of ``dtype``. ``words`` bounds how many words are kept."""
 
-    def __init__(self, rules: str, words: int = 400_000):
+    def __init__(self, rules: str, words: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.kept = Tokenizer.from_str(rules), words, {}

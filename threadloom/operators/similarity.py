@@ -14,45 +14,200 @@ from ..functions.text import folded
 from .store import kept, ranked
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = 2048, k: int | None = None) -> DataFrame:
-    """a, b (a < b), score for all pairs of (id, v) with cosine ``threshold`` or more, exactly.
-
-    Rows are dealt into blocks; each pair of blocks is one group of bounded size and one matrix product, so no pair of
-    rows is ever a Spark row unless it passes. With ``k``, what ``top_edges`` with this k or a smaller one needs of them: pairs
-    that are, within their two blocks, among the k best of either end, ties included. Vectors without length or dimension
-    are left out. Ids are numbers or texts."""
-    kind = "string" if vectors.schema["id"].dataType.simpleString() == "string" else "long"
-    v = vectors.where(F.col("id").isNotNull() & (F.size("v") > 0)).select(F.col("id").cast(kind).alias("id"), F.col("v").cast("array<double>").alias("v"))
-    blocks = max(1, -(-v.count() // block_rows))
-    mine = v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = F.transform(every, lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    dealt = mine.select("id", "v", "block", F.inline(left))
+def _ids(vectors: DataFrame) -> str:
+    return "string" if vectors.schema["id"].dataType.simpleString() == "string" else "long"
+
+
+def keyed(vectors: DataFrame) -> DataFrame:
+    """id, v, h1, h2 of the vectors that count: with an id, a length and a dimension. Equal vectors have the same 128 bits."""
+    v = vectors.where(F.col("id").isNotNull() & (F.size("v") > 0)).select(F.col("id").cast(_ids(vectors)).alias("id"), F.col("v").cast("array<double>").alias("v"))
+    return v.select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2"))
+
+
+def classes(vectors: DataFrame, most: int = 1) -> DataFrame:
+    """A row for each different vector: id (the smallest of its copies), v, h1, h2, copies, first (the ``most`` smallest ids). Copies
+    are counted before they are shuffled, and of a class no more than ``most`` rows of any task are."""
+    rows = keyed(vectors)
+    n = rows.groupBy("h1", "h2").agg(F.count("*").alias("copies"))
+    first = rows.withColumn("r", F.row_number().over(W.partitionBy("h1", "h2").orderBy("id"))).where(F.col("r") <= max(1, most))
+    one = first.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v"), F.array_sort(F.collect_list("id")).alias("first"))
+    return one.join(n, ["h1", "h2"]).select("id", "v", "h1", "h2", "copies", "first")
+
+
+def with_class(vectors: DataFrame, found: DataFrame, heavy: int = 1_000, few: int = 100_000) -> DataFrame:
+    """The vectors' ids, as ``member``, with the columns of their classes. Classes of over ``heavy`` copies, of which there are few, go to
+    the vectors by a broadcast, so that no task gathers one."""
+    rows = keyed(vectors).select(F.col("id").alias("member"), "h1", "h2")
+    large = found.where(F.col("copies") > heavy)
+    n = large.count()
+    if not 0 < n <= few:
+        return rows.join(found, ["h1", "h2"])
+    hot = rows.join(F.broadcast(large), ["h1", "h2"])
+    return hot.unionByName(rows.join(F.broadcast(large.select("h1", "h2")), ["h1", "h2"], "left_anti").join(found.where(F.col("copies") <= heavy), ["h1", "h2"]))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1)
+    return x / np.where(norm > 0, norm, 1)[:, None]
+
+
+def spread_out(x: np.ndarray, n: int) -> np.ndarray:
+    """``n`` of the unit vectors, each the farthest from those before."""
+    chosen = [0]
+    near = x @ x[0]
+    while len(chosen) < min(n, len(x)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[chosen[-1]])
+    return x[chosen]
+
+
+def blocks_of(reps: DataFrame, n: int, block_rows: int, pivots: int) -> tuple[DataFrame, np.ndarray]:
+    """The vectors with a ``block``: runs of ``block_rows`` in the order of their nearest pivot and the angle to it. Pivots are chosen of at
+    most 1,024 vectors, first by hash."""
+    sample = reps.orderBy(F.xxhash64("id"), "id").limit(1024).select("v").collect()
+    p = spread_out(unit(np.array([r.v for r in sample])), pivots)
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            cos = unit(np.stack(f.v.to_numpy())) @ p.T
+            cell = cos.argmax(axis=1)
+            yield f.assign(cell=cell, near=np.arccos(np.clip(cos[np.arange(len(f)), cell], -1, 1)))
+
+    kind = _ids(reps)
+    placed = reps.select("id", "v").mapInPandas(place, f"id {kind}, v array<double>, cell int, near double")
+    return ranked(placed, [F.col("cell"), F.col("near"), F.col("id")], "number").select("id", "v", F.floor((F.col("number") - 1) / block_rows).cast("int").alias("block")), p
+
+
+def near_blocks(blocked: DataFrame, p: np.ndarray, threshold: float) -> tuple[DataFrame, int, int]:
+    """The pairs of blocks (i <= j) that may hold a pair of vectors with cosine ``threshold`` or more, how many, and of how many. By the
+    triangle inequality on angles: for any pivot, vectors in blocks whose angles to it lie in ranges with a gap differ by
+    that gap at least."""
+
+    def ends(f: pd.DataFrame) -> pd.DataFrame:
+        angle = np.arccos(np.clip(unit(np.stack(f.v.to_numpy())) @ p.T, -1, 1))
+        return pd.DataFrame({"block": [f.block.iloc[0]], "low": [angle.min(axis=0)], "high": [angle.max(axis=0)]})
+
+    rows = blocked.groupBy("block").applyInPandas(ends, "block int, low array<double>, high array<double>").orderBy("block").collect()  # a row a block, of which ``similar_pairs`` bounds the number
+    low, high, number = np.array([r.low for r in rows]), np.array([r.high for r in rows]), np.array([r.block for r in rows])
+    # A hair more, for angles that round.
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-7
+
+    def met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in f.id:
+                gap = np.maximum(low[at:] - high[at], low[at] - high[at:]).max(axis=1)
+                j = number[at:][gap <= reach]
+                yield pd.DataFrame({"i": number[at], "j": j})
+
+    pairs = kept(blocked.sparkSession.range(len(rows)).mapInPandas(met, "i int, j int"))
+    return pairs, pairs.count(), len(rows) * (len(rows) + 1) // 2
+
+
+def _first(score: np.ndarray, passed: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's ``k`` best passing scores, ties by ``order`` of the column."""
+    held = np.where(passed, score, -np.inf)
+    if held.shape[1] > k:
+        passed = passed & (held >= np.partition(held, -k, axis=1)[:, [-k]])
+    a, b = np.nonzero(passed)
+    by = np.lexsort((order[b], -score[a, b], a))
+    a, b = a[by], b[by]
+    place = np.arange(len(a)) - np.searchsorted(a, a)
+    return a[place < k], b[place < k]
+
+
+def class_pairs(reps: DataFrame, threshold: float, block_rows: int = 2048, k: int | None = None, pivots: int = 32, most_blocks: int = 20_000) -> DataFrame:
+    """a, b, score of different vectors (id, v) with cosine ``threshold`` or more, exactly: every pair once (a < b), or with ``k``
+    each vector's k best, ties to the smaller id (a row from either end).
+
+    Vectors are cut into blocks along pivots; pairs of blocks that no such pair can lie in are left out (``multiplied`` of
+    ``block_pairs`` stay), each other is one group of bounded size and is multiplied in tiles, so no pair of rows is ever a Spark row
+    unless it passes. With over ``most_blocks`` blocks, these are larger instead."""
+    kind, n = _ids(reps), reps.count()
+    block_rows = max(block_rows, -(-n // most_blocks))
+    multiplied = total = 1
+    if n <= block_rows:
+        dealt = reps.select("id", "v", F.lit(0).alias("block"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    else:
+        blocked, p = blocks_of(reps, n, block_rows, pivots)
+        blocked = kept(blocked)
+        pairs, multiplied, total = near_blocks(blocked, p, threshold)
+        sides = pairs.select(F.col("i").alias("block"), "i", "j").unionByName(pairs.where("i < j").select(F.col("j").alias("block"), "i", "j"))
+        dealt = blocked.join(F.broadcast(sides) if 2 * multiplied <= 1_000_000 else sides, "block").select("id", "v", "block", "i", "j")
 
     def product(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(group.v.to_numpy())
-        norm = np.linalg.norm(x, axis=1)
-        x = x / np.where(norm > 0, norm, 1)[:, None]
-        ids, block = group.id.to_numpy(), group.block.to_numpy()
+        x, ids, block = unit(np.stack(group.v.to_numpy())), group.id.to_numpy(), group.block.to_numpy()
+        order = np.argsort(np.argsort(ids))
         i, j = group.i.iloc[0], group.j.iloc[0]
-        p, q = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        score = x[p] @ x[q].T
-        passed = score >= threshold
-        if i == j:
-            np.fill_diagonal(passed, False)
-        if k is not None and passed.any():
-            held = np.where(passed, score, -np.inf)
-            # A hair below the k-th best, for sums that round differently in another block.
-            best = [np.partition(held, -k, axis=s).take([-k], axis=s) - 1e-12 if held.shape[s] > k else -np.inf for s in (0, 1)]
-            passed &= (held >= best[0]) | (held >= best[1])
-        a, b = np.nonzero(passed)
-        left_, right = ids[p[a]], ids[q[b]]
-        keep = left_ < right if i == j else left_ != right
-        first = (left_ < right)[keep]
-        left_, right = left_[keep], right[keep]
-        return pd.DataFrame({"a": np.where(first, left_, right), "b": np.where(first, right, left_), "score": score[a, b][keep]})
-
-    return dealt.groupBy("i", "j").applyInPandas(product, f"a {kind}, b {kind}, score double")
+        left, right, out = np.flatnonzero(block == i), np.flatnonzero(block == j), []
+        for p in (left[s : s + 2048] for s in range(0, len(left), 2048)):
+            for q in (right[s : s + 2048] for s in range(0, len(right), 2048)):
+                score = x[p] @ x[q].T
+                passed = score >= threshold
+                if i == j:
+                    passed &= p[:, None] != q[None, :]
+                if not passed.any():
+                    continue
+                if k is None:
+                    if i == j:
+                        passed &= order[p][:, None] < order[q][None, :]
+                    a, b = np.nonzero(passed)
+                    u, w = p[a], q[b]
+                    swap = order[u] > order[w]
+                    out.append(pd.DataFrame({"a": ids[np.where(swap, w, u)], "b": ids[np.where(swap, u, w)], "score": score[a, b]}))
+                    continue
+                a, b = _first(score, passed, order[q], k)
+                out.append(pd.DataFrame({"a": ids[p[a]], "b": ids[q[b]], "score": score[a, b]}))
+                if i != j:
+                    b, a = _first(score.T, passed.T, order[p], k)
+                    out.append(pd.DataFrame({"a": ids[q[b]], "b": ids[p[a]], "score": score[a, b]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": ids[:0], "b": ids[:0], "score": np.zeros(0)})
+
+    found = dealt.groupBy("i", "j").applyInPandas(product, f"a {kind}, b {kind}, score double")
+    if k is not None:
+        found = found.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.col("score").desc(), "b"))).where(F.col("r") <= k).drop("r")
+    found.multiplied, found.block_pairs = multiplied, total
+    return found
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, **options) -> DataFrame:
+    """a, b (a < b), score: all pairs of different vectors of (id, v) with cosine ``threshold`` or more, exactly. Copies of a vector are one
+    class with its smallest id (see ``similar_classes`` for members). Vectors without length or dimension are left out. Ids
+    are numbers or texts."""
+    return class_pairs(kept(classes(vectors).select("id", "v")), threshold, **options)
+
+
+def similar_classes(vectors: DataFrame, threshold: float, **options) -> DataFrame:
+    """id, class_id, copies (with itself), links (other vectors with cosine ``threshold`` or more) for every vector: with the pairs of
+    ``similar_pairs`` all links, in proportion to the rows."""
+    c = kept(classes(vectors))
+    pairs = class_pairs(c.select("id", "v"), threshold, **options)
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    linked = both.join(c.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("others"))
+    alike = F.when((F.lit(threshold) <= 1) & F.exists("v", lambda x: x != 0), F.col("copies") - 1).otherwise(0)
+    counted = kept(c.join(linked, "id", "left").select("h1", "h2", F.col("id").alias("class_id"), "copies", (alike + F.coalesce("others", F.lit(0))).alias("links")))
+    return with_class(vectors, counted).select(F.col("member").alias("id"), "class_id", "copies", "links")
+
+
+def best_neighbors(vectors: DataFrame, threshold: float, k: int = 4, **options) -> DataFrame:
+    """id, neighbor, score, rank: each vector's ``k`` best others with cosine ``threshold`` or more, ties to the smaller id. Copies are
+    compared once, and of a class its k + 1 smallest ids are enough: all of its members have the same scores."""
+    c = kept(classes(vectors, k + 1))
+    pairs = class_pairs(c.select("id", "v"), threshold, k=k, **options)
+    theirs = pairs.join(c.select(F.col("id").alias("b"), "first"), "b").select(F.col("a").alias("id"), F.transform("first", lambda x: F.struct((-F.col("score")).alias("s"), x.alias("n"))).alias("near"))
+    near = theirs.groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near"))
+    none = F.array().cast(near.schema["near"].dataType)
+    own = F.when((F.lit(threshold) <= 1) & F.exists("v", lambda x: x != 0), F.transform("first", lambda x: F.struct(F.lit(-1.0).alias("s"), x.alias("n")))).otherwise(none)
+    # One of them may be the vector itself.
+    listed = F.slice(F.array_sort(F.concat(own, F.coalesce("near", none))), 1, k + 1)
+    best = kept(c.join(near, "id", "left").select("h1", "h2", "copies", listed.alias("best")))
+    mine = with_class(vectors, best).select(F.col("member").alias("id"), F.slice(F.filter("best", lambda x: x["n"] != F.col("member")), 1, k).alias("best"))
+    return mine.select("id", F.posexplode("best").alias("rank", "x")).select("id", F.col("x.n").alias("neighbor"), (-F.col("x.s")).alias("score"), (F.col("rank") + 1).alias("rank"))
+
+
+def edges_of(best: DataFrame, k: int = 4) -> DataFrame:
+    """a, b, weight: pairs of which either end has the other among its ``k`` best (at least 1)."""
+    own = best.where(F.col("rank") <= max(1, k))
+    return own.groupBy(F.least("id", "neighbor").alias("a"), F.greatest("id", "neighbor").alias("b")).agg(F.bround(F.max("score"), 4).alias("weight"))
 
 
 def top_edges(pairs: DataFrame, k: int = 4) -> DataFrame:
@@ -95,7 +250,7 @@ def numbered(found: DataFrame, prefix: str = "cluster") -> DataFrame:
 
 def snapshot(vectors: DataFrame, titles: DataFrame, threshold: float, k: int = 4) -> tuple[DataFrame, DataFrame]:
     """The edges and titled neighbour lists of one provider's vectors."""
-    edges = kept(top_edges(similar_pairs(vectors, threshold, k=max(1, k)), k))
+    edges = kept(edges_of(best_neighbors(vectors, threshold, max(1, k)), k))
     return edges, neighbors(edges, titles)
 
 

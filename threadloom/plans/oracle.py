@@ -165,7 +165,9 @@ SQL: dict[str, str] = {
         h AS (SELECT *, {FNV % 'token'} AS h FROM c),
         v AS (SELECT conversation_id, (h % 384)::BIGINT AS bucket, sum(CASE WHEN h & 2 = 0 THEN n ELSE -n END)::BIGINT AS v FROM h GROUP BY 1, 2)
         SELECT conversation_id, bucket, round(v / norm, 6) AS value FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY conversation_id)::DOUBLE) AS norm FROM v) WHERE norm > 0""",
-    "similar_pairs": f"WITH {PAIRS} SELECT a, b, round(score, 4) AS score FROM p",
+    "similar_pairs": f"WITH {PAIRS}, c AS (SELECT min(vec_id) AS id FROM embeddings GROUP BY embedding) SELECT a, b, round(score, 4) AS score FROM p WHERE a IN (SELECT id FROM c) AND b IN (SELECT id FROM c) AND (SELECT embedding FROM embeddings WHERE vec_id = a) <> (SELECT embedding FROM embeddings WHERE vec_id = b)",
+    "similar_classes": f"""WITH {PAIRS}, c AS (SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY embedding) AS class_id, count(*) OVER (PARTITION BY embedding) AS copies FROM embeddings),
+        n AS (SELECT a AS id, count(*) AS links FROM d2 GROUP BY 1) SELECT id, class_id, copies, coalesce(links, 0)::BIGINT AS links FROM c LEFT JOIN n USING (id)""",
     "similar_edges": f"WITH {E4} SELECT * FROM e",
     "neighbor_lists": f"WITH {N4} SELECT * FROM n",
     "clusters": f"WITH RECURSIVE {CLUSTERS} SELECT * FROM cl",

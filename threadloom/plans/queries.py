@@ -52,12 +52,12 @@ def _pairs(s: SparkSession, d: str) -> DataFrame:
     return similarity.similar_pairs(_vectors(s, d), THRESHOLD)
 
 
-def _best_pairs(s: SparkSession, d: str, k: int = 4) -> DataFrame:
-    return similarity.similar_pairs(_vectors(s, d), THRESHOLD, k=k)
+def _best(s: SparkSession, d: str, k: int = 4) -> DataFrame:
+    return similarity.best_neighbors(_vectors(s, d), THRESHOLD, k)
 
 
 def _edges(s: SparkSession, d: str, k: int = 4) -> DataFrame:
-    return similarity.top_edges(_best_pairs(s, d, k), k)
+    return similarity.edges_of(_best(s, d, k), k)
 
 
 def _catalog(s: SparkSession, d: str) -> DataFrame:
@@ -162,6 +162,10 @@ def similar_pairs(s, d):
     return _pairs(s, d).select("a", "b", F.round("score", 4).alias("score"))
 
 
+def similar_classes(s, d):
+    return similarity.similar_classes(_vectors(s, d), THRESHOLD)
+
+
 def similar_edges(s, d):
     return _edges(s, d)
 
@@ -179,13 +183,13 @@ def cluster_sizes(s, d):
 
 
 def embedding_overlap(s, d):
-    p = kept(_best_pairs(s, d))
-    return similarity.edge_overlap(similarity.top_edges(p, 4), similarity.top_edges(p, 2))
+    p = kept(_best(s, d))
+    return similarity.edge_overlap(similarity.edges_of(p, 4), similarity.edges_of(p, 2))
 
 
 def neighbor_changes(s, d):
-    p = kept(_best_pairs(s, d))
-    return similarity.neighbor_changes(similarity.top_edges(p, 4), similarity.top_edges(p, 2))
+    p = kept(_best(s, d))
+    return similarity.neighbor_changes(similarity.edges_of(p, 4), similarity.edges_of(p, 2))
 
 
 def predictions_selected(s, d):
@@ -242,9 +246,9 @@ def cross_category(s, d):
 
 
 def perspective(s, d):
-    p = kept(_best_pairs(s, d))
+    p = kept(_best(s, d))
     wrong = _catalog(s, d).select("id", (F.col("id") % 9 == 0).alias("disagrees"))
-    return reports.perspective(wrong, similarity.neighbors(similarity.top_edges(p, 4)), similarity.neighbors(similarity.top_edges(p, 2)))
+    return reports.perspective(wrong, similarity.neighbors(similarity.edges_of(p, 4)), similarity.neighbors(similarity.edges_of(p, 2)))
 
 
 def primary_categories(s, d):
@@ -332,9 +336,9 @@ def label_distribution(s, d):
 
 
 def perspective_summary(s, d):
-    p = kept(_best_pairs(s, d))
+    p = kept(_best(s, d))
     wrong = _catalog(s, d).select("id", (F.col("id") % 9 == 0).alias("disagrees"))
-    left, right = (similarity.neighbors(similarity.top_edges(p, k)) for k in (4, 2))
+    left, right = (similarity.neighbors(similarity.edges_of(p, k)) for k in (4, 2))
     return reports.perspective_counts(reports.perspective(wrong, left, right, 1 << 30))
 
 
@@ -362,7 +366,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         messages_visible, parent_links, leaf_paths, current_path, conversation_order, corpus_hash, transcripts, token_counts, term_weights, keywords_top, topics_top,
-        category_scores, keyword_cooccurrence, category_hierarchy, char_chunks, stored_chunks, hash_embeddings, similar_pairs, similar_edges, neighbor_lists, clusters,
+        category_scores, keyword_cooccurrence, category_hierarchy, char_chunks, stored_chunks, hash_embeddings, similar_pairs, similar_classes, similar_edges, neighbor_lists, clusters,
         cluster_sizes, embedding_overlap, neighbor_changes, predictions_selected, category_facets, category_communities, signature_groups, label_examples,
         category_agreement, graph_edges, graph_nodes, bridge_scores, category_blends, category_insights, cross_category, perspective, primary_categories,
         profile_matrix, profile_agreement, profile_hot_paths, profile_top_bridges, catalog_selection, text_filter, scalar_formats,

@@ -98,11 +98,6 @@ def test_hierarchy(spark):
     assert {tuple(r) for r in keywords.hierarchy(df).collect()} == {("A", "A/B", 2), ("A/B", "A/B/C", 1)}
 
 
-def test_communities():
-    got = dict(categories.merge_signatures([("A | B", 3, "A", "B", None), ("A", 1, "A", None, None), ("C", 1, "C", None, None)]))
-    assert got == {"A | B": 1, "A": 1, "C": 2}
-
-
 def test_bridge(spark):
     c = spark.createDataFrame([(1, "X", "Q", None, "0"), (2, "X", None, None, "0"), (3, "Y", None, None, "0"), (4, "Y", None, None, "0"), (5, "Z", None, None, "0")], "id long, category string, secondary string, tertiary string, cluster string")
     n = spark.createDataFrame([(1, i, 0.9, i - 1) for i in (2, 3, 4, 5)], "id long, neighbor long, weight double, rank int")

@@ -1,4 +1,4 @@
-"""Category predictions, facets, signatures and communities; label preparation; agreement."""
+"""Category predictions, facets; label preparation; agreement."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 UNCATEGORIZED = "Uncategorized"
 ALTERNATE = 0.11
-FACET_WEIGHTS = {"category": 1.0, "secondary": 0.68, "tertiary": 0.44}
-ANCHOR, JOIN, SAME_PRIMARY = 3, 0.46, 0.05
 
 
 def deduplicated(predictions: DataFrame) -> DataFrame:
@@ -44,63 +42,6 @@ def facets(chosen: DataFrame, most: int = 3) -> DataFrame:
     return f.select("conversation_id", primary.alias("category"), F.get(others, F.lit(0))["category"].alias("secondary"), F.get(others, F.lit(1))["category"].alias("tertiary"))
 
 
-def signatures(faceted: DataFrame) -> DataFrame:
-    """signature, n, category, secondary, tertiary."""
-    s = F.concat_ws(" | ", "category", "secondary", "tertiary")
-    return faceted.groupBy(s.alias("signature")).agg(F.count("*").alias("n"), F.min("category").alias("category"), F.min("secondary").alias("secondary"), F.min("tertiary").alias("tertiary"))
-
-
-def merge_signatures(groups: list[tuple]) -> list[tuple[str, int]]:
-    """(signature, community) of groups (signature, n, category, secondary, tertiary), each in turn: groups of three or more
-    found communities, the rest join the best-matching one or found their own. Order matters, and the table is as small as
-    the number of facet combinations."""
-    order = sorted(groups, key=lambda g: (-g[1], g[0]))
-    anchors = [g for g in order if g[1] >= ANCHOR] or order
-    found: list[dict] = []
-
-    def profile(g) -> dict[str, float]:
-        out: dict[str, float] = {}
-        for c, w in zip(g[2:5], FACET_WEIGHTS.values()):
-            if c is not None:
-                out[c] = max(out.get(c, 0.0), w)
-        return out
-
-    def start(g) -> None:
-        found.append({"seed": g[0], "n": g[1], "sum": {k: v * g[1] for k, v in profile(g).items()}, "primary": g[2], "in": [g[0]]})
-
-    for g in anchors:
-        start(g)
-    for g in order if len(anchors) < len(order) else []:
-        if g in anchors:
-            continue
-        mine, scored = profile(g), []
-        for c in found:
-            theirs = {k: round(v / c["n"], 4) for k, v in c["sum"].items()}
-            keys = mine.keys() | theirs.keys()
-            low = sum(min(mine.get(k, 0.0), theirs.get(k, 0.0)) for k in keys)
-            high = sum(max(mine.get(k, 0.0), theirs.get(k, 0.0)) for k in keys)
-            scored.append((min(1.0, (low / high if high else 0.0) + SAME_PRIMARY * (c["primary"] == g[2])), c))
-        best = min(scored, key=lambda s: (-s[0], -s[1]["n"], s[1]["seed"]), default=None)
-        if best and best[0] >= JOIN:
-            c = best[1]
-            c["n"] += g[1]
-            c["in"].append(g[0])
-            for k, v in mine.items():
-                c["sum"][k] = c["sum"].get(k, 0.0) + v * g[1]
-        else:
-            start(g)
-    numbered = sorted(found, key=lambda c: (-c["n"], c["seed"]))
-    return [(s, i) for i, c in enumerate(numbered, 1) for s in c["in"]]
-
-
-def communities(faceted: DataFrame) -> DataFrame:
-    """conversation_id, community (catcomm:0001 up)."""
-    s = signatures(faceted)
-    merged = merge_signatures([tuple(r) for r in s.collect()])  # one row a facet combination
-    names = faceted.sparkSession.createDataFrame([(a, f"catcomm:{i:04d}") for a, i in merged], "signature string, community string")
-    return faceted.withColumn("signature", F.concat_ws(" | ", "category", "secondary", "tertiary")).join(F.broadcast(names) if len(merged) < 100_000 else names, "signature").select("conversation_id", "community")
-
-
 def collapsed_labels(examples: DataFrame, least: int = 4) -> DataFrame:
     """label, text: blank labels and those of fewer than ``least`` rows become Uncategorized; repeats in any case go."""
     named = examples.withColumn("label", F.when(F.trim("label") == "", UNCATEGORIZED).otherwise(F.coalesce(F.trim("label"), F.lit(UNCATEGORIZED))))

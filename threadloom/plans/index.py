@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import catalog as K
 from ..operators import categories as C
+from ..operators import communities as M
 from ..operators import classifier, forest, graph, keywords, reports, similarity, topics, wordpiece
 from ..operators.store import kept
 from .config import Config
@@ -78,7 +79,7 @@ def build(messages: DataFrame, config: Config, providers: Providers | None = Non
     titles = info.select(F.col("conversation_id").alias("id"), "title")
     pairs, neighbors = similarity.snapshot(vectors, titles, config.threshold(description), config.max_similar_neighbors)
     cluster = kept(similarity.numbered(similarity.components(titles.select("id"), pairs)).select(F.col("id").alias("conversation_id"), "cluster"))
-    community = kept(C.communities(facets))
+    community = kept(M.communities(facets))
     summary = told.select("conversation_id", "model_summary") if told is not None else info.select("conversation_id", F.lit(None).cast("string").alias("model_summary"))
     analysis = info.join(facets, "conversation_id", "left").join(merged, "conversation_id", "left").join(summary, "conversation_id", "left").join(cluster, "conversation_id", "left").join(community, "conversation_id", "left")
     source = chosen.where("is_selected").select("conversation_id", F.col("source").alias("category_source"))

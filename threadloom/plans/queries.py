@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import categories as C
-from ..operators import classifier, forest, graph, keywords, reports, similarity
+from ..operators import classifier, communities, forest, graph, keywords, reports, similarity
 from ..operators.store import kept
 from ..sources import sinks
 from ..sources.tables import messages, table
@@ -201,11 +201,11 @@ def category_facets(s, d):
 
 
 def category_communities(s, d):
-    return C.communities(C.facets(C.selected(_predictions(s, d))))
+    return communities.communities(C.facets(C.selected(_predictions(s, d))))
 
 
 def signature_groups(s, d):
-    return C.signatures(C.facets(C.selected(_predictions(s, d)))).select("signature", "n")
+    return communities.signatures(C.facets(C.selected(_predictions(s, d)))).select("signature", "n")
 
 
 def label_examples(s, d):

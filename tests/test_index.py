@@ -110,8 +110,8 @@ def test_facets_and_edges(built):
     assert {"cluster_category", "cluster_keyword", "belongs_to_category_community", "community_category", "community_keyword", "has_topic", "category_parent"} <= set(kinds)
     assert not graph.without_replaced(built["edges"]).where("edge_type = 'has_topic'").count() and graph.similar_only(built["edges"]).count() == 1
     nodes = {r.id: (r.label, r.kind) for r in built["nodes"].collect()}
-    assert nodes["a"] == ("Parser bug", "conversation") and nodes["a4"] == ("😀" * 40 + "...", "message") and nodes["cat:Security"] == ("Security", "category")
-    assert {"keyword", "topic", "topic_label", "cluster", "category_community"} <= {k for _, k in nodes.values()}
+    assert nodes["a"] == ("Parser bug", "conversation") and nodes["a4"] == ("😀" * 40 + "...", "assistant") and nodes["a2"] == ("", "message") and nodes["cat:Security"] == ("Security", "category")
+    assert {"keyword", "topic", "topic_label", "topic_cluster", "category_community"} <= {k for _, k in nodes.values()}
 
 
 def test_topics(built):
@@ -204,8 +204,18 @@ def test_outputs(spark, messages, built, tmp_path):
     assert "CurrentNode: a3\n" in docs["a", 0] and "Node=a4" not in docs["a", 0] and "Node=d4" in docs["d", 0] and "TopicClusterSummary: " in docs["b", 0]
     again = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"file://{tmp_path}/out/reports/catalog")
     assert again.count() == 4 and "azure" in again.where("conversation_id = 'a'").first().topics
-    dot = [r.value for r in spark.read.text(f"file://{tmp_path}/out/graph/dot").collect()]
-    assert '  "cat:Security" [label="Security",shape=hexagon];' in dot and '  "a2" -> "a3" [label="reply"];' in dot
+    dot = (tmp_path / "out/graph/conversation-graph.dot").read_text().split("\n")
+    assert dot[:2] == ["digraph ChatDump {", "  rankdir=LR;"] and dot[-2:] == ["}", ""] and len(dot) == t["nodes"].count() + t["edges"].count() + 4
+    assert '  "cat:Security" [shape=hexagon,label="Security"];' in dot and '  "a2" -> "a3" [label="reply:1"];' in dot and '  "a3" [shape=plaintext,label="Done."];' in dot
+    own = json.loads((tmp_path / "out/graph/corpus-index.json").read_text())
+    assert [c["conversation_id"] for c in own["conversations"]] == list("abcd") and len(own["graph"]["edges"]) == t["edges"].count() and len(own["topic_clusters"]) == 3
+    assert {n["id"] for n in json.loads((tmp_path / "out/graph/conversation-graph.json").read_text())["nodes"]} == {r.id for r in t["nodes"].collect()}
+    # Every link of the catalog opens its file.
+    from urllib.parse import unquote
+
+    for r in t["catalog"].collect():
+        assert (tmp_path / "out/reports" / unquote(r.transcript_path)).read_text() == docs[r.conversation_id, 0]
+    assert (tmp_path / "out/branches/Parser bug__a__branch-001.txt").read_text() == text and len(list((tmp_path / "out/branches").iterdir())) == 8
     assert "# Corpus insights" in "\n".join(r.value for r in spark.read.text(f"file://{tmp_path}/out/reports/insights_md").collect())
     runs = tables.profile_run(spark, "hybrid", f"file://{tmp_path}/out/reports").unionByName(tables.profile_run(spark, "again", f"file://{tmp_path}/out/reports").withColumn("category", F.when(F.col("id") == "a", "Other").otherwise(F.col("category"))))
     report = main.profile_report(runs)

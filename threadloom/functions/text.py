@@ -174,7 +174,9 @@ def unix_text(seconds: Column) -> Column:
 
 
 def preview(c: Column) -> Column:
-    return F.when(units(c) > 80, F.concat(first_units(c, 80), F.lit("..."))).otherwise(c)
+    """At most 80 code units on one line: line ends become blanks, the ends are trimmed, and blank text is empty."""
+    flat = trimmed(F.translate(c, "\r\n", "  "))
+    return F.when(is_blank(c), F.lit("")).when(units(flat) > 80, F.concat(first_units(flat, 80), F.lit("..."))).otherwise(flat)
 
 
 def file_name(c: Column) -> Column:
@@ -186,6 +188,11 @@ def safe_name(title: Column, conversation_id: Column) -> Column:
     return file_name(F.when(is_blank(title), conversation_id).otherwise(F.concat(title, F.lit("__"), conversation_id)))
 
 
+def stored_name(name: Column) -> Column:
+    """A name that file systems take: one of over 200 bytes is cut to 48 characters and gets a part of its hash."""
+    return F.when(F.octet_length(name) > 200, F.concat(F.left(name, F.lit(48)), F.lit("~"), F.left(F.sha2(name, 256), F.lit(16)))).otherwise(name)
+
+
 def href(segment: Column) -> Column:
     """A path segment escaped for a link; a blank is %20."""
     return F.replace(F.url_encode(segment), F.lit("+"), F.lit("%20"))

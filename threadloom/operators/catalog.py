@@ -56,7 +56,7 @@ def catalog(analysis: DataFrame, neighbors: DataFrame, branches: DataFrame, clus
     bridge = F.greatest(F.lit(0), 4 * (facet_count() - 1)) + 2 * F.size("neighbor_categories") + F.col("cross_category_neighbors")
     a = a.withColumn("bridge_score", bridge.cast("long")).withColumn("topics_text", F.array_join("topics", " ")).withColumn("keywords_text", F.array_join(F.transform(F.slice("keywords", 1, 18), lambda k: k["keyword"]), " "))
     searched = search_text(["title", *FACETS, "community_label", "topic_label", "cluster_label", "model_summary", "topics_text", "keywords_text"])
-    path = F.concat(F.lit("../transcripts/"), X.href(X.safe_name(F.col("title"), F.col("conversation_id"))), F.lit(".txt"))
+    path = F.concat(F.lit("../transcripts/"), X.href(X.stored_name(X.safe_name(F.col("title"), F.col("conversation_id")))), F.lit(".txt"))
     return a.select(
         "conversation_id", "title", X.unix_text(F.col("conversation_time")).alias("created"), "source_file", F.coalesce("branches", F.lit(0).cast("long")).alias("branches"), *FACETS, "category_source",
         "community", "community_label", "cluster", "cluster_label", "cluster_summary", "topic_label", "model_summary", "topics", F.slice("keywords", 1, 18).alias("keywords"), F.slice("predictions", 1, 8).alias("predictions"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import folded, is_blank
+from ..functions.text import folded, is_blank, preview
 
 
 def edges(rows: DataFrame, source: Column, target: Column, kind: str, weight: Column | float = 1.0) -> DataFrame:
@@ -95,13 +95,30 @@ def deduplicated_in_scope(found: DataFrame) -> DataFrame:
 
 
 def kind_of(node: Column) -> Column:
-    kinds = (("kw:", "keyword"), ("topic:", "topic"), ("topiclabel:", "topic_label"), ("cat:", "category"), ("cluster:", "cluster"), ("catcomm:", "category_community"))
-    out = F.lit("conversation")
+    kinds = (("kw:", "keyword"), ("topic:", "topic"), ("topiclabel:", "topic_label"), ("cat:", "category"), ("cluster:", "topic_cluster"), ("catcomm:", "category_community"))
+    out = F.lit("node")
     for prefix, kind in kinds:
         out = F.when(node.startswith(prefix), F.lit(kind)).otherwise(out)
     return out
 
 
+def message_nodes(messages: DataFrame) -> DataFrame:
+    """id, label, kind, prio: a message's first value of text, code and output as its preview; its kind is the role."""
+    return messages.select(F.col("node_id").alias("id"), preview(F.coalesce("text", "aggregate_code", "execution_output")).alias("label"), F.coalesce("role", F.lit("message")).alias("kind"), F.lit(2).alias("prio"))
+
+
+def record_nodes(records: DataFrame, group: str, kind: str) -> DataFrame:
+    """Clusters or communities with their label, and their categories and keywords."""
+    of = lambda column, prefix, name: records.select(F.explode(column).alias("x")).where(~is_blank(F.col("x"))).select(F.concat(F.lit(prefix), "x").alias("id"), F.col("x").alias("label"), F.lit(name).alias("kind"), F.lit(3).alias("prio"))
+    own = records.select(F.col(group).alias("id"), F.coalesce("label", group).alias("label"), F.lit(kind).alias("kind"), F.lit(3).alias("prio"))
+    return own.unionByName(of("categories", "cat:", "category")).unionByName(of("keywords", "kw:", "keyword"))
+
+
+def keyword_nodes(keywords: DataFrame) -> DataFrame:
+    """All keywords of conversations, also those that have no edge."""
+    return keywords.select(F.concat(F.lit("kw:"), "keyword").alias("id"), F.col("keyword").alias("label"), F.lit("keyword").alias("kind"), F.lit(2).alias("prio")).distinct()
+
+
 def nodes(all_edges: DataFrame, known: DataFrame) -> DataFrame:
     """id, label, kind: known nodes (id, label, kind, prio), the last writer of an id winning; endpoints no one knows are
     inferred from their prefix."""

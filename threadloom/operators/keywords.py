@@ -124,7 +124,7 @@ def hierarchy(categorized: DataFrame) -> DataFrame:
 
 def message_chunks(messages: DataFrame, width: int = 1200) -> DataFrame:
     """conversation_id, node_id, kind, pos, chunk, chunk_hash."""
-    kinds = (("text", "text"), ("code", "aggregate_code"), ("output", "execution_output"))
+    kinds = (("text", "text"), ("code", "aggregate_code"), ("execution_output", "execution_output"))
     each = [messages.select("conversation_id", "node_id", F.lit(kind).alias("kind"), F.posexplode(X.chunks(F.col(c), width)).alias("pos", "chunk")) for kind, c in kinds]
     out = each[0]
     for e in each[1:]:

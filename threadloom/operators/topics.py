@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .categories import FACET_WEIGHTS, UNCATEGORIZED
+from .categories import UNCATEGORIZED
+from .communities import FACET_WEIGHTS
 
 STRINGS = "array<string>"
 

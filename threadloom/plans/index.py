@@ -110,10 +110,10 @@ def build(messages: DataFrame, config: Config, providers: Providers | None = Non
     ).withColumn("scope", F.lit("global"))
     edges = of_conversation.unionByName(of_nodes).unionByName(everywhere)
     edges = kept(graph.deduplicated_in_scope(edges.withColumnRenamed("scope", "scope_id").withColumn("metadata_json", F.lit(None).cast("string"))))
-    known = m.select(F.col("node_id").alias("id"), X.preview(F.col("text")).alias("label"), F.lit("message").alias("kind"), F.lit(1).alias("prio"))
-    known = known.unionByName(info.select(F.col("conversation_id").alias("id"), F.col("title").alias("label"), F.lit("conversation").alias("kind"), F.lit(2).alias("prio")))
-    for records, group, kind in ((clusters, "cluster", "cluster"), (communities, "community", "category_community")):
-        known = known.unionByName(records.select(F.col(group).alias("id"), "label", F.lit(kind).alias("kind"), F.lit(3).alias("prio")))
+    known = info.select(F.col("conversation_id").alias("id"), F.col("title").alias("label"), F.lit("conversation").alias("kind"), F.lit(1).alias("prio"))
+    known = known.unionByName(graph.message_nodes(m)).unionByName(graph.keyword_nodes(found))
+    for records, group, kind in ((clusters, "cluster", "topic_cluster"), (communities, "community", "category_community")):
+        known = known.unionByName(graph.record_nodes(records, group, kind))
     branches = forest.leaves(m).groupBy("conversation_id").agg(F.count("*").alias("branches"))
     comparison = kept(C.compared_predictions(base, predicted, facets, chosen)) if predicted is not None else None
     rows = kept(K.catalog(analysis, neighbors, branches, clusters, communities, comparison))

@@ -46,9 +46,9 @@ def run(spark: SparkSession, c: Config, messages: DataFrame | None = None, found
     t = index.build(m, c, p)
     lists = index.insights(t)
     sinks.write_tables({"database/" + k: v for k, v in sinks.database(t).items()}, c.db or c.output)
-    sinks.write_graph(t["nodes"], t["edges"], f"{c.output}/graph")
+    sinks.write_graph(t, f"{c.output}/graph")
     sinks.write_reports(t, lists, f"{c.output}/reports")
-    sinks.write_transcripts(sinks.transcripts(t), f"{c.output}/transcripts")
+    sinks.write_transcripts(sinks.transcripts(t), c.output)
     if c.train_classifier:
         rows = index.examples(t)
         model, metrics = classifier.train(rows)

@@ -190,9 +190,10 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'kw:' || left_keyword, 'kw:' || right_keyword, 'co_occurs_with', weight FROM cooc
         UNION ALL SELECT 'cat:' || parent, 'cat:' || child, 'category_parent', n FROM steps)
         SELECT from_id, to_id, edge_type, max(weight)::DOUBLE AS weight FROM every GROUP BY 1, 2, 3""",
-    "graph_nodes": f"""WITH {MSGS}, {CATEGORIES}, {HIERARCHY}, known AS (SELECT node_id AS id, CASE WHEN length(text) > 80 THEN left(text, 80) || '...' ELSE text END AS label, 'message' AS kind FROM m),
+    "graph_nodes": f"""WITH {MSGS}, {CATEGORIES}, {HIERARCHY}, known AS (SELECT node_id AS id, CASE WHEN regexp_matches(coalesce(text, ''), '^{SPACE}*$') THEN '' WHEN length(flat) > 80 THEN left(flat, 80) || '...' ELSE flat END AS label, coalesce(role, 'message') AS kind
+            FROM (SELECT *, {TRIM("translate(text, chr(13) || chr(10), '  ')")} AS flat FROM m)),
         ends AS (SELECT conversation_id AS id FROM cats UNION SELECT 'cat:' || category FROM cats UNION SELECT 'cat:' || parent FROM steps UNION SELECT 'cat:' || child FROM steps)
-        SELECT * FROM known UNION ALL SELECT id, regexp_replace(id, '^cat:', ''), CASE WHEN id LIKE 'cat:%' THEN 'category' ELSE 'conversation' END FROM ends WHERE id NOT IN (SELECT id FROM known)""",
+        SELECT * FROM known UNION ALL SELECT id, regexp_replace(id, '^cat:', ''), CASE WHEN id LIKE 'cat:%' THEN 'category' ELSE 'node' END FROM ends WHERE id NOT IN (SELECT id FROM known)""",
     "bridge_scores": f"""WITH {N4}, {CATALOG}, x AS (SELECT n.id, o.category AS their FROM n JOIN catalog c ON c.id = n.id JOIN catalog o ON o.id = n.neighbor WHERE n.rank <= 12 AND o.category <> c.category),
         k AS (SELECT id, count(DISTINCT their) AS cc, count(*) AS cn FROM x GROUP BY 1),
         r AS (SELECT id, (1 + (secondary IS NOT NULL)::INT + (tertiary IS NOT NULL)::INT)::BIGINT AS facets, coalesce(cc, 0) AS cross_categories, coalesce(cn, 0) AS cross_neighbors FROM catalog LEFT JOIN k USING (id))

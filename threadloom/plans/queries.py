@@ -225,8 +225,7 @@ def graph_edges(s, d):
 def graph_nodes(s, d):
     m = messages(s, d)
     e = graph.deduplicated(graph.reply_edges(forest.linked(m)), graph.category_edges(keywords.categories(forest.corpus(m))), graph.hierarchy_edges(keywords.hierarchy(_doc_category(s, d))))
-    known = m.select(F.col("node_id").alias("id"), X.preview(F.col("text")).alias("label"), F.lit("message").alias("kind"), F.lit(1).alias("prio"))
-    return graph.nodes(e, known)
+    return graph.nodes(e, graph.message_nodes(m))
 
 
 def bridge_scores(s, d):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import files
 
 RULE, LINE = "=" * 80, "-" * 80
 
@@ -36,25 +37,47 @@ def write_normalized(messages: DataFrame, path: str) -> None:
     messages.orderBy(F.col("create_time").asc_nulls_first(), "conversation_id", "node_id").write.mode("overwrite").json(path)
 
 
-SHAPES = (("conversation", "box"), ("message", "ellipse"), ("keyword", "oval"), ("topic", "diamond"), ("topic_label", "diamond"), ("category", "hexagon"), ("cluster", "folder"), ("category_community", "component"))
+# A node's shape by its kind.
+SHAPES = (("conversation", "box"), ("topic_cluster", "oval"), ("category_community", "octagon"), ("keyword", "diamond"), ("category", "hexagon"), ("topic", "ellipse"))
 
 
 def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The graph's DOT lines, between which a writer puts the braces; a node's shape tells its kind."""
-    esc = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    shape = F.lit("ellipse")
+    """The lines (value, section, a, b, c) of one DOT document: a node's shape tells its kind, an edge's label its type and weight. Line
+    ends and quotes in labels are escaped."""
+    esc = lambda c: F.regexp_replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), r"\r\n|\r|\n", r"\\n")
+    shape = F.lit("plaintext")
     for kind, name in SHAPES:
         shape = F.when(F.col("kind") == kind, name).otherwise(shape)
-    n = nodes.select(F.format_string('  "%s" [label="%s",shape=%s];', esc(F.col("id")), esc(F.coalesce("label", F.lit(""))), shape).alias("line"))
-    e = edges.select(F.format_string('  "%s" -> "%s" [label="%s"];', esc(F.col("from_id")), esc(F.col("to_id")), F.col("edge_type")).alias("line"))
-    return n.unionByName(e)
+    spark = nodes.sparkSession
+    frame = spark.createDataFrame([("digraph ChatDump {", 0, "", "", ""), ("  rankdir=LR;", 1, "", "", ""), ("}", 4, "", "", "")], "value string, section int, a string, b string, c string")
+    n = nodes.select(F.format_string('  "%s" [shape=%s,label="%s"];', esc(F.col("id")), shape, esc(F.col("label"))).alias("value"), F.lit(2).alias("section"), F.col("kind").alias("a"), X.folded(F.coalesce("label", F.lit(""))).alias("b"), F.col("id").alias("c"))
+    e = edges.select(F.format_string('  "%s" -> "%s" [label="%s:%s"];', esc(F.col("from_id")), esc(F.col("to_id")), esc(F.col("edge_type")), X.short_number(F.col("weight"))).alias("value"), F.lit(3).alias("section"), F.col("from_id").alias("a"), F.col("to_id").alias("b"), F.col("edge_type").alias("c"))
+    return frame.unionByName(n).unionByName(e)
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Nodes and edges as JSON lines, and the DOT lines."""
+def _listed(df: DataFrame, *order: str) -> DataFrame:
+    """key, value: rows as JSON, by the columns of ``order``, which tell rows apart."""
+    return df.select(F.to_json(F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order))).alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
+
+
+def write_graph(t: dict[str, DataFrame], path: str) -> None:
+    """Nodes and edges as JSON lines, as one DOT document and one JSON document, and the corpus index as one."""
+    nodes, edges = t["nodes"], t["edges"]
     write_json(nodes, f"{path}/nodes")
     write_json(edges, f"{path}/edges")
-    dot_lines(nodes, edges).select(F.col("line").alias("value")).write.mode("overwrite").text(f"{path}/dot")
+    files.write_document(dot_lines(nodes, edges), ["section", "a", "b", "c"], f"{path}/conversation-graph.dot")
+    graph = {"nodes": _listed(nodes, "kind", "label", "id"), "edges": _listed(edges, "from_id", "to_id", "edge_type", "scope_id")}
+    files.write_document(files.json_document(graph), ["section", "key"], f"{path}/conversation-graph.json")
+    listed = ["conversation_id", "title", "category", "secondary", "tertiary", "category_source", "community", "community_label", "topic_label", "cluster", "model_summary", "topics", "keywords", "predictions"]
+    sections = {
+        "conversations": _listed(t["catalog"].select(*listed), "conversation_id"),
+        "topic_clusters": _listed(t["clusters"], "cluster"),
+        "category_communities": _listed(t["communities"], "community"),
+        "keyword_cooccurrences": _listed(t["cooccurrence"], "left_keyword", "right_keyword"),
+        "category_hierarchy": _listed(t["hierarchy"], "parent", "child"),
+        **{f"graph/{k}": v for k, v in graph.items()},
+    }
+    files.write_document(files.json_document(sections), ["section", "key"], f"{path}/corpus-index.json")
 
 
 def database(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -122,7 +145,7 @@ def transcripts(t: dict[str, DataFrame]) -> DataFrame:
     group = [_line("TopicLabel", col("topic_label")), _line("TopicCluster", col("cluster")), _line("TopicClusterLabel", col("cluster_label"))]
     main = F.concat(*head, _line("SourceFile", col("source_file"), True), _line("Created", col("created"), True), _line("CurrentNode", col("current_node"), True), *facets, _line("CategorySource", col("category_source")), *community, *sizes, *group, _line("TopicClusterSummary", col("cluster_summary")), _line("Keywords", words, True), _line("CategoryCandidates", comma(F.transform("predictions", mark))), _line("ModelSummary", col("model_summary")), F.lit(f"{RULE}\n\n"))
     branch = F.concat(*head, _line("Branch", col("branch"), True), *facets, *community, *sizes, *group, F.lit(f"{LINE}\n\n"))
-    nodes, name = _nodes(t["messages"]), X.safe_name(col("title"), col("conversation_id"))
+    nodes, name = _nodes(t["messages"]), X.stored_name(X.safe_name(col("title"), col("conversation_id")))
     body = F.coalesce("body", F.lit(""))
     one = a.join(_joined(t["current"], nodes, "conversation_id"), "conversation_id", "left").select("conversation_id", F.lit(0).alias("branch"), name.alias("name"), F.concat(main, body).alias("document"))
     each = a.join(_joined(t["paths"], nodes, "conversation_id", "branch"), "conversation_id").select("conversation_id", "branch", F.concat(name, F.format_string("__branch-%03d", "branch")).alias("name"), F.concat(branch, body).alias("document"))
@@ -130,8 +153,10 @@ def transcripts(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def write_transcripts(documents: DataFrame, path: str) -> None:
-    """A folder for each conversation and branch, with the document as text (UTF-8, no mark in front)."""
-    documents.select("conversation_id", "branch", F.col("document").alias("value")).write.mode("overwrite").partitionBy("conversation_id", "branch").text(path)
+    """``path``/transcripts/NAME.txt for each conversation, as the catalog links it, and ``path``/branches/NAME.txt for each branch (UTF-8, no
+    mark in front)."""
+    folder = F.when(F.col("branch") == 0, "transcripts").otherwise("branches").alias("folder")
+    files.write_named(documents.select(folder, F.concat("name", F.lit(".txt")).alias("name"), "document", "conversation_id", "branch"), path, ["conversation_id", "branch"])
 
 
 def markdown(title: str, sections: dict[str, DataFrame], top: int = 25) -> str:

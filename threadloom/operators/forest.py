@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, or_default
-from .store import ranked
+from .store import kept, ranked
 
 
 def usable(messages: DataFrame) -> DataFrame:
@@ -97,25 +98,45 @@ def _paths_of(conversation: str, nodes: list[tuple]) -> list[tuple]:
     return rows
 
 
-def _paths(batches):
-    """Batches sorted by conversation; the last conversation of each waits for the next batch."""
-    import pyarrow as pa
-
-    schema = pa.schema([("conversation_id", pa.string()), ("branch", pa.int32()), ("leaf", pa.string()), ("depth", pa.int32()), ("pos", pa.int32()), ("node_id", pa.string())])
-    at, waiting = None, []
+def _current_of(conversation: str, nodes: list[tuple]) -> list[tuple]:
+    """The path to the current node of one conversation's nodes (id, parent, time or None, place in the input, shown, current node),
+    else to its latest leaf; in a cycle it ends where it meets itself."""
+    parent = {n[0]: n[1] for n in nodes}
+    shown = {n[0]: n[4] for n in nodes}
+    at = nodes[0][5] if nodes and nodes[0][5] in parent else None
+    if at is None and nodes:
+        inner = set(parent.values())
+        ends = [n for n in nodes if n[0] not in inner]
+        at = min(ends, key=lambda n: (n[2] is None, -(n[2] or 0.0), n[3]))[0] if ends else None
+    path, seen = [], set()
+    while at in parent and at not in seen:
+        seen.add(at)
+        path.append(at)
+        at = parent[at]
+    return [(conversation, pos, n) for pos, n in enumerate(n for n in reversed(path) if shown[n])]
+
+
+def _by_conversation(of, schema: str):
+    """Batches sorted by conversation to the rows that ``of`` makes of each; the last conversation of each waits for the next batch."""
+    kinds = {"string": pa.string(), "int": pa.int32()}
+    fields = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))])
 
     def written(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(fields), fields)], schema=fields)
+
+    def run(batches):
+        at, waiting = None, []
+        for batch in batches:
+            rows = []
+            for conversation, *node in zip(*(c.to_pylist() for c in batch.columns)):
+                if conversation != at:
+                    rows += of(at, waiting)
+                    at, waiting = conversation, []
+                waiting.append(tuple(node))
+            yield written(rows)
+        yield written(of(at, waiting))
 
-    for batch in batches:
-        rows = []
-        for conversation, *node in zip(*(c.to_pylist() for c in batch.columns)):
-            if conversation != at:
-                rows += _paths_of(at, waiting)
-                at, waiting = conversation, []
-            waiting.append(tuple(node))
-        yield written(rows)
-    yield written(_paths_of(at, waiting))
+    return run
 
 
 def all_paths(messages: DataFrame) -> DataFrame:
@@ -123,7 +144,7 @@ def all_paths(messages: DataFrame) -> DataFrame:
     shows, else null), node_id. Conversations come to a task in order, many to a batch."""
     shown = F.col("role").isNotNull() | ~is_blank(F.col("text")) | ~is_blank(F.col("aggregate_code")) | ~is_blank(F.col("execution_output"))
     columns = messages.select("conversation_id", "node_id", "parent_node_id", F.nanvl("create_time", F.lit(None)).alias("create_time"), shown.alias("shown"))
-    return columns.repartition("conversation_id").sortWithinPartitions("conversation_id").mapInArrow(_paths, PATHS)
+    return columns.repartition("conversation_id").sortWithinPartitions("conversation_id").mapInArrow(_by_conversation(_paths_of, PATHS), PATHS)
 
 
 def leaf_paths(messages: DataFrame) -> DataFrame:
@@ -131,21 +152,48 @@ def leaf_paths(messages: DataFrame) -> DataFrame:
     return all_paths(messages).where("pos is not null").select("conversation_id", "branch", "leaf", "pos", "node_id")
 
 
-def current_path(messages: DataFrame, current: DataFrame | None = None) -> DataFrame:
+def current_path(messages: DataFrame, current: DataFrame | None = None, large: int = 10_000) -> DataFrame:
     """The path to the conversation's current node (conversation_id, current_node), else to its latest leaf, the first of the
-    input (``row_idx``, or by id without it) on ties; of its nodes those that a path shows."""
-    paths = all_paths(messages)
-    last = W.partitionBy("conversation_id").orderBy(F.col("create_time").desc_nulls_last(), "row_idx" if "row_idx" in messages.columns else "node_id")
-    end = leaves(messages).withColumn("r", F.row_number().over(last)).where("r = 1").select("conversation_id", F.col("node_id").alias("leaf"))
-    out = ["conversation_id", "pos", "node_id"]
-    if current is None:
-        return paths.join(end, ["conversation_id", "leaf"]).where("pos is not null").select(*out)
-    known = current.join(messages.select("conversation_id", F.col("node_id").alias("current_node")), ["conversation_id", "current_node"])
-    on = paths.join(known.withColumnRenamed("current_node", "node_id"), ["conversation_id", "node_id"]).select("conversation_id", "branch", F.col("depth").alias("last"))
-    one = on.groupBy("conversation_id").agg(F.min("branch").alias("branch"), F.max("last").alias("last"))
-    named = paths.join(one, ["conversation_id", "branch"]).where("depth <= last and pos is not null").select(*out)
-    rest = paths.join(end.join(known, "conversation_id", "left_anti"), ["conversation_id", "leaf"]).where("pos is not null").select(*out)
-    return named.unionByName(rest)
+    input (``row_idx``, or by id without it) on ties; of its nodes those that a path shows, as conversation_id, pos, node_id.
+
+    Conversations come to a task in order, many to a batch, and each is walked once from its end. Those of over ``large`` messages are
+    no task's own: their ancestors are found over the tables."""
+    shown = F.col("role").isNotNull() | ~is_blank(F.col("text")) | ~is_blank(F.col("aggregate_code")) | ~is_blank(F.col("execution_output"))
+    place = F.col("row_idx" if "row_idx" in messages.columns else "node_id").alias("place")
+    rows = messages.select("conversation_id", "node_id", "parent_node_id", F.nanvl("create_time", F.lit(None)).alias("create_time"), place, shown.alias("shown"))
+    named = current.dropDuplicates(["conversation_id"]).select("conversation_id", "current_node") if current is not None else None
+    with_end = rows.join(named, "conversation_id", "left") if named is not None else rows.withColumn("current_node", F.lit(None).cast("string"))
+    walk = lambda df: df.repartition("conversation_id").sortWithinPartitions("conversation_id").mapInArrow(_by_conversation(_current_of, CURRENT), CURRENT)
+    big = kept(messages.groupBy("conversation_id").agg(F.count("*").alias("n")).where(F.col("n") > large))
+    n = big.agg(F.count("*").alias("c"), F.max("n").alias("most")).first()
+    if not n.c:
+        return walk(with_end)
+    # At most one in ``large`` rows of the input.
+    own = kept(with_end.join(F.broadcast(big.select("conversation_id")), "conversation_id"))
+    return walk(with_end.join(F.broadcast(big.select("conversation_id")), "conversation_id", "left_anti")).unionByName(_ancestors(own, n.most))
+
+
+CURRENT = "conversation_id string, pos int, node_id string"
+
+
+def _ancestors(rows: DataFrame, most: int) -> DataFrame:
+    """The current paths by pointer doubling: once each node knows its ancestor 2^k steps up, the nodes found within 2^k steps of the end
+    find those within twice as many. Nodes are joined with themselves about log2(depth) times, whatever the leaves are."""
+    key = ["conversation_id", "node_id"]
+    inner = rows.where("parent_node_id is not null").select("conversation_id", F.col("parent_node_id").alias("node_id")).distinct()
+    latest = W.partitionBy("conversation_id").orderBy(F.col("create_time").desc_nulls_last(), "place")
+    told = rows.where("node_id = current_node").select(*key)
+    ends = rows.join(inner, key, "left_anti").join(told.select("conversation_id"), "conversation_id", "left_anti").withColumn("r", F.row_number().over(latest)).where("r = 1").select(*key)
+    up = kept(rows.select("conversation_id", "node_id", F.col("parent_node_id").alias("up")).join(rows.select("conversation_id", F.col("node_id").alias("up")), ["conversation_id", "up"]))
+    found = kept(told.unionByName(ends).withColumn("steps", F.lit(0).cast("long")))
+    step = 1
+    while step <= most and not up.isEmpty():
+        more = found.join(up, key).select("conversation_id", F.col("up").alias("node_id"), (F.col("steps") + step).alias("steps"))
+        nearer = found.unionByName(more).groupBy(*key).agg(F.min("steps").alias("steps"))
+        above = up.select("conversation_id", F.col("node_id").alias("up"), F.col("up").alias("next"))
+        up, found, step = kept(up.join(above, ["conversation_id", "up"]).select("conversation_id", "node_id", F.col("next").alias("up"))), kept(nearer), step * 2
+    path = found.join(rows.where("shown").select(*key), key)
+    return path.select("conversation_id", (F.row_number().over(W.partitionBy("conversation_id").orderBy(F.col("steps").desc())) - 1).alias("pos"), "node_id")
 
 
 def corpus(messages: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import arrays
+
 S, D = T.StringType(), T.DoubleType()
 #: The flat message; field names are those of the input files.
 FLAT = T.StructType(
@@ -38,28 +40,22 @@ def lenient(text: str) -> str:
     return TRAILING.sub(lambda m: m.group(1) or "", bare)
 
 
-def flat_json(spark: SparkSession, path: str) -> DataFrame:
+def flat_json(spark: SparkSession, path: str, range_bytes: int = 32 << 20) -> DataFrame:
     """Messages of flat JSON arrays, one file or several: comments and trailing commas allowed, names in any case, null as no
-    messages. ``row_idx`` is the place in the file's array. A file is read by one task, as an array can't be split."""
-    names = [f.name for f in FLAT]
+    messages. ``row_idx`` is the place in the input: files by name, then the place in the array. A file is read in ranges of
+    ``range_bytes``, each by a task."""
     schema = "row_idx long, " + ", ".join(f"{snake(f.name)} {f.dataType.simpleString()}" for f in FLAT)
-    kinds = [pa.int64(), *(pa.float64() if isinstance(f.dataType, T.DoubleType) else pa.string() for f in FLAT)]
+    kinds = [pa.float64() if isinstance(f.dataType, T.DoubleType) else pa.string() for f in FLAT]
+
+    def parse(texts: list[str]) -> list[list]:
+        low = [{key.lower(): v for key, v in json.loads(lenient(t)).items()} for t in texts]
+        out = []
+        for f, kind in zip(FLAT, kinds):
+            values = [o.get(f.name.lower()) for o in low]
+            out.append([v if v is None or isinstance(v, str) else json.dumps(v) for v in values] if kind == pa.string() else values)
+        return out
 
-    def parsed(batches):
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                objects = json.loads(lenient(content.decode("utf-8-sig"))) or []
-                for k in range(0, len(objects), 1000):
-                    low = [{key.lower(): v for key, v in o.items()} for o in objects[k : k + 1000]]
-                    columns = [pa.array(range(k, k + len(low)), pa.int64())]
-                    for f, kind in zip(FLAT, kinds[1:]):
-                        values = [o.get(f.name.lower()) for o in low]
-                        if kind == pa.string():
-                            values = [v if v is None or isinstance(v, str) else json.dumps(v) for v in values]
-                        columns.append(pa.array(values, kind))
-                    yield pa.RecordBatch.from_arrays(columns, names=["row_idx", *map(snake, names)])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parsed, schema)
+    return arrays.array_objects(spark, path, parse, [snake(f.name) for f in FLAT], kinds, schema, range_bytes)
 
 
 def child_ids(c: Column) -> Column:

@@ -143,7 +143,7 @@ def ranges(spark: SparkSession, path: str, range_bytes: int) -> DataFrame:
 
     # A range a task, or several where there are very many.
     n = each.count()
-    spread = lambda df: df.repartition(max(1, min(n, 4096)), "path", "k")
+    spread = lambda df: df.repartition(max(1, min(n, 4096)))
     told = kept(spread(each).mapInArrow(first, "path string, k int, start long, stop long, told string"))
 
     def composed(rows: pd.DataFrame) -> pd.DataFrame:

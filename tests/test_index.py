@@ -193,7 +193,7 @@ def test_insights(built):
 def test_outputs(spark, messages, built, tmp_path):
     c = config.profile("hybrid", output=f"file://{tmp_path}/out", input="x", train_classifier="")
     t = main.run(spark, c, messages, index.Providers(predictor=predictor))
-    db = {n: spark.read.parquet(f"file://{tmp_path}/out/database/{n}") for n in sinks.database(t)}
+    db = sinks.read_database(spark, f"file://{tmp_path}/out/database")
     assert len(db) == 14 and db["conversations"].count() == 4 and db["messages"].count() == 12
     assert json.loads(db["conversation_embeddings"].first().vector_json) and {r.scope_id for r in db["graph_edges"].collect()} == {"a", "b", "c", "d", "global"}
     docs = {(r.conversation_id, r.branch): r.document for r in sinks.transcripts(t).collect()}
@@ -233,11 +233,15 @@ def test_empty_index(messages):
 
 
 def test_language_model_hooks(messages):
-    told = lambda corpora: corpora.select("conversation_id", F.lit("Security").alias("category"), F.array(F.lit("told topic"), F.lit("told topic")).alias("topics"), F.lit("a summary").alias("summary"))
-    named = lambda records: records.withColumn("label", F.lit("named"))
+    told = lambda corpora: corpora.select("conversation_id", F.lit("Security").alias("category"), F.array(F.lit("told topic"), F.lit("told topic")).alias("topics"), F.array(F.struct(F.lit("told word").alias("keyword"), F.lit(0.5).alias("score"))).alias("keywords"), F.lit("a summary").alias("summary"))
+    named = lambda records, members: records.withColumn("label", F.lit("named"))
     t = index.build(messages, config.profile("heuristic", use_ollama=True), index.Providers(analyzer=told, labeler=named))
     a = t["analysis"].where("conversation_id = 'a'").first()
     assert a.category == "Security" and a.topics[0] == "told topic" and a.model_summary == "a summary"
+    assert [tuple(k) for k in a["keywords"]] == [("told word", 0.5)] and t["nodes"].where("id = 'kw:told word'").count() == 1
+    model = {(r.from_id, r.to_id, r.edge_type) for r in t["model_edges"].collect()}
+    assert ("a", "modelcat:Security", "has_model_category") in model and ("a", "modeltopic:told topic", "has_model_topic") in model
+    assert not t["edges"].where("edge_type like 'has_model%'").count() and t["edges"].where("from_id = 'a' and edge_type = 'has_keyword' and to_id = 'kw:azure'").count() + t["edges"].where("from_id = 'a' and edge_type = 'has_keyword'").count() > 0
     assert {r.label for r in t["clusters"].collect()} == {"named"} and t["clusters"].first().summary == "a summary"
 
 

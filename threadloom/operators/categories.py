@@ -43,10 +43,15 @@ def facets(chosen: DataFrame, most: int = 3) -> DataFrame:
 
 
 def collapsed_labels(examples: DataFrame, least: int = 4) -> DataFrame:
-    """label, text: blank labels and those of fewer than ``least`` rows become Uncategorized; repeats in any case go."""
+    """label, text: blank labels and those of fewer than ``least`` rows become Uncategorized; of repeats in any case the first by
+    ``place`` stays, if there is such a column, as it is written there, else the smallest."""
     named = examples.withColumn("label", F.when(F.trim("label") == "", UNCATEGORIZED).otherwise(F.coalesce(F.trim("label"), F.lit(UNCATEGORIZED))))
-    n = F.count("*").over(W.partitionBy(F.upper("label")))
-    return named.withColumn("n", n).withColumn("label", F.when(F.col("n") < least, UNCATEGORIZED).otherwise(F.col("label"))).drop("n").where(F.trim("text") != "").groupBy(F.upper("label").alias("l"), F.upper("text").alias("t")).agg(F.min("label").alias("label"), F.min("text").alias("text")).select("label", "text")
+    counts = named.groupBy(F.upper("label").alias("l")).agg(F.count("*").alias("n")).where(F.col("n") < least).select("l", F.lit(True).alias("rare"))
+    # Labels with fewer rows than ``least``: the others need no join.
+    collapsed = named.withColumn("l", F.upper("label")).join(counts, "l", "left").withColumn("label", F.when(F.col("rare"), UNCATEGORIZED).otherwise(F.col("label"))).where(F.trim("text") != "")
+    order = F.struct(*([F.col("place")] if "place" in examples.columns else []), F.col("label").alias("_l"), F.col("text").alias("_t"))
+    first = collapsed.groupBy(F.upper("label").alias("l"), F.upper("text").alias("t")).agg(F.min(order).alias("f"))
+    return first.select(F.col("f._l").alias("label"), F.col("f._t").alias("text"))
 
 
 def comparison(rows: DataFrame) -> DataFrame:

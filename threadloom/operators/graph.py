@@ -59,6 +59,14 @@ def topic_edges(topics: DataFrame) -> DataFrame:
     return edges(each, F.col("conversation_id"), F.concat(F.lit("topic:"), "topic"), "has_topic").unionByName(edges(labels, F.col("conversation_id"), F.concat(F.lit("topiclabel:"), "topic_label"), "has_topic_label"))
 
 
+def model_edges(told: DataFrame) -> DataFrame:
+    """has_model_category and has_model_topic from (conversation_id, model_category, model_topics): of a first analysis; the index has
+    facets and merged topics in their place."""
+    named = told.where(~is_blank(F.col("model_category")))
+    each = told.select("conversation_id", F.explode("model_topics").alias("topic"))
+    return edges(named, F.col("conversation_id"), F.concat(F.lit("modelcat:"), "model_category"), "has_model_category").unionByName(edges(each, F.col("conversation_id"), F.concat(F.lit("modeltopic:"), "topic"), "has_model_topic"))
+
+
 def similar_edges(pairs: DataFrame) -> DataFrame:
     return edges(pairs, F.col("a").cast("string"), F.col("b").cast("string"), "similar_to", F.col("weight"))
 

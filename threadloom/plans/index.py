@@ -1,4 +1,4 @@
-"""The whole index of a set of messages: every table, lazily, from one configuration."""
+"""The whole index of a set of messages: every table from one configuration. What several tables need is written once on the way."""
 
 from __future__ import annotations
 
@@ -14,12 +14,13 @@ from ..operators import categories as C
 from ..operators import communities as M
 from ..operators import classifier, forest, graph, keywords, reports, similarity, topics, wordpiece
 from ..operators.store import kept
+from . import language_model
 from .config import Config
 
 #: Baseline analysis (conversation_id, category, topics, keywords, summary) that a language model may override, or None.
 Analyzer = Callable[[DataFrame], DataFrame]
-#: Cluster records in, the same records with other labels and summaries out.
-Labeler = Callable[[DataFrame], DataFrame]
+#: Cluster records and their members in, the same records with other labels and summaries out.
+Labeler = Callable[[DataFrame, DataFrame], DataFrame]
 Embedder = Callable[[DataFrame], DataFrame]
 
 
@@ -47,12 +48,13 @@ def hash_vectors(corpora: DataFrame, dims: int = 384) -> DataFrame:
 
 
 def overridden(own: DataFrame, told: DataFrame) -> DataFrame:
-    """A language model's category, topics and summary, where it gives any, in place of the baseline's."""
-    t = told.select("conversation_id", F.col("category").alias("t_category"), F.array_distinct("topics").alias("t_topics"), F.col("summary").alias("t_summary"))
+    """A language model's category, topics, keywords and summary in place of the baseline's (conversation_id, category, topics): a category
+    that isn't blank, and lists that are there, even if empty."""
+    t = told.select("conversation_id", F.col("category").alias("t_category"), "topics", F.col("keywords").alias("model_keywords"), F.col("summary").alias("model_summary")).withColumnRenamed("topics", "t_topics")
     j = own.join(t, "conversation_id", "left")
     category = F.when(~X.is_blank(F.col("t_category")), F.trim("t_category")).otherwise(F.col("category"))
-    listed = F.when(F.size("t_topics") > 0, F.col("t_topics")).otherwise(F.col("topics"))
-    return j.select("conversation_id", category.alias("category"), listed.alias("topics"), F.col("t_summary").alias("model_summary"))
+    topics_ = F.coalesce(F.array_distinct("t_topics"), "topics")
+    return j.select("conversation_id", category.alias("category"), topics_.alias("topics"), "model_keywords", "model_summary", F.when(~X.is_blank(F.col("t_category")), F.trim("t_category")).alias("model_category"), F.coalesce("t_topics", F.array().cast("array<string>")).alias("model_topics"))
 
 
 def build(messages: DataFrame, config: Config, providers: Providers | None = None) -> dict[str, DataFrame]:
@@ -64,10 +66,15 @@ def build(messages: DataFrame, config: Config, providers: Providers | None = Non
     corpora = kept(forest.corpus(m))
     found = kept(keywords.keywords(keywords.term_units(shown, info.select("conversation_id", "title")), config.keywords))
     topic = keywords.topics(info.select("conversation_id", "title"), found, config.topics)
+    current = kept(forest.current_path(m, info.where("current_node is not null").select("conversation_id", "current_node")))
+    order = kept(forest.conversations(m))
     base = info.select("conversation_id").join(keywords.categories(corpora), "conversation_id", "left").select("conversation_id", F.coalesce("category", F.lit(C.UNCATEGORIZED)).alias("category"))
-    told = overridden(base.join(topics.listed(topic, "topic", "topics"), "conversation_id", "left"), p.analyzer(corpora)) if p.analyzer else None
+    told = overridden(base.join(topics.listed(topic, "topic", "topics"), "conversation_id", "left"), p.analyzer(language_model.spoken(m, current))) if p.analyzer else None
+    of_messages = graph.keyword_edges(found)
     if told is not None:
         told = kept(told)
+        theirs = told.where("model_keywords is not null").select("conversation_id", F.posexplode("model_keywords").alias("rank", "k")).select("conversation_id", "rank", "k.keyword", "k.score")
+        found = kept(found.join(told.where("model_keywords is not null").select("conversation_id"), "conversation_id", "left_anti").unionByName(theirs))
         base = told.select("conversation_id", "category")
         topic = told.select("conversation_id", F.posexplode("topics").alias("rank", "topic"))
     predicted = kept(p.predictor(corpora)) if p.predictor and config.category_provider != "heuristic" else None
@@ -88,7 +95,8 @@ def build(messages: DataFrame, config: Config, providers: Providers | None = Non
     analysis = kept(analysis.join(source, "conversation_id", "left").join(own, "conversation_id", "left").join(listed, "conversation_id", "left").fillna(C.UNCATEGORIZED, ["category"]))
     clusters = kept(topics.cluster_records(cluster, analysis, found))
     if p.labeler and config.labels_clusters():
-        clusters = kept(p.labeler(clusters))
+        members = cluster.join(analysis.select("conversation_id", "title", "category", F.col("model_summary").alias("summary")), "conversation_id")
+        clusters = kept(p.labeler(clusters, members))
     communities = kept(topics.community_records(community, facets, found))
     together = kept(keywords.cooccurrence(found, config.cooccurrence_keywords, config.cooccurrence_min))
     hierarchy = kept(keywords.hierarchy(facets.select("category")))
@@ -99,7 +107,7 @@ def build(messages: DataFrame, config: Config, providers: Providers | None = Non
         chunks = wordpiece.token_chunks(m, p.vocabulary, config.chunk_max_tokens, config.chunk_overlap_tokens).withColumn("chunk_hash", X.chunk_hash(F.col("kind"), F.col("chunk")))
     parents = forest.linked(m)
     reply = graph.reply_edges(parents)
-    of_conversation = graph.deduplicated(graph.keyword_edges(found), graph.facet_edges(chosen, facets), graph.topic_edges(merged)).withColumn("scope", F.col("from_id"))
+    of_conversation = graph.deduplicated(of_messages, graph.facet_edges(chosen, facets), graph.topic_edges(merged)).withColumn("scope", F.col("from_id"))
     of_nodes = reply.join(m.select(F.col("node_id").alias("from_id"), F.col("conversation_id").alias("scope")), "from_id").select(*reply.columns, "scope")
     everywhere = graph.deduplicated(
         graph.similar_edges(pairs),
@@ -120,11 +128,13 @@ def build(messages: DataFrame, config: Config, providers: Providers | None = Non
     tables = {
         "messages": m, "conversations": info, "analysis": analysis, "keywords": found, "topics": merged, "chunks": chunks, "predictions": chosen, "facets": facets, "vectors": vectors, "similar": pairs,
         "neighbors": neighbors, "clusters": clusters, "cluster_members": cluster, "communities": communities, "community_members": community, "cooccurrence": together, "hierarchy": hierarchy, "edges": edges,
-        "nodes": graph.nodes(edges, known), "catalog": rows, "summary": K.summary(rows, edges, together, description.split(":")[0], description), "paths": forest.leaf_paths(m), "corpora": corpora,
-        "current": forest.current_path(m, info.where("current_node is not null").select("conversation_id", "current_node")),
+        "nodes": graph.nodes(edges, known), "catalog": rows, "summary": K.summary(rows, edges, together, description.split(":")[0], description), "paths": forest.leaf_paths(m), "corpora": corpora, "order": order,
+        "current": current,
     }
     if comparison is not None:
         tables |= {"category_comparison": comparison, "category_disagreements": C.disagreements(comparison, info)}
+    if told is not None:
+        tables["model_edges"] = graph.model_edges(told)
     return tables
 
 
@@ -132,7 +142,8 @@ def examples(tables: dict[str, DataFrame], least: int = 4) -> DataFrame:
     """label, text of an index's conversations for the classifier: rare labels collapsed, repeats in any case gone."""
     a = tables["analysis"].join(tables["corpora"], "conversation_id")
     text = classifier.training_text(F.col("title"), F.col("topics"), F.transform("keywords", lambda k: k["keyword"]), F.col("corpus"))
-    return C.collapsed_labels(a.select(F.col("category").alias("label"), text.alias("text")), least)
+    order = tables["order"].select("conversation_id", F.col("conv_idx").alias("place"))
+    return C.collapsed_labels(a.join(order, "conversation_id").select(F.col("category").alias("label"), text.alias("text"), "place"), least)
 
 
 def insights(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:

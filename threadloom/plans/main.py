@@ -20,9 +20,9 @@ def providers(spark: SparkSession, c: Config) -> index.Providers:
     if c.embedding_vocab:
         out.vocabulary = wordpiece.vocabulary(spark, c.embedding_vocab)
     if c.use_ollama:
-        out.analyzer = language_model.analyzer(c)
+        out.analyzer = language_model.analyzer(c, ledger=f"{c.output}/ledger")
     if c.labels_clusters():
-        out.labeler = language_model.labeler(c)
+        out.labeler = language_model.labeler(c, ledger=f"{c.output}/ledger")
     if c.category_provider != "heuristic" and c.mlnet_model:
         model = classifier.load(c.mlnet_model)
         out.predictor = lambda corpora: classifier.predict_top(model, corpora)
@@ -45,7 +45,7 @@ def run(spark: SparkSession, c: Config, messages: DataFrame | None = None, found
     p = found or providers(spark, c)
     t = index.build(m, c, p)
     lists = index.insights(t)
-    sinks.write_tables({"database/" + k: v for k, v in sinks.database(t).items()}, c.db or c.output)
+    sinks.write_database(sinks.database(t), f"{c.db or c.output}/database")
     sinks.write_graph(t, f"{c.output}/graph")
     sinks.write_reports(t, lists, f"{c.output}/reports")
     sinks.write_transcripts(sinks.transcripts(t), c.output)

@@ -179,9 +179,9 @@ SQL: dict[str, str] = {
     "predictions_selected": f"WITH {PRED} SELECT * FROM sel",
     "category_facets": f"WITH {PRED} SELECT * FROM fac",
     "signature_groups": f"WITH {PRED} SELECT concat_ws(' | ', category, secondary, tertiary) AS signature, count(*) AS n FROM fac GROUP BY 1",
-    "label_examples": """WITH r AS (SELECT coalesce(nullif(trim(regexp_extract(url, '//([^/]+)', 1)), ''), 'Uncategorized') AS label, html AS text FROM pages),
-        n AS (SELECT CASE WHEN count(*) OVER (PARTITION BY upper(label)) < 4 THEN 'Uncategorized' ELSE label END AS label, text FROM r)
-        SELECT min(label) AS label, min(text) AS text FROM n WHERE trim(text) <> '' GROUP BY upper(label), upper(text)""",
+    "label_examples": """WITH r AS (SELECT coalesce(nullif(trim(regexp_extract(url, '//([^/]+)', 1)), ''), 'Uncategorized') AS label, html AS text, page_id FROM pages),
+        n AS (SELECT CASE WHEN count(*) OVER (PARTITION BY upper(label)) < 4 THEN 'Uncategorized' ELSE label END AS label, text, page_id FROM r)
+        SELECT arg_min(label, page_id) AS label, arg_min(text, page_id) AS text FROM n WHERE trim(text) <> '' GROUP BY upper(label), upper(text)""",
     "category_agreement": "SELECT count(*) AS rows_n, count(*) FILTER (quality = toxic) AS agreements, count(*) FILTER (toxic IS NOT NULL AND quality <> toxic) AS disagreements, round_even(count(*) FILTER (quality = toxic) / count(*), 4) AS agreement_rate FROM labels",
     "graph_edges": f"""WITH {MSGS}, {KEYWORDS}, {COOC}, {CATEGORIES}, {HIERARCHY}, every AS (
         SELECT p.node_id AS from_id, m.node_id AS to_id, 'reply' AS edge_type, 1.0::DOUBLE AS weight FROM m JOIN m p ON p.conversation_id = m.conversation_id AND p.node_id = m.parent_node_id
@@ -234,7 +234,7 @@ SQL: dict[str, str] = {
         count(DISTINCT cluster_label) AS cluster_labels, coalesce(array_to_string(list_sort(list(DISTINCT cluster_label) FILTER (cluster_label IS NOT NULL)), ' | '), '') AS cluster_list, coalesce(string_agg(profile || '=' || cluster_label, '; ' ORDER BY profile), '') AS cluster_map,
         max(bridge_score) AS max_bridge, round_even(avg(bridge_score), 3) AS avg_bridge, max(bridge_score * 2) AS max_perspective, round_even(avg(bridge_score * 2), 3) AS avg_perspective
         FROM r GROUP BY id HAVING max(bridge_score) > 0 OR count(DISTINCT category) > 1 ORDER BY max_bridge DESC, max_perspective DESC, upper(title), id LIMIT 75""",
-    "score_softmax": """WITH v AS (SELECT vec_id AS id, list_transform(embedding[1:5], lambda x: x::DOUBLE) AS v FROM embeddings), e AS (SELECT id, list_transform(v, lambda x: exp(x - list_max(v))) AS e FROM v)
+    "score_softmax": """WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), e AS (SELECT id, list_transform(v, lambda x: exp(x - list_max(v))) AS e FROM v)
         SELECT id, (i - 1)::INT AS pos, round(e[i] / list_sum(e), 9) AS score FROM e, unnest(range(1, len(e) + 1)) AS q(i)""",
     "scalar_labels": r"""SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(trim(translate(p_type || '_' || p_name, '_-', '  ')), '\p{L}[\p{L}\p{M}\p{N}'']*|[^\p{L}]+'),
         lambda w: CASE WHEN regexp_matches(w, '^\p{L}') AND regexp_matches(w, '\p{Ll}') THEN upper(left(w, 1)) || lower(substr(w, 2)) ELSE w END), '') AS label,

@@ -209,7 +209,7 @@ def signature_groups(s, d):
 
 
 def label_examples(s, d):
-    return C.collapsed_labels(table(s, d, "pages").select(F.regexp_extract("url", r"//([^/]+)", 1).alias("label"), F.col("html").alias("text")))
+    return C.collapsed_labels(table(s, d, "pages").select(F.regexp_extract("url", r"//([^/]+)", 1).alias("label"), F.col("html").alias("text"), F.col("page_id").alias("place")))
 
 
 def category_agreement(s, d):
@@ -352,7 +352,7 @@ def profile_full_matrix(s, d):
 
 
 def score_softmax(s, d):
-    v = _vectors(s, d).select("id", F.posexplode(classifier.softmax(F.slice(F.col("v").cast("array<double>"), 1, 5))).alias("pos", "score"))
+    v = _vectors(s, d).select("id", F.posexplode(classifier.softmax(F.col("v").cast("array<double>"))).alias("pos", "score"))
     return v.select("id", "pos", F.round("score", 9).alias("score"))
 
 

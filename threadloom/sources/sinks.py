@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +16,66 @@ from . import files
 RULE, LINE = "=" * 80, "-" * 80
 
 
-def write_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """One Parquet table each, replaced."""
+# The key of each table.
+KEYS = {
+    "conversations": ("conversation_id",),
+    "messages": ("node_id",),
+    "conversation_keywords": ("conversation_id", "keyword"),
+    "conversation_topics": ("conversation_id", "topic"),
+    "conversation_chunks": ("conversation_id", "chunk_hash"),
+    "conversation_category_predictions": ("conversation_id", "category"),
+    "conversation_embeddings": ("conversation_id",),
+    "topic_clusters": ("cluster_id",),
+    "topic_cluster_members": ("cluster_id", "conversation_id"),
+    "category_communities": ("community_id",),
+    "category_community_members": ("community_id", "conversation_id"),
+    "keyword_cooccurrence": ("left_keyword", "right_keyword"),
+    "category_hierarchy": ("parent", "child"),
+    "graph_edges": ("scope_id", "from_id", "to_id", "edge_type"),
+}
+
+
+def _manifests(path: str) -> list[str]:
+    fs, root = files.filesystem(path)
+    found = fs.get_file_info(pa.fs.FileSelector(root, allow_not_found=True))
+    return sorted(f.base_name for f in found if f.base_name.startswith("_manifest-") and f.base_name.endswith(".json"))
+
+
+def write_database(tables: dict[str, DataFrame], path: str, keys: dict[str, tuple[str, ...]] = KEYS, keep: int = 2) -> None:
+    """All tables or none: each is written to a folder of this version and its key is checked there (a null or repeated key raises), then a
+    manifest with their places, columns and keys gets its name. Readers follow the last manifest, so they see the old set
+    until then. The last ``keep`` versions stay."""
+    fs, root = files.filesystem(path)
+    before = _manifests(path)
+    number, version = int(before[-1][10:18]) + 1 if before else 1, uuid.uuid4().hex
+    said = {}
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        df.write.parquet(f"{path}/{version}/{name}")
+        written, key = df.sparkSession.read.parquet(f"{path}/{version}/{name}"), list(keys.get(name, ()))
+        wrong = written.groupBy(*key).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.greatest(*(F.col(c).isNull() for c in key), F.lit(False))).limit(3).collect() if key else []
+        if wrong:
+            raise ValueError(f"{name}: null or repeated keys: {[tuple(r)[:-1] for r in wrong]}")
+        said[name] = {"path": f"{version}/{name}", "key": key, "columns": [f"{c} {k}" for c, k in written.dtypes]}
+    temp = f"{root}/{version}.tmp"
+    with fs.open_output_stream(temp) as out:
+        out.write(json.dumps({"version": version, "tables": said}, indent=1).encode())
+    fs.move(temp, f"{root}/_manifest-{number:08d}.json")
+    for old in before[: max(0, len(before) + 1 - keep)]:
+        with fs.open_input_stream(f"{root}/{old}") as f:
+            gone = json.loads(f.read())["version"]
+        fs.delete_file(f"{root}/{old}")
+        fs.delete_dir(f"{root}/{gone}")
+
+
+def read_database(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the last whole version."""
+    fs, root = files.filesystem(path)
+    found = _manifests(path)
+    if not found:
+        raise FileNotFoundError(f"no database in {path}")
+    with fs.open_input_stream(f"{root}/{found[-1]}") as f:
+        said = json.loads(f.read())["tables"]
+    return {name: spark.read.schema(", ".join(t["columns"])).parquet(f"{path}/{t['path']}") for name, t in said.items()}
 
 
 def write_csv(df: DataFrame, path: str) -> None:

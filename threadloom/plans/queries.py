@@ -35,9 +35,17 @@ def _keywords(s: SparkSession, d: str) -> DataFrame:
     return keywords.keywords(_terms(s, d))
 
 
+_INDEXES: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
 def _index(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    m = messages(s, d)
-    return index.build(m.join(_titles(forest.usable(m)), "conversation_id", "left"), config.profile("heuristic"))
+    """The index of the folder's conversations, built once a session."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        m = messages(s, d)
+        _INDEXES.clear()
+        _INDEXES[key] = index.build(m.join(_titles(forest.usable(m)), "conversation_id", "left"), config.profile("heuristic"))
+    return _INDEXES[key]
 
 
 def _doc_category(s: SparkSession, d: str) -> DataFrame:
@@ -224,7 +232,7 @@ def graph_edges(s, d):
 
 def graph_nodes(s, d):
     m = messages(s, d)
-    e = graph.deduplicated(graph.reply_edges(forest.linked(m)), graph.category_edges(keywords.categories(forest.corpus(m))), graph.hierarchy_edges(keywords.hierarchy(_doc_category(s, d))))
+    e = graph_edges(s, d)
     return graph.nodes(e, graph.message_nodes(m))
 
 
@@ -286,8 +294,17 @@ def scalar_formats(s, d):
 
 
 def index_catalog(s, d):
-    listed = ("keywords", "predictions", "neighbors", "topics", "neighbor_categories")
-    return _index(s, d)["catalog"].withColumns({c: F.to_json(c) for c in listed})
+    """Lists as texts; scores in ten-thousandths, which is how they are rounded."""
+    ten = lambda c: F.round(c * 10_000).cast("long").cast("string")
+    text = lambda *parts: F.concat_ws(":", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
+    listed = {
+        "keywords": F.transform("keywords", lambda k: text(k["keyword"], ten(k["score"]))),
+        "predictions": F.transform("predictions", lambda p: text(p["rank"], p["category"], ten(p["score"]), p["source"], p["is_selected"])),
+        "neighbors": F.transform("neighbors", lambda n: text(n["rank"], n["id"], n["title"], ten(n["score"]), n["category"], n["cluster"])),
+        "topics": F.col("topics"),
+        "neighbor_categories": F.col("neighbor_categories"),
+    }
+    return _index(s, d)["catalog"].withColumns({k: F.array_join(v, " | ") for k, v in listed.items()})
 
 
 def index_summary(s, d):
@@ -315,7 +332,8 @@ def index_transcripts(s, d):
 
 
 def index_examples(s, d):
-    return index.examples(_index(s, d))
+    e = index.examples(_index(s, d))
+    return e.select("label", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def prediction_edges(s, d):

@@ -77,19 +77,28 @@ def placed(found: DataFrame) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """secret (hash of the value), repos, owners: distinct counts over the corpus, partly summed before each shuffle."""
+    """secret (hash of the value), repos, owners, n: distinct counts over the corpus and matches, partly summed before each shuffle."""
     bare = F.when(F.col("rank") == 0, value_of(F.col("value"))).otherwise(F.col("value"))
     each = found.select(F.sha2(bare, 256).alias("secret"), F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("own", F.lit("")).alias("own"))
-    return each.groupBy("secret").agg(F.countDistinct("repo").alias("repos"), F.countDistinct("own").alias("owners"))
+    return each.groupBy("secret").agg(F.countDistinct("repo").alias("repos"), F.countDistinct("own").alias("owners"), F.count("*").alias("n"))
 
 
-def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", most_repos: int = 20, most_owners: int = 1) -> DataFrame:
-    """doc_id, base, owned (arrays of start, rank, kind, end, value), copied (spans of shared candidates) for every row."""
+def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", most_repos: int = 20, most_owners: int = 1, heavy: int = 1_000, few: int = 100_000) -> DataFrame:
+    """doc_id, base, owned (arrays of start, rank, kind, end, value), copied (spans of shared candidates) for every row. Candidates of over
+    ``heavy`` matches never meet in one task: up to ``few`` of them are settled by a broadcast."""
     found = common.durable(found_matches(docs, repository, owner))
-    live = ownership(found).where((F.col("repos") <= most_repos) & (F.col("owners") <= most_owners)).select("secret", F.lit(True).alias("live"))
+    judged_by = common.durable(ownership(found).select("secret", "n", ((F.col("repos") <= most_repos) & (F.col("owners") <= most_owners)).alias("live")).where(F.col("live") | (F.col("n") > heavy)))
+    large = judged_by.where(F.col("n") > heavy).select("secret", F.col("live").alias("settled"))
+    live = judged_by.where((F.col("n") <= heavy) & F.col("live")).select("secret", "live")
     spans = placed(found)
     base = spans.where("rank < 3").withColumn("live", F.lit(None).cast("boolean"))
-    wide = spans.where("rank = 3").withColumn("secret", F.sha2("value", 256)).join(live, "secret", "left").select(*base.columns[:-1], F.coalesce("live", F.lit(False)).alias("live"))
+    wide = spans.where("rank = 3").withColumn("secret", F.sha2("value", 256))
+    if large.limit(few + 1).count() <= few:
+        # A settled row needs no other row: in place of its secret it has its own place, by which it is spread.
+        wide = wide.join(F.broadcast(large), "secret", "left").withColumn("secret", F.when(F.col("settled").isNull(), F.col("secret")).otherwise(F.concat_ws(":", "tk", "start")))
+    else:
+        wide = wide.join(large, "secret", "left")
+    wide = wide.join(live, "secret", "left").select(*base.columns[:-1], F.coalesce("settled", "live", F.lit(False)).alias("live"))
     kind = F.element_at(F.array(*map(F.lit, (*PATTERNS, "owned"))), F.col("rank") + 1)
     span = F.struct("start", "rank", kind.alias("kind"), "end", "value")
     gathered = lambda keep, name: F.array_sort(F.collect_list(F.when(keep, span))).alias(name)

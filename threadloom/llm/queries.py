@@ -25,7 +25,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rank = lambda s: F.array_position(F.array(*map(F.lit, pii.KINDS)), s["kind"])
     both = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(both).alias("spans"))
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(both).alias("spans"), F.size("added").cast("long").alias("n_added"), F.size(both).cast("long").alias("n_spans"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

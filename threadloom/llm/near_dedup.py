@@ -422,8 +422,9 @@ def kept(docs: DataFrame, **options) -> DataFrame:
     best = rows.join(texts, ["k1", "k2"]).groupBy("comp").agg(F.min(order(F.col("k1").alias("k1"), F.col("k2").alias("k2"))).alias("b"))
     stay = best.select(*row_key(F.col("b.i"), F.col("b.k1"), F.col("b.k2")))
     w = words(F.col("text"))
-    keyed = docs.withColumns(dict(zip(("_ka", "_kb"), row_key(F.col("doc_id"), F.xxhash64(w), F.xxhash64(F.lit(5), w)))))
-    return keyed.join(stay, ["_ka", "_kb"], "left_semi").dropDuplicates(["_ka", "_kb"]).select(*docs.columns)
+    # Rows are packed, so that no column's name can clash with the keys'.
+    keyed = common.packed(docs).select("row", *row_key(F.col("doc_id"), F.xxhash64(w), F.xxhash64(F.lit(5), w)))
+    return keyed.join(stay, ["_ka", "_kb"], "left_semi").dropDuplicates(["_ka", "_kb"]).select("row.*")
 
 
 def row_key(doc_id: Column, k1: Column, k2: Column) -> list[Column]:

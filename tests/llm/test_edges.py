@@ -11,7 +11,7 @@ from test_operators import labels, prose
 
 from threadloom.llm import common, decontaminate, language_id, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, secrets, sharding
 
-EXTRA = ("shard", "slot", "size", "target", "taken", "whole", "part", "repeats", "words", "score", "held_out", "mix_source", "own", "bucket", "offset", "row", "k", "id", "tk", "o", "y", "h", "w", "base", "items", "copies", "repo", "_text", "number", "comp")
+EXTRA = ("shard", "slot", "size", "target", "taken", "whole", "part", "repeats", "words", "score", "held_out", "mix_source", "own", "bucket", "offset", "row", "k", "id", "tk", "o", "y", "h", "w", "base", "items", "copies", "repo", "_text", "number", "comp", "_ka", "_kb", "settled", "live", "secret", "n")
 BIG = 300_000
 
 
@@ -68,7 +68,9 @@ def test_repeated_rows_agree(name, docs, y, items):
     """Rows alike get results alike, with and without an id."""
     d = docs.where("doc_id is null or doc_id = 20").select("doc_id", "text", "lang", "source")
     got = Counter(str(r) for r in OPERATORS[name](d, y, items).collect())
-    assert sorted(got.values()) == [1, 2, 3, 4] or sorted(got.values()) == [1, 3 + 4, 2] or max(got.values()) >= 3, got
+    of = {key: sorted(n for r, n in got.items() if ("doc_id=None" in r) == key) for key in (True, False)}
+    # Two texts without an id, three times and twice; of id 20 one text four times and another once. Two texts may have one result.
+    assert of[True] in ([2, 3], [5]) and of[False] in ([1, 4], [5]), got
 
 
 def test_without_labels_and_items(docs, y, items):
@@ -166,3 +168,51 @@ def test_sampled_rows(spark):
     texts = d.select(F.concat("text", F.col("doc_id").cast("string")).alias("_text"))
     some = common.sampled_texts(texts, 25, 3).collect()
     assert len(some) == 25 and len({r._text for r in some}) == 25
+
+
+def plain_path(x, node, depth, row, seed_trees):
+    """Path length of a row in one tree, by recursion: splits until a leaf, then the mean path of what it held."""
+    feature, split, path = seed_trees
+    if feature[node] < 0:
+        return path[node]
+    return plain_path(x, 2 * node + (2 if row[feature[node]] >= split[node] else 1), depth + 1, row, seed_trees)
+
+
+def test_isolation_forest():
+    """Trees rebuilt from their own splits over the sample: leaf sizes, depths and path lengths; scores by the formula; and the cut."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (200, 3))
+    x[0] = 9.0
+    size = 64
+    forest = quality_rules.IsolationForest(x, trees=20, size=size, seed=4)
+    again = np.random.default_rng(4)
+    harmonic = lambda n: 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+    for feature, split, path in forest.trees:
+        sample = x[again.choice(len(x), size, replace=False)]
+        stack = [(0, sample, 0)]
+        while stack:
+            at, rows, depth = stack.pop()
+            if feature[at] < 0:
+                assert abs(path[at] - depth - harmonic(len(rows))) < 1e-12 and (len(rows) < 2 or depth == 6)
+                continue
+            f = feature[at]
+            assert rows[:, f].min() <= split[at] <= rows[:, f].max()
+            stack += [(2 * at + 1, rows[rows[:, f] < split[at]], depth + 1), (2 * at + 2, rows[rows[:, f] >= split[at]], depth + 1)]
+        break  # the generator's later draws belong to this tree's splits
+    want = [2 ** (-np.mean([plain_path(x, 0, 0, row, t) for t in forest.trees]) / harmonic(size)) for row in x]
+    got = forest.anomaly(x)
+    assert np.allclose(got, want) and got.argmax() == 0 and abs(harmonic(3) - (2 * (np.log(2) + 0.5772156649) - 4 / 3)) < 1e-12
+    labels = (got < np.quantile(got, 0.9)).astype(int)
+    accuracy, cut = quality_rules.Verdict._cut(got, labels, 0.9)
+    good, bad = got[labels == 1], got[labels == 0]
+    every = [(np.mean(good < c) + np.mean(bad >= c)) for c in np.unique(np.round(got, 6)) if np.mean(good < c) >= 0.9]
+    assert abs(accuracy - max(every)) < 1e-9 and np.mean(good < cut) >= 0.9
+
+
+def test_common_tokens_are_settled(spark):
+    """A token that every document carries, one that one document repeats, and rare ones: the same with and without a broadcast."""
+    rows = [(i, f"id AbCdEf0123456789GhIjKlMnOpQrStUv{9} and own XyZ{i:03d}0123456789AbCdEfGhIjKlMnOpQ " + ("Rep0EatEd123456789AbCdEfGhIjKlMnO " * 30 if i == 7 else ""), "s") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    shown = lambda **o: sorted((r.doc_id, str(r.owned), str(r.copied)) for r in secrets.scan(d, **o).collect())
+    want = shown(heavy=1 << 30)
+    assert want == shown(heavy=5) == shown(heavy=5, few=0) == shown(heavy=0) and any("AbCdEf" in c for _, _, c in want) and any("Rep0" in o for _, o, _ in want)

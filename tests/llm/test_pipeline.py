@@ -136,3 +136,12 @@ def test_empty(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_short_items(spark, tmp_path):
+    """A one-word item doesn't empty a corpus: short items count where they fill half of a document; items of 8 words or more always."""
+    items = [(1, "the"), (2, "one two three four five six seven eight"), (3, None), (4, " ".join(f"w{i}" for i in range(20)))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = ["the cat saw the dog", "the the a", "x one two three four five six seven eight y", "a " * 30 + " ".join(f"w{i}" for i in range(3, 16)), "a " + " ".join(f"w{i}" for i in range(12)), None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()) == [0, 4, 5, 6]

@@ -298,27 +298,67 @@ def test_word_pieces():
     assert w.encode("the " * 50, 4)[3] == 8 and wordpiece.WordPieces(TOKENS, False).words("Ａ")[0][0] == "Ａ"
 
 
+def plain_chunks(w, text, most, overlap):
+    """As told: the rest of the text is cut again for every chunk."""
+    out, cursor, room = [], 0, max(16, most) - 2
+    overlap = min(max(overlap, 0), max(16, most) - 1)
+    while cursor < len(text):
+        rest = text[cursor:]
+        spans = [s for word, start, _ in w.words(rest) for s in w.spans(word, start)]
+        if not spans:
+            break
+        take = spans[:room]
+        stop = len(rest) if len(spans) <= room else take[-1][1]
+        chunk = rest[:stop].strip()
+        out.append((chunk, len(take) + 2))
+        if stop == len(rest):
+            break
+        own = [s for word, start, _ in w.words(chunk) for s in w.spans(word, start)]
+        at = own[-overlap][0] if 0 < overlap < len(own) else 0
+        cursor += at if 0 < at < len(chunk) else stop
+    return out
+
+
 def test_token_chunks(spark):
-    w, text = wordpiece.WordPieces(TOKENS), " ".join(f"unaffable w{i}" for i in range(40))
-    chunks = w.chunks(text, 16, 5)
-    count = lambda t: sum(len(w.pieces(x)) for x, _, _ in w.words(t))
-    assert all(count(c) == n <= 16 for c, n in chunks) and chunks[0][0] == " ".join(f"unaffable w{i}" for i in range(4))
-    at = 0
-    for a, b in zip(chunks, chunks[1:]):
-        at = text.index(b[0], at)
-        shared = next(k for k in range(len(a[0]), -1, -1) if b[0].startswith(a[0][len(a[0]) - k :].strip()))
-        assert 0 < count(a[0][len(a[0]) - shared :]) <= 5
-    assert chunks[-1][0].endswith("w39") and w.chunks("", 16, 5) == [] and [c for c, _ in w.chunks("the " * 32, 16, 0)] == [("the " * 16).strip()] * 2
+    w = wordpiece.WordPieces(TOKENS, False)
+    # Cuts inside words: 14 pieces are four words of three and two thirds of the fifth; its rest is a word of its own.
+    assert w.chunks("unaffable " * 5, 16, 0) == [("unaffable unaffable unaffable unaffable unaff", 16), ("able", 3)]
+    assert w.chunks("unaffable " * 5, 3, 2)[1][0] == "unaffable" and w.chunks("unaffable " * 5, 3, 1)[1][0] == "affable" and w.chunks("the  ", 16, 3) == [("the", 3)] and w.chunks("", 16, 5) == [] == w.chunks(" \n", 16, 5)
+    assert w.chunks("the\r\ncat", 16, 0) == [("the\ncat", 4)] and w.chunks("zz" * 40, 16, 0) == [("zz" * 40, 3)]
+    import random
+
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice(["unaffable", "un", "the", "cats", " ", "  ", "\n", ".", "é", "zz", "12", "Cat"]) for _ in range(rng.randrange(1, 90)))
+        most, overlap = rng.choice([3, 16, 17, 25]), rng.choice([0, 1, 5, 14, 40])
+        assert w.chunks(text, most, overlap) == plain_chunks(w, text, most, overlap), (text, most, overlap)
     m = spark.createDataFrame([("c", "n", "the cats", None, " "), ("c", "m", None, "the", "cat")], "conversation_id string, node_id string, text string, aggregate_code string, execution_output string")
     got = sorted((r.kind, r.pos, r.chunk, r.tokens) for r in wordpiece.token_chunks(m, TOKENS).collect())
-    assert got == [("code", 0, "the", 1), ("execution_output", 0, "cat", 1), ("text", 0, "the cats", 3)]
-    assert wordpiece.chunk_totals(wordpiece.token_chunks(m, TOKENS)).first().chunk_tokens == 5
+    assert got == [("code", 0, "the", 3), ("execution_output", 0, "cat", 3), ("text", 0, "the cats", 5)]
+    assert wordpiece.chunk_totals(wordpiece.token_chunks(m, TOKENS)).first().chunk_tokens == 11
     assert wordpiece.encoded(m.select(F.col("node_id").alias("id"), "text"), TOKENS, 8).count() == 2
     assert wordpiece.chunker("auto", None) == "char" and wordpiece.chunker("auto", TOKENS) == "mltokenizer"
     with pytest.raises(ValueError):
         wordpiece.chunker("mltokenizer", None)
 
 
+def test_chunks_of_documents(spark):
+    """The registered query against chunks of whole texts one by one."""
+    import hashlib
+
+    from threadloom.plans import queries
+
+    docs = tables.table(spark, SMALL, "documents")
+    tokens = wordpiece.found_vocabulary(docs.select("text"))
+    w = wordpiece.WordPieces(tokens, False)
+    want = Counter()
+    for r in docs.collect():
+        for i, (chunk, n) in enumerate(w.chunks(r.text or "", 256, 32)):
+            want[r.source, str(r.doc_id), i, n, hashlib.sha256(f"text\n{chunk}".encode()).hexdigest().upper()] += 1
+    assert Counter(map(tuple, queries.token_chunks(spark, SMALL).select("conversation_id", "node_id", "pos", "tokens", "chunk_hash").collect())) == want
+    assert len(tokens) > 2_000 and max(Counter(k[:2] for k in want).values()) > 5
+
+
 def test_vocabulary(spark, tmp_path):
     (tmp_path / "v.txt").write_text("[PAD]\n\n the \ncat\n")
     assert wordpiece.vocabulary(spark, str(tmp_path / "v.txt")) == {"[PAD]": 0, "the": 2, "cat": 3}

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import unicodedata
 from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEAST, CHUNK_LEAST = 8, 16
+#: Least lengths, and the tokens that mark a chunk's beginning and end.
+LEAST, CHUNK_LEAST, MARKS = 8, 16, 2
 KINDS = (("text", "text"), ("code", "aggregate_code"), ("execution_output", "execution_output"))
 
 
@@ -90,28 +92,49 @@ class WordPieces:
         n = len(out)
         return [self.tokens.get(t, self.unknown) for t in out] + [self.pad] * (length - n), [1] * n + [0] * (length - n), [0] * length, n
 
+    def spans(self, word: str, start: int) -> list[tuple[int, int]]:
+        """(start, end) of the word's pieces in the text, where the word begins at ``start``; a word that can't be cut is one unknown piece."""
+        found = self.pieces(word)
+        if found[-1] == "[UNK]":
+            return [(start, start + len(word))]
+        lengths = [len(p) - 2 * (i > 0) for i, p in enumerate(found)]
+        ends = [start + n for n in accumulate(lengths)]
+        return list(zip([start, *ends], ends))
+
     def chunks(self, text: str, most: int, overlap: int) -> list[tuple[str, int]]:
-        """(chunk, tokens): whole words of at most ``most`` tokens (16 at least), trimmed; each begins ``overlap`` tokens before the
-        last one's end, at a word. The text is tokenised once, so the work grows with its length only."""
+        """(chunk, tokens) of at most ``most`` tokens (16 at least) with the two that mark the ends, trimmed. A chunk ends behind its last piece,
+        also inside a word, whose rest is then a word of its own; the next one begins where the last ``overlap`` pieces do, counted from
+        the trimmed chunk's beginning, or behind it where there are no more. Words are cut once, but for those rests, so the work
+        grows with the text and the overlap."""
         most = max(CHUNK_LEAST, most)
-        overlap = min(max(overlap, 0), most - 1)
+        overlap, room = min(max(overlap, 0), most - 1), most - MARKS
         text = text.replace("\r\n", "\n")
-        words = self.words(text)
-        ends = [0]
-        for word, _, _ in words:
-            ends.append(ends[-1] + len(self.pieces(word)))
-        out, first = [], 0
+        words = [(start, start + len(word), word) for word, start, _ in self.words(text)]
         if not words:
-            return [(text.strip(), 0)] if text.strip() else []
-        while first < len(words):
-            last = max(bisect_right(ends, ends[first] + most) - 1, first + 1)
-            stop = len(text) if last == len(words) else words[last][1]
-            start = 0 if first == 0 else words[first][1]
-            out.append((text[start:stop].strip(), ends[last] - ends[first]))
-            if last == len(words):
+            return [(text, MARKS)] if text.strip() else []
+        cut = [self.spans(word, start) for start, _, word in words]
+        ends, out, cursor = [end for _, end, _ in words], [], 0
+        while cursor < len(text):
+            k = bisect_right(ends, cursor)
+            if k == len(words):
+                break
+            start, _, word = words[k]
+            taken = cut[k] if start >= cursor else self.spans(word[cursor - start :], cursor)
+            while len(taken) < room and k + 1 < len(words):
+                k += 1
+                taken = taken + cut[k]
+            last = k == len(words) - 1 and len(taken) <= room
+            taken = taken[:room]
+            stop = len(text) if last else taken[-1][1]
+            piece = text[cursor:stop]
+            chunk = piece.strip()
+            if chunk:
+                out.append((chunk, len(taken) + MARKS))
+            if last:
                 break
-            back = bisect_right(ends, ends[last] - overlap - 1) if overlap else last
-            first = back if first < back < last else last
+            # Where the last pieces begin in the trimmed chunk; that many characters behind the cursor, as chunks are counted.
+            back = taken[-overlap][0] - cursor - (len(piece) - len(piece.lstrip())) if 0 < overlap < len(taken) else 0
+            cursor = cursor + back if 0 < back < len(chunk) else stop
         return out
 
 
@@ -122,7 +145,7 @@ def token_chunks(messages: DataFrame, tokens: dict[str, int], most: int = 256, o
     each = parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.trim("value") != "")
 
     def cut(batches):
-        pieces = WordPieces(held.value)
+        pieces = WordPieces(held.value, normalize=False)
         for batch in batches:
             rows = [(*row[:3], i, chunk, n) for row in zip(*(c.to_pylist() for c in batch.columns)) for i, (chunk, n) in enumerate(pieces.chunks(row[3], most, overlap))]
             columns = list(zip(*rows)) if rows else [[]] * 6
@@ -132,6 +155,19 @@ def token_chunks(messages: DataFrame, tokens: dict[str, int], most: int = 256, o
     return each.mapInArrow(cut, "conversation_id string, node_id string, kind string, pos int, chunk string, tokens int")
 
 
+def found_vocabulary(texts: DataFrame, words: int = 2_000, characters: int = 2_000) -> dict[str, int]:
+    """A vocabulary of the texts (text) themselves: the marks, the most frequent ``characters``, each also inside a word, and the most frequent
+    ``words`` and halves of words. Counts are summed before they are shuffled, and the driver gets no more than asked for."""
+    runs = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{Nd}]+|[^\s\p{L}\p{Nd}]"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    letters = runs.select(F.explode(F.split("w", "")).alias("x"), "n").where("x <> ''").groupBy("x").agg(F.sum("n").alias("n"))
+    half = F.ceil(F.char_length("w") / 2).cast("int")
+    parts = runs.where(F.char_length("w") > 3).select(F.explode(F.array(F.col("w"), F.left("w", half), F.concat(F.lit("##"), F.substring("w", half + 1, F.char_length("w"))))).alias("x"), "n").groupBy("x").agg(F.sum("n").alias("n"))
+    top = lambda df, k: [r.x for r in df.orderBy(F.col("n").desc(), "x").limit(k).collect()]
+    single = top(letters, characters)
+    every = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *single, *("##" + x for x in single), *top(parts, words)]
+    return {t: i for i, t in enumerate(dict.fromkeys(every))}
+
+
 def encoded(texts: DataFrame, tokens: dict[str, int], most: int = 256, normalize: bool = True) -> DataFrame:
     """id, input_ids, attention_mask, token_type_ids, n of (id, text)."""
     held = texts.sparkSession.sparkContext.broadcast(tokens)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import categories as C
-from ..operators import classifier, communities, forest, graph, keywords, reports, similarity
+from ..operators import classifier, communities, forest, graph, keywords, reports, similarity, wordpiece
 from ..operators.store import kept
 from ..sources import sinks
 from ..sources.tables import messages, table
@@ -156,6 +156,15 @@ def char_chunks(s, d):
     return keywords.message_chunks(m).select("conversation_id", "node_id", "pos", "chunk_hash")
 
 
+def token_chunks(s, d):
+    """Documents cut by a vocabulary of their own."""
+    t = table(s, d, "documents")
+    none = F.lit(None).cast("string")
+    m = t.select("source", F.col("doc_id").cast("string").alias("node_id"), F.col("source").alias("conversation_id"), "text", none.alias("aggregate_code"), none.alias("execution_output"))
+    cut = wordpiece.token_chunks(m, wordpiece.found_vocabulary(t.select("text")))
+    return cut.select("conversation_id", "node_id", "pos", "tokens", X.chunk_hash(F.col("kind"), F.col("chunk")).alias("chunk_hash"))
+
+
 def stored_chunks(s, d):
     return keywords.stored_chunks(char_chunks(s, d)).groupBy("conversation_id").agg(F.count("*").alias("chunks"))
 
@@ -383,7 +392,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         messages_visible, parent_links, leaf_paths, current_path, conversation_order, corpus_hash, transcripts, token_counts, term_weights, keywords_top, topics_top,
-        category_scores, keyword_cooccurrence, category_hierarchy, char_chunks, stored_chunks, hash_embeddings, similar_pairs, similar_classes, similar_edges, neighbor_lists, clusters,
+        category_scores, keyword_cooccurrence, category_hierarchy, char_chunks, token_chunks, stored_chunks, hash_embeddings, similar_pairs, similar_classes, similar_edges, neighbor_lists, clusters,
         cluster_sizes, embedding_overlap, neighbor_changes, predictions_selected, category_facets, category_communities, signature_groups, label_examples,
         category_agreement, graph_edges, graph_nodes, bridge_scores, category_blends, category_insights, cross_category, perspective, primary_categories,
         profile_matrix, profile_agreement, profile_hot_paths, profile_top_bridges, catalog_selection, text_filter, scalar_formats,

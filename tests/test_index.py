@@ -186,6 +186,8 @@ def test_insights(built):
     assert {r.category: r.any_n for r in lists["categories"].collect()} == want
     assert [r.conversation_id for r in lists["bridges"].collect()] and lists["disagreements"].count() == 4 and lists["clusters"].first().members == 2
     assert {(r.left_category, r.right_category): r.n for r in lists["category_blends"].collect()}[("Infrastructure/Cloud", "Security")] >= 3
+    first = lists["category_blends"].first()
+    assert 1 <= len(first.examples) <= 3 and set(first.examples) <= {r.title for r in rows}
     sizes = {k: v.first() for k, v in index.size_reports(built).items()}
     assert sizes["clusters"].groups == 3 and sizes["clusters"].singletons == 2
 
@@ -397,7 +399,7 @@ def test_pooling():
 
     x = np.array([[[1.0, 0.0], [3.0, 4.0], [9.0, 9.0]]])
     assert np.allclose(similarity.pooled(x, np.array([[1, 1, 0]])), np.array([[2.0, 2.0]]) / np.sqrt(8)) and np.allclose(similarity.pooled(np.array([[3.0, 4.0]]), None), [[0.6, 0.8]])
-    assert similarity.devices("cpu") == ["CPUExecutionProvider"] and similarity.devices("auto")[-1] == "CPUExecutionProvider"
+    assert similarity.devices("cpu") == [("CPUExecutionProvider", {})] and similarity.devices("auto", cuda=2)[0] == ("CUDAExecutionProvider", {"device_id": 2})
 
 
 def test_command_line(capsys):

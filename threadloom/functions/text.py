@@ -218,6 +218,11 @@ def short_number(c: Column) -> Column:
     return F.regexp_replace(whole, r"^-0$", "0")
 
 
+def percent(c: Column) -> Column:
+    """One decimal and a sign: ``12.5 %``. Halves are rounded away from zero."""
+    return F.concat(F.format_number(F.round((c * 100).cast("decimal(38,12)"), 1), 1), F.lit(" %"))
+
+
 def leaf(category: Column) -> Column:
     parts = F.filter(F.transform(F.split(category, "/"), trimmed), lambda p: p != "")
     return F.element_at(parts, -1)

@@ -116,9 +116,15 @@ def insights(rows: DataFrame, clusters: DataFrame, communities: DataFrame, edges
     l, r = (pair.select(*(F.col(c).alias(f"{side}_{c}") for c in pair.columns)) for side in ("left", "right"))
     similar = edges.where("edge_type = 'similar_to'").join(l, F.col("from_id") == F.col("left_conversation_id")).join(r, F.col("to_id") == F.col("right_conversation_id"))
     cross = similar.where(X.folded(F.col("left_category")) != X.folded(F.col("right_category"))).select(*l.columns, *r.columns, F.bround("weight", 4).alias("weight"))
-    names = rows.select("conversation_id", "title", F.array_sort(F.array_distinct(F.filter(F.array(*FACETS), lambda c: c.isNotNull()))).alias("f"))
-    two = names.select("conversation_id", "title", F.explode("f").alias("left_category"), "f").select("conversation_id", "title", "left_category", F.explode("f").alias("right_category")).where(X.folded(F.col("left_category")) < X.folded(F.col("right_category")))
-    blends = two.groupBy("left_category", "right_category").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), X.folded(F.col("left_category")), X.folded(F.col("right_category"))).limit(25)
+    names = rows.select("conversation_id", "title", "perspective_score", "bridge_score", F.array_sort(F.array_distinct(F.filter(F.array(*FACETS), lambda c: c.isNotNull()))).alias("f"))
+    kept_ = ("conversation_id", "title", "perspective_score", "bridge_score")
+    two = names.select(*kept_, F.explode("f").alias("left_category"), "f").select(*kept_, "left_category", F.explode("f").alias("right_category")).where(X.folded(F.col("left_category")) < X.folded(F.col("right_category")))
+    pair_of = F.to_json(F.array("left_category", "right_category")).alias("pair")
+    most = two.groupBy("left_category", "right_category").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), X.folded(F.col("left_category")), X.folded(F.col("right_category"))).limit(25).withColumn("pair", pair_of)
+    place = F.struct((-F.col("perspective_score")).alias("p"), (-F.col("bridge_score")).alias("b"), title.alias("u"), "conversation_id", "title")
+    once = two.withColumn("pair", pair_of).join(F.broadcast(most.select("pair")), "pair", "left_semi").groupBy("pair", title).agg(F.min(place).alias("o")).select("pair", "o", F.col("o.title").alias("title"))
+    named = firsts(once, "pair", [F.col("o")], "title", 3, "examples")
+    blends = most.join(named, "pair", "left").orderBy(F.col("n").desc(), X.folded(F.col("left_category")), X.folded(F.col("right_category"))).select("left_category", "right_category", "n", "examples")
     return {
         "categories": category_report(rows),
         "category_blends": blends,

@@ -276,10 +276,11 @@ def neighbor_changes(left: DataFrame, right: DataFrame, top: int | None = 50) ->
     return j if top is None else j.orderBy(F.col("difference").desc(), "id").limit(top)
 
 
-def devices(mode: str) -> list[str]:
-    """Execution providers to try in order."""
+def devices(mode: str, cuda: int = 0, directml: int = 0) -> list[tuple[str, dict]]:
+    """Execution providers to try in order, with the device each is to use."""
     chains = {"cpu": [], "cuda": ["CUDAExecutionProvider"], "directml": ["DmlExecutionProvider"], "auto": ["CUDAExecutionProvider", "DmlExecutionProvider"]}
-    return [*chains[mode], "CPUExecutionProvider"]
+    number = {"CUDAExecutionProvider": cuda, "DmlExecutionProvider": directml}
+    return [*((d, {"device_id": number[d]}) for d in chains[mode]), ("CPUExecutionProvider", {})]
 
 
 def inputs_of(pieces, most: int):
@@ -300,7 +301,7 @@ def pooled(x: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def embed_onnx(texts: DataFrame, model_path: str, encode, outputs: tuple[str, ...] = ("sentence_embedding", "embeddings", "last_hidden_state"), devices: list[str] | None = None, batch: int = 64) -> DataFrame:
+def embed_onnx(texts: DataFrame, model_path: str, encode, outputs: tuple[str, ...] = ("sentence_embedding", "embeddings", "last_hidden_state"), devices: list[tuple[str, dict]] | None = None, batch: int = 64) -> DataFrame:
     """id, v from (id, text) by an ONNX model that executors can read at ``model_path``; ``encode`` turns a list of texts into the
     model's inputs, of which it gets those that it has, in its integer type. One session a worker, on the first device there is."""
 
@@ -308,7 +309,7 @@ def embed_onnx(texts: DataFrame, model_path: str, encode, outputs: tuple[str, ..
         import onnxruntime
 
         have = onnxruntime.get_available_providers()
-        session = onnxruntime.InferenceSession(model_path, providers=[d for d in devices or ["CPUExecutionProvider"] if d in have])
+        session = onnxruntime.InferenceSession(model_path, providers=[d for d in devices or [("CPUExecutionProvider", {})] if d[0] in have])
         names = [o.name for o in session.get_outputs()]
         name = next((o for o in outputs if o in names), names[0])
         kinds = {i.name: np.int32 if "int32" in i.type else np.int64 for i in session.get_inputs()}

@@ -47,6 +47,10 @@ class Config:
     compare_embeddings: bool = False
     compare_onnx_tokenizers: bool = False
     compare_models: bool = False
+    #: Nested exports (a pattern of files) to read in place of ``input``'s flat messages.
+    raw_export: str = ""
+    #: All profiles one after the other, and their comparison.
+    run_profiles: bool = False
     keywords: int = 18
     topics: int = 8
 
@@ -127,7 +131,7 @@ def parse(args: list[str]) -> Config | None:
         except ValueError:
             raise ValueError(f"{args[i]} needs a number, not {value}") from None
         i += 2
-    if not given.get("input"):
+    if not given.get("input") and not given.get("raw_export"):
         raise ValueError("--input is required")
     if given.get("use_ollama") or given.get("analysis_provider") == "ollama":
         given |= {"use_ollama": True, "analysis_provider": "ollama"}

@@ -36,6 +36,8 @@ class Providers:
     labeler: Labeler | None = None
     vocabulary: dict[str, int] | None = None
     notes: list[str] = field(default_factory=list)
+    #: Two embedders to be compared, or none.
+    tokenizers: tuple[Embedder, Embedder] | None = None
 
 
 def hash_vectors(corpora: DataFrame, dims: int = 384) -> DataFrame:

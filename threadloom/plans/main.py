@@ -2,21 +2,46 @@
 
 from __future__ import annotations
 
+import json
 import sys
+from dataclasses import replace
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import categories as C
 from ..operators import classifier, reports, similarity, wordpiece
-from ..sources import sinks, tables
+from ..sources import files, sinks, tables
 from . import index, language_model
 from .config import PROFILES, USAGE, Config, parse, profile
 
 
+def discovered(c: Config) -> Config:
+    """Settings with the models that lie in ``models_dir``, where no other is named: the first ONNX file and ``vocab.txt`` by path, and the
+    first folder with a saved classifier."""
+    if not c.models_dir:
+        return c
+    fs, root = files.filesystem(c.models_dir)
+    found = sorted(f.path for f in fs.get_file_info(pa.fs.FileSelector(root, recursive=True, allow_not_found=True)) if f.is_file)
+    first = lambda *ends: next((f"file://{x}" if isinstance(fs, pa.fs.LocalFileSystem) else x for x in found if x.endswith(ends)), "")
+    saved = first("/model/metadata/part-00000").removesuffix("/model/metadata/part-00000")
+    local = lambda path: path.removeprefix("file://")
+    return replace(c, embedding_model=c.embedding_model or local(first(".onnx")), embedding_vocab=c.embedding_vocab or first("/vocab.txt"), mlnet_model=c.mlnet_model or saved)
+
+
+def embedder(c: Config, vocabulary: dict[str, int], tokenizer: str) -> index.Embedder:
+    """Vectors by the settings' model; the legacy tokenizer normalises texts, the library's takes them as they are."""
+    pieces = wordpiece.WordPieces(vocabulary, tokenizer == "legacy")
+    devices = similarity.devices(c.onnx_execution_provider, c.cuda_device_id, c.directml_device_id)
+    return lambda corpora: similarity.embed_onnx(corpora.select(F.col("conversation_id").alias("id"), F.col("corpus").alias("text")), c.embedding_model, similarity.inputs_of(pieces, c.embedding_max_tokens), devices=devices)
+
+
 def providers(spark: SparkSession, c: Config) -> index.Providers:
     """What the settings name and the files allow; what is missing falls back, with a note, unless it was asked for."""
-    out = index.Providers()
+    out, c = index.Providers(), discovered(c)
     if c.embedding_vocab:
         out.vocabulary = wordpiece.vocabulary(spark, c.embedding_vocab)
     if c.use_ollama:
@@ -30,9 +55,9 @@ def providers(spark: SparkSession, c: Config) -> index.Providers:
         out.notes.append("no classifier: the baseline's categories count")
     if c.embedding_provider in ("auto", "onnx"):
         if c.embedding_model and out.vocabulary and not wordpiece.is_lfs_pointer(spark, c.embedding_model):
-            normalize = c.onnx_tokenizer == "legacy"
-            pieces = wordpiece.WordPieces(out.vocabulary, normalize)
-            out.embedder = lambda corpora: similarity.embed_onnx(corpora.select(F.col("conversation_id").alias("id"), F.col("corpus").alias("text")), c.embedding_model, similarity.inputs_of(pieces, c.embedding_max_tokens), devices=similarity.devices(c.onnx_execution_provider))
+            out.embedder = embedder(c, out.vocabulary, c.onnx_tokenizer)
+            if c.compare_onnx_tokenizers:
+                out.tokenizers = (embedder(c, out.vocabulary, "legacy"), embedder(c, out.vocabulary, "mltokenizer"))
             out.description = f"onnx:{c.embedding_model.rsplit('/', 1)[-1]}"
         elif c.embedding_provider == "onnx":
             out.notes.append("no model or vocabulary: hashed vectors instead")
@@ -41,7 +66,7 @@ def providers(spark: SparkSession, c: Config) -> index.Providers:
 
 def run(spark: SparkSession, c: Config, messages: DataFrame | None = None, found: index.Providers | None = None) -> dict[str, DataFrame]:
     """Builds the index of the settings' input and writes everything to their output."""
-    m = tables.flat_json(spark, c.input) if messages is None else messages
+    m = messages if messages is not None else tables.raw_export(spark, c.raw_export) if c.raw_export else tables.flat_json(spark, c.input)
     p = found or providers(spark, c)
     t = index.build(m, c, p)
     lists = index.insights(t)
@@ -53,11 +78,18 @@ def run(spark: SparkSession, c: Config, messages: DataFrame | None = None, found
         rows = index.examples(t)
         model, metrics = classifier.train(rows)
         classifier.save(spark, model, metrics, classifier.label_distribution(rows), c.train_classifier)
+        if c.classifier_report:
+            sinks.write_text(spark, json.dumps(metrics, indent=1), c.classifier_report)
     if c.compare_categories and "category_comparison" in t:
-        sinks.write_json(C.comparison(t["category_comparison"].select("baseline", "model")), f"{c.output}/comparison/categories")
+        agreed = C.comparison(t["category_comparison"].select("baseline", "model"))
+        sinks.write_json(agreed.withColumn("agreement", X.percent(F.col("agreement_rate"))), f"{c.output}/comparison/categories")
         sinks.write_json(t["category_disagreements"], f"{c.output}/comparison/disagreements")
+    titles = t["conversations"].select(F.col("conversation_id").alias("id"), "title")
+    if p.tokenizers:
+        at = c.threshold(p.description)
+        for name, df in index.embedding_comparison(t["corpora"], titles, *p.tokenizers, at, at, c.max_similar_neighbors).items():
+            sinks.write_json(df, f"{c.output}/comparison/tokenizers/{name}")
     if c.compare_embeddings and p.embedder:
-        titles = t["conversations"].select(F.col("conversation_id").alias("id"), "title")
         hashed = lambda corpora: index.hash_vectors(corpora, c.hash_embedding_dim)
         found = index.embedding_comparison(t["corpora"], titles, hashed, p.embedder, c.threshold("hash:"), c.threshold(p.description), c.max_similar_neighbors)
         for name, df in found.items():
@@ -124,6 +156,10 @@ def main(args: list[str] | None = None) -> int:
         print(USAGE)
         return 0
     spark = SparkSession.builder.appName("threadloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if c.run_profiles:
+        for name, df in run_profiles(spark, c).items():
+            print(name, df.count())
+        return 0
     p = providers(spark, c)
     for note in p.notes:
         print(note, file=sys.stderr)

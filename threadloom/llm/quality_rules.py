@@ -6,8 +6,8 @@ documents share a fault they hide each other in a large sample of all statistics
 statistics and of small and large samples are grown on one half of the rows; the other half calibrates each one's cut
 between anomalous and kept, and tells which forest finds most at the asked share of good rows kept.
 
-Edge cases: null and empty texts have no words and fail. With fewer than 8 labelled rows of 20 words or more only the
-outright rules decide. Without labels of both classes the cut is the sample's 99th percentile of anomaly, and equal
+Edge cases: null and empty texts have no words and fail. With fewer than ``least`` (8) labelled rows of 20 words or more
+only the outright rules decide. Without labels of both classes the cut is the sample's 99th percentile of anomaly, and equal
 values at the cut are kept. Very long texts are measured in one pass. Repeated rows and null ids are judged each. An empty
 table gives no rows. Extra columns are ignored, whatever their names.
 """
@@ -113,9 +113,9 @@ class Verdict:
     GROUPS = ((0, 7), (0, 6, 7), (4, 5), tuple(range(N_FEATURES)))
     SIZES = (32, 256)
 
-    def __init__(self, x: np.ndarray, labels: np.ndarray, keep_good: float, seed: int = 19):
+    def __init__(self, x: np.ndarray, labels: np.ndarray, keep_good: float, seed: int = 19, least: int = 8):
         self.forest, self.columns, self.cut = None, list(range(N_FEATURES)), 2.0
-        if len(x) < 8:
+        if len(x) < least:
             return
         if len(np.unique(labels)) < 2:
             self.forest = IsolationForest(x)
@@ -145,7 +145,7 @@ class Verdict:
         return np.ones(len(x), bool) if self.forest is None else self.forest.anomaly(x[:, self.columns]) < self.cut
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, keep_good: float = 0.995) -> Verdict:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, keep_good: float = 0.995, least: int = 8) -> Verdict:
     """Texts are measured where they are; only numbers come to the driver."""
     from .quality_classifier import labelled
 
@@ -159,12 +159,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, keep_good: float
     rows = common.sampled_rows(docs, labelled(labels), sample)
     got = rows.select("y", "text").mapInArrow(measured, "y int, f array<double>").collect()
     got = sorted((tuple(r.f), r.y) for r in got)
-    return Verdict(np.array([f for f, _ in got]).reshape(-1, N_FEATURES), np.array([y for _, y in got]), keep_good)
+    return Verdict(np.array([f for f, _ in got]).reshape(-1, N_FEATURES), np.array([y for _, y in got]), keep_good, least=least)
 
 
-def judge(docs: DataFrame, labels: DataFrame, sample: int = 3000, keep_good: float = 0.995) -> DataFrame:
-    """doc_id, the statistics, base_failed, kept for every row. ``sample`` bounds the labelled rows of the fit."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample, keep_good))
+def judge(docs: DataFrame, labels: DataFrame, sample: int = 3000, keep_good: float = 0.995, least: int = 8) -> DataFrame:
+    """doc_id, the statistics, base_failed, kept for every row. ``sample`` bounds the labelled rows of the fit, and
+    with fewer than ``least`` of them there is no forest."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample, keep_good, least))
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(k, T.LongType()) for k in STATS), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())])
 
     def judged(batches):

@@ -74,6 +74,28 @@ def test_ranked(spark):
     assert all(r.n == 1000 - r.x for r in got) and len(got) == 1000
 
 
+def test_shared_folder(spark, monkeypatch):
+    """Tables are deleted on release; on a cluster without a shared folder nothing is written."""
+    import os
+
+    monkeypatch.setattr(store, "_WRITTEN", [])
+    got = store.kept(spark.range(3))
+    path = store._WRITTEN[0].removeprefix("file://").removeprefix("file:")
+    assert got.count() == 3 and os.path.isdir(path)
+    store.release(spark)
+    assert not os.path.exists(path) and store._WRITTEN == []
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        store.folder(Cluster)
+
+
 def test_code_units(spark):
     s = "a😀b" * 40
     r = spark.createDataFrame([(s,)], "s string").select(X.units(F.col("s")).alias("u"), X.preview(F.col("s")).alias("p"), X.fnv1a(F.col("s")).alias("h"), X.chunks(F.col("s"), 50).alias("c")).first()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,12 +11,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; where none is set (tests), one of this process."""
+    """The folder in spark.checkpoint.dir, which all executors share; where none is set, one of this process, if it is the only one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = _LOCAL.setdefault("path", "file://" + tempfile.mkdtemp(prefix="threadloom-"))
     return path
 
@@ -24,9 +28,18 @@ def kept(df: DataFrame) -> DataFrame:
     """Written and read back, so that lineage ends here."""
     path = f"{folder(df.sparkSession)}/threadloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all tables that ``kept`` has written so far. What reads them can no longer be computed."""
+    for path in _WRITTEN:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    _WRITTEN.clear()
+
+
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with a number from 1 in the given order, which must be total. Rows are sorted in range partitions, and only the
     partitions' sizes meet in one task."""

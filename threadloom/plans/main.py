@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import categories as C
-from ..operators import classifier, reports, similarity, wordpiece
+from ..operators import classifier, reports, similarity, store, wordpiece
 from ..sources import files, sinks, tables
 from . import index, language_model
 from .config import PROFILES, USAGE, Config, parse, profile
@@ -143,6 +143,7 @@ def run_profiles(spark: SparkSession, c: Config, messages: DataFrame | None = No
     explicit = {k: v for k, v in vars(c).items() if v != getattr(Config(), k) and k not in {"execution_profile", "output", *PROFILES["onnx"]}}
     for n in names:
         run(spark, profile(n, **(explicit | {"output": f"{c.output}/{n}"})), messages)
+        store.release(spark)
     return compare_profiles(spark, c.output, names)
 
 
@@ -167,6 +168,7 @@ def main(args: list[str] | None = None) -> int:
     t["summary"].show(truncate=False, vertical=True)
     for name, df in index.size_reports(t).items():
         print(name, df.first().asDict())
+    store.release(spark)
     return 0
 
 

@@ -77,6 +77,25 @@ def test_random(spark, seed, most, block, keep):
     assert got == sorted(merge_signatures(rows))
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sql(spark, seed):
+    """The registered query's SQL on facets in which some groups join and some found communities."""
+    import duckdb
+
+    from threadloom.plans import oracle
+
+    rng, rows = np.random.default_rng(seed), []
+    for i in range(90):
+        c = [f"c{x}" for x in rng.permutation(5)[: rng.integers(1, 4)]]
+        rows.append((f"x{i}", *c, *[None] * (3 - len(c))))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE fac (conversation_id VARCHAR, category VARCHAR, secondary VARCHAR, tertiary VARCHAR)")
+    con.executemany("INSERT INTO fac VALUES (?, ?, ?, ?)", rows)
+    want = con.sql(f"WITH RECURSIVE {oracle.COMMUNITIES} SELECT conversation_id, community FROM fac JOIN found ON found.signature = concat_ws(' | ', category, secondary, tertiary)").fetchall()
+    got = communities.communities(spark.createDataFrame(rows, "conversation_id string, category string, secondary string, tertiary string")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and 3 < len({c for _, c in want}) < len({r[1:] for r in rows})
+
+
 def test_of_conversations(spark):
     rows = [(f"x{i}", *c) for i, c in enumerate([("A", "B", None)] * 4 + [("A", None, None)] + [("C", None, None)] * 3 + [("D", "C", None)])]
     got = {r.conversation_id: r.community for r in communities.communities(spark.createDataFrame(rows, "conversation_id string, category string, secondary string, tertiary string")).collect()}

@@ -246,6 +246,26 @@ iedges AS (
     UNION ALL SELECT 'global', 'cat:' || parent, 'cat:' || child, 'category_parent', n FROM levels),
 edges AS (SELECT scope_id, from_id, to_id, edge_type, max(weight)::DOUBLE AS weight FROM iedges GROUP BY 1, 2, 3, 4)"""
 INDEX = f"{MSGS}, {line_tokens('body', '(SELECT conversation_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS raw FROM m)')}, {INDEX.replace(CATEGORIES, CATEGORIES + ',' + COOC, 1)}"
+_mean = lambda k: f"coalesce(round_even(list_filter(c.s, lambda y: y.k = {k})[1].v / c.n, 4), 0)"
+_low = f"list_sum(list_transform(w, lambda x: least(x.v, {_mean('x.k')})))"
+_high = f"(list_sum(list_transform(w, lambda x: greatest(x.v, {_mean('x.k')}))) + coalesce(list_sum(list_transform(list_filter(c.s, lambda z: NOT list_contains(list_transform(w, lambda x: x.k), z.k)), lambda z: round_even(z.v / c.n, 4))), 0))"
+_match = f"least(1.0::DOUBLE, {_low} / {_high} + CASE WHEN c.p = c1 THEN 0.05::DOUBLE ELSE 0 END)"
+#: Groups in order, each joining the best community or founding its own: a recursive walk whose state is the list of communities.
+COMMUNITIES = f"""sg AS (SELECT concat_ws(' | ', category, secondary, tertiary) AS signature, count(*)::BIGINT AS n, min(category) AS c1, min(secondary) AS c2, min(tertiary) AS c3 FROM fac GROUP BY 1),
+pf AS (SELECT *, list_filter([{{'k': c1, 'v': 1.0::DOUBLE}}, {{'k': CASE WHEN c2 <> c1 THEN c2 END, 'v': 0.68::DOUBLE}}, {{'k': CASE WHEN c3 <> c1 AND c3 IS DISTINCT FROM c2 THEN c3 END, 'v': 0.44::DOUBLE}}], lambda x: x.k IS NOT NULL) AS w FROM sg),
+anchored AS (SELECT bool_or(n >= 3) AS a FROM sg),
+pend AS (SELECT *, row_number() OVER (ORDER BY n DESC, signature) AS i FROM pf, anchored WHERE a AND n < 3),
+walk AS (
+    SELECT 0::BIGINT AS i, (SELECT list({{'seed': signature, 'n': n, 'p': c1, 's': list_transform(w, lambda x: {{'k': x.k, 'v': x.v * n}}), 'm': [signature]}}) FROM pf, anchored WHERE NOT a OR n >= 3) AS cs
+    UNION ALL
+    SELECT i, CASE WHEN -best.a >= 0.46 THEN list_transform(cs, lambda c: CASE WHEN c.seed = best.c THEN {{'seed': c.seed, 'n': c.n + n, 'p': c.p,
+            's': list_concat(list_transform(c.s, lambda y: {{'k': y.k, 'v': y.v + coalesce(list_filter(w, lambda x: x.k = y.k)[1].v, 0) * n}}), list_transform(list_filter(w, lambda x: NOT list_contains(list_transform(c.s, lambda y: y.k), x.k)), lambda x: {{'k': x.k, 'v': x.v * n}})),
+            'm': list_append(c.m, signature)}} ELSE c END)
+        ELSE list_append(cs, {{'seed': signature, 'n': n, 'p': c1, 's': list_transform(w, lambda x: {{'k': x.k, 'v': x.v * n}}), 'm': [signature]}}) END
+    FROM (SELECT pend.*, cs, list_sort(list_transform(cs, lambda c: {{'a': -({_match}), 'b': -c.n, 'c': c.seed}}))[1] AS best FROM walk JOIN pend ON pend.i = walk.i + 1)),
+ended AS (SELECT unnest(arg_max(cs, i)) AS c FROM walk),
+named AS (SELECT 'catcomm:' || lpad((row_number() OVER (ORDER BY c.n DESC, c.seed))::VARCHAR, 4, '0') AS community, c.m AS m FROM ended),
+found AS (SELECT community, unnest(m) AS signature FROM named)"""
 RUNS = """runs AS (SELECT profile, vec_id AS id, 'c' || ((label + (vec_id % 11 < i)::INT) % 5) AS category, (vec_id * (i + 1)) % 13 AS bridge_score
     FROM embeddings, (VALUES ('heuristic', 0), ('hybrid', 1), ('mlnet', 2), ('onnx', 3)) AS v(profile, i)),
 mat AS (SELECT id, count(*) AS profiles, count(DISTINCT category) AS categories, max(bridge_score) AS max_bridge, round_even(avg(bridge_score), 3) AS avg_bridge,
@@ -308,6 +328,7 @@ SQL: dict[str, str] = {
         SELECT *, left_only + right_only AS difference FROM c ORDER BY difference DESC, id LIMIT 50""",
     "predictions_selected": f"WITH {PRED} SELECT * FROM sel",
     "category_facets": f"WITH {PRED} SELECT * FROM fac",
+    "category_communities": f"WITH RECURSIVE {PRED}, {COMMUNITIES} SELECT conversation_id, community FROM fac JOIN found ON found.signature = concat_ws(' | ', category, secondary, tertiary)",
     "signature_groups": f"WITH {PRED} SELECT concat_ws(' | ', category, secondary, tertiary) AS signature, count(*) AS n FROM fac GROUP BY 1",
     "label_examples": """WITH r AS (SELECT coalesce(nullif(trim(regexp_extract(url, '//([^/]+)', 1)), ''), 'Uncategorized') AS label, html AS text, page_id FROM pages),
         n AS (SELECT CASE WHEN count(*) OVER (PARTITION BY upper(label)) < 4 THEN 'Uncategorized' ELSE label END AS label, text, page_id FROM r)

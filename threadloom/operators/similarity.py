@@ -303,7 +303,8 @@ def pooled(x: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
 
 def embed_onnx(texts: DataFrame, model_path: str, encode, outputs: tuple[str, ...] = ("sentence_embedding", "embeddings", "last_hidden_state"), devices: list[tuple[str, dict]] | None = None, batch: int = 64) -> DataFrame:
     """id, v from (id, text) by an ONNX model that executors can read at ``model_path``; ``encode`` turns a list of texts into the
-    model's inputs, of which it gets those that it has, in its integer type. One session a worker, on the first device there is."""
+    model's inputs, of which it gets those that it has, in its integer type. One session a task, on the first device there is. Where a batch fails its rows are tried one by one, and
+    a row that fails has no vector."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import onnxruntime
@@ -313,11 +314,24 @@ def embed_onnx(texts: DataFrame, model_path: str, encode, outputs: tuple[str, ..
         names = [o.name for o in session.get_outputs()]
         name = next((o for o in outputs if o in names), names[0])
         kinds = {i.name: np.int32 if "int32" in i.type else np.int64 for i in session.get_inputs()}
+
+        def vectors(some: list[str]) -> list[np.ndarray]:
+            inputs = encode(some)
+            x = session.run([name], {k: inputs[k].astype(t) for k, t in kinds.items()})[0]
+            return list(pooled(x, inputs.get("attention_mask")).astype(np.float64))
+
+        def alone(text: str) -> np.ndarray | None:
+            try:
+                return vectors([text])[0]
+            except Exception:
+                return None
+
         for frame in frames:
             for at in range(0, len(frame), batch):
                 some = frame.iloc[at : at + batch]
-                inputs = encode(some.text.tolist())
-                x = session.run([name], {k: inputs[k].astype(t) for k, t in kinds.items()})[0]
-                yield pd.DataFrame({"id": some.id, "v": list(pooled(x, inputs.get("attention_mask")).astype(np.float64))})
+                try:
+                    yield pd.DataFrame({"id": some.id, "v": vectors(some.text.tolist())})
+                except Exception:
+                    yield pd.DataFrame({"id": some.id, "v": [alone(t) for t in some.text]})
 
     return texts.mapInPandas(run, f"id {texts.schema['id'].dataType.simpleString()}, v array<double>")

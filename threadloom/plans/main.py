@@ -36,7 +36,17 @@ def embedder(c: Config, vocabulary: dict[str, int], tokenizer: str) -> index.Emb
     """Vectors by the settings' model; the legacy tokenizer normalises texts, the library's takes them as they are."""
     pieces = wordpiece.WordPieces(vocabulary, tokenizer == "legacy")
     devices = similarity.devices(c.onnx_execution_provider, c.cuda_device_id, c.directml_device_id)
-    return lambda corpora: similarity.embed_onnx(corpora.select(F.col("conversation_id").alias("id"), F.col("corpus").alias("text")), c.embedding_model, similarity.inputs_of(pieces, c.embedding_max_tokens), devices=devices)
+    encode = similarity.inputs_of(pieces, c.embedding_max_tokens)
+
+    def vectors(corpora: DataFrame) -> DataFrame:
+        found = store.kept(similarity.embed_onnx(corpora.select(F.col("conversation_id").alias("id"), F.col("corpus").alias("text")), c.embedding_model, encode, devices=devices))
+        size = found.where("v is not null").agg(F.max(F.size("v"))).first()[0]
+        failed = found.where("v is null").select(F.col("id").alias("conversation_id"))
+        # Rows that the model fails on get hashed vectors of the same length.
+        hashed = index.hash_vectors(corpora.join(failed, "conversation_id", "left_semi"), size or c.hash_embedding_dim)
+        return found.where("v is not null").unionByName(hashed.where(F.size("v") == (size or c.hash_embedding_dim)))
+
+    return vectors
 
 
 def providers(spark: SparkSession, c: Config) -> index.Providers:

@@ -34,5 +34,7 @@ def test_run_profiles_from_a_raw_export(spark, tmp_path, capsys):
     assert c.raw_export and c.run_profiles and not c.input
     out = main.run_profiles(spark, c, names=("hybrid",))
     assert out["agreement"].count() == 0 and out["summaries"].first().conversations == 3
-    assert (tmp_path / "out/hybrid/transcripts/Title 1__c1.txt").exists() and list((tmp_path / "out/comparison/agreement").glob("*.json"))
+    assert (tmp_path / "out/hybrid/transcripts/Title 1__c1.txt").exists() and (tmp_path / "out/comparison/agreement").is_dir()
+    told = spark.read.json(f"{tmp_path}/out/comparison/insights/categories").collect()
+    assert {(r.profile, r.category, r.any_n) for r in told} == {("hybrid", "Infrastructure/Cloud", 3)}
     assert I.Providers().tokenizers is None

@@ -131,6 +131,10 @@ def compare_profiles(spark: SparkSession, root: str, names: tuple[str, ...]) ->
         sinks.write_json(out[name], f"{root}/comparison/{name}")
     for name in ("disagreements", "hot_paths"):
         sinks.write_csv(out[name], f"{root}/comparison/{name}")
+    lists = {what: tables.profile_insights(spark, names, root, what) for what in ("categories", "bridges", "cross_category")}
+    for what, df in lists.items():
+        if df is not None:
+            sinks.write_json(df, f"{root}/comparison/insights/{what}")
     sinks.write_text(spark, sinks.markdown("Profiles compared", out), f"{root}/comparison/report_md")
     return out
 

@@ -146,6 +146,16 @@ def profile_run(spark: SparkSession, name: str, path: str) -> DataFrame:
     return c.select(F.lit(name).alias("profile"), F.col("conversation_id").alias("id"), *(have(n).alias(n) for n in ("title", "category", "topic_label", "cluster_label")), *(number_or_zero(F.col(n)).alias(n) for n in ("bridge_score", "perspective_score")))
 
 
+def profile_insights(spark: SparkSession, names: tuple[str, ...], root: str, what: str) -> DataFrame | None:
+    """An insight list of the profiles' runs in ``root``/profile, with the column ``profile``; None where no run has rows of it."""
+    each = [spark.read.json(f"{root}/{n}/reports/insights/{what}") for n in names]
+    each = [df.withColumn("profile", F.lit(n)) for n, df in zip(names, each) if df.columns]
+    out = each[0] if each else None
+    for df in each[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Name, length, kind by first bytes and SHA-256 of each file."""
     f = spark.read.format("binaryFile").load(path)

@@ -27,9 +27,9 @@ def plain(rows, threshold):
     return key, near
 
 
-@pytest.mark.parametrize("block_rows", [16, 10_000])
-def test_against_all_pairs(spark, block_rows):
-    rows = rows_of(400, 12, 4)
+@pytest.mark.parametrize("block_rows, copies", [(16, 4), (10_000, 4), (16, 0)])
+def test_against_all_pairs(spark, block_rows, copies):
+    rows = rows_of(400, 12, copies)
     v = spark.createDataFrame(rows, VECTORS).repartition(3)
     key, near = plain(rows, 0.9)
     for k in (1, 3):

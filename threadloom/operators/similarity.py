@@ -115,14 +115,14 @@ def _first(score: np.ndarray, passed: np.ndarray, order: np.ndarray, k: int) ->
     return a[place < k], b[place < k]
 
 
-def class_pairs(reps: DataFrame, threshold: float, block_rows: int = 2048, k: int | None = None, pivots: int = 32, most_blocks: int = 20_000) -> DataFrame:
+def class_pairs(reps: DataFrame, threshold: float, block_rows: int = 2048, k: int | None = None, pivots: int = 32, most_blocks: int = 20_000, n: int | None = None) -> DataFrame:
     """a, b, score of different vectors (id, v) with cosine ``threshold`` or more, exactly: every pair once (a < b), or with ``k``
-    each vector's k best, ties to the smaller id (a row from either end).
+    each vector's k best with their rank, ties to the smaller id (a row from either end). ``n`` is their number, if it is known.
 
     Vectors are cut into blocks along pivots; pairs of blocks that no such pair can lie in are left out (``multiplied`` of
     ``block_pairs`` stay), each other is one group of bounded size and is multiplied in tiles, so no pair of rows is ever a Spark row
     unless it passes. With over ``most_blocks`` blocks, these are larger instead."""
-    kind, n = _ids(reps), reps.count()
+    kind, n = _ids(reps), reps.count() if n is None else n
     block_rows = max(block_rows, -(-n // most_blocks))
     multiplied = total = 1
     if n <= block_rows:
@@ -164,7 +164,7 @@ def class_pairs(reps: DataFrame, threshold: float, block_rows: int = 2048, k: in
 
     found = dealt.groupBy("i", "j").applyInPandas(product, f"a {kind}, b {kind}, score double")
     if k is not None:
-        found = found.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.col("score").desc(), "b"))).where(F.col("r") <= k).drop("r")
+        found = found.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy(F.col("score").desc(), "b"))).where(F.col("rank") <= k)
     found.multiplied, found.block_pairs = multiplied, total
     return found
 
@@ -190,7 +190,12 @@ def similar_classes(vectors: DataFrame, threshold: float, **options) -> DataFram
 
 def best_neighbors(vectors: DataFrame, threshold: float, k: int = 4, **options) -> DataFrame:
     """id, neighbor, score, rank: each vector's ``k`` best others with cosine ``threshold`` or more, ties to the smaller id. Copies are
-    compared once, and of a class its k + 1 smallest ids are enough: all of its members have the same scores."""
+    compared once, and of a class its k + 1 smallest ids are enough: all of its members have the same scores. Where no vector
+    has a copy, which is counted first, the classes are the vectors themselves."""
+    rows = keyed(vectors)
+    n = rows.agg(F.count("*").alias("all"), F.countDistinct("h1", "h2").alias("different")).first()
+    if n["all"] == n["different"]:
+        return class_pairs(rows.select("id", "v"), threshold, k=k, n=n["all"], **options).select(F.col("a").alias("id"), F.col("b").alias("neighbor"), "score", "rank")
     c = kept(classes(vectors, k + 1))
     pairs = class_pairs(c.select("id", "v"), threshold, k=k, **options)
     theirs = pairs.join(c.select(F.col("id").alias("b"), "first"), "b").select(F.col("a").alias("id"), F.transform("first", lambda x: F.struct((-F.col("score")).alias("s"), x.alias("n"))).alias("near"))

@@ -63,5 +63,5 @@ def test_dot(spark, tmp_path):
     nodes = spark.createDataFrame([("n1", 'line one\nline "two" \\', "conversation"), ("k", None, "keyword")], "id string, label string, kind string")
     edges = spark.createDataFrame([("n1", "k", "t", 0.12345)], "from_id string, to_id string, edge_type string, weight double")
     files.write_document(sinks.dot_lines(nodes, edges), ["section", "a", "b", "c"], f"{tmp_path}/g.dot")
-    want = ["digraph ChatDump {", "  rankdir=LR;", '  "n1" [shape=box,label="line one\\nline \\"two\\" \\\\"];', '  "k" [shape=diamond,label=""];', '  "n1" -> "k" [label="t:0.123"];', "}", ""]
+    want = ["digraph conversations {", "  rankdir=LR;", '  "n1" [shape=box,label="line one\\nline \\"two\\" \\\\"];', '  "k" [shape=diamond,label=""];', '  "n1" -> "k" [label="t:0.123"];', "}", ""]
     assert (tmp_path / "g.dot").read_text() == "\n".join(want)

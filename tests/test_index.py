@@ -229,7 +229,7 @@ def test_outputs(spark, messages, built, tmp_path):
     again = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"file://{tmp_path}/out/reports/catalog")
     assert again.count() == 4 and "azure" in again.where("conversation_id = 'a'").first().topics
     dot = (tmp_path / "out/graph/conversation-graph.dot").read_text().split("\n")
-    assert dot[:2] == ["digraph ChatDump {", "  rankdir=LR;"] and dot[-2:] == ["}", ""] and len(dot) == t["nodes"].count() + t["edges"].count() + 4
+    assert dot[:2] == ["digraph conversations {", "  rankdir=LR;"] and dot[-2:] == ["}", ""] and len(dot) == t["nodes"].count() + t["edges"].count() + 4
     assert '  "cat:Security" [shape=hexagon,label="Security"];' in dot and '  "a2" -> "a3" [label="reply:1"];' in dot and '  "a3" [shape=plaintext,label="Done."];' in dot
     own = json.loads((tmp_path / "out/graph/corpus-index.json").read_text())
     assert [c["conversation_id"] for c in own["conversations"]] == list("abcd") and len(own["graph"]["edges"]) == t["edges"].count() and len(own["topic_clusters"]) == 3

@@ -110,7 +110,7 @@ def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     for kind, name in SHAPES:
         shape = F.when(F.col("kind") == kind, name).otherwise(shape)
     spark = nodes.sparkSession
-    frame = spark.createDataFrame([("digraph ChatDump {", 0, "", "", ""), ("  rankdir=LR;", 1, "", "", ""), ("}", 4, "", "", "")], "value string, section int, a string, b string, c string")
+    frame = spark.createDataFrame([("digraph conversations {", 0, "", "", ""), ("  rankdir=LR;", 1, "", "", ""), ("}", 4, "", "", "")], "value string, section int, a string, b string, c string")
     n = nodes.select(F.format_string('  "%s" [shape=%s,label="%s"];', esc(F.col("id")), shape, esc(F.col("label"))).alias("value"), F.lit(2).alias("section"), F.col("kind").alias("a"), X.folded(F.coalesce("label", F.lit(""))).alias("b"), F.col("id").alias("c"))
     e = edges.select(F.format_string('  "%s" -> "%s" [label="%s:%s"];', esc(F.col("from_id")), esc(F.col("to_id")), esc(F.col("edge_type")), X.short_number(F.col("weight"))).alias("value"), F.lit(3).alias("section"), F.col("from_id").alias("a"), F.col("to_id").alias("b"), F.col("edge_type").alias("c"))
     return frame.unionByName(n).unionByName(e)

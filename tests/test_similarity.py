@@ -77,3 +77,26 @@ def test_hard_vectors(spark):
     assert similarity.best_neighbors(v.limit(0), 0.5).count() == 0
     texts = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.1]), ("c", [0.0, 1.0])], "id string, v array<double>")
     assert [tuple(r)[:2] for r in similarity.similar_pairs(texts, 0.9).collect()] == [("a", "b")]
+
+
+def test_number_of_blocks_is_bounded(spark):
+    """Vectors are sent once for each block: over 40 blocks, these grow instead, and the pairs stay."""
+    rows = rows_of(3000, 12, 0)
+    v = spark.createDataFrame(rows, VECTORS)
+    found = similarity.class_pairs(v, 0.9, block_rows=16, k=2)
+    assert found.block_pairs <= 820
+    _, near = plain(rows, 0.9)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.a, {})[r.rank] = r.b
+    assert got == {i: {n + 1: j for n, (_, j) in enumerate(x[:2])} for i, x in near.items() if x}
+    assert -(-600_000 // similarity.rows_a_block(600_000, 64, 2048, 40, 64 << 20)) <= 40
+    assert similarity.rows_a_block(10**9, 64, 2048, 40, 64 << 20) == 131_072
+
+
+def test_floats_stay_floats(spark):
+    """Vectors of floats are not shuffled as doubles, and give the same pairs."""
+    v = spark.createDataFrame(rows_of(300, 6, 2), VECTORS).selectExpr("id", "cast(v as array<float>) v")
+    assert similarity.classes(v).schema["v"].dataType.simpleString() == "array<float>"
+    pairs = lambda x: sorted((r.a, r.b, round(r.score, 12)) for r in similarity.similar_pairs(x, 0.9, block_rows=32).collect())
+    assert pairs(v) == pairs(v.selectExpr("id", "cast(v as array<double>) v"))

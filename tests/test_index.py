@@ -488,3 +488,15 @@ def test_deduplicated_in_scope(spark):
     e = spark.createDataFrame([("g", "a", "b", "t", 1.0, None), ("g", "a", "b", "t", 2.0, "z"), ("g", "a", "b", "t", 2.0, "y"), ("h", "a", "b", "t", 1.0, None)], "scope_id string, from_id string, to_id string, edge_type string, weight double, metadata_json string")
     assert sorted((r.scope_id, r.weight, r.metadata_json) for r in graph.deduplicated_in_scope(e).collect()) == [("g", 2.0, "y"), ("h", 1.0, None)]
     assert K.facet_count() is not None and categories.ALTERNATE == 0.11
+
+
+def test_dense_vectors(spark):
+    """Values are put in their places, not looked up for every place."""
+    rows = [(f"c{i}", b, float(i + 1) / (b + 1)) for i in range(25) for b in range(i % 7, 40, 1 + i % 3)]
+    got = index.dense(spark.createDataFrame(rows, "conversation_id string, bucket long, value double").repartition(3), 40, some=4)
+    held = {(c, b): x for c, b, x in rows}
+    assert {r.id: list(r.v) for r in got.collect()} == {f"c{i}": [held.get((f"c{i}", b), 0.0) for b in range(40)] for i in range(25)}
+    texts = spark.createDataFrame([("a", "alpha beta C# .NET"), ("b", "")], "conversation_id string, corpus string")
+    v = index.hash_vectors(texts)
+    assert "element_at" not in v._jdf.queryExecution().toString()
+    assert [(r.id, len(r.v), round(sum(x * x for x in r.v), 9)) for r in v.collect()] == [("a", 384, 1.0)]

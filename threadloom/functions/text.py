@@ -76,14 +76,17 @@ def raw_tokens(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(r"[\p{L}\p{Nd}+#.\-_]+"), F.lit(0))
 
 
-def clean_token(raw: Column) -> Column:
-    """The token to count, or null."""
+def named_token(raw: Column) -> Column:
+    """The token in small letters, without marks at its ends."""
     low = F.lower(raw)
-    named = F.when(low == "c#", "csharp").when(low == "f#", "fsharp").when(low == ".net", "dotnet").otherwise(low)
-    t = F.btrim(named, F.lit(".-_#+"))
+    return F.btrim(F.when(low == "c#", "csharp").when(low == "f#", "fsharp").when(low == ".net", "dotnet").otherwise(low), F.lit(".-_#+"))
+
+
+def counts(t: Column, raw: Column) -> Column:
+    """Whether a token, which was ``raw``, is one to count."""
     letters = F.regexp_replace(raw, r"[^\p{L}]", "")
     short = t.isin(SHORT_TOKENS) | letters.rlike(r"^\p{Lu}{2,4}$")
-    good = (
+    return (
         (F.char_length(t) > 0)
         & ~t.startswith("http")
         & ~t.isin(NOISE_TOKENS)
@@ -93,11 +96,12 @@ def clean_token(raw: Column) -> Column:
         & ((F.char_length(t) >= 3) | short)
         & ~t.isin(STOP_WORDS)
     )
-    return F.when(good, t)
 
 
 def tokens(line: Column) -> Column:
-    return F.filter(F.transform(raw_tokens(line), clean_token), lambda t: t.isNotNull())
+    """Each token is named once, before it is looked at: an expression within a lambda is evaluated as often as it is written."""
+    named = F.transform(raw_tokens(line), lambda raw: F.struct(named_token(raw).alias("t"), raw.alias("raw")))
+    return F.transform(F.filter(named, lambda x: counts(x["t"], x["raw"])), lambda x: x["t"])
 
 
 def phrases(toks: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +46,24 @@ def hash_vectors(corpora: DataFrame, dims: int = 384) -> DataFrame:
     """id, v: hashed tokens of each corpus as a dense vector of ``dims``."""
     lines = corpora.select("conversation_id", F.explode(X.split_lines(F.col("corpus"))).alias("raw"))
     counts = lines.select("conversation_id", F.explode(X.tokens(X.plain_line(F.col("raw")))).alias("token")).groupBy("conversation_id", "token").agg(F.count("*").alias("n"))
-    sparse = keywords.hash_embedding(counts, dims).groupBy("conversation_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("bucket").cast("int").alias("k"), "value"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(max(32, dims) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return sparse.select(F.col("conversation_id").alias("id"), dense.alias("v"))
+    return dense(keywords.hash_embedding(counts, dims), max(32, dims))
+
+
+def dense(sparse: DataFrame, dims: int, some: int = 1_000) -> DataFrame:
+    """id, v: sparse rows (conversation_id, bucket, value) as vectors of ``dims``, ``some`` at a time. Each value is put in its place, so
+    the work grows with the values and the vectors' lengths, not with their product."""
+    listed = sparse.groupBy("conversation_id").agg(F.collect_list(F.struct("bucket", "value")).alias("s"))
+
+    def fill(batches):
+        for batch in batches:
+            for part in (batch.slice(at, some) for at in range(0, len(batch), some)):
+                x = np.zeros((len(part), dims))
+                row = np.repeat(np.arange(len(part)), part.column(1).value_lengths().to_numpy())
+                x[row, part.column(1).flatten().to_numpy()] = part.column(2).flatten().to_numpy()
+                v = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * dims), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), v], names=["id", "v"])
+
+    return listed.select("conversation_id", F.col("s.bucket").alias("bucket"), F.col("s.value").alias("value")).mapInArrow(fill, "id string, v array<double>")
 
 
 def overridden(own: DataFrame, told: DataFrame) -> DataFrame:

@@ -500,3 +500,20 @@ def test_dense_vectors(spark):
     v = index.hash_vectors(texts)
     assert "element_at" not in v._jdf.queryExecution().toString()
     assert [(r.id, len(r.v), round(sum(x * x for x in r.v), 9)) for r in v.collect()] == [("a", 384, 1.0)]
+
+
+def test_workers_take_batches_in_small_parts():
+    """However many rows an Arrow batch has, few of them are Python objects at a time; none is lost or moved."""
+    import pyarrow as pa
+
+    from threadloom.operators import keywords
+
+    texts = pa.array(["x" * (i % 900) if i != 70 else "y" * 3_000_000 for i in range(5_000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5_000)), texts], names=["id", "text"])
+    parts = list(store.small_parts(iter([batch, batch.slice(0, 0)]), 1))
+    assert pa.Table.from_batches(parts).to_pydict() == pa.Table.from_batches([batch]).to_pydict()
+    assert max(len(p) for p in parts) <= 1_000 and all(len(p) == 1 or p.column(1).nbytes <= 1 << 20 for p in parts)
+    many = pa.RecordBatch.from_arrays([pa.array([f"c{i}" for i in range(3_000)]), pa.array([["alpha", "alpha beta", "gamma"]] * 3_000), pa.array([[9, 8, 7]] * 3_000)], names=["conversation_id", "t", "u"])
+    out = list(keywords._greedy(6)(iter([many])))
+    assert len(out) > 1 and sum(map(len, out)) == 6_000
+    assert out[0].to_pylist()[:2] == [{"conversation_id": "c0", "rank": 0, "keyword": "alpha", "units": 9, "top": 9}, {"conversation_id": "c0", "rank": 1, "keyword": "gamma", "units": 7, "top": 9}]

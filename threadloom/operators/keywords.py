@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .store import small_parts
 
 # Categories in order, with the terms that count for them.
 CATEGORY_RULES = (
@@ -51,9 +52,9 @@ def _greedy(take: int):
     short = frozenset(X.SHORT_TOKENS)
 
     def work(batches):
-        for batch in batches:
+        for part in small_parts(batches, 1):
             rows = []
-            for conversation, terms, units in zip(*(c.to_pylist() for c in batch.columns)):
+            for conversation, terms, units in zip(*(c.to_pylist() for c in part.columns)):
                 chosen: list[tuple[str, frozenset]] = []
                 for term, n in zip(terms, units):
                     own = frozenset(w for w in term.split(" ") if len(w) >= 3 or w in short)

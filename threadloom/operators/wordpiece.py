@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import small_parts
+
 #: Least lengths, and the tokens that mark a chunk's beginning and end.
 LEAST, CHUNK_LEAST, MARKS = 8, 16, 2
 KINDS = (("text", "text"), ("code", "aggregate_code"), ("execution_output", "execution_output"))
@@ -146,10 +148,10 @@ def token_chunks(messages: DataFrame, tokens: dict[str, int], most: int = 256, o
 
     def cut(batches):
         pieces = WordPieces(held.value, normalize=False)
-        for batch in batches:
-            rows = [(*row[:3], i, chunk, n) for row in zip(*(c.to_pylist() for c in batch.columns)) for i, (chunk, n) in enumerate(pieces.chunks(row[3], most, overlap))]
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32())
+        for part in small_parts(batches, 3):
+            rows = [(*row[:3], i, chunk, n) for row in zip(*(c.to_pylist() for c in part.columns)) for i, (chunk, n) in enumerate(pieces.chunks(row[3], most, overlap))]
             columns = list(zip(*rows)) if rows else [[]] * 6
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["conversation_id", "node_id", "kind", "pos", "chunk", "tokens"])
 
     return each.mapInArrow(cut, "conversation_id string, node_id string, kind string, pos int, chunk string, tokens int")

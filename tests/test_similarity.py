@@ -100,3 +100,45 @@ def test_floats_stay_floats(spark):
     assert similarity.classes(v).schema["v"].dataType.simpleString() == "array<float>"
     pairs = lambda x: sorted((r.a, r.b, round(r.score, 12)) for r in similarity.similar_pairs(x, 0.9, block_rows=32).collect())
     assert pairs(v) == pairs(v.selectExpr("id", "cast(v as array<double>) v"))
+
+
+def sent(spark, run):
+    """What ``run`` gives, and how many rows it shuffled."""
+    context = spark.sparkContext._jsc.sc()
+
+    def rows():
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before, got = rows(), run()
+    return got, sum(n for stage, n in rows().items() if stage not in before)
+
+
+def test_what_is_sent_grows_as_the_vectors(spark):
+    """A vector is sent once for each of at most 10 stripes, however many blocks there are; with partitions for groups and with a sort."""
+    n = 3000
+    rows = rows_of(n, 12, 0, noise=1.0)
+    v = spark.createDataFrame(rows, VECTORS).localCheckpoint()
+    _, near = plain(rows, 0.9)
+    wanted = {(i, j) for i, x in near.items() for _, j in x if i < j}
+    for most_groups in (1_000, 1):
+        pairs, records = sent(spark, lambda m=most_groups: {(r.a, r.b) for r in similarity.class_pairs(v, 0.9, block_rows=16, most_groups=m).collect()})
+        assert pairs == wanted
+        assert records < 14 * n
+    small, large = (sent(spark, lambda m=m: similarity.class_pairs(v.where(f"id < {m}"), 0.5, block_rows=16, k=2).count())[1] for m in (300, 3000))
+    assert large < 12 * small
+
+
+def test_stripes(spark):
+    """10 stripes at most, until one has 64 MB; no stripe has more bytes than a block may have."""
+    for n in (2_049, 10_256, 102_564, 615_384, 1_500_000, 10**8):
+        block = min(similarity.rows_a_block(n, 64, 2048, 40, 64 << 20), -(-n // 10))
+        run = similarity.blocks_a_stripe(-(-n // block), block, 64, 10, 64 << 20)
+        assert block * run * 64 * 8 <= 64 << 20 and (n > 1_300_000 or -(-n // (block * run)) <= 10)
+
+
+def test_hits():
+    rng = np.random.default_rng(3)
+    for n, share in ((0, 0.5), (5, 0.5), (8, 0), (1003, 0.01), (1003, 1)):
+        passed = rng.random(n) < share
+        assert similarity._hits(passed).tolist() == np.flatnonzero(passed).tolist()
